@@ -120,6 +120,22 @@ def _closed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
+def _indexed(docs: DataFrame, items: DataFrame, width: int, block_words: int) -> list:
+    """Broadcast window indexes of the items, a block each; rarity is counted over all documents."""
+    spark = docs.sparkSession
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = items.agg(F.sum(F.ceil((F.octet_length("text") + 1) / 2))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_words))
+    out = []
+    for b in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        windows = _windows([(r[0], (r[1] or "").encode()) for r in own.collect()], width)  # block_words at most, in the mean
+        vocabulary = spark.sparkContext.broadcast({w for window in windows for w in window})
+        counts = docs.select("text").mapInArrow(_rarity(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        out.append(spark.sparkContext.broadcast(_index(windows, {bytes(r[0]): r[1] for r in counts.collect()})))  # words of the block at most
+    return out
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """What each ``docs(doc_id, text)`` row holds of ``items(item_id, text)``: words hit, items, their digest, and whether it is contaminated.
 
@@ -133,18 +149,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10, block_wor
     Null or empty texts have no words; an item without words has no window. Items with a null id are hit like others but not listed; equal
     ids count once. Repeated rows give repeated results. Empty tables on either side give no hits. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs, items = docs.select("doc_id", "text"), items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.ceil((F.octet_length("text") + 1) / 2))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_words))
-    indexes = []
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        windows = _windows([(r[0], (r[1] or "").encode()) for r in own.collect()], width)  # block_words at most, in the mean
-        vocabulary = spark.sparkContext.broadcast({w for window in windows for w in window})
-        rarity = {bytes(r[0]): r[1] for r in docs.select("text").mapInArrow(_rarity(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-        indexes.append(spark.sparkContext.broadcast(_index(windows, rarity)))
-    if blocks == 1:
+    docs = docs.select("doc_id", "text")
+    indexes = _indexed(docs, items, width, block_words)
+    if len(indexes) == 1:
         return mapped(docs, _scanned(indexes[0]), SCHEMA)
     keyed = docs.select("doc_id", "text", *row_key())
     parts = None
@@ -153,3 +160,18 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10, block_wor
         parts = part if parts is None else parts.unionByName(part)
     parts = parts.groupBy("_id", "_th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     return mapped(keyed.join(parts, ["_id", "_th"], "left").select("doc_id", "text", "spans", "ids"), _closed, SCHEMA)
+
+
+def _clean(index):
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        yield batch.filter(pa.array([not _found(item_words(t), own)[0] for t in column_bytes(batch, "text")], pa.bool_()))
+
+    return run
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text holds no window of any item; no shuffle but that of the word counts."""
+    for index in _indexed(docs, items, width, block_words):
+        docs = mapped(docs, _clean(index), docs.schema)
+    return docs

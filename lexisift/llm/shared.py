@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +78,11 @@ def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Recor
 def row_key(text: str = "text", doc_id: str = "doc_id") -> list:
     """Key columns of a document row that are never null: equal for repeated rows, different for different texts under one id."""
     return [F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_th")]
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this library wherever the driver was started; installed clusters don't need it."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
