@@ -12,8 +12,7 @@ from lexisift.llm.shared import importable, table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table keeps; null texts go."""
-    judged = quality.quality_table(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), keep=("_row",))
-    return judged.where("kept").select("_row.*")
+    return quality.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

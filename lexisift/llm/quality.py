@@ -122,3 +122,13 @@ measured as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as
 failed as (select *, ({BASE_RULE}) as base_failed from measured)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
   n_repeat_words::bigint as n_repeat_words, n_lines::bigint as n_lines, n_stop::bigint as n_stop, n_shouts::bigint as n_shouts, base_failed, (not base_failed and {verdict}) as kept from failed"""
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the table keeps, with all their columns.
+
+    The verdict is combined with an expression that isn't deterministic: otherwise the filter is pushed below the projections and each
+    measure is computed again for every place that it is mentioned in.
+    """
+    judged = quality_table(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), rules, keep=("_row",))
+    return judged.select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_kept")).where("_kept").select("_row.*")
