@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     units = written(members.select("key", "rep", "d1", "d2", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))")).alias("u")).select("key", "u.i", "u.j", "rep", "d1", "d2"), "units")
     discard(banded)
 
-    involved = docs.join(units.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the candidates grow with the corpus: never broadcast
+    involved = docs.join(units.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = mapped(involved, _setted(shingle), "rep long, d1 long, d2 long, members binary, minima binary").dropDuplicates(["rep", "d1", "d2"])
     loaded = units.join(sets, ["rep", "d1", "d2"]).select("key", "i", "j", "rep", "members", "minima")
     edges = loaded.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_unit_links(num, den), "a long, b long")
