@@ -133,7 +133,8 @@ def without_newline_marks(text: Column) -> Column:
 
 def merge_masks(words: Column) -> Column:
     """Adjacent masks as one."""
-    return F.transform(F.filter(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("p")), lambda x: x["w"].isNotNull() & ((x["w"] != MASK) | (x["p"] != MASK))), lambda x: x["w"])
+    before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+    return F.array_compact(F.zip_with(words, before, lambda w, p: F.when((w != MASK) | (p != MASK), w)))
 
 
 def pair_lengths(a: Column, b: Column, most: int) -> tuple[Column, Column]:

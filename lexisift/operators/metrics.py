@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def pearson_spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """``(pearson, spearman, corr)``; ranks of ties are their mean. Ranks come from value counts, so equal values meet as one row."""
 
     def ranks(c: str, name: str) -> DataFrame:
-        from pyspark.sql.window import Window as W
-
         # running counts over ranges of values: a prefix sum by blocks, not one window over all rows
         counts = rows.groupBy(c).agg(F.count("*").alias("n"))
         blocked = counts.withColumn("_b", F.floor(F.col(c).cast("double") / _width(counts, c)))
@@ -47,4 +46,4 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int)
     inside = rows.where((x >= low) & (x <= high))
     bucket = F.least(F.floor((x - low) * bins / (high - low)), F.lit(bins - 1)).cast("long")
     counts = inside.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("cnt"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("cnt").alias("t")))).select("bucket", "cnt", F.round(F.col("cnt").cast("double") / F.col("t"), 6).alias("ratio"))
+    return counts.select("bucket", "cnt", F.round(F.col("cnt").cast("double") / F.sum("cnt").over(W.partitionBy()), 6).alias("ratio"))  # a row for each bin only

@@ -1,11 +1,681 @@
-"""The reference's operators as named queries, each with its SQL."""
+"""The operators as named queries over the tables of a folder, each with DuckDB SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from lexisift.functions import text as T
+from lexisift.operators import mask, metrics, rank, rouge, score, select
+from lexisift.session import importable
+from lexisift.sources import tables
+from lexisift.sources.tables import documents, references, sentences, table
+from lexisift.sources.tables import queries as cluster_queries
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# Relations in SQL that several queries share.
+_DOCS = "docs as (select source as cid, doc_id, text from documents where lang = 'en')"
+_SENTS = _DOCS + r""", lists as (select cid, doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) +', '\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') as l from docs),
+sents as (select cid, doc_id, i - 1 as sent_idx, l[i] as sent from lists, unnest(range(1, len(l) + 1)) as u(i))"""
+_TERMS = _SENTS + ", terms as (select cid, doc_id, sent_idx, term, count(*) as tf from (select cid, doc_id, sent_idx, unnest(regexp_extract_all(lower(sent), '[a-z0-9]+')) as term from sents) group by all)"
+_REFS = "refs as (select 'src' || (item_id % 20) as cid, item_id, item_id // 20 as ref_idx, text from benchmark)"
+_QS = _REFS + ", qs as (select cid, min_by(text, item_id) as query from refs group by cid), qt as (select cid, term, count(*) as qtf from (select cid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) as term from qs) group by all)"
+_REL = f"with {_TERMS}, {_QS}, sizes as (select cid, sum(qtf) as qlen, sum(qtf * qtf) as qsq from qt group by cid), lens as (select cid, doc_id, sent_idx, sum(tf) as slen, sum(tf * tf) as ssq from terms group by all), shared as (select cid, doc_id, sent_idx, sum(tf * qtf) as dot, sum(sqrt((tf * qtf)::double)) as root from terms join qt using (cid, term) group by all), rel as (select * from shared join lens using (cid, doc_id, sent_idx) join sizes using (cid))"
+_COUNT = f"with {_TERMS}, {_QS}, scores as (select cid, doc_id, sent_idx, sum(tf * qtf)::bigint as score from terms join qt using (cid, term) group by all)"
+_RANKED = _COUNT + ", ranks as (select *, row_number() over (partition by cid order by score desc, doc_id, sent_idx) as rank from scores)"
+_HEAD = _RANKED.removeprefix("with ") + ", head as (select cid, doc_id, sent, rank - 1 as i from ranks join sents using (cid, doc_id, sent_idx) where rank <= 90)"
+_EVENTS = "ranks as (select user_id, event_id, value, (round(value * 100))::bigint as cents, row_number() over (partition by user_id order by value desc, event_id) as rank from events where value is not null)"
+
+
+def _sents(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(documents(spark, d))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").where("value is not null").select("user_id", "event_id", "value", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return rank.ranked(rows, "user_id", "event_id", score="value")
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return score.overlaps(_sents(spark, d), cluster_queries(spark, d))
+
+
+def _top(spark: SparkSession, d: str, k: int = 90) -> DataFrame:
+    """Retrieved sentences of each cluster with their words: the bounded input of extraction."""
+    best = rank.top_k(_counts(spark, d), k, "cid", "doc_id", "sent_idx")
+    return best.join(_sents(spark, d), ["cid", "doc_id", "sent_idx"]).withColumn("words", T.tokens(F.col("sent")))
+
+
+def _head(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of a cluster's graph: its 90 best sentences, numbered by rank from 0."""
+    return _top(spark, d).withColumn("i", (F.col("rank") - 1).cast("long"))
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# Scans and projections
+
+
+@_query(f"with {_SENTS} select doc_id, sent_idx, sent from sents")
+def sentences_split(spark, d):
+    return _sents(spark, d).select("doc_id", *_long("sent_idx"), "sent")
+
+
+@_query(f"with {_SENTS} select cid, count(distinct doc_id) as n_docs, count(*) as n_sents from sents group by cid")
+def sentence_counts_by_cluster(spark, d):
+    per_doc = _sents(spark, d).groupBy("cid", "doc_id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("cid").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_sents"))
+
+
+@_query(f"with {_SENTS} select doc_id, sent_idx, len(regexp_extract_all(lower(sent), '[a-z0-9]+'))::bigint as n_words from sents where len(regexp_extract_all(lower(sent), '[a-z0-9]+')) >= 3")
+def short_sentence_filter(spark, d):
+    return _sents(spark, d).select("doc_id", *_long("sent_idx"), F.size(T.tokens(F.col("sent"))).cast("long").alias("n_words")).where("n_words >= 3")
+
+
+@_query(f"with {_SENTS} select doc_id, sent_idx from sents where not contains(sent, '''''') and not contains(sent, '``') and not (starts_with(sent, '''') and (contains(lower(sent), 'says') or contains(lower(sent), 'said')))")
+def dialogue_filter(spark, d):
+    s = T.normal_sentence(F.col("sent"), drop_dialogue=True, quoted_speech=True)
+    return _sents(spark, d).where(s.isNotNull()).select("doc_id", *_long("sent_idx"))
+
+
+@_query(f"""with {_SENTS}, cut as (select doc_id, sent_idx, array_to_string(list_filter(string_split(trim(lower(sent)), ' '), lambda x: x not in ('the', 'of', 'and', 'a', 'to', 'in')), ' ') as sent_proc from sents)
+select * from cut where sent_proc <> ''""")
+def sentence_normalise(spark, d):
+    s = T.normal_sentence(F.col("sent"), stop_words=("the", "of", "and", "a", "to", "in"))
+    return _sents(spark, d).select("doc_id", *_long("sent_idx"), s.alias("sent_proc")).where("sent_proc is not null")
+
+
+@_query("with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as p from documents) select doc_id, i - 1 as para_idx, length(p[i]) as n_chars from l, unnest(range(1, len(p) + 1)) as u(i)")
+def paragraph_split(spark, d):
+    p = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(p).alias("para_idx", "p")).select("doc_id", *_long("para_idx"), F.char_length("p").cast("long").alias("n_chars"))
+
+
+@_query(r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, '<p>'))::bigint as n_paras from pages")
+def tag_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("long").alias("n_paras"))
+
+
+@_query(f"with {_SENTS} select doc_id, sent_idx, sent from sents where sent_idx < 3")
+def doc_head_limit(spark, d):
+    return sentences_split(spark, d).where("sent_idx < 3")
+
+
+@_query("select doc_id from (select doc_id, row_number() over (partition by source, text order by doc_id) as r from documents) where r = 1")
+def exact_dedup_first(spark, d):
+    rows = table(spark, d, "documents").select("source", F.sha2("text", 256).alias("h"), "doc_id")
+    return rank.deduplicated(rows, ["source", "h"], "doc_id").select("doc_id")
+
+
+@_query("select page_id, sha1(url) as url_hash from pages")
+def url_sha1(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha1(F.col("url").cast("binary")).alias("url_hash"))
+
+
+@_query(f"with {_SENTS} select doc_id || '_' || sent_idx as sid, cid, doc_id, sent_idx from sents")
+def sid_compose_parse(spark, d):
+    rows = _sents(spark, d).select(T.sid(F.col("doc_id"), F.col("sent_idx")).alias("sid"), "cid")
+    return rows.select("sid", "cid", T.sid_part(F.col("sid"), 1).alias("doc_id"), T.sid_part(F.col("sid"), 2).alias("sent_idx"))
+
+
+@_query("""with t as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark), g as (select item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) as g from t, (values (1), (2), (3)) v(n))
+select item_id, n::bigint as n, count(distinct g) as n_distinct from g group by all""")
+def ngrams_distinct(spark, d):
+    words = T.tokens(F.col("text"))
+    parts = [table(spark, d, "benchmark").select("item_id", F.lit(n).cast("long").alias("n"), F.size(F.array_distinct(T.ngrams(words, n))).cast("long").alias("n_distinct")) for n in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("n_distinct > 0")
+
+
+@_query(f"with {_TERMS} select term as token, sum(tf)::bigint as cnt from terms group by term order by cnt desc, token limit 200")
+def vocab_topk(spark, d):
+    words = documents(spark, d).select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(200)
+
+
+@_query(f"with {_TERMS} select cid, term, sum(tf)::bigint as tf from terms group by all")
+def term_tf(spark, d):
+    return documents(spark, d).select("cid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("cid", "term").agg(F.count("*").alias("tf"))
+
+
+@_query(f"with {_TERMS} select cid, term, count(*) as df from terms group by all")
+def term_df(spark, d):
+    return score.term_counts(_sents(spark, d)).groupBy("cid", "term").agg(F.count("*").alias("df"))
+
+
+# Relevance
+
+
+@_query(_COUNT + " select * from scores")
+def rel_count(spark, d):
+    return _counts(spark, d).select("cid", "doc_id", *_long("sent_idx"), "score")
+
+
+def _lexical(spark, d, column):
+    return score.lexical(_sents(spark, d), cluster_queries(spark, d)).select("cid", "doc_id", *_long("sent_idx"), F.col(column).alias("score"))
+
+
+@_query(_REL + " select cid, doc_id, sent_idx, round(dot::double / qlen, 6) as score from rel")
+def rel_weighted_count(spark, d):
+    return _lexical(spark, d, "weighted_count")
+
+
+@_query(_REL + " select cid, doc_id, sent_idx, round(root / sqrt((slen::double) * qlen), 6) as score from rel")
+def rel_bhattacharyya(spark, d):
+    return _lexical(spark, d, "bhattacharyya")
+
+
+@_query(_REL + " select cid, doc_id, sent_idx, round(dot::double / sqrt((ssq::double) * qsq), 6) as score from rel")
+def rel_tf_cosine(spark, d):
+    return _lexical(spark, d, "tf_cosine")
+
+
+@_query(_REL + " select cid, doc_id, sent_idx, round(dot::double / sqrt((ssq::double) * qsq), 6) as score from rel")
+def rel_tf_dot(spark, d):
+    return _lexical(spark, d, "tf_cosine")
+
+
+_CORPUS = f"with {_TERMS}, {_QS}, n as (select cid, count(*) + 1 as n from sents group by cid), df as (select cid, term, sum(c) as df from (select cid, term, count(*) as c from terms group by all union all select cid, term, 1 from qt) group by all)"
+
+
+@_query(_CORPUS + """, idf as (select cid, term, ln((1 + n)::double / (1 + df)) + 1 as idf from df join n using (cid)), w as (select cid, doc_id, sent_idx, term, tf * idf as w from terms join idf using (cid, term)), q as (select cid, term, qtf * idf as qw from qt join idf using (cid, term)),
+norms as (select cid, doc_id, sent_idx, sum(w * w) as s from w group by all), qn as (select cid, sum(qw * qw) as qs from q group by cid), dots as (select cid, doc_id, sent_idx, sum(w * qw) as dot from w join q using (cid, term) group by all)
+select cid, doc_id, sent_idx, round(dot / sqrt(s * qs), 6) as score from dots join norms using (cid, doc_id, sent_idx) join qn using (cid)""")
+def rel_tfidf_cosine(spark, d):
+    return score.tfidf_cosine(_sents(spark, d), cluster_queries(spark, d)).select("cid", "doc_id", *_long("sent_idx"), "score")
+
+
+@_query(_CORPUS + """, lens as (select cid, doc_id, sent_idx, sum(tf) as len from terms group by all), stats as (select cid, any_value(n) as n, (sum(len) + any_value(ql))::double / any_value(n) as avgdl from lens join n using (cid) join (select cid, sum(qtf) as ql from qt group by cid) using (cid) group by cid),
+raw as (select cid, term, avgdl, ln((n - df + 0.5::double) / (df + 0.5::double)) as idf from df join stats using (cid)), mean as (select cid, avg(idf) as m from raw group by cid), idf as (select cid, term, qtf, avgdl, case when idf < 0 then 0.25::double * m else idf end as idf from qt join raw using (cid, term) join mean using (cid))
+select cid, doc_id, sent_idx, round(sum(qtf * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avgdl))), 6) as score from terms join idf using (cid, term) join lens using (cid, doc_id, sent_idx) group by all""")
+def rel_bm25(spark, d):
+    return score.bm25(_sents(spark, d), cluster_queries(spark, d)).select("cid", "doc_id", *_long("sent_idx"), "score")
+
+
+@_query(f"with {_TERMS}, {_QS}, lens as (select cid, doc_id, sent_idx, sum(tf) as len from terms group by all), ql as (select cid, sum(qtf) as ql from qt group by cid) select cid, doc_id, sent_idx, round(sum((tf / len) * ln((tf / len) / (coalesce(qtf / ql, 0) + 1e-6))), 6) as score from terms join lens using (cid, doc_id, sent_idx) join ql using (cid) left join qt using (cid, term) group by all")
+def rel_kl(spark, d):
+    return score.kl_divergence(_sents(spark, d), cluster_queries(spark, d)).select("cid", "doc_id", *_long("sent_idx"), "score")
+
+
+@_query(_RANKED + " select cid, rank, doc_id, sent_idx, score from ranks where rank <= 5")
+def tf_count_topk(spark, d):
+    best = rank.top_k(_counts(spark, d), 5, "cid", "doc_id", "sent_idx")
+    return best.select("cid", *_long("rank"), "doc_id", *_long("sent_idx"), "score")
+
+
+# Filters over rank lists
+
+
+@_query(f"with {_EVENTS}, t as (select *, coalesce(sum(cents) over (partition by user_id order by rank rows between unbounded preceding and 1 preceding), 0) as before, sum(greatest(cents, 0)) over (partition by user_id) as total from ranks) select user_id, event_id, rank from t where total <= 0 or 4 * before < 3 * total")
+def filter_conf(spark, d):
+    return rank.confident(_events(spark, d), 0.75, "user_id", value="cents").select("user_id", "event_id", *_long("rank"))
+
+
+@_query(f"with {_EVENTS}, n as (select user_id, count(*) as n from ranks group by user_id) select user_id, event_id, rank from ranks join n using (user_id) where rank <= greatest(2, floor(n * 0.25::double))")
+def filter_comp(spark, d):
+    return rank.compressed(_events(spark, d), 0.25, "user_id", least=2).select("user_id", "event_id", *_long("rank"))
+
+
+@_query(f"with {_EVENTS} select user_id, event_id, rank from ranks where rank <= 10")
+def filter_topk(spark, d):
+    return _events(spark, d).where("rank <= 10").select("user_id", "event_id", *_long("rank"))
+
+
+@_query("select event_id from events where value > 1e-10::double")
+def filter_prune(spark, d):
+    return rank.pruned(table(spark, d, "events").withColumn("score", F.col("value"))).select("event_id")
+
+
+@_query("with b as (select user_id, min(value) as lo, max(value) as hi from events group by user_id) select user_id, event_id, round(case when hi > lo then (value - lo) / (hi - lo) else 0 end, 6) as score from events join b using (user_id) where value is not null")
+def minmax_norm(spark, d):
+    return rank.min_max(_events(spark, d), "user_id", "value").select("user_id", "event_id", F.round("normed", 6).alias("score"))
+
+
+@_query("with e as (select user_id, event_id, (round(value * 100))::bigint as cents from events where value is not null), t as (select user_id, sum(greatest(cents, 0)) as t from e group by user_id) select user_id, event_id, round(case when t > 0 then greatest(cents, 0)::double / t else 0 end, 6) as score from e join t using (user_id)")
+def l1_norm(spark, d):
+    return rank.l1(_events(spark, d), "user_id", "cents").select("user_id", "event_id", F.round("normed", 6).alias("score"))
+
+
+@_query("with e as (select user_id, event_id, value / 100 as v from events where value is not null), h as (select user_id, max(v) as hi from e group by user_id), x as (select user_id, event_id, exp(v - hi) as x from e join h using (user_id)), t as (select user_id, sum(x) as t from x group by user_id) select user_id, event_id, round(x / t, 6) as score from x join t using (user_id)")
+def softmax_norm(spark, d):
+    return rank.softmax(_events(spark, d).withColumn("v", F.col("value") / 100), "user_id", "v").select("user_id", "event_id", F.round("normed", 6).alias("score"))
+
+
+@_query(_REL + ", s as (select cid, doc_id, sent_idx, round(0.7::double * round(dot::double / sqrt((ssq::double) * qsq), 6) + 0.3::double * round(dot::double / qlen, 6), 7) as score from rel) select cid, doc_id, sent_idx, score, row_number() over (partition by cid order by score desc, doc_id, sent_idx) as rank from s")
+def interpolate_rerank(spark, d):
+    both = score.lexical(_sents(spark, d), cluster_queries(spark, d))
+    keys = ["cid", "doc_id", "sent_idx"]
+    mixed = both.select(*keys, F.round(F.lit(0.7) * F.col("tf_cosine") + F.lit(0.3) * F.col("weighted_count"), 7).alias("score"))
+    return rank.ranked(mixed, "cid", "doc_id", "sent_idx").select("cid", "doc_id", *_long("sent_idx"), "score", *_long("rank"))
+
+
+@_query(_RANKED + ", w as (select cid, doc_id, sent_idx, rank, len(regexp_extract_all(lower(sent), '[a-z0-9]+')) as n from ranks join sents using (cid, doc_id, sent_idx)), c as (select *, sum(n) over (partition by cid order by rank) as cum_words from w) select cid, doc_id, sent_idx, cum_words::bigint as cum_words from c where cum_words - n < 250")
+def word_budget_prefix(spark, d):
+    rows = _top(spark, d, 250).withColumn("n_words", F.size("words").cast("long"))  # each row has a word of the query, so 250 rows reach the budget
+    return rank.budgeted(rows, 250, "cid").select("cid", "doc_id", *_long("sent_idx"), "cum_words")
+
+
+@_query(f"with {_EVENTS}, g(k) as (values (10), (20), (30), (50)) select k::int as k, count(*) as n_kept, sum(cents)::bigint as total from g join ranks on rank <= k group by k")
+def sweep_topk(spark, d):
+    return rank.sweep(_events(spark, d).withColumn("score", F.col("cents")), [10, 20, 30, 50], "user_id")
+
+
+@_query(f"with {_EVENTS}, g(p) as (select unnest(range(1, 11))), t as (select *, coalesce(sum(cents) over (partition by user_id order by rank rows between unbounded preceding and 1 preceding), 0) as before, sum(greatest(cents, 0)) over (partition by user_id) as total from ranks) select p as tenths, count(*) as n_kept from t, g where total <= 0 or 10 * before < p * total group by p")
+def sweep_conf(spark, d):
+    rows = _events(spark, d)
+    before = F.coalesce(F.sum("cents").over(W.partitionBy("user_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = rows.groupBy("user_id").agg(F.sum(F.greatest("cents", F.lit(0))).alias("total"))
+    first = F.when(F.col("total") <= 0, 1).otherwise(F.greatest(F.lit(1), F.floor(10 * F.col("before") / F.col("total")) + 1))
+    kept = rows.withColumn("before", before).join(totals, "user_id").groupBy(first.cast("long").alias("tenths")).agg(F.count("*").alias("n"))
+    every = spark.range(1, 11).withColumnRenamed("id", "tenths").join(kept, "tenths", "left").na.fill(0)
+    return every.select("tenths", F.sum("n").over(W.orderBy("tenths")).alias("n_kept"))
+
+
+@_query("select event_id, value as metric from events where value is not null order by value desc, event_id limit 3")
+def best3_checkpoints(spark, d):
+    return table(spark, d, "events").where("value is not null").orderBy(F.desc("value"), "event_id").limit(3).select("event_id", F.col("value").alias("metric"))
+
+
+# Graphs
+
+
+_PAIRS = f"with {_HEAD}, t as (select cid, i, doc_id, term, count(*)::double as w from (select cid, i, doc_id, unnest(regexp_extract_all(lower(sent), '[a-z0-9]+')) as term from head) group by all), n as (select cid, i, sum(w * w) as s from t group by all)"
+_MET = ", p as (select a.cid, a.i, b.i as j, sum(a.w * b.w) as dot from t a join t b on a.cid = b.cid and a.term = b.term and a.i < b.i {extra} group by all), sims as (select p.cid, p.i, p.j, round(dot / sqrt(x.s * y.s), 6) as sim from p join n x on x.cid = p.cid and x.i = p.i join n y on y.cid = p.cid and y.i = p.j)"
+
+
+@_query(_PAIRS + _MET.format(extra="") + " select * from sims")
+def sim_pairs_cosine(spark, d):
+    return score.similarity_pairs(_head(spark, d))
+
+
+@_query(_PAIRS + _MET.format(extra="and a.doc_id <> b.doc_id") + " select * from sims")
+def sim_cross_doc_only(spark, d):
+    return score.similarity_pairs(_head(spark, d), cross_document=True)
+
+
+@_query(_PAIRS + _MET.format(extra="") + ", b as (select cid, i, j, (round(sim * 1000000))::bigint as u from sims union all select cid, j, i, (round(sim * 1000000))::bigint from sims), c as (select cid, i, j, coalesce(sum(u) over (partition by cid, i order by u desc, j rows between unbounded preceding and 1 preceding), 0) as before, sum(u) over (partition by cid, i) as t from b) select cid, i, j from c where 2 * before < t")
+def sim_mass_sparsify(spark, d):
+    s = score.similarity_pairs(_head(spark, d)).withColumn("u", F.round(F.col("sim") * 1000000).cast("long"))
+    both = s.select("cid", "i", "j", "u").unionByName(s.select("cid", F.col("j").alias("i"), F.col("i").alias("j"), "u"))
+    rows = both.withColumn("node", F.struct("cid", "i"))
+    return rank.confident(rank.ranked(rows, "node", "j", score="u"), 0.5, "node", value="u").select("cid", "i", "j")
+
+
+def _vectors(spark, d, most):
+    """Each vector with the ``most`` lowest vectors of its cluster, its query sentences: an equi-join on the cluster."""
+    v = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    q = rank.ranked(v.withColumn("score", -F.col("vec_id")), "label").where(F.col("rank") <= most)
+    return v.join(q.select("label", F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), "label").where("vec_id <> q_id")
+
+
+def _similarities(kind):
+    def run(spark, d):
+        return _vectors(spark, d, 1).select("vec_id", "q_id", F.round(score.vector_similarity(F.col("embedding"), F.col("q"), kind), 4).alias("score"))
+
+    run.__name__ = f"embedding_{kind}"
+    return run
+
+
+_VEC = "with r as (select *, row_number() over (partition by label order by vec_id) as r from embeddings), p as (select v.vec_id, q.vec_id as q_id, list_dot_product(v.embedding::double[], q.embedding::double[]) as dot, sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) as size from embeddings v join r q on q.label = v.label and q.vec_id <> v.vec_id and q.r <= {most}), c as (select *, coalesce(dot / nullif(size, 0), 0) as cos from p)"
+for _kind, _formula in {"cosine": "cos", "rescaled": "(cos + 1) / 2", "angular": "1 - acos(least(greatest(cos, -1), 1)) / pi()", "tanh": "tanh(dot)", "sigmoid": "1 / (1 + exp(-dot))"}.items():
+    _query(f"{_VEC.format(most=1)} select vec_id, q_id, round({_formula}, 4) as score from c")(_similarities(_kind))
+
+
+@_query(f"{_VEC.format(most=3)} select vec_id, round(avg(cos), 4) as score from c group by vec_id")
+def pool_avg(spark, d):
+    return _vectors(spark, d, 3).groupBy("vec_id").agg(F.round(F.avg(score.vector_similarity(F.col("embedding"), F.col("q"))), 4).alias("score"))
+
+
+@_query(f"{_VEC.format(most=3)} select vec_id, round(max(cos), 4) as score from c group by vec_id")
+def pool_max(spark, d):
+    return _vectors(spark, d, 3).groupBy("vec_id").agg(F.round(F.max(score.vector_similarity(F.col("embedding"), F.col("q"))), 4).alias("score"))
+
+
+# ROUGE
+
+
+def _rouge_sql(n: int) -> str:
+    return f"""with {_SENTS}, {_REFS}, sw as (select cid, doc_id, sent_idx, regexp_extract_all(lower(sent), '[a-z0-9]+') as w from sents), rw as (select cid, ref_idx, regexp_extract_all(lower(text), '[a-z0-9]+') as w from refs where ref_idx = 0),
+sg as (select cid, doc_id, sent_idx, g, count(*) as c from (select cid, doc_id, sent_idx, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i+{n}-1], ' '))) as g from sw) group by all),
+rg as (select cid, g, count(*) as rc from (select cid, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i+{n}-1], ' '))) as g from rw) group by all),
+sn as (select cid, doc_id, sent_idx, sum(c) as sys_n from sg group by all), rn as (select cid, sum(rc) as ref_n from rg group by cid), m as (select cid, doc_id, sent_idx, sum(least(c, rc)) as o from sg join rg using (cid, g) group by all),
+rouge as (select cid, doc_id, sent_idx, o::bigint as overlap, round(o::double / ref_n, 6) as recall, round(2 * o::double / (sys_n + ref_n), 6) as f1 from m join sn using (cid, doc_id, sent_idx) join rn using (cid))"""
+
+
+def _rouge(spark, d, n):
+    refs = references(spark, d).where("ref_idx = 0").select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
+    sents = _sents(spark, d).select("cid", "doc_id", "sent_idx", T.tokens(F.col("sent")).alias("words"))
+    return rouge.scores(sents, refs, ["cid", "doc_id", "sent_idx"], n).select("cid", "doc_id", *_long("sent_idx"), "overlap", "recall", "f1")
+
+
+@_query(_rouge_sql(1) + " select * from rouge")
+def rouge1(spark, d):
+    return _rouge(spark, d, 1)
+
+
+@_query(_rouge_sql(2) + " select * from rouge")
+def rouge2(spark, d):
+    return _rouge(spark, d, 2)
+
+
+@_query(f"""with {_DOCS}, {_REFS}, lead as (select cid, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:250] as w from docs), sg as (select cid, doc_id, g, count(*) as c from (select cid, doc_id, unnest(w) as g from lead) group by all),
+rg as (select cid, ref_idx, g, count(*) as rc from (select cid, ref_idx, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as g from refs) group by all), sn as (select cid, doc_id, sum(c) as s from sg group by all), rn as (select cid, ref_idx, sum(rc) as r from rg group by all),
+m as (select cid, doc_id, ref_idx, sum(least(c, rc)) as o from sg join rg using (cid, g) group by all) select cid, doc_id, count(*) as n_refs, round(avg(round(o::double / r, 6)), 7) as recall, round(avg(round(2 * o::double / (s + r), 6)), 7) as f1 from m join sn using (cid, doc_id) join rn using (cid, ref_idx) group by cid, doc_id""")
+def rouge_multi_ref(spark, d):
+    docs = documents(spark, d).select("cid", "doc_id", T.tokens(F.col("text")).alias("words"))
+    refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
+    each = rouge.scores(docs, refs, ["cid", "doc_id"], 1, limit=250)
+    return each.groupBy("cid", "doc_id").agg(F.count("*").alias("n_refs"), F.round(F.avg("recall"), 7).alias("recall"), F.round(F.avg("f1"), 7).alias("f1"))
+
+
+@_query(_rouge_sql(1) + ", r1 as (select cid, doc_id, sent_idx, f1 as f1_1 from rouge) select cid, doc_id, sent_idx, f1_1 from r1 where f1_1 > 0.05")
+def rouge_threshold(spark, d):
+    return _rouge(spark, d, 1).where("f1 > 0.05").select("cid", "doc_id", "sent_idx", F.col("f1").alias("f1_1"))
+
+
+@_query(_rouge_sql(1).replace("rouge as", "rouge1 as") + ", " + _rouge_sql(2).split("rg as", 1)[0].split("sg as", 1)[1].join(["sg2 as", ""]).rstrip(" ,\n") + """,
+rg2 as (select cid, g, count(*) as rc from (select cid, unnest(list_transform(range(1, len(w) - 2 + 2), lambda i: array_to_string(w[i:i+1], ' '))) as g from rw) group by all),
+sn2 as (select cid, doc_id, sent_idx, sum(c) as sys_n from sg2 group by all), rn2 as (select cid, sum(rc) as ref_n from rg2 group by cid), m2 as (select cid, doc_id, sent_idx, sum(least(c, rc)) as o from sg2 join rg2 using (cid, g) group by all),
+rouge2 as (select cid, doc_id, sent_idx, round(2 * o::double / (sys_n + ref_n), 6) as f2 from m2 join sn2 using (cid, doc_id, sent_idx) join rn2 using (cid))
+select cid, doc_id, sent_idx, round(0.85::double * coalesce(f2, 0) + 0.15::double * f1, 5) as label from rouge1 left join rouge2 using (cid, doc_id, sent_idx)""")
+def smoothed_label(spark, d):
+    keys = ["cid", "doc_id", "sent_idx"]
+    one, two = _rouge(spark, d, 1).select(*keys, F.col("f1").alias("r1")), _rouge(spark, d, 2).select(*keys, F.col("f1").alias("r2"))
+    return one.join(two, keys, "left").select(*keys, F.round(T.smoothed_label(F.col("r1"), F.coalesce("r2", F.lit(0.0))), 5).alias("label"))
+
+
+@_query(_rouge_sql(2) + ", a as (select coalesce(r.f1, 0) as f from sents left join rouge r using (cid, doc_id, sent_idx)) select count(*) filter (where f = 0) as n_zero, count(*) filter (where f < 0.05) as n_tiny, count(*) as n_all from a")
+def zero_nonzero_counts(spark, d):
+    keys = ["cid", "doc_id", "sent_idx"]
+    f = F.coalesce("f1", F.lit(0.0))
+    rows = _sents(spark, d).select("cid", "doc_id", *_long("sent_idx")).join(_rouge(spark, d, 2).select(*keys, "f1"), keys, "left").select(f.alias("f"))
+    return rows.agg(F.count_if(F.col("f") == 0).alias("n_zero"), F.count_if(F.col("f") < 0.05).alias("n_tiny"), F.count("*").alias("n_all"))
+
+
+@_query()
+def rouge_su4(spark, d):
+    refs = references(spark, d).where("ref_idx = 0").select("cid", F.explode(rouge.skip_units(T.tokens(F.col("text")))).alias("g")).groupBy("cid", "g").agg(F.count("*").alias("rc"))
+    keys = ["cid", "doc_id", "sent_idx"]
+    own = _sents(spark, d).select(*keys, F.explode(rouge.skip_units(T.tokens(F.col("sent")))).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("c"))
+    met = own.join(refs, ["cid", "g"]).groupBy(*keys).agg(F.sum(F.least("c", "rc")).alias("overlap"))
+    return met.join(own.groupBy(*keys).agg(F.sum("c").alias("n")), keys).join(refs.groupBy("cid").agg(F.sum("rc").alias("r")), "cid").select("cid", "doc_id", *_long("sent_idx"), "overlap", F.round(2 * F.col("overlap") / (F.col("n") + F.col("r")), 6).alias("f1"))
+
+
+@_query()
+def rouge_l(spark, d):
+    refs = references(spark, d).where("ref_idx = 0").select("cid", T.tokens(F.col("text")).alias("r"))
+    rows = _sents(spark, d).join(refs, "cid").select("cid", "doc_id", *_long("sent_idx"), T.tokens(F.col("sent")).alias("w"), "r")
+    rows = rows.withColumn("lcs", rouge.common_subsequence("w", "r"))
+    return rows.select("cid", "doc_id", "sent_idx", "lcs", F.round(F.coalesce(F.try_divide(2 * F.col("lcs").cast("double"), F.size("w") + F.size("r")), F.lit(0.0)), 6).alias("f1"))
+
+
+# Extraction
+
+
+@_query()
+def greedy_word_budget(spark, d):
+    return select.greedy(_top(spark, d), 250, "words", 0.6)
+
+
+@_query()
+def greedy_sentence_budget(spark, d):
+    return select.greedy(_top(spark, d), 10, "sentences", 0.6)
+
+
+@_query()
+def ngram_block_greedy(spark, d):
+    return select.greedy(_top(spark, d), 10, "sentences", 0.6, block=3)
+
+
+@_query()
+def skip_allowance_greedy(spark, d):
+    return select.greedy(_top(spark, d), 10, "sentences", 0.4, skips=20)
+
+
+@_query()
+def lexrank_rank(spark, d):
+    return select.reranked(_top(spark, d), "lexrank")
+
+
+@_query()
+def wan_rank(spark, d):
+    return select.reranked(_top(spark, d), "wan", omega=10)
+
+
+@_query()
+def mmr_rank(spark, d):
+    return select.reranked(_top(spark, d), "mmr", weight=0.7)
+
+
+@_query()
+def extract_evaluate(spark, d):
+    """The whole way: rank, extract under a word budget, ROUGE-2 against the cluster's references."""
+    chosen = select.greedy(_top(spark, d), 250, "words", 0.6).join(_top(spark, d).select("cid", "doc_id", "sent_idx", "words"), ["cid", "doc_id", "sent_idx"])
+    texts = chosen.groupBy("cid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("words"))
+    refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
+    return rouge.scores(texts, refs, ["cid"], 2, limit=250).groupBy("cid").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"))
+
+
+@_query()
+def sample_cluster_build(spark, d):
+    """A cluster of samples for each document; its rank list is the ten documents after it in its source, as a retrieval would give it."""
+    docs = documents(spark, d).select("cid", "doc_id", T.tokens(F.col("text")).alias("words"))
+    placed = rank.ranked(docs.select("cid", "doc_id", (-F.col("doc_id")).alias("score")), "cid").select("cid", "doc_id", F.col("rank").alias("n"))
+    lists = placed.select("cid", F.col("doc_id").alias("cluster_id"), F.posexplode(F.expr("sequence(n, n + 10)")).alias("rank", "n"))
+    members = lists.join(placed.withColumnRenamed("doc_id", "sample_id"), ["cid", "n"]).join(docs.select(F.col("doc_id").alias("sample_id"), "words"), "sample_id")
+    return select.sample_clusters(members.select("cluster_id", "rank", "sample_id", "words"))
+
+
+# Rows for training and generation
+
+
+@_query("select doc_id, '[unused' || case when n < 100 then 85 when n >= 400 then 400 else 100 + ((n - 100) // 15) * 15 end || ']' as token from (select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as n from documents)")
+def len_token_bucket(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.length_token(F.size(T.tokens(F.col("text")))).alias("token"))
+
+
+def _mask_sql() -> str:
+    low, out = "lower(replace(text, '?', '.'))", "lower(replace(text, '?', '.'))"
+    for w in T.WH_WORDS:
+        out = f"replace({out}, '{w}', '[MASK]')"
+    steps = [f"a as (select conv_id, turn, {low} as low, {out} as m from conversations where role = 'user')"]
+    for i, w in enumerate(T.BINARY_VERBS):
+        steps.append(f"a{i} as (select conv_id, turn, low, case when starts_with(m, '{w}') then replace(m, '{w}', '[MASK]') else m end as m from {'a' if not i else f'a{i - 1}'})")
+    command = "low"
+    for w in T.COMMANDS:
+        command = f"replace({command}, '{w} ', '[MASK] ')"
+    return f"with {', '.join(steps)} select conv_id, turn, case when m <> low then m else {command} end as masked from a{len(T.BINARY_VERBS) - 1}"
+
+
+@_query(_mask_sql())
+def query_mask(spark, d):
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.mask_question(F.col("text")).alias("masked"))
+
+
+@_query("select conv_id, string_agg(regexp_replace(text, '\\.$', ''), ' [SUBQUERY] ' order by turn) as text from conversations where role = 'user' group by conv_id")
+def mask_with_sub(spark, d):
+    turns = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("conv_id", T.join_subqueries(F.transform("t", lambda x: x["text"])).alias("text"))
+
+
+@_query("select item_id, mode, case mode when 'plain' then text when 'both' then '[MASK] ' || text || ' [MASK]' when 'lead' then '[MASK] ' || text else '[MASK] ' || text || ' .' end as text from benchmark, (values ('plain'), ('both'), ('lead'), ('stop')) v(mode)")
+def query_decorate(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.explode(F.array(*map(F.lit, ("plain", "both", "lead", "stop")))).alias("mode"))
+    return rows.select("item_id", "mode", T.decorate(F.col("text"), F.col("mode")).alias("text"))
+
+
+@_query("with t as (select conv_id, list(text order by turn) as l from conversations where role = 'user' group by conv_id) select conv_id, 'describe ' || trim(l[1]) || case when ends_with(trim(l[1]), '.') then ' ' else '. ' end || array_to_string(l[2:], ' ') as text from t")
+def title_narr_text(spark, d):
+    turns = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("l"))
+    return turns.select("conv_id", T.title_text(F.col("l")[0], F.array_join(F.slice("l", 2, 1000000), " ")).alias("text"))
+
+
+@_query("with w as (select doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: case when length(x) > 4 then '[MASK]' else x end) as w from documents), m as (select doc_id, w, [w[i] for i in range(1, len(w) + 1) if i = 1 or w[i] <> '[MASK]' or w[i-1] <> '[MASK]'] as m from w) select doc_id, len(list_filter(w, lambda x: x = '[MASK]'))::bigint as n_mask, array_to_string(m, ' ') as merged from m")
+def mask_merge(spark, d):
+    words = F.transform(T.tokens(F.col("text")), lambda x: F.when(F.length(x) > 4, T.MASK).otherwise(x))
+    rows = table(spark, d, "documents").select("doc_id", words.alias("w"))
+    merged = T.merge_masks(F.col("w"))
+    return rows.select("doc_id", F.size(F.filter("w", lambda x: x == T.MASK)).cast("long").alias("n_mask"), F.array_join(merged, " ").alias("merged"))
+
+
+_PAIR = "p as (select a.conv_id, a.turn, a.text as src, b.text as tgt from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant')"
+
+
+def _turns(spark, d):
+    c = table(spark, d, "conversations")
+    answers = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
+    return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("src")).join(answers, ["conv_id", "turn"])
+
+
+@_query(f"with {_PAIR}, n as (select conv_id, turn, len(regexp_extract_all(lower(src), '[a-z0-9]+')) as a, len(regexp_extract_all(lower(tgt), '[a-z0-9]+')) as b from p), k as (select *, case when a + b <= 61 then a else least(a, greatest(61 - b, 31)) end as keep_a from n) select conv_id, turn, keep_a::bigint as keep_a, least(b, 61 - keep_a)::bigint as keep_b from k")
+def pair_truncate(spark, d):
+    rows = _turns(spark, d).select("conv_id", "turn", F.size(T.tokens(F.col("src"))).alias("a"), F.size(T.tokens(F.col("tgt"))).alias("b"))
+    a, b = T.pair_lengths(F.col("a"), F.col("b"), 61)
+    return rows.select("conv_id", "turn", a.cast("long").alias("keep_a"), b.cast("long").alias("keep_b"))
+
+
+@_query(f"with {_SENTS}, w as (select doc_id, sent_idx, len(regexp_extract_all(lower(sent), '[a-z0-9]+')) as n from sents where sent_idx < 10), c as (select doc_id, sent_idx, n, coalesce(sum(n) over (partition by doc_id order by sent_idx rows between unbounded preceding and 1 preceding), 0) as before from w) select doc_id, sent_idx, least(n, greatest(100 - before, 0))::bigint as kept_words from c where before < 100")
+def clip_nested(spark, d):
+    rows = _sents(spark, d).where("sent_idx < 10").select("doc_id", *_long("sent_idx"), F.size(T.tokens(F.col("sent"))).cast("long").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", before).where("before < 100").select("doc_id", "sent_idx", F.least("n", 100 - F.col("before")).alias("kept_words"))
+
+
+@_query("with l as (select doc_id, string_split(text, chr(10)) as l from documents) select doc_id, i - 1 as line_no, case when l[i] = '' or regexp_matches(l[i], '[.!?…''`\")’”]$') then l[i] else l[i] || ' .' end as fixed from l, unnest(range(1, len(l) + 1)) as u(i)")
+def missing_period(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", *_long("line_no"), T.missing_period(F.col("line")).alias("fixed"))
+
+
+@_query(f"with {_PAIR} select conv_id || '_' || turn as uid, src, tgt from p")
+def src_tgt_rows(spark, d):
+    return _turns(spark, d).select(T.sid(F.col("conv_id"), F.col("turn")).alias("uid"), "src", "tgt")
+
+
+@_query(f"with {_PAIR} select conv_id, turn from p where len(regexp_extract_all(lower(tgt), '[a-z0-9]+')) >= 50")
+def min_target_words(spark, d):
+    return _turns(spark, d).where(F.size(T.tokens(F.col("tgt"))) >= 50).select("conv_id", "turn")
+
+
+@_query(f"with {_SENTS}, r as (select *, row_number() over (partition by cid order by sent_idx, doc_id) as p from sents) select cid, doc_id, sent_idx from r where p <= 20")
+def round_robin_pos(spark, d):
+    p = F.row_number().over(W.partitionBy("cid").orderBy("sent_idx", "doc_id"))
+    return _sents(spark, d).select("cid", "doc_id", *_long("sent_idx")).withColumn("p", p).where("p <= 20").drop("p")
+
+
+@_query(f"with {_SENTS}, r as (select *, row_number() over (partition by cid order by md5('2020:' || doc_id || ':' || sent_idx), doc_id, sent_idx) as p from sents where sent_idx > 2) select cid, doc_id, sent_idx from r where p <= 20")
+def hash_neg_sample(spark, d):
+    h = F.md5(F.concat_ws(":", F.lit("2020"), F.col("doc_id").cast("string"), F.col("sent_idx").cast("string")))
+    p = F.row_number().over(W.partitionBy("cid").orderBy(h, "doc_id", "sent_idx"))
+    return _sents(spark, d).where("sent_idx > 2").select("cid", "doc_id", *_long("sent_idx")).withColumn("p", p).where("p <= 20").drop("p")
+
+
+@_query()
+def masked_summaries(spark, d):
+    """Facts made up from word positions stand in for a parser: every fifth word a verb, its neighbours the arguments."""
+    words = T.tokens(F.col("text"))
+    tags = F.transform("w", lambda x, i: F.when(i % 5 == 2, "B-V").when(i % 5 == 1, "B-ARG0").when(i % 5 == 3, "B-ARG1").otherwise("O"))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("cid"), words.alias("w")).withColumn("t", tags)
+    parse = F.array(F.struct(F.col("w").alias("words"), F.array(F.struct(F.col("t").alias("tags"))).alias("verbs"), F.array_join("w", " ").alias("raw_sentence")))
+    out = mask.masked_summaries(rows.select("cid", parse.alias("open_ie")), 0.3)
+    return out.select("cid", F.array_join("masked_seq", " ").alias("masked"), "n_revealed")
+
+
+# Joins, sets, statistics
+
+
+@_query("select source as cid, count(l.doc_id) as n from documents d left join labels l using (doc_id) group by source")
+def left_default_join(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("one")), "doc_id", "left").groupBy(F.col("source").alias("cid")).agg(F.count("one").alias("n"))
+
+
+@_query("select p_partkey as left_id, n_nationkey as right_id from part, nation where starts_with(lower(p_name), lower(n_name[1:1]))")
+def theta_prefix_join(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("left_id"), F.lower(F.substring("p_name", 1, 1)).alias("k"))
+    return parts.join(table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("right_id"), F.lower(F.substring("n_name", 1, 1)).alias("k")), "k").select("left_id", "right_id")
+
+
+@_query("with u as (select doc_id as key, 'label' || quality as value, 0 as p from labels union all select doc_id, 'lang_' || lang, 1 from documents) select key, value from (select *, row_number() over (partition by key order by p) as r from u) where r = 1")
+def dict_merge_precedence(spark, d):
+    first = table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.concat(F.lit("label"), F.col("quality").cast("string")).alias("value"), F.lit(0).alias("p"))
+    second = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("lang_"), F.col("lang")).alias("value"), F.lit(1).alias("p"))
+    return rank.deduplicated(first.unionByName(second), ["key"], "p").select("key", "value")
+
+
+@_query("select case when doc_id % 10 = 0 then 'dev' when doc_id % 10 = 1 then 'test' else 'train' end as split, doc_id from documents where doc_id not in (select doc_id from labels where quality = 0)")
+def year_split(spark, d):
+    bad = table(spark, d, "labels").where("quality = 0").select("doc_id")
+    return table(spark, d, "documents").join(bad, "doc_id", "left_anti").select(F.when(F.col("doc_id") % 10 == 0, "dev").when(F.col("doc_id") % 10 == 1, "test").otherwise("train").alias("split"), "doc_id")
+
+
+@_query("with j as (select quality, n_chars from labels join documents using (doc_id)), r as (select quality, n_chars, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2.0::double as a, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0::double as b from j), c as (select corr(quality::double, n_chars::double) as p, corr(a, b) as s from r) select round(p, 6) as pearson, round(s, 6) as spearman, round((p + s) / 2, 6) as corr from c")
+def corr_pearson_spearman(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select("quality", "n_chars")
+    return metrics.pearson_spearman(rows, "quality", "n_chars")
+
+
+@_query("with j as (select quality as y, least(n_chars / 2000.0::double, 1) as s from labels join documents using (doc_id)), c as (select count(*) filter (where s >= 0.5 and y = 1)::double as tp, count(*) filter (where s >= 0.5) as pp, count(*) filter (where y = 1) as p, sqrt(avg((y - s) * (y - s))) as e from j) select round(coalesce(tp / nullif(pp, 0), 0), 6) as precision, round(coalesce(tp / nullif(p, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(pp + p, 0), 0), 6) as f1, round(e, 6) as rmse from c")
+def binary_metrics(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("y"), F.least(F.col("n_chars") / 2000.0, F.lit(1.0)).alias("s"))
+    return metrics.binary(rows, "y", "s", 0.5)
+
+
+@_query("with v as (select vec_id, embedding[1:8] as e, label from embeddings), p as (select vec_id, list_transform(e, lambda x: case when x >= 0.15 then 1 else 0 end) as pred, list_transform(range(0, 8), lambda i: case when i = label % 8 or i = (label + 1) % 8 then 1 else 0 end) as truth from v), c as (select vec_id, list_sum(list_transform(range(1, 9), lambda i: pred[i] * truth[i]))::double as tp, list_sum(pred) as pp, list_sum(truth) as t from p) select vec_id, round(coalesce(tp / nullif(pp, 0), 0), 6) as p, round(tp / t, 6) as r from c")
+def multilabel_pr(spark, d):
+    e = F.slice("embedding", 1, 8)
+    pred = F.transform(e, lambda x: (x.cast("double") >= 0.15).cast("int"))
+    truth = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((i == F.col("label") % 8) | (i == (F.col("label") + 1) % 8)).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    rows = table(spark, d, "embeddings").select("vec_id", pred.alias("a"), truth.alias("b"))
+    tp = total(F.zip_with("a", "b", lambda x, y: x * y)).cast("double")
+    return rows.select("vec_id", F.round(F.coalesce(F.try_divide(tp, total("a")), F.lit(0.0)), 6).alias("p"), F.round(tp / total("b"), 6).alias("r"))
+
+
+@_query("with v as (select vec_id, embedding[1:8] as e from embeddings) select vec_id, list_transform(range(1, 9), lambda i: case when list_max(e) >= 0.25 then (e[i] >= 0.25)::int else (i = list_position(e, list_max(e)))::int end) as pred from v")
+def max_alternative(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("e")).withColumn("m", F.array_max("e")).withColumn("at", F.array_position("e", F.col("m")) - 1)
+    return rows.select("vec_id", F.transform("e", lambda x, i: F.when(F.col("m") >= 0.25, x >= 0.25).otherwise(i == F.col("at")).cast("int")).alias("pred"))
+
+
+@_query("with h as (select least(floor((n_chars - 0.0::double) * 20 / 10000), 19)::bigint as bucket from documents where n_chars between 0 and 10000), c as (select bucket, count(*) as cnt from h group by bucket) select bucket, cnt, round(cnt::double / sum(cnt) over (), 6) as ratio from c")
+def histogram_fixed(spark, d):
+    return metrics.histogram(table(spark, d, "documents"), "n_chars", 0, 10000, 20)
+
+
+@_query("with w as (select source as cid, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as n from documents), c as (select cid, count(*) as docs, sum(n) as words from w group by cid) select round(avg(docs), 4) as avg_docs, round(avg(words), 4) as avg_words, count(*) as n_clusters from c")
+def cluster_stats(spark, d):
+    rows = table(spark, d, "documents").select(F.col("source").alias("cid"), F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
+    per = rows.groupBy("cid").agg(F.count("*").alias("docs"), F.sum("n").alias("words"))
+    return per.agg(F.round(F.avg("docs"), 4).alias("avg_docs"), F.round(F.avg("words"), 4).alias("avg_words"), F.count("*").alias("n_clusters"))
+
+
+__all__ = ["oracle_sql", "queries", "tables"]
