@@ -339,7 +339,7 @@ def _vectors(spark, d, most):
 
 def _similarities(kind):
     def run(spark, d):
-        return _vectors(spark, d, 1).select("vec_id", "q_id", F.round(score.vector_similarity(F.col("embedding"), F.col("q"), kind), 4).alias("score"))
+        return _vectors(spark, d, 1).select("vec_id", "q_id", (F.round(score.vector_similarity(F.col("embedding"), F.col("q"), kind), 4) + F.lit(0.0)).alias("score"))
 
     run.__name__ = f"embedding_{kind}"
     return run
@@ -347,17 +347,17 @@ def _similarities(kind):
 
 _VEC = "with r as (select *, row_number() over (partition by label order by vec_id) as r from embeddings), p as (select v.vec_id, q.vec_id as q_id, list_dot_product(v.embedding::double[], q.embedding::double[]) as dot, sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) as size from embeddings v join r q on q.label = v.label and q.vec_id <> v.vec_id and q.r <= {most}), c as (select *, coalesce(dot / nullif(size, 0), 0) as cos from p)"
 for _kind, _formula in {"cosine": "cos", "rescaled": "(cos + 1) / 2", "angular": "1 - acos(least(greatest(cos, -1), 1)) / pi()", "tanh": "tanh(dot)", "sigmoid": "1 / (1 + exp(-dot))"}.items():
-    _query(f"{_VEC.format(most=1)} select vec_id, q_id, round({_formula}, 4) as score from c")(_similarities(_kind))
+    _query(f"{_VEC.format(most=1)} select vec_id, q_id, round({_formula}, 4) + 0.0 as score from c")(_similarities(_kind))
 
 
-@_query(f"{_VEC.format(most=3)} select vec_id, round(avg(cos), 4) as score from c group by vec_id")
+@_query(f"{_VEC.format(most=3)} select vec_id, round(avg(cos), 4) + 0.0 as score from c group by vec_id")
 def pool_avg(spark, d):
-    return _vectors(spark, d, 3).groupBy("vec_id").agg(F.round(F.avg(score.vector_similarity(F.col("embedding"), F.col("q"))), 4).alias("score"))
+    return _vectors(spark, d, 3).groupBy("vec_id").agg((F.round(F.avg(score.vector_similarity(F.col("embedding"), F.col("q"))), 4) + F.lit(0.0)).alias("score"))
 
 
-@_query(f"{_VEC.format(most=3)} select vec_id, round(max(cos), 4) as score from c group by vec_id")
+@_query(f"{_VEC.format(most=3)} select vec_id, round(max(cos), 4) + 0.0 as score from c group by vec_id")
 def pool_max(spark, d):
-    return _vectors(spark, d, 3).groupBy("vec_id").agg(F.round(F.max(score.vector_similarity(F.col("embedding"), F.col("q"))), 4).alias("score"))
+    return _vectors(spark, d, 3).groupBy("vec_id").agg((F.round(F.max(score.vector_similarity(F.col("embedding"), F.col("q"))), 4) + F.lit(0.0)).alias("score"))
 
 
 # ROUGE
