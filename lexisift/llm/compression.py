@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lexisift.llm.shared import column_bytes, mapped
 from lexisift.llm.toxicity import held_out, training_rows
 
-#: Bytes of a dictionary, of a piece that is compressed by itself, compression level, labelled rows learnt from at most.
-DICTIONARY, PIECE, LEVEL, MAX_ROWS = 64_000, 256, 1, 6000
+#: Bytes of a dictionary (the size that separates best is kept), of a piece that is compressed by itself, level, labelled rows at most.
+DICTIONARIES, PIECE, LEVEL, MAX_ROWS = (8_000, 16_000, 32_000, 64_000, 100_000), 256, 1, 6000
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -48,29 +48,39 @@ def difference(text: bytes, good, bad) -> float:
     return (b - g) / (b + g) if b + g else 0.0
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionary(texts: list[bytes], size: int) -> bytes:
     samples = [p for t in texts for p in pieces(t)]
-    samples = samples[:: max(1, len(samples) // 8000)]
-    if not samples:
-        return b" " * 8
+    samples = samples[:: max(1, len(samples) // 12_000)]
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        return (b"".join(samples) or b" " * 8)[-DICTIONARY:].ljust(8)
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself
+        return (b"".join(samples) or b" " * 8)[-size:].ljust(8)
+
+
+def _separation(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of good and bad pairs in the right order."""
+    rank = np.empty(len(x))
+    rank[np.argsort(x, kind="stable")] = np.arange(len(x))
+    return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / max(1, (y == 1).sum() * (y == 0).sum())
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Compressors:
-    """Dictionaries of two thirds of the sample, the calibration by a logistic curve over the rest."""
+    """Dictionaries of four fifths of the sample; their size and the calibration by a logistic curve from the rest."""
     labels = np.asarray(labels)
-    fold = np.arange(len(texts)) % 3 == 0
-    out = Compressors(*(_dictionary([t for t, y, f in zip(texts, labels, fold, strict=True) if y == k and not f]) for k in (1, 0)))
-    good, bad = out.open()
-    x = np.array([difference(t, good, bad) for t, f in zip(texts, fold, strict=True) if f])
+    fold = np.arange(len(texts)) % 5 == 0
     y = labels[fold].astype(float)
-    if not len(x) or len(set(y.tolist())) < 2:
-        prior = (labels.sum() + 0.5) / (len(labels) + 1)
-        out.slope, out.bias = 0.0, float(np.log(prior / (1 - prior)))
-        return out
+    prior = (labels.sum() + 0.5) / (len(labels) + 1)
+    best = None
+    for size in DICTIONARIES:
+        out = Compressors(*(_dictionary([t for t, y, f in zip(texts, labels, fold, strict=True) if y == k and not f], size) for k in (1, 0)))
+        if len(set(y.tolist())) < 2:
+            out.slope, out.bias = 0.0, float(np.log(prior / (1 - prior)))
+            return out
+        good, bad = out.open()
+        x = np.array([difference(t, good, bad) for t, f in zip(texts, fold, strict=True) if f])
+        if best is None or _separation(x, y) > best[0]:
+            best = (_separation(x, y), out, x)
+    _, out, x = best
     scale = float(np.std(x)) or 1.0
     m = np.stack([x / scale, np.ones(len(x))], axis=1)
     w = np.zeros(2)
@@ -95,7 +105,7 @@ def _scored(model):
 def compression_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each ``docs(doc_id, text)`` row, learnt from ``labels(doc_id, quality)``.
 
-    Dictionaries and calibration are fitted on the driver on ``max_rows`` labelled rows at most; two dictionaries of ``DICTIONARY`` bytes are
+    Dictionaries and calibration are fitted on the driver on ``max_rows`` labelled rows at most; two dictionaries of a fixed size are
     broadcast. Every whole text is compressed twice, in one pass without a shuffle. Empty and null texts have no difference and get the score
     of 0. Without labels of both classes the score is that of the prior. Repeated rows repeat their score; other columns are ignored.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ from lexisift.llm.shared import column_text
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct runs whose pieces a worker remembers.
-REMEMBERED = 200_000
+#: Distinct runs whose pieces a worker remembers; threads of a worker's library.
+REMEMBERED, THREADS = 500_000, 2
 
 
 def wire(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -115,8 +116,11 @@ class Codec:
         self.library = library_tokenizer(self.model)
         self.normaliser = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.whole = self.library.pre_tokenizer is None
-        self.run = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        # a line break that no piece holds is a run of its own: bytes never merge
+        lines = self.model.byte_fallback and not any("\n" in p for p, _, _ in self.model.pieces)
+        self.run = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.known: dict[str, bytes] = {}
+        self.said: dict[str, bytes] = {}
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def normal(self, text: str) -> str:
@@ -133,33 +137,55 @@ class Codec:
         text = self.normal(text)
         return ([text] if text else []) if self.whole else self.run(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Identifiers of each text, as 32-bit little-endian numbers."""
-        split = [self.runs(t) for t in texts]
+    def _learn(self, split: list[list[str]]) -> None:
+        """Encodes and decodes the runs that aren't known yet, a large batch at a time, with the library's threads."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({r for runs in split for r in runs if r not in self.known})
+            self.known, self.said = {}, {}
+        known = self.known
+        new = list({r for runs in split for r in runs if r not in known})
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for r, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[r] = struct.pack(f"<{len(e.ids)}i", *e.ids)
+                ids = e.ids
+                known[r] = struct.pack(f"<{len(ids)}i", *ids)
+                self.said[r] = b"".join([self.surface[k] for k in ids])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Identifiers of each text, as 32-bit little-endian numbers."""
+        split = [self.runs(t) for t in texts]
+        self._learn(split)
         return [b"".join(map(self.known.__getitem__, runs)) for runs in split]
 
-    def decode(self, ids: bytes) -> str:
-        numbers = memoryview(ids).cast("i")
-        out = b"".join(map(self.surface.__getitem__, numbers)).decode("utf-8", "replace")
+    def _text(self, said: bytes) -> str:
+        out = said.decode("utf-8", "replace")
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
+    def decode(self, ids: bytes) -> str:
+        return self._text(b"".join(map(self.surface.__getitem__, memoryview(ids).cast("i"))))
+
+    def both(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Identifiers of each text and what they decode to; the surface of a run's identifiers is remembered with them."""
+        split = [self.runs(t) for t in texts]
+        self._learn(split)
+        return [(b"".join(map(self.known.__getitem__, runs)), self._text(b"".join(map(self.said.__getitem__, runs)))) for runs in split]
+
+
+def _codec(data) -> Codec:
+    """A codec for a worker, whose library takes ``THREADS`` threads: a task has a core or two, not the machine."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    return Codec(data)
+
 
 def _coded(data):
     def run(batches):
-        codec = Codec(data.value)
+        codec = _codec(data.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = column_text(part, "text")
-                ids = codec.encode(texts)
-                back = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                found = codec.both(texts)
+                ids, back = [i for i, _ in found], [b == t for (_, b), t in zip(found, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     return run
@@ -167,7 +193,7 @@ def _coded(data):
 
 def _listed(data):
     def run(batches):
-        codec = Codec(data.value)
+        codec = _codec(data.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

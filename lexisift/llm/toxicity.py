@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from lexisift.llm.shared import column_text, mapped
 
-#: n-gram lengths, bits of the hashed n-gram space, labelled rows learnt from at most, features kept at most.
-SIZES, BITS, MAX_ROWS, MAX_FEATURES = (4, 5, 6), 22, 8000, 2048
+#: n-gram lengths, bits of the slot that screens n-grams, labelled rows learnt from at most, features kept at most.
+SIZES, BITS, MAX_ROWS, MAX_FEATURES = (4, 5, 6), 22, 6000, 2048
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SLOT = np.uint64(64 - BITS)
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Hashed character n-grams of a lower-cased text with a space at either end, size by size."""
+    """64-bit hashes of the character n-grams of a lower-cased text with a space at either end, size by size."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     h = c
     for n in range(2, max(SIZES) + 1):
@@ -27,51 +28,78 @@ def grams(text: str) -> Iterator[np.ndarray]:
             return
         h = h[:-1] * _MUL + c[n - 1 :]
         if n in SIZES:
-            m = (h + np.uint64(n)) * _MIX
-            yield (m >> np.uint64(64 - BITS)).astype(np.int32)
+            yield (h + np.uint64(n)) * _MIX
 
 
-def _present(text: str) -> np.ndarray:
-    found = list(grams(text))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+def _chosen(text: str, slots: np.ndarray) -> np.ndarray:
+    """Distinct n-grams whose slot is set."""
+    found = [g[slots[g >> _SLOT]] for g in grams(text)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 @dataclass
 class Linear:
-    """``weights`` over the hashed space, already scaled by the log-count ratios; zero where a feature wasn't kept."""
+    """Kept n-grams in order, their weights with the log-count ratios multiplied in, and the bias."""
 
-    slots: np.ndarray
+    kept: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(1 << BITS, np.float32)
-        out[self.slots] = self.weights
+    def slots(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, bool)
+        out[self.kept >> _SLOT] = True
         return out
 
+    def raw(self, text: str, slots: np.ndarray) -> float:
+        own = _chosen(text, slots)
+        if not len(own):
+            return self.bias
+        at = np.minimum(np.searchsorted(self.kept, own), len(self.kept) - 1)
+        return self.bias + float(self.weights[at][self.kept[at] == own].sum())
+
+
+def _significance(a: np.ndarray, b: np.ndarray, n: list[float]) -> np.ndarray:
+    """How far the shares of clean and toxic texts with an n-gram are apart, in standard errors; 0 for n-grams of fewer than three texts."""
+    pooled = np.clip((a + b + 1) / (n[0] + n[1] + 2), 0, 0.999)
+    z = np.abs(b / n[1] - a / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+    z[a + b < 3] = 0
+    return z
+
 
 def fit(texts: list[str], labels: np.ndarray, ridge: float = 1e-3, rounds: int = 400) -> Linear:
-    """Log-count ratios of present n-grams, the most significant of them as features, and a ridge logistic regression over present * ratio."""
+    """Log-count ratios of present n-grams, the most significant of them as features, and a ridge logistic regression over present * ratio.
+
+    Slots of n-grams are screened first, then the n-grams of the screened slots are counted themselves: memory doesn't grow with the sample.
+    """
     labels = np.asarray(labels, float)
-    seen = [_present(t) for t in texts]
-    count = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for s, y in zip(seen, labels, strict=True):
-        count[int(y)][s] += 1
     n = [max(1.0, float((labels == k).sum())) for k in (0, 1)]
-    ratio = np.log((count[1] + 0.5) / (n[1] + 1)) - np.log((count[0] + 0.5) / (n[0] + 1))
-    pooled = (count[0] + count[1] + 1) / (n[0] + n[1] + 2)
-    z = np.abs(count[1] / n[1] - count[0] / n[0]) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / n[0] + 1 / n[1]))
-    z[(count[0] + count[1]) < 3] = 0
-    slots = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    slots = np.sort(slots[z[slots] > 3.5])
-    place = np.full(1 << BITS, -1, np.int32)
-    place[slots] = np.arange(len(slots))
-    x = np.zeros((len(texts), len(slots) + 1), np.float32)
+    count = np.zeros((2, 1 << BITS), np.float32)
+    for t, y in zip(texts, labels, strict=True):
+        found = [g >> _SLOT for g in grams(t)]
+        if found:
+            count[int(y), np.unique(np.concatenate(found))] += 1
+    z = _significance(count[0], count[1], n)
+    best = np.argpartition(-z, 4 * MAX_FEATURES)[: 4 * MAX_FEATURES]
+    slots = np.zeros(1 << BITS, bool)
+    slots[best[z[best] > 3]] = True
+    del count, z
+    seen = [_chosen(t, slots) for t in texts]
+    known, at = np.unique(np.concatenate(seen), return_inverse=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, int))
+    toxic = np.repeat(labels, [len(s) for s in seen])
+    b = np.bincount(at, weights=toxic, minlength=len(known))
+    a = np.bincount(at, minlength=len(known)) - b
+    z = _significance(a, b, n)
+    keep = np.sort(np.argsort(-z, kind="stable")[:MAX_FEATURES])
+    keep = keep[z[keep] > 3.5]
+    kept = known[keep]
+    ratio = (np.log((b[keep] + 0.5) / (n[1] + 1)) - np.log((a[keep] + 0.5) / (n[0] + 1))).astype(np.float32)
+    x = np.zeros((len(texts), len(kept) + 1), np.float32)
     x[:, -1] = 1
-    for i, s in enumerate(seen):
-        at = place[s]
-        at = at[at >= 0]
-        x[i, at] = ratio[slots][at]
+    if len(kept):
+        for i, s in enumerate(seen):
+            j = np.minimum(np.searchsorted(kept, s), len(kept) - 1)
+            j = j[kept[j] == s]
+            x[i, j] = ratio[j]
     penalty = np.full(x.shape[1], ridge, np.float32)
     penalty[-1] = 0
     # accelerated gradient descent at the step that the largest curvature allows
@@ -85,7 +113,7 @@ def fit(texts: list[str], labels: np.ndarray, ridge: float = 1e-3, rounds: int =
         p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
         after = look - step * (x.T @ (p - labels).astype(np.float32) / len(x) + penalty * look)
         look, w = after + (k / (k + 3)) * (after - w), after
-    return Linear(slots.astype(np.int32), (w[:-1] * ratio[slots]).astype(np.float32), float(w[-1]))
+    return Linear(kept, (w[:-1] * ratio).astype(np.float32), float(w[-1]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int) -> tuple[list[str], np.ndarray]:
@@ -111,14 +139,9 @@ def held_out(modulus: int, held: int):
 def _scored(model):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         linear = model.value
-        table = linear.table()
-        used = table != 0
-        out = []
-        for text in column_text(batch, "text"):
-            own = [g[used[g]] for g in grams(text)]
-            own = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int32)
-            out.append(linear.bias + float(table[own].sum()))
-        score = 1 / (1 + np.exp(-np.clip(np.array(out), -30, 30)))
+        slots = linear.slots()
+        raw = np.array([linear.raw(text, slots) for text in column_text(batch, "text")])
+        score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in ("doc_id", "held_out")), pa.array(score)], ["doc_id", "held_out", "score"])
 
     return run
@@ -127,7 +150,7 @@ def _scored(model):
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each ``docs(doc_id, text)`` row, learnt from ``labels(doc_id, toxic)``.
 
-    The model is fitted on the driver on ``max_rows`` labelled rows at most and broadcast: ``MAX_FEATURES`` slots and weights. Every whole
+    The model is fitted on the driver on ``max_rows`` labelled rows at most and broadcast: ``MAX_FEATURES`` n-grams and weights. Every whole
     text is scored in one pass without a shuffle. Only the text is an input of a score. Empty and null texts get the score of no n-grams.
     Without labels, or with one class only, the score is that of the prior. Repeated rows repeat their score; other columns are ignored.
     """
@@ -136,7 +159,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2
         linear = fit(texts, ys)
     else:
         prior = (float(ys.sum()) + 0.5) / (len(ys) + 1)
-        linear = Linear(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(prior / (1 - prior))))
+        linear = Linear(np.zeros(0, np.uint64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior))))
     model = docs.sparkSession.sparkContext.broadcast(linear)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(modulus, held))
     return mapped(rows, _scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
