@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a Python worker holds as objects at a time, and rows of an Arrow batch.
+PART, BATCH = 500, 1000
 #: Stands for a null id where a join key must not be null.
 NO_ID = -(2**63)
 
@@ -65,12 +67,12 @@ def column_text(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``function`` over each Arrow batch, without a shuffle."""
+    """``function`` over each Arrow batch, a part at a time, without a shuffle."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
+            for at in range(0, batch.num_rows, PART):
+                yield from function(batch.slice(at, PART))
 
     return df.mapInArrow(run, schema)
 
@@ -81,7 +83,12 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> list:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this library wherever the driver was started; installed clusters don't need it."""
+    """Let Python workers on this machine import this library wherever the driver was started; installed clusters don't need it.
+
+    Also bounds Arrow batches, which hold whole texts, unless the session has a bound of its own.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = known.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
