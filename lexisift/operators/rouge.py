@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexisift.functions import text as T
 
@@ -37,7 +38,7 @@ def scores(system: DataFrame, references: DataFrame, ids: list[str], n: int, wor
     return out.select(*ids, "ref_idx", "overlap", "sys_n", "ref_n", F.round(o / F.col("ref_n"), 6).alias("recall"), F.round(o / F.col("sys_n"), 6).alias("precision"), F.round(2 * o / (F.col("sys_n") + F.col("ref_n")), 6).alias("f1"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token arrays, by bit-parallel rows."""
 
