@@ -70,7 +70,7 @@ def quality_table(docs: DataFrame, rules: tuple[Rule, ...] = RULES, window: int
         (_length(F.col("_c")) - _length(F.translate("_c", "#*$%&|<>", ""))).alias("n_symbols"),
         lines.alias("_lines"),
         # text that ends in white space leaves one empty string at the end
-        F.when(F.element_at("_raw", F.greatest(F.size("_raw"), F.lit(1))) == "", F.slice("_raw", F.lit(1), F.greatest(F.size("_raw") - 1, F.lit(0)))).otherwise(F.col("_raw")).alias("_w"),
+        F.when(F.get("_raw", F.size("_raw") - 1) == "", F.slice("_raw", F.lit(1), F.greatest(F.size("_raw") - 1, F.lit(0)))).otherwise(F.col("_raw")).alias("_w"),
     )
     rows = rows.select(
         "doc_id", *keep, "word_chars", "n_symbols",

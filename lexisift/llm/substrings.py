@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexisift.llm.minhash import _MIX, _mixed
 from lexisift.llm.shared import column_bytes, column_text, discard, mapped, row_key, written
@@ -17,6 +19,7 @@ from lexisift.llm.shared import column_bytes, column_text, discard, mapped, row_
 #: Words of the anchor inside a window; words that one automaton takes; words of one anchor beyond which its windows are dealt out singly.
 ANCHOR, SHARD_WORDS, HOT_WORDS = 8, 60_000, 30_000
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = 0x2545F4914F6CDD1D
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -299,25 +302,24 @@ def substring_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
 
 
 def _trimmed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    import re
-
-    at = batch.schema.get_field_index("text")
+    get = lambda k: batch.column(batch.schema.get_field_index(k))
     out = []
-    for text, flat in zip(column_text(batch, "text"), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
+    for text, flat in zip(column_text(batch, "text"), get("spans").to_pylist(), strict=True):
         if flat:
-            words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-            pieces, end = [], 0
+            words = [m.span() for m in _WORD.finditer(text)]
+            parts, end = [], 0
             for a, b in _spans(flat):
-                pieces.append(text[end : words[a][0]])
+                parts.append(text[end : words[a][0]])
                 end = words[b - 1][1]
-            text = "".join([*pieces, text[end:]]).strip()
+            text = "".join([*parts, text[end:]]).strip()
         out.append(text)
-    cols = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-    yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+    yield pa.RecordBatch.from_arrays([get("_row"), pa.array(out, pa.string())], ["_row", "_cut"])
 
 
 def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """``docs`` with all columns, repeated windows cut out of ``text``; rows of which nothing is left go. Null text is as empty."""
     marked = repeated_passages(docs, width)
-    joined = docs.select("*", *row_key()).join(marked, ["_id", "_th"], "left").select(*docs.columns, "spans")
-    return mapped(joined, _trimmed, docs.schema).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text", *row_key())
+    joined = whole.select("_row", "text", F.col("_id"), F.col("_th")).join(marked, ["_id", "_th"], "left").select("_row", "text", "spans")
+    cut = mapped(joined, _trimmed, StructType([joined.schema["_row"], StructField("_cut", StringType())]))
+    return cut.where(r"_cut rlike '[^\\x20\\x09-\\x0D]'").select(*[F.col("_cut").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
