@@ -16,8 +16,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lexisift.llm.minhash import _MIX, _mixed
 from lexisift.llm.shared import column_bytes, column_text, discard, mapped, row_key, written
 
-#: Words of the anchor inside a window; words that one automaton takes; words of one anchor beyond which its windows are dealt out singly.
-ANCHOR, SHARD_WORDS, HOT_WORDS = 8, 60_000, 30_000
+#: Words of the anchor inside a window; words that one automaton takes; words of one anchor beyond which no automaton is built for it (its
+#: states would take gigabytes), and beyond which its windows are no longer counted within one task (of some 100 MB) but dealt out singly.
+ANCHOR, SHARD_WORDS, HOT_WORDS, TASK_WORDS = 8, 60_000, 30_000, 1_500_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = 0x2545F4914F6CDD1D
@@ -175,9 +176,6 @@ def _matched(width: int):
             if found := machine.repeated(words, width):
                 out.append((v, d, _runs(found)))
 
-    def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["v", "d", "found"])
-
     def run(batches):
         held, rows = None, []
         for batch in batches:
@@ -189,14 +187,48 @@ def _matched(width: int):
                     flush(rows, out)
                     held, rows = shard, []
                 rows.append((v, d, times, w))
-            yield batch_of(out)
+            yield _found_batch(out)
+        out = []
+        flush(rows, out)
+        yield _found_batch(out)
+
+    return run
+
+
+def _tallied(width: int):
+    """Passages under a busy anchor: their windows by a digest of 128 bits, counted within the task; the rows of an anchor follow one another."""
+
+    def flush(rows, out):
+        digests = [[xxhash.xxh3_128_digest(raw[8 * o : 8 * (o + width)]) for o in range(len(raw) // 8 - width + 1)] for _, _, _, raw in rows]
+        seen: dict[bytes, int] = {}
+        for (_, _, times, _), own in zip(rows, digests, strict=True):
+            for x in own:
+                seen[x] = seen.get(x, 0) + times
+        for (v, d, _, _), own in zip(rows, digests, strict=True):
+            if found := [o for o, x in enumerate(own) if seen[x] > 1]:
+                out.append((v, d, _runs(found)))
+
+    def run(batches):
+        held, rows = None, []
+        for batch in batches:
+            out = []
+            for v, d, times, raw in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                if v != held:
+                    flush(rows, out)
+                    held, rows = v, []
+                rows.append((v, d, times, raw))
+            yield _found_batch(out)
         out = []
         flush(rows, out)
-        yield batch_of(out)
+        yield _found_batch(out)
 
     return run
 
 
+def _found_batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["v", "d", "found"])
+
+
 def _cut_passages(width: int):
     """The words of the passages that a document stands for."""
 
@@ -259,7 +291,8 @@ def repeated_passages(docs: DataFrame, width: int = 35) -> DataFrame:
     3. The distinct passages of all other anchors are the reference, cut into shards by anchor; a shard's task builds its suffix automaton,
        weighted with the counts, and streams the passages past it. Shards go to the passages that can match, not all to all: a broadcast
        reference would grow with the corpus, and the work with its square.
-    4. An anchor with more than ``HOT_WORDS`` words of distinct passages would be no bounded shard; its windows are counted one by one.
+    4. An anchor with more than ``HOT_WORDS`` words of distinct passages would be too large an automaton; its windows are counted by digest,
+       within a task up to ``TASK_WORDS`` words, by a shuffle of single windows beyond.
     """
     keyed = docs.select("text", *row_key())
     runs = written(mapped(keyed, _anchored(width), "v long, d long, _id long, _th long, start int, n int, again boolean"), "passages")
@@ -273,15 +306,16 @@ def repeated_passages(docs: DataFrame, width: int = 35) -> DataFrame:
     open_ = "distinct > 1 or (again and times = 1)"
     total = classes.where(open_).agg(F.sum(F.col("rep.n") + F.lit(width - 1))).first()[0] or 0
     shards = 1 + int(total) // SHARD_WORDS
-    wanted = classes.where(open_).select("rep._id", "rep._th", F.struct(F.when(F.col("words") > HOT_WORDS, F.lit(-1)).otherwise(F.pmod(F.xxhash64("v"), F.lit(shards))).cast("long").alias("shard"), "v", "d", "times", F.col("rep.start").alias("start"), F.col("rep.n").alias("n")).alias("w"))
+    wanted = classes.where(open_).select("rep._id", "rep._th", F.struct(F.when(F.col("words") > TASK_WORDS, F.lit(-1)).when(F.col("words") > HOT_WORDS, F.lit(-2)).otherwise(F.pmod(F.xxhash64("v"), F.lit(shards))).cast("long").alias("shard"), "v", "d", "times", F.col("rep.start").alias("start"), F.col("rep.n").alias("n")).alias("w"))
     wanted = wanted.groupBy("_id", "_th").agg(F.collect_list("w").alias("wanted"))
     texts = keyed.join(wanted, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "wanted")
     cut = written(mapped(texts, _cut_passages(width), "shard long, v long, d long, times long, words binary"), "reference")
     found = cut.where("shard >= 0").repartition("shard").sortWithinPartitions("shard").mapInArrow(_matched(width), "v long, d long, found array<int>")
-    windows = mapped(cut.where("shard < 0"), _windowed(width), "v long, d long, times long, o int, w1 long, w2 long")
+    busy = cut.where("shard = -2").repartition("v").sortWithinPartitions("v").mapInArrow(_tallied(width), "v long, d long, found array<int>")
+    windows = mapped(cut.where("shard = -1"), _windowed(width), "v long, d long, times long, o int, w1 long, w2 long")
     common = windows.groupBy("w1", "w2").agg(F.sum("times").alias("c")).where("c > 1").select("w1", "w2")
     hot = windows.join(common, ["w1", "w2"], "left_semi").groupBy("v", "d").agg(F.flatten(F.collect_list(F.array("o", "o"))).alias("found"))
-    marks = found.unionByName(hot)
+    marks = found.unionByName(busy).unionByName(hot)
     marks = marks.join(classes.where(f"times = 1 and ({open_})").select("v", "d"), ["v", "d"], "left_semi")
     whole = classes.where("times > 1").select("v", "d", F.array(F.lit(0), F.col("rep.n") - 1).alias("found"))
     marks = marks.unionByName(whole)

@@ -312,9 +312,10 @@ def _removed(texts, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [10**9, 60])
-def test_substring_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT_WORDS", hot)  # 60: windows are counted one by one
+@pytest.mark.parametrize("hot,task", [(10**9, 10**9), (60, 10**9), (60, 60)])
+def test_substring_dedup(spark, monkeypatch, hot, task):
+    monkeypatch.setattr(substrings, "HOT_WORDS", hot)  # 60: no automata, windows are counted in a task
+    monkeypatch.setattr(substrings, "TASK_WORDS", task)  # 60: or one by one
     monkeypatch.setattr(substrings, "SHARD_WORDS", 500)
     rng = random.Random(8)
     words = [f"v{i}" for i in range(500)]
