@@ -169,3 +169,44 @@ def sid(doc: Column, sent: Column) -> Column:
 
 def sid_part(sid_: Column, k: int) -> Column:
     return F.split_part(sid_, F.lit("_"), F.lit(k)).cast("long")
+
+
+def clipped(words: Column, most: int) -> Column:
+    return F.slice(words, 1, most)
+
+
+def subquery_tokens(words: Column, token: str, most: int) -> Column:
+    """Sub-query marks as ``token``, cut to ``most - 1`` words, and one token at the end."""
+    return F.array_append(clipped(F.transform(words, lambda w: F.when(w == SUBQUERY, token).otherwise(w)), most - 1), F.lit(token))
+
+
+def tagged_abstract(sentences: Column) -> Column:
+    return F.array_join(F.transform(sentences, lambda x: F.concat(F.lit("<s> "), x, F.lit(" </s>"))), " ")
+
+
+def first_field(line: Column) -> Column:
+    return F.split_part(line, F.lit("\t"), F.lit(1))
+
+
+def is_number(word: Column) -> Column:
+    """Digits and commas only."""
+    return word.rlike("^[0-9,]+$")
+
+
+def label_vector(labels: Column) -> Column:
+    """Labels as doubles, -1 as 0."""
+    return F.transform(labels, lambda x: F.when(x == -1, F.lit(0.0)).otherwise(x.cast("double")))
+
+
+def reversed_labels(labels: Column) -> Column:
+    return F.transform(labels, lambda x: 1 - x)
+
+
+def percent(share: Column) -> Column:
+    return F.format_string("%.2f", F.round(share.cast("double") * 100, 2))
+
+
+def ragged_mask(lengths: Column, rows: int, most: int) -> Column:
+    """A row of ones and zeros for each length, cut and filled up to ``rows`` rows of ``most``."""
+    each = F.transform(F.slice(lengths, 1, rows), lambda n: filled_mask(n, most))
+    return F.concat(each, F.array_repeat(F.array_repeat(F.lit(0), most), F.greatest(F.lit(0), rows - F.size(lengths))))

@@ -105,6 +105,37 @@ def similarity_pairs(nodes: DataFrame, cross_document: bool = False, idf: bool =
     return out.select("cid", "i", "j", F.round(F.col("dot") / F.sqrt(F.col("s") * F.col("sj")), 6).alias("sim"))
 
 
+def similarity_pairs_by_documents(nodes: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """``(cid, i, j, sim)``, i < j: cosine of TF-IDF weights ``tf * ln(n / df)``, where n and df count whole documents ``docs(cid, doc_id, text)``.
+
+    Terms of all documents weigh nothing; nodes are bounded as in ``similarity_pairs``.
+    """
+    found = lambda rows, c, *keys: rows.select(*keys, F.explode(T.tokens(F.col(c))).alias("term")).where(~F.col("term").isin(*stop_words))
+    n = docs.groupBy("cid").agg(F.countDistinct("doc_id").alias("n"))
+    df = found(docs, "text", "cid", "doc_id").distinct().groupBy("cid", "term").agg(F.count("*").alias("df"))
+    tf = found(nodes, "sent", "cid", "i").groupBy("cid", "i", "term").agg(F.count("*").alias("tf"))
+    w = tf.join(df, ["cid", "term"]).join(n, "cid").select("cid", "i", "term", (F.col("tf") * F.log(F.col("n").cast("double") / F.col("df"))).alias("w")).where("w > 0")
+    norm = w.groupBy("cid", "i").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    met = w.join(w.select("cid", "term", F.col("i").alias("j"), F.col("w").alias("v")), ["cid", "term"]).where("i < j")
+    dots = met.groupBy("cid", "i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    out = dots.join(norm, ["cid", "i"]).join(norm.select("cid", F.col("i").alias("j"), F.col("s").alias("sj")), ["cid", "j"])
+    return out.select("cid", "i", "j", F.round(F.col("dot") / F.sqrt(F.col("s") * F.col("sj")), 6).alias("sim"))
+
+
+def bm25_pairs(nodes: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """``(cid, i, j, sim)``, i <> j: Okapi BM25 of sentence j for the words of sentence i; a negative idf is ``epsilon`` times the mean."""
+    t = nodes.select("cid", "i", F.explode(T.tokens(F.col("sent"))).alias("term")).groupBy("cid", "i", "term").agg(F.count("*").alias("tf"))
+    lens = t.groupBy("cid", "i").agg(F.sum("tf").alias("len"))
+    stats = lens.groupBy("cid").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    raw = t.groupBy("cid", "term").agg(F.count("*").alias("df")).join(stats, "cid").select("cid", "term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    mean = raw.groupBy("cid").agg(F.avg("idf").alias("mean"))
+    idf = raw.join(mean, "cid").select("cid", "term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    weight = t.join(lens, ["cid", "i"]).join(idf, ["cid", "term"]).select("cid", F.col("i").alias("j"), "term", part.alias("w"))
+    met = t.select("cid", "i", "term", F.col("tf").alias("qtf")).join(weight, ["cid", "term"]).where("i <> j")
+    return met.groupBy("cid", "i", "j").agg((F.round(F.sum(F.col("qtf") * F.col("w")), 6) + F.lit(0.0)).alias("sim"))
+
+
 def vector_similarity(a, b, kind: str = "cosine"):
     """Cosine, angular, tanh or sigmoid similarity of two array columns."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)

@@ -1,0 +1 @@
+from lexisift.plans import building as _building  # noqa: F401  registers its queries with the catalogue

@@ -78,3 +78,29 @@ def tagged_tokens(spark: SparkSession, path: str) -> DataFrame:
     found = F.regexp_extract_all("value", F.lit(r"#s-sent\n([\s\S]*?)\n#e-sent"), 1)
     raw = spark.read.text(path, wholetext=True).select(_file_name().alias("file"), F.posexplode(found).alias("sent_idx", "s"))
     return raw.select("file", "sent_idx", F.transform(F.split("s", "\n"), lambda x: F.split(x, "\t")[0]).alias("words"))
+
+
+def file_names(spark: SparkSession, path: str) -> DataFrame:
+    """``(folder, name)`` of the files below a folder, as clusters and their documents lie there; contents aren't read, ``.swp`` files are left out."""
+    parts = F.split("path", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name")).where(~F.col("name").endswith(".swp"))
+
+
+def reference_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(prefix, file, text)`` of reference files; what stands before the first point of a name is the prefix of its clusters' ids."""
+    raw = spark.read.text(path, wholetext=True).select(_file_name().alias("file"), F.col("value").alias("text"))
+    return raw.select(F.split_part("file", F.lit("."), F.lit(1)).alias("prefix"), "file", "text")
+
+
+def label_lines(spark: SparkSession, path: str, n_labels: int) -> DataFrame:
+    """``(file, sent_idx, labels)``: a line a sentence, its label numbers joined by ``_``, as a vector of ones and zeros."""
+    lines = numbered_lines(spark, path).where("line <> ''")
+    found = F.split("line", "_")
+    hot = F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)), lambda i: F.array_contains(found, i.cast("string")).cast("int"))
+    return lines.select("file", F.col("line_no").alias("sent_idx"), hot.alias("labels"))
+
+
+def decoded(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """``(cid, text)``: line i of a decoder's output belongs to cluster i of ``ids(line_no, cid)``."""
+    return numbered_lines(spark, path).select("line_no", F.col("line").alias("text")).join(ids, "line_no").select("cid", "text")

@@ -24,3 +24,20 @@ def extract_text(selected: DataFrame) -> DataFrame:
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
+
+
+def write_clusters(rows: DataFrame, path: str) -> None:
+    """A folder of text for each cluster of ``rows(cid, pos, line)``, lines in their order."""
+    rows.repartition("cid").sortWithinPartitions("cid", "pos").select("cid", "line").write.mode("errorifexists").partitionBy("cid").text(path)
+
+
+def reference_targets(references: DataFrame, single: bool = False) -> DataFrame:
+    """``(file, text)``: references named ``cid_idx``, or ``cid`` with only the first of each cluster."""
+    if single:
+        return references.groupBy("cid").agg(F.min_by("text", "ref_idx").alias("text")).withColumnRenamed("cid", "file")
+    return references.select(F.concat_ws("_", "cid", F.col("ref_idx").cast("string")).alias("file"), "text")
+
+
+def write_index_input(summaries: DataFrame, path: str) -> None:
+    """JSON lines ``{id, text}`` of ``summaries(cid, text)`` for a search index."""
+    summaries.select(F.col("cid").cast("string").alias("id"), "text").write.mode("errorifexists").json(path)
