@@ -21,8 +21,8 @@ from lexisift.llm.shared import column_text
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct runs whose pieces a worker remembers; threads of a worker's library.
-REMEMBERED, THREADS = 500_000, 2
+#: Distinct runs of each of the two generations that a worker remembers; threads of a worker's library.
+REMEMBERED, THREADS = 300_000, 2
 
 
 def wire(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -120,7 +120,8 @@ class Codec:
         lines = self.model.byte_fallback and not any("\n" in p for p, _, _ in self.model.pieces)
         self.run = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.known: dict[str, bytes] = {}
-        self.said: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}  # the generation before: its runs come back when they are met again
+        self.unlike: dict[str, bytes] = {}  # surfaces of runs whose pieces don't decode to the run itself
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def normal(self, text: str) -> str:
@@ -140,15 +141,20 @@ class Codec:
     def _learn(self, split: list[list[str]]) -> None:
         """Encodes and decodes the runs that aren't known yet, a large batch at a time, with the library's threads."""
         if len(self.known) > REMEMBERED:
-            self.known, self.said = {}, {}
-        known = self.known
-        new = list({r for runs in split for r in runs if r not in known})
+            self.known, self.earlier = {}, self.known
+            self.unlike = {r: said for r, said in self.unlike.items() if r in self.earlier}
+        missing = set().union(*split).difference(self.known)
+        back = self.earlier.keys() & missing
+        self.known.update((r, self.earlier[r]) for r in back)
+        new = list(missing - back)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for r, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = e.ids
-                known[r] = struct.pack(f"<{len(ids)}i", *ids)
-                self.said[r] = b"".join([self.surface[k] for k in ids])
+                self.known[r] = struct.pack(f"<{len(ids)}i", *ids)
+                said = b"".join([self.surface[k] for k in ids])
+                if said != r.replace(MARK, " ").encode():
+                    self.unlike[r] = said
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Identifiers of each text, as 32-bit little-endian numbers."""
@@ -156,25 +162,37 @@ class Codec:
         self._learn(split)
         return [b"".join(map(self.known.__getitem__, runs)) for runs in split]
 
-    def _text(self, said: bytes) -> str:
-        out = said.decode("utf-8", "replace")
+    def _text(self, out: str) -> str:
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
     def decode(self, ids: bytes) -> str:
-        return self._text(b"".join(map(self.surface.__getitem__, memoryview(ids).cast("i"))))
+        return self._text(b"".join(map(self.surface.__getitem__, memoryview(ids).cast("i"))).decode("utf-8", "replace"))
+
+    def _said(self, runs: list[str]) -> str:
+        """What the identifiers of known runs decode to."""
+        if not self.unlike or self.unlike.keys().isdisjoint(runs):
+            return self._text("".join(runs).replace(MARK, " "))
+        return self._text(b"".join([self.unlike[r] if r in self.unlike else r.replace(MARK, " ").encode() for r in runs]).decode("utf-8", "replace"))
 
     def both(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Identifiers of each text and what they decode to; the surface of a run's identifiers is remembered with them."""
+        """Identifiers of each text and what they decode to; each distinct run's identifiers are decoded once, when they are learnt."""
         split = [self.runs(t) for t in texts]
         self._learn(split)
-        return [(b"".join(map(self.known.__getitem__, runs)), self._text(b"".join(map(self.said.__getitem__, runs)))) for runs in split]
+        return [(b"".join(map(self.known.__getitem__, runs)), self._said(runs)) for runs in split]
+
+
+_CODECS: dict[bytes, Codec] = {}
 
 
-def _codec(data) -> Codec:
-    """A codec for a worker, whose library takes ``THREADS`` threads: a task has a core or two, not the machine."""
+def _codec(data: bytes) -> Codec:
+    """The codec of a worker process, whose tasks share what it remembers; its library takes ``THREADS`` threads: a task has a core or two, not the machine."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    return Codec(data)
+    key = hashlib.sha256(data).digest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(data)
+    return _CODECS[key]
 
 
 def _coded(data):

@@ -390,3 +390,15 @@ def test_pipeline_stages(spark):
     clean = corpus_pipeline.decontamination(spark, now, DIR)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == judged
     assert {r.doc_id for r in corpus_pipeline.run(spark, DIR).collect()} == judged
+
+
+def test_remembered_runs_change_no_result(monkeypatch):
+    data = open(queries.tokenizer_path("piece_bpe_32k.model"), "rb").read()
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcé▁🙂́", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    whole = sentencepieces.Codec(data).both(texts)
+    monkeypatch.setattr(sentencepieces, "REMEMBERED", 40)
+    small = sentencepieces.Codec(data)
+    assert [small.both([t])[0] for t in texts] == whole
+    assert len(small.known) + len(small.earlier) < 200
+    assert all(small.decode(i) == back for i, back in whole)
