@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lexisift.llm.shared import column_text
 
@@ -34,7 +34,10 @@ class Counter(dict):
         spec = json.loads(spec)
         model = spec["model"]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
+        self.ascii_words = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
+        # beyond ASCII, letters and their lower case are those of the library's version of Unicode
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.split = pre_tokenizers.Split(Regex(split), "removed", invert=True).pre_tokenize_str
         special = [t["content"] for t in spec["added_tokens"] if not t["normalized"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.suffix = model["end_of_word_suffix"] or ""
@@ -50,9 +53,8 @@ class Counter(dict):
             parts = self.special.split(run)
             total = len(parts) - 1
         for part in parts:
-            # the library lowers character by character, so no sigma is a final one
-            for word in self.words(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()):
-                total += self.count(word)
+            words = self.ascii_words(part.lower()) if part.isascii() else [w for w, _ in self.split(self.normal(part))]
+            total += sum(map(self.count, words))
         self[run] = total
         return total
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
@@ -202,6 +202,7 @@ def test_token_counts_equal_the_library(spark):
 
 
 @given(st.text(max_size=60))
+@example("Î\U000323b0 \u1c89a ΑΣ \u0558")
 @settings(max_examples=150, deadline=None)
 def test_token_counts_property(text):
     import tokenizers
