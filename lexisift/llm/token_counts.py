@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 
@@ -13,7 +14,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lexisift.llm.shared import column_text
 
-#: Distinct runs between white space whose counts a worker remembers.
+#: Distinct runs between white space, of each of two generations, whose counts a worker remembers.
 REMEMBERED = 300_000
 #: Characters that Python takes for white space and the Unicode property doesn't.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -44,10 +45,15 @@ class Counter(dict):
         self.ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
         self.bytes = byte_symbols()
         self.known = model["vocab"].keys()
+        self.earlier: dict[str, int] = {}  # the generation before: its runs come back when they are met again
 
     def __missing__(self, run: str) -> int:
         if len(self) >= REMEMBERED:
+            self.earlier = dict(self)
             self.clear()
+        if run in self.earlier:
+            self[run] = self.earlier[run]
+            return self[run]
         total, parts = 0, [run]
         if self.special is not None:
             parts = self.special.split(run)
@@ -90,9 +96,21 @@ class Counter(dict):
         return sum(map(self.__getitem__, runs))
 
 
+_COUNTERS: dict[bytes, Counter] = {}
+
+
+def _counter(spec: str) -> Counter:
+    """The counter of a worker process, whose tasks share what it remembers."""
+    key = hashlib.sha256(spec.encode()).digest()
+    if key not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[key] = Counter(spec)
+    return _COUNTERS[key]
+
+
 def _counted(spec, limit: int):
     def run(batches):
-        counter = Counter(spec.value)
+        counter = _counter(spec.value)
         for batch in batches:
             texts = column_text(batch, "text")
             n = [counter.of(t) for t in texts]
@@ -105,7 +123,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for each ``docs(doc_id, text)`` row, as the library of the file ``tokenizer`` counts.
 
     The file is read on the driver and broadcast (a vocabulary of fixed size). One pass without a shuffle; a worker remembers the counts of
-    ``REMEMBERED`` runs at most. Special strings count one each. Null and empty texts have no tokens. Other columns are ignored.
+    twice ``REMEMBERED`` runs at most. Special strings count one each. Null and empty texts have no tokens. Other columns are ignored.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -403,3 +403,13 @@ def test_remembered_runs_change_no_result(monkeypatch):
     assert [small.both([t])[0] for t in texts] == whole
     assert len(small.known) + len(small.earlier) < 200
     assert all(small.decode(i) == back for i, back in whole)
+
+
+def test_remembered_counts_change_no_result(monkeypatch):
+    spec = open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcÉΣ1'🙂", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    whole = list(map(token_counts.Counter(spec).of, texts))
+    monkeypatch.setattr(token_counts, "REMEMBERED", 40)
+    small = token_counts.Counter(spec)
+    assert list(map(small.of, texts)) == whole and len(small) + len(small.earlier) <= 80
