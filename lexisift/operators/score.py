@@ -76,7 +76,7 @@ def bm25(sents: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
 
 
 def kl_divergence(sents: DataFrame, queries: DataFrame, epsilon: float = 1e-6) -> DataFrame:
-    """KL(sentence || query) with ``epsilon`` for words that the query lacks: an extension, the reference leaves it unfinished."""
+    """KL(sentence || query) with ``epsilon`` for words that the query lacks: an extension."""
     terms, qs = term_counts(sents), query_terms(queries)
     lens = terms.groupBy(*KEYS).agg(F.sum("tf").alias("len"))
     ql = qs.groupBy("cid").agg(F.sum("qtf").alias("ql"))
