@@ -24,12 +24,17 @@ def _grams(words: list[str], n: int) -> set:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def greedy_rows(rows: list[dict], budget: int, unit: str, threshold: float, block: int | None = None, skips: int | None = None) -> list[dict]:
+def greedy_rows(rows: list[dict], budget: int, unit: str, threshold: float, block: int | None = None, skips: int | str | None = None) -> list[dict]:
     """Walks the ranks and takes what isn't redundant until the budget is reached, the sentence that reaches it included.
 
     Redundant: an n-gram of ``block`` words shared with a taken sentence, or a cosine of ``threshold`` or more; a threshold of exactly 1
-    disables both. With ``skips``, at most so many redundant sentences are passed over, then the rest is taken as it comes.
+    disables both. With ``skips``, at most so many redundant sentences are passed over, then the rest is taken as it comes;
+    "spare" allows as many as the list is longer than a budget of sentences, so that the budget is filled.
     """
+    if skips == "spare":
+        if unit != "sentences":
+            raise ValueError(f"spare sentences of a budget of {unit}")
+        skips = max(0, sum(len(r["words"]) > 0 for r in rows) - budget)
     taken, bags, grams, used, passed = [], [], set(), 0, 0
     for row in rows:
         words = list(row["words"])
@@ -50,7 +55,7 @@ def greedy_rows(rows: list[dict], budget: int, unit: str, threshold: float, bloc
     return taken
 
 
-def greedy(ranks: DataFrame, budget: int, unit: str = "words", threshold: float = 0.6, block: int | None = None, skips: int | None = None) -> DataFrame:
+def greedy(ranks: DataFrame, budget: int, unit: str = "words", threshold: float = 0.6, block: int | None = None, skips: int | str | None = None) -> DataFrame:
     """``(cid, pos, doc_id, sent_idx)`` chosen from ``ranks(cid, rank, doc_id, sent_idx, words)``."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -458,7 +458,7 @@ def ngram_block_greedy(spark, d):
 
 @_query()
 def skip_allowance_greedy(spark, d):
-    return select.greedy(_top(spark, d), 10, "sentences", 0.4, skips=20)
+    return select.greedy(_top(spark, d), 10, "sentences", 0.4, skips="spare")
 
 
 @_query()

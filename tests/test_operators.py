@@ -145,3 +145,13 @@ def test_readers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     with pytest.raises(Exception, match="exist"):
         sinks.write_ranks(ranks.withColumn("run", F.lit("r")).withColumn("cid", F.lit("c")), str(tmp_path / "out"))
+
+
+def test_spare_skips():
+    rows = [{"i": i, "words": w.split()} for i, w in enumerate(["a b", "a b", "a b c", "d e", "a b", "f"])]
+    taken = lambda budget: [r["i"] for r in select.greedy_rows(rows, budget, "sentences", 0.5, skips="spare")]
+    assert taken(3) == [0, 3, 5]
+    assert taken(4) == [0, 3, 4, 5]  # two may be passed over, then all is taken
+    assert taken(6) == taken(9) == [0, 1, 2, 3, 4, 5]
+    with pytest.raises(ValueError):
+        select.greedy_rows(rows, 3, "words", 0.5, skips="spare")
