@@ -16,13 +16,16 @@ from lexisift.llm.shared import column_text
 
 #: Element names of HTML by behaviour (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe select button object canvas audio video head".split())
+RAW = frozenset("script style textarea title iframe".split())
+HOLDERS = frozenset("noscript template svg math select button object canvas audio video".split())
 BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre nav header footer aside form fieldset figure figcaption address details summary hr br".split())
 ENDS_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "summary"}
 CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",))}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:id|class|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")  # not the last character of a bare value
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -38,7 +41,10 @@ class Page:
 
 
 def parse_page(source: str) -> Page:
-    """A forgiving tree: omitted ends of paragraphs, items and cells are implied, unknown ends are ignored, open elements end with the page."""
+    """A forgiving tree: omitted ends of paragraphs, items and cells are implied, unknown ends are ignored, open elements end with the page.
+
+    Only the content of ``RAW`` elements is skipped, up to their end or, as in browsers, to the end of the page if there is none.
+    """
     page, stack, block, at = Page(["#root"], [""], [-1], [0]), [0], 0, 0
 
     def say(text: str) -> None:
@@ -67,27 +73,28 @@ def parse_page(source: str) -> Page:
                 if page.tag[stack[i]] == tag:
                     del stack[i:]
                     break
-                if tag not in BLOCK and page.tag[stack[i]] in BLOCK:
+                if tag not in BLOCK and tag not in HOLDERS and page.tag[stack[i]] in BLOCK:
                     break  # an inline end does not end the block around it
             block += tag in BLOCK
             continue
-        if tag in RAW and not (tag == "head"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+        own = (m[3] if m[2] else m[6]) or ""
+        if tag in RAW:
+            if not _CLOSED.search(own):
+                end = _END[tag].search(source, at)
+                at = end.end() if end else len(source)
             continue
         block += tag in BLOCK
         if tag in ENDS_P:
-            shut("p", ("article", "section", "main", "div", "td", "th", "li", "table", "button", "body"))
+            shut("p", ("article", "section", "main", "div", "td", "th", "li", "table", "button", "object", "template", "body"))
         if tag in CLOSES:
             shut(*CLOSES[tag])
         if tag in VOID:
             continue
-        own = m[3] if m[2] else m[6]
         page.tag.append(tag)
-        page.attributes.append(" ".join(x for t in _ATTRIBUTE.findall(own or "") for x in t if x))
+        page.attributes.append(" ".join(x for t in _ATTRIBUTE.findall(own) for x in t if x))
         page.parent.append(stack[-1])
         page.depth.append(len(stack))
-        if not (own or "").rstrip().endswith("/") or tag in BLOCK:
+        if not own.rstrip().endswith("/") or tag in BLOCK:
             stack.append(len(page.tag) - 1)
     say(source[at:])
     return page

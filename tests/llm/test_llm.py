@@ -160,6 +160,18 @@ def test_html_on_made_up_pages():
     assert miss + extra < 0.03 * hit
 
 
+@pytest.mark.parametrize("before", ['<svg viewBox="0 0 1 1"/>', "<math />", "<canvas/>", "<script src='a.js' />", "<svg><title/><path d='M0'/></svg>", "<button>", "<object data=x>", "<video><p>", "<select><option>", "<script src=a/>drop()</script x>", "<style>drop{}</style\n>", "<template><div></template>"])
+def test_html_keeps_what_follows(before):
+    page = html_text.parse_page(f"<body>{before}<article><p>First.</p><p>Second.</p></article></body>")
+    assert [text for _, _, text in page.pieces] == ["First.", "Second."]
+
+
+def test_html_reads_all_but_raw_text():
+    page = html_text.parse_page("<p>a <math><mi>b</mi></math> <noscript>c</noscript> <object><div>d</object> <svg><text>e</text></svg><iframe>x</iframe><textarea><p>y</textarea> f</p><p>g")
+    assert " ".join(text for _, _, text in page.pieces).split() == list("abcdefg")
+    assert [page.depth[node] for node, _, text in page.pieces if text == "g"] == [1]
+
+
 def test_html_decoding_is_consistent():
     page = html_text.parse_page("<div><p>a</p><p>b</p></div>")
     assert html_text.decode(page, np.full(4, 5.0), np.array([3.0, 3, -2, 3])) == [True] * 4
