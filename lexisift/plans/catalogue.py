@@ -423,19 +423,20 @@ def zero_nonzero_counts(spark, d):
 
 @_query()
 def rouge_su4(spark, d):
-    refs = references(spark, d).where("ref_idx = 0").select("cid", F.explode(rouge.skip_units(T.tokens(F.col("text")))).alias("g")).groupBy("cid", "g").agg(F.count("*").alias("rc"))
+    refs = references(spark, d).select("cid", "ref_idx", F.explode(rouge.skip_units(T.tokens(F.col("text")))).alias("g")).groupBy("cid", "ref_idx", "g").agg(F.count("*").alias("rc"))
     keys = ["cid", "doc_id", "sent_idx"]
     own = _sents(spark, d).select(*keys, F.explode(rouge.skip_units(T.tokens(F.col("sent")))).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("c"))
-    met = own.join(refs, ["cid", "g"]).groupBy(*keys).agg(F.sum(F.least("c", "rc")).alias("overlap"))
-    return met.join(own.groupBy(*keys).agg(F.sum("c").alias("n")), keys).join(refs.groupBy("cid").agg(F.sum("rc").alias("r")), "cid").select("cid", "doc_id", *_long("sent_idx"), "overlap", F.round(2 * F.col("overlap") / (F.col("n") + F.col("r")), 6).alias("f1"))
+    met = own.join(refs, ["cid", "g"]).groupBy(*keys, "ref_idx").agg(F.sum(F.least("c", "rc")).alias("overlap"))
+    met = met.join(own.groupBy(*keys).agg(F.sum("c").alias("n")), keys).join(refs.groupBy("cid", "ref_idx").agg(F.sum("rc").alias("r")), ["cid", "ref_idx"])
+    return met.select("cid", "doc_id", *_long("sent_idx"), "ref_idx", "overlap", F.round(2 * F.col("overlap") / (F.col("n") + F.col("r")), 6).alias("f1"))
 
 
 @_query()
 def rouge_l(spark, d):
-    refs = references(spark, d).where("ref_idx = 0").select("cid", T.tokens(F.col("text")).alias("r"))
-    rows = _sents(spark, d).join(refs, "cid").select("cid", "doc_id", *_long("sent_idx"), T.tokens(F.col("sent")).alias("w"), "r")
+    refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("r"))
+    rows = _sents(spark, d).join(refs, "cid").select("cid", "doc_id", *_long("sent_idx"), "ref_idx", T.tokens(F.col("sent")).alias("w"), "r")
     rows = rows.withColumn("lcs", rouge.common_subsequence("w", "r"))
-    return rows.select("cid", "doc_id", "sent_idx", "lcs", F.round(F.coalesce(F.try_divide(2 * F.col("lcs").cast("double"), F.size("w") + F.size("r")), F.lit(0.0)), 6).alias("f1"))
+    return rows.select("cid", "doc_id", "sent_idx", "ref_idx", "lcs", F.round(F.coalesce(F.try_divide(2 * F.col("lcs").cast("double"), F.size("w") + F.size("r")), F.lit(0.0)), 6).alias("f1"))
 
 
 # Extraction

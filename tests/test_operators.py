@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lexisift.functions import text as T
 from lexisift.functions.stem import stem
 from lexisift.operators import mask, rank, rouge, select
-from lexisift.sources import readers, sinks
+from lexisift.plans import catalogue
+from lexisift.sources import readers, sinks, tables
 
 
 def _one(spark, column, **values):
@@ -119,6 +120,32 @@ def test_rouge(spark):
     assert Counter(grams) == Counter(["a", "b", "c", "@start-token a", "@start-token b", "a b", "a c", "b c"])
 
 
+def test_sentences_meet_every_reference(spark):
+    folder = "/root/testdata/sf0.001"
+    refs = {(r.cid, r.ref_idx): r.w for r in tables.references(spark, folder).select("cid", "ref_idx", T.tokens(F.col("text")).alias("w")).collect()}
+    sents = {(r.doc_id, r.sent_idx): (r.cid, r.w) for r in tables.sentences(tables.documents(spark, folder)).select("cid", "doc_id", "sent_idx", T.tokens(F.col("sent")).alias("w")).collect()}
+    assert len(refs) > len({c for c, _ in refs})
+
+    rows = catalogue.queries()["rouge_l"](spark, folder).collect()
+    assert len(rows) == len({(r.doc_id, r.sent_idx, r.ref_idx) for r in rows}) == sum(c == x for c, _ in sents.values() for x, _ in refs)
+
+    def pairs(w):
+        w = ["@start-token", *w]
+        return Counter(w[1:]) + Counter(f"{a} {b}" for i, a in enumerate(w) for b in w[i + 1 : i + 6])
+
+    units = {k: pairs(w) for k, w in refs.items()}
+    want = {}
+    for (doc, i), (c, w) in sents.items():
+        own = pairs(w)
+        for (x, j), u in units.items():
+            if x == c and (n := (own & u).total()):
+                want[doc, i, j] = (n, 2 * n / (own.total() + u.total()))
+    rows = catalogue.queries()["rouge_su4"](spark, folder).collect()
+    got = {(r.doc_id, r.sent_idx, r.ref_idx): (r.overlap, r.f1) for r in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "doc").write_text("<HEADLINE> Rain </HEADLINE>\n<TEXT>\n<P>\nRain fell. It stopped.\n</P>\n</TEXT>")
     doc = readers.articles(spark, str(tmp_path / "doc")).first()
