@@ -149,7 +149,7 @@ def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
         while not z.eof and at < len(view):
             yield z.decompress(view[at : at + step])
             at += step
-        view = view[min(at, len(view)) - len(z.unused_data) :] if z.eof and z.unused_data else view[len(view) :]
+        view = view[min(at, len(view)) - len(z.unused_data) :] if z.eof else view[len(view) :]
 
 
 def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out labels, and their defined results on odd rows."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -110,6 +111,13 @@ def test_archives_round_trip(spark):
     assert archives.archived(df.limit(0)).count() == 0
 
 
+def test_gzip_members_that_end_on_a_step():
+    members = [gzip.compress(bytes([i]) * 50, mtime=0) for i in range(3)]
+    assert len({len(m) for m in members}) == 1
+    for step in (1, 7, len(members[0]), 2 * len(members[0]), 1 << 20):
+        assert b"".join(archives.unzipped(b"".join(members), step)) == b"".join(bytes([i]) * 50 for i in range(3))
+
+
 @given(st.lists(st.tuples(st.text(max_size=30), st.binary(max_size=200)), max_size=8), st.sampled_from([1, 2]))
 @settings(max_examples=60, deadline=None)
 def test_arc_parses_what_it_writes(records, version):
