@@ -16,10 +16,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group (five-word shingles, similarity 0.8 or more); ids once, rows without an id go."""
+    """Of each group (five-word shingles, similarity 0.8 or more) the row with the smallest id, or one without an id if no row has one.
+
+    Rows are told apart by id and text, so other texts under a kept id are judged by their own groups; repeated rows count once.
+    """
     importable(spark)
-    kept = minhash.near_duplicates(docs, shingle=5, num=80, den=100).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    rows = minhash.grouped(docs, shingle=5, num=80, den=100)
+    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("_key"))
+    return docs.withColumn("_key", minhash.text_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

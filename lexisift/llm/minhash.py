@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.components import connected_components
@@ -111,7 +111,8 @@ def _signed(size: int, rows: int):
             else:
                 bands.append([])
         d = np.array(d)
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "bands"])
+        ids = (batch.column(batch.schema.get_field_index(k)).cast(pa.int64()) for k in ("doc_id", "key"))
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n", "d1", "d2", "bands"])
 
     return run
 
@@ -121,7 +122,7 @@ def _setted(size: int):
         sets = [shingle_set(text, size) for text in column_bytes(batch, "text")]
         d = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
         packed = [(s.tobytes(), signature(s).astype(np.uint8).tobytes()) if len(s) else (b"", b"") for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())], ["rep", "d1", "d2", "members", "minima"])
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())], ["rep", "d1", "d2", "members", "minima"])
 
     return run
 
@@ -151,27 +152,23 @@ def _unit_links(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text)``; texts with a Jaccard similarity of ``num / den`` or more are linked.
+def text_key() -> Column:
+    """A key of 64 bits of a document row: equal for repeated rows, different for different texts under one id."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
-    1. Each text becomes a set of shingles, a digest of that set and the keys of its bands; equal sets become one class, counted
-       before the shuffle, so thousands of copies are one row from here on.
-    2. Classes that share a band key are a bucket; buckets of the same members count once.
-    3. A bucket is compared within one task, or block against block if it is large, by minima first and then on the full sets.
-       A task yields a spanning forest of its links, never its pairs, so a bucket of m members gives m - 1 edges a task at most.
-    4. Components of these edges are the groups.
 
-    Null text is as empty; empty texts have no shingles and are linked with nothing. Repeated rows are copies of each other and share a
-    component; each row follows its own text, if an id has several. A null id gets the component of its text (null if no equal text has an
-    id) and is never kept. Empty tables give empty results. Other columns are ignored. A pair at the threshold is missed with a chance of
-    1e-4 at most.
+def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``(doc_id, key, n, group, least)`` for each row of ``docs(doc_id, text)``: its ``text_key``, group and the group's smallest id.
+
+    Rows are linked by their keys, not by their ids, so that two texts under one id stay apart and texts without an id link others. An empty
+    text is a group of its own.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("key"))
     rows = band_rows(num, den)
-    signed = written(mapped(docs, _signed(shingle, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "signed")
-    classes = signed.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    bearers = signed.where("n > 0 and doc_id is not null").join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    banded = written(bearers.select(F.col("doc_id").alias("rep"), "d1", "d2", "n", F.explode("bands").alias("key")), "banded")
+    signed = written(mapped(docs, _signed(shingle, rows), "doc_id long, key long, n long, d1 long, d2 long, bands array<long>"), "signed")
+    classes = signed.groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"))
+    bearers = signed.where("n > 0").join(classes.select("d1", "d2", F.col("rep").alias("key")), ["d1", "d2", "key"], "left_semi").dropDuplicates(["key", "d1", "d2"])
+    banded = written(bearers.select(F.col("key").alias("rep"), "d1", "d2", "n", F.explode("bands").alias("key")), "banded")
 
     buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rep", "d1")).alias("x"), F.bit_xor(F.xxhash64("d2", "rep")).alias("y"))
     buckets = buckets.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("w").alias("w"))
@@ -182,15 +179,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     discard(banded)
 
     # the candidates grow with the corpus: never broadcast
-    involved = docs.join(units.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    involved = docs.join(units.select(F.col("rep").alias("key")).distinct().hint("merge"), "key", "left_semi")
     sets = mapped(involved, _setted(shingle), "rep long, d1 long, d2 long, members binary, minima binary").dropDuplicates(["rep", "d1", "d2"])
     loaded = units.join(sets, ["rep", "d1", "d2"]).select("key", "i", "j", "rep", "members", "minima")
     edges = loaded.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_unit_links(num, den), "a long, b long")
     groups = connected_components(edges)
     discard(units)
 
-    found = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
+    found = groups.withColumnRenamed("node", "rep").join(classes.where("n > 0").select("rep", F.col("least").alias("own")), "rep")
+    found = found.join(found.groupBy("component").agg(F.min("own").alias("lowest")), "component").select("rep", "component", "lowest")
+    found = classes.join(found, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("group"), F.coalesce("lowest", "least").alias("least"))
+    out = signed.select("doc_id", "key", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
     # an empty text is linked with nothing, though all empty sets have one digest
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    empty = F.col("n") == 0
+    return out.select("doc_id", "key", "n", F.when(empty, F.col("key")).otherwise(F.col("group")).alias("group"), F.when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("least"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text)``; texts with a Jaccard similarity of ``num / den`` or more are linked.
+
+    1. Each text becomes a set of shingles, a digest of that set and the keys of its bands; equal sets become one class, counted
+       before the shuffle, so thousands of copies are one row from here on.
+    2. Classes that share a band key are a bucket; buckets of the same members count once.
+    3. A bucket is compared within one task, or block against block if it is large, by minima first and then on the full sets.
+       A task yields a spanning forest of its links, never its pairs, so a bucket of m members gives m - 1 edges a task at most.
+    4. Components of these edges are the groups.
+
+    Null text is as empty; empty texts have no shingles and are linked with nothing. Repeated rows are copies of each other and share a
+    component; each row follows its own text, if an id has several. A null id gets the component of its text (null if no text of it has an
+    id) and is never kept. Empty tables give empty results. Other columns are ignored. A pair at the threshold is missed with a chance of
+    1e-4 at most.
+    """
+    out = grouped(docs, shingle, num, den)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.coalesce(F.col("least") == F.col("doc_id"), F.lit(False)).alias("kept"))

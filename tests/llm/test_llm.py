@@ -413,6 +413,20 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, DIR).collect()} == judged
 
 
+def test_near_dedup_of_null_and_reused_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(f"{g}{rng.randrange(500)}" for _ in range(80)) for g in "abcde")
+    near = lambda t: t.replace(t.split()[70], "other", 1)
+    rows = [(5, a), (5, b), (3, near(a)), (7, near(b)), (9, c), (9, c), (None, d), (None, near(d)), (None, e), (2, near(e)), (None, c), (None, "alone here and now again")]
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, _docs(spark, rows), DIR).collect()]
+    first = [x for x in out if x in ((None, d), (None, near(d)))]
+    assert len(first) == 1
+    assert sorted(x for x in out if x not in first and x[0]) == sorted([(3, near(a)), (5, b), (9, c), (2, near(e))])
+    assert [x for x in out if x not in first and x[0] is None] == [(None, "alone here and now again")]
+    r = [(x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(_docs(spark, rows), 5, 80, 100).where("doc_id in (3, 5, 7)").collect()]
+    assert sorted(r) == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False)]
+
+
 def test_remembered_runs_change_no_result(monkeypatch):
     data = open(queries.tokenizer_path("piece_bpe_32k.model"), "rb").read()
     rng = random.Random(5)
