@@ -205,6 +205,16 @@ def test_classifiers_on_odd_rows(spark, operator, label):
     assert operator(docs.limit(0), labels).count() == 0
 
 
+def test_pieces_of_a_dictionary_are_a_parameter(monkeypatch):
+    seen = []
+    monkeypatch.setattr(compression.zstandard, "train_dictionary", lambda size, samples: seen.append(len(samples)) or (_ for _ in ()).throw(ValueError))
+    texts = [bytes([65 + i % 20]) * 256 * 10 for i in range(100)]
+    compression.fit(texts, np.arange(100) % 2, max_pieces=50)
+    few, seen[:] = seen[:], []
+    compression.fit(texts, np.arange(100) % 2)
+    assert set(few) == {50} and set(seen) == {400}
+
+
 def test_token_counts_equal_the_library(spark):
     import tokenizers
 
