@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.shared import discard, written
+from lexisift.llm.shared import Scope, discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,11 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(7)))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, scope: Scope | None = None, max_rounds: int = 200) -> DataFrame:
     """``(node, component)`` for each node of ``edges(a, b)``; the component is its least node.
 
     Self links and repeated edges are harmless, null ends are left out, an empty table gives an empty result.
-    Each round is a table in the shared folder; only a count and two checksums reach the driver.
+    Each round is a table in the shared folder, the last one in ``scope``; only a count and two checksums reach the driver.
     A hub's links meet in a join that adaptive execution can split, and in minima that are pre-aggregated.
     """
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
@@ -46,5 +46,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
+    if scope is not None:
+        scope.tables.append(now)
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.components import connected_components
-from lexisift.llm.shared import column_bytes, discard, mapped, written
+from lexisift.llm.shared import Scope, column_bytes, mapped
 
 #: Minima of a signature.
 MINIMA = 120
-#: Members, and shingles of members, of a block of a bucket; a larger bucket is compared block by block.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+#: Members, and shingles of members, of a block of a bucket, in the mean; a larger bucket is compared block by block.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -73,28 +73,29 @@ def least_agreement(num: int, den: int) -> int:
     return 0
 
 
-def links(sets: list[np.ndarray], signatures: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that join the same members as all links ``den * |a & b| >= num * |a | b|`` do; a member that is reached isn't compared again.
+def links(sets: list[np.ndarray], signatures: np.ndarray, num: int, den: int, joined: np.ndarray | None = None, heads: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join the same members as all links ``den * |a & b| >= num * |a | b|`` of a head with any member do; without ``heads`` all are.
 
-    Each member is held once against those not reached yet: by equal minima first, then on the full sets.
+    ``joined`` labels members that are known to be joined already. Each head is held once against the members that nothing joins with it
+    yet: by equal minima first, then on the full sets. There are fewer edges than members.
     """
-    cut, size = least_agreement(num, den), np.array([len(x) for x in sets], np.int64)
-    left, out = np.arange(len(sets)), []
-    while len(left):
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
-            p = front.pop()
-            fits = (den * np.minimum(size[left], size[p]) >= num * np.maximum(size[left], size[p])) & ((signatures[left] == signatures[p]).sum(axis=1) >= cut)
-            near = left[fits]
-            if not len(near):
-                continue
-            flat = np.concatenate([sets[i] for i in near])
-            at = np.minimum(np.searchsorted(sets[p], flat), size[p] - 1)
-            shared = np.add.reduceat((sets[p][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
-            near = near[den * shared >= num * (size[near] + size[p] - shared)]
-            out += [(p, int(i)) for i in near]
-            front += near.tolist()
-            left = np.setdiff1d(left, near, assume_unique=True)
+    cut, size, n = least_agreement(num, den), np.array([len(x) for x in sets], np.int64), len(sets)
+    label = np.arange(n) if joined is None else np.unique(joined, return_inverse=True)[1]
+    open_, out = np.ones(n, bool), []  # a head that has met all members needn't be met again
+    for p in range(n) if heads is None else np.flatnonzero(heads).tolist():
+        open_[p] = False
+        left = np.flatnonzero(open_ & (label != label[p]))
+        fits = (den * np.minimum(size[left], size[p]) >= num * np.maximum(size[left], size[p])) & ((signatures[left] == signatures[p]).sum(axis=1) >= cut)
+        near = left[fits]
+        if not len(near):
+            continue
+        flat = np.concatenate([sets[i] for i in near])
+        at = np.minimum(np.searchsorted(sets[p], flat), size[p] - 1)
+        shared = np.add.reduceat((sets[p][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+        for i in near[den * shared >= num * (size[near] + size[p] - shared)].tolist():
+            if label[i] != label[p]:
+                out.append((p, i))
+                label[label == label[i]] = label[p]
     return out
 
 
@@ -130,61 +131,105 @@ def _setted(size: int):
 def _unit_links(num: int, den: int):
     """Links of each unit; the rows of a unit follow one another, and a unit has two blocks at most."""
 
-    def flush(rows: list[tuple[int, bytes, bytes]], out: list[tuple[int, int]]) -> None:
+    def flush(rows: list[tuple[int, bytes, bytes, int, bool]], out: list[tuple[int, int]]) -> None:
         if len(rows) > 1:
-            found = links([np.frombuffer(x, np.uint64) for _, x, _ in rows], np.array([np.frombuffer(x, np.uint8) for _, _, x in rows]), num, den)
-            out += [(rows[i][0], rows[j][0]) for i, j in found]
+            reps, members, minima, joined, heads = zip(*rows, strict=True)
+            found = links([np.frombuffer(x, np.uint64) for x in members], np.array([np.frombuffer(x, np.uint8) for x in minima]), num, den, np.array(joined), np.array(heads))
+            out += [(reps[i], reps[j]) for i, j in found]
 
     def run(batches):
         held, rows = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for unit, rep, members, minima in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), *(batch.column(i).to_pylist() for i in range(3, 6)), strict=True):
+            columns = [c.to_pylist() for c in batch.columns]
+            for unit, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
                 if unit != held:
                     flush(rows, out)
                     held, rows = unit, []
-                rows.append((rep, members, minima))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+                rows.append(row)
+            yield _edge_batch(out)
         out = []
         flush(rows, out)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+        yield _edge_batch(out)
 
     return run
 
 
+def _edge_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+
+def _compared(units: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b)``: links found in the units ``(key, i, j, rep, d1, d2, joined, head)``."""
+    loaded = units.join(sets, ["rep", "d1", "d2"]).select("key", "i", "j", "rep", "members", "minima", "joined", "head")
+    return loaded.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_unit_links(num, den), "a long, b long")
+
+
+def _every(low, high) -> Column:
+    """One row for each number from ``low`` up to but not including ``high``."""
+    return F.explode(F.sequence(F.lit(low), high - 1))
+
+
+def _bucket_groups(members: DataFrame, sets: DataFrame, num: int, den: int, scope: Scope) -> DataFrame:
+    """``(node, component)`` of the links in the buckets ``members(key, rep, d1, d2, block, blocks)``.
+
+    First every member of a bucket of several blocks is held against the first block: a row for each, and the first block's rows once for
+    each other block. What this joins is known from then on. Only members outside of the largest group of their bucket are then held
+    against the other blocks, so a bucket that is one group of near copies costs twice its rows, not their square.
+    """
+    row = ["key", "i", "j", "rep", "d1", "d2", "joined", "head"]
+    plain = members.withColumn("i", F.lit(0)).withColumn("joined", F.col("rep")).withColumn("head", F.col("block") == 0)
+    first = plain.where("blocks = 1 or block > 0").withColumn("j", F.col("block")).select(row)
+    heads = plain.where("blocks > 1 and block = 0").withColumn("j", _every(1, F.col("blocks"))).select(row)
+    edges = scope.written(_compared(first.unionByName(heads), sets, num, den), "links")
+    groups = connected_components(edges, scope)
+
+    large = members.where("blocks > 1").select("key", "rep", "d1", "d2", "block", "blocks")
+    if large.isEmpty():
+        return groups
+    # members of one bucket that were joined; the largest group of a bucket by counts of its groups, which are pre-aggregated
+    joined = scope.written(large.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("joined", F.coalesce("component", "rep")).drop("component"), "joined")
+    sizes = joined.groupBy("key", "joined").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "joined")).alias("m")).select("key", F.col("m.joined").alias("joined"))
+    rest = joined.where("block > 0").join(most, ["key", "joined"], "left_anti")
+    parts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    if parts.isEmpty():
+        return groups
+    rest = rest.join(parts, "key").withColumn("i", F.pmod(F.xxhash64("d2", "rep"), F.col("parts")).cast("int"))
+    rest = rest.withColumn("head", F.lit(True)).withColumn("j", _every(1, F.col("blocks"))).select(row)
+    others = joined.where("block > 0").join(parts, "key").withColumn("head", F.lit(False)).withColumn("j", F.col("block")).withColumn("i", _every(0, F.col("parts"))).select(row)
+    more = scope.written(_compared(rest.unionByName(others), sets, num, den), "links")
+    return connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))), scope)
+
+
 def text_key() -> Column:
     """A key of 64 bits of a document row: equal for repeated rows, different for different texts under one id."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
-def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, scope: Scope | None = None) -> DataFrame:
     """``(doc_id, key, n, group, least)`` for each row of ``docs(doc_id, text)``: its ``text_key``, group and the group's smallest id.
 
     Rows are linked by their keys, not by their ids, so that two texts under one id stay apart and texts without an id link others. An empty
-    text is a group of its own.
+    text is a group of its own. The tables of the result are in ``scope``.
     """
+    scope = scope or Scope()
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("key"))
     rows = band_rows(num, den)
-    signed = written(mapped(docs, _signed(shingle, rows), "doc_id long, key long, n long, d1 long, d2 long, bands array<long>"), "signed")
+    signed = scope.written(mapped(docs, _signed(shingle, rows), "doc_id long, key long, n long, d1 long, d2 long, bands array<long>"), "signed")
     classes = signed.groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"))
-    bearers = signed.where("n > 0").join(classes.select("d1", "d2", F.col("rep").alias("key")), ["d1", "d2", "key"], "left_semi").dropDuplicates(["key", "d1", "d2"])
-    banded = written(bearers.select(F.col("key").alias("rep"), "d1", "d2", "n", F.explode("bands").alias("key")), "banded")
-
-    buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rep", "d1")).alias("x"), F.bit_xor(F.xxhash64("d2", "rep")).alias("y"))
-    buckets = buckets.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("w").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    members = banded.select("key", "rep", "d1", "d2").join(buckets.select("key", blocks.alias("blocks")), "key")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep", "d1"), F.col("blocks")).cast("int"))
-    units = written(members.select("key", "rep", "d1", "d2", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))")).alias("u")).select("key", "u.i", "u.j", "rep", "d1", "d2"), "units")
-    discard(banded)
-
-    # the candidates grow with the corpus: never broadcast
-    involved = docs.join(units.select(F.col("rep").alias("key")).distinct().hint("merge"), "key", "left_semi")
-    sets = mapped(involved, _setted(shingle), "rep long, d1 long, d2 long, members binary, minima binary").dropDuplicates(["rep", "d1", "d2"])
-    loaded = units.join(sets, ["rep", "d1", "d2"]).select("key", "i", "j", "rep", "members", "minima")
-    edges = loaded.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_unit_links(num, den), "a long, b long")
-    groups = connected_components(edges)
-    discard(units)
+    with Scope() as own:
+        bearers = signed.where("n > 0").join(classes.select("d1", "d2", F.col("rep").alias("key")), ["d1", "d2", "key"], "left_semi").dropDuplicates(["key", "d1", "d2"])
+        banded = own.written(bearers.select(F.col("key").alias("rep"), "d1", "d2", "n", F.explode("bands").alias("key")), "banded")
+        buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rep", "d1")).alias("x"), F.bit_xor(F.xxhash64("d2", "rep")).alias("y"))
+        buckets = buckets.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("w").alias("w"))
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+        members = banded.select("key", "rep", "d1", "d2").join(buckets.select("key", blocks.alias("blocks")), "key")
+        members = own.written(members.withColumn("block", F.pmod(F.xxhash64("rep", "d1"), F.col("blocks")).cast("int")), "members")
+        # the candidates grow with the corpus: never broadcast
+        involved = docs.join(members.select(F.col("rep").alias("key")).distinct().hint("merge"), "key", "left_semi")
+        sets = mapped(involved, _setted(shingle), "rep long, d1 long, d2 long, members binary, minima binary").dropDuplicates(["rep", "d1", "d2"])
+        groups = scope.written(_bucket_groups(members, sets, num, den, own), "groups")
 
     found = groups.withColumnRenamed("node", "rep").join(classes.where("n > 0").select("rep", F.col("least").alias("own")), "rep")
     found = found.join(found.groupBy("component").agg(F.min("own").alias("lowest")), "component").select("rep", "component", "lowest")
@@ -195,14 +240,15 @@ def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     return out.select("doc_id", "key", "n", F.when(empty, F.col("key")).otherwise(F.col("group")).alias("group"), F.when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("least"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, scope: Scope | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text)``; texts with a Jaccard similarity of ``num / den`` or more are linked.
 
     1. Each text becomes a set of shingles, a digest of that set and the keys of its bands; equal sets become one class, counted
        before the shuffle, so thousands of copies are one row from here on.
     2. Classes that share a band key are a bucket; buckets of the same members count once.
-    3. A bucket is compared within one task, or block against block if it is large, by minima first and then on the full sets.
-       A task yields a spanning forest of its links, never its pairs, so a bucket of m members gives m - 1 edges a task at most.
+    3. A bucket is compared within one task, by minima first and then on the full sets; one of several blocks against its first block, and
+       then its members outside of its largest group against the other blocks. A task has two blocks at most and yields a spanning forest
+       of its links, never its pairs.
     4. Components of these edges are the groups.
 
     Null text is as empty; empty texts have no shingles and are linked with nothing. Repeated rows are copies of each other and share a
@@ -210,5 +256,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     id) and is never kept. Empty tables give empty results. Other columns are ignored. A pair at the threshold is missed with a chance of
     1e-4 at most.
     """
-    out = grouped(docs, shingle, num, den)
+    out = grouped(docs, shingle, num, den, scope)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.coalesce(F.col("least") == F.col("doc_id"), F.lit(False)).alias("kept"))

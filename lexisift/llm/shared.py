@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one on one machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lexisift-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -55,6 +57,27 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scope:
+    """Tables of ``written`` that are deleted together when the block ends, or when the owner calls ``close`` after the last read."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def close(self) -> None:
+        discard(*self.tables)
+        self.tables.clear()
+
+    def __enter__(self) -> Scope:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))

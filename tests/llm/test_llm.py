@@ -71,8 +71,9 @@ def _components(sets, num, den):
     return {i: find(i) for i in ids}
 
 
-def test_minhash_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)  # so that buckets are compared block by block
+@pytest.mark.parametrize("rows_of_a_block", [5, 16, 256])
+def test_minhash_against_all_pairs(spark, monkeypatch, rows_of_a_block):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows_of_a_block)  # a few: buckets are compared block by block
     rng = random.Random(5)
     words = [f"w{i}" for i in range(2000)]
     rows = []
@@ -80,7 +81,7 @@ def test_minhash_against_all_pairs(spark, monkeypatch):
         base = [rng.choice(words) for _ in range(100)]
         for _ in range(25):
             text = base[:]
-            for _ in range(rng.randrange(0, 5)):
+            for _ in range(rng.randrange(0, 7)):
                 text[rng.randrange(100)] = rng.choice(words)
             rows.append((len(rows), " ".join(text)))
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(_docs(spark, rows), 3, 85, 100).collect()}
@@ -88,6 +89,25 @@ def test_minhash_against_all_pairs(spark, monkeypatch):
     assert got == _components(sets, 85, 100)
 
 
+@given(st.lists(st.sets(st.integers(0, 11), min_size=1), min_size=2, max_size=12), st.data())
+@settings(max_examples=150, deadline=None)
+def test_links_join_what_all_pairs_join(members, data):
+    n = len(members)
+    sets = [np.array(sorted(s), np.uint64) for s in members]
+    heads = np.array(data.draw(st.lists(st.booleans(), min_size=n, max_size=n)))
+    known = np.array(data.draw(st.lists(st.integers(0, 5), min_size=n, max_size=n)))
+
+    def groups(edges):
+        label = known.tolist()
+        for i, j in edges:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k in range(n) if label[k] == x) for x in label}
+
+    found = minhash.links(sets, np.zeros((n, minhash.MINIMA), np.uint8), 60, 100, known, heads)
+    near = [(i, j) for i in range(n) for j in range(i) if (heads[i] or heads[j]) and 100 * len(members[i] & members[j]) >= 60 * len(members[i] | members[j])]
+    assert groups(found) == groups(near) and len(found) < n
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)] + [(200, 200 + i) for i in range(1, 40)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
