@@ -123,7 +123,7 @@ def _setted(size: int):
         sets = [shingle_set(text, size) for text in column_bytes(batch, "text")]
         d = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
         packed = [(s.tobytes(), signature(s).astype(np.uint8).tobytes()) if len(s) else (b"", b"") for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())], ["rep", "d1", "d2", "members", "minima"])
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary()), batch.column(batch.schema.get_field_index("large"))], ["rep", "d1", "d2", "members", "minima", "large"])
 
     return run
 
@@ -198,7 +198,7 @@ def _bucket_groups(members: DataFrame, sets: DataFrame, num: int, den: int, scop
     rest = rest.join(parts, "key").withColumn("i", F.pmod(F.xxhash64("d2", "rep"), F.col("parts")).cast("int"))
     rest = rest.withColumn("head", F.lit(True)).withColumn("j", _every(1, F.col("blocks"))).select(row)
     others = joined.where("block > 0").join(parts, "key").withColumn("head", F.lit(False)).withColumn("j", F.col("block")).withColumn("i", _every(0, F.col("parts"))).select(row)
-    more = scope.written(_compared(rest.unionByName(others), sets, num, den), "links")
+    more = scope.written(_compared(rest.unionByName(others), sets.where("large"), num, den), "links")
     return connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))), scope)
 
 
@@ -227,8 +227,9 @@ def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, sc
         members = banded.select("key", "rep", "d1", "d2").join(buckets.select("key", blocks.alias("blocks")), "key")
         members = own.written(members.withColumn("block", F.pmod(F.xxhash64("rep", "d1"), F.col("blocks")).cast("int")), "members")
         # the candidates grow with the corpus: never broadcast
-        involved = docs.join(members.select(F.col("rep").alias("key")).distinct().hint("merge"), "key", "left_semi")
-        sets = mapped(involved, _setted(shingle), "rep long, d1 long, d2 long, members binary, minima binary").dropDuplicates(["rep", "d1", "d2"])
+        wanted = members.groupBy(F.col("rep").alias("key")).agg(F.max(F.col("blocks") > 1).alias("large"))
+        involved = docs.join(wanted.hint("merge"), "key").dropDuplicates(["key", "text"])
+        sets = own.written(mapped(involved, _setted(shingle), "rep long, d1 long, d2 long, members binary, minima binary, large boolean"), "sets", "large")
         groups = scope.written(_bucket_groups(members, sets, num, den, own), "groups")
 
     found = groups.withColumnRenamed("node", "rep").join(classes.where("n > 0").select("rep", F.col("least").alias("own")), "rep")

@@ -37,11 +37,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written to the shared folder and read back: lineage ends here and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read back: lineage ends here and a lost executor loses nothing.
+
+    ``by`` names columns of few values that are folders of their own.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexisift_path = path
     return out
@@ -63,8 +66,8 @@ class Scope:
     def __init__(self):
         self.tables: list[DataFrame] = []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(written(df, name))
+    def written(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        self.tables.append(written(df, name, *by))
         return self.tables[-1]
 
     def close(self) -> None:
