@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -12,20 +14,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.shared import column_text
-
+#: Nodes that are scored together; characters of the pages that a worker holds parsed at a time (one page at least).
+SCORED, PART_CHARS = 20_000, 1_000_000
 #: Element names of HTML by behaviour (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe".split())
 HOLDERS = frozenset("noscript template svg math select button object canvas audio video".split())
 BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre nav header footer aside form fieldset figure figcaption address details summary hr br".split())
 ENDS_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "summary"}
+KEEPS_P = ("article", "section", "main", "div", "td", "th", "li", "table", "button", "object", "template", "body")
 CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",))}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A tag without oddities. Nothing in it can be read in two ways, so a failed match costs no more than the way to the next ``<`` or ``>``.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<=]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\t\n\f\r />]*+")
+_STOP = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(?:id|class|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")  # not the last character of a bare value
-_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+#: Where a script or style sheet without an end stops being one: at a tag of a known element.
+_KNOWN = re.compile("</?(?:" + "|".join(sorted(BLOCK | VOID | RAW | HOLDERS | frozenset("head a b i u em strong span code small label".split()))) + r")(?=[\s/>])", re.I)
+#: Decimal references that no code point has, and zeros in front of others; Python reads neither if they are long.
+_ZEROS, _HUGE = re.compile("&#0+(?=[0-9])"), re.compile("&#[1-9][0-9]{7,};?")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -40,63 +49,160 @@ class Page:
     pieces: list[tuple[int, int, str]] = field(default_factory=list)  # node, block, text
 
 
+class Scanner:
+    """Tags of a page from left to right, in time proportional to its length: what isn't found ahead once isn't looked for again.
+
+    ``<`` begins a tag before a letter, or before ``/`` and a letter; a comment, declaration or bogus tag before ``!``, ``?`` or another ``/``.
+    It is text otherwise, and where no ``>`` follows at all. A ``>`` in a quoted value doesn't end a tag, unless the quote never closes
+    or closes before a character that can't follow a value: then the tag ends at its first ``>``.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.at, self.missing, self.quotes = source, 0, set(), True
+
+    def find(self, what: str, start: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.source.find(what, start)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def raw_end(self, tag: str) -> tuple[int, int] | None:
+        """Begin and end of the next end tag of a raw element."""
+        if tag in self.missing:
+            return None
+        found = _END[tag].search(self.source, self.at)
+        close = self.find(">", found.end()) if found else -1
+        if close < 0:
+            self.missing.add(tag)
+            return None
+        return found.start(), close + 1
+
+    def _tag_end(self, start: int) -> int:
+        """Position of the ``>`` of a tag whose name ends at ``start``, -1 if there is none."""
+        first = self.find(">", start)
+        at = start
+        while first >= 0 and self.quotes:
+            found = _STOP.search(self.source, at)
+            if not found:
+                self.quotes = False  # from here on no quote is told from another any more
+                break
+            at = found.end()
+            if found[0] == ">":
+                return at - 1
+            if not self.source[max(start, at - 50) : at - 1].rstrip().endswith("="):
+                continue
+            close = self.find(found[0], at)
+            if close < 0 or (self.source[close + 1 : close + 2] not in (" ", "\t", "\n", "\f", "\r", "/", ">") and self.source.find(">", at, close) >= 0):
+                return first
+            at = close + 1
+        return first
+
+    def __iter__(self):
+        """``(begin of the tag, end tag or not, name in lower case or empty, what follows the name)``; ``at`` is where its text goes on."""
+        source = self.source
+        begin = source.find("<")
+        while begin >= 0:
+            after = begin + 1
+            if m := _PLAIN.match(source, begin):
+                self.at = m.end()
+                yield begin, bool(m[1]), m[2].lower(), m[3]
+                after = self.at
+            elif (c := source[after : after + 1]) and (c in "!?/" or (c.isascii() and c.isalpha())):
+                name = _NAME.match(source, after + (c == "/")) if c not in "!?" and self.find(">", after) >= 0 else None
+                end = -1
+                if source.startswith("<!--", begin):
+                    close = self.find("-->", begin + 2)
+                    end = close + 3 if close >= 0 else self.find(">", after) + 1 or -1
+                elif name:
+                    end = self._tag_end(name.end()) + 1 or -1
+                elif c in "!?/":
+                    end = self.find(">", after) + 1 or -1
+                if end >= 0:
+                    self.at = end
+                    yield begin, c == "/", name[0].lower() if name else "", source[name.end() : end - 1] if name else ""
+                    after = self.at
+            begin = source.find("<", after)
+
+
+def _self_closed(own: str) -> bool:
+    """A slash at the end that isn't the last character of a bare value."""
+    own = own.rstrip()
+    return own.endswith("/") and (len(own) == 1 or own[-2].isspace() or own[-2] in "\"'")
+
+
+def _unescaped(text: str) -> str:
+    if "&" not in text:
+        return text
+    return html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", text)) if "&#" in text else text)
+
+
 def parse_page(source: str) -> Page:
     """A forgiving tree: omitted ends of paragraphs, items and cells are implied, unknown ends are ignored, open elements end with the page.
 
-    Only the content of ``RAW`` elements is skipped, up to their end or, as in browsers, to the end of the page if there is none.
+    Only the content of ``RAW`` elements is skipped, up to their end. Of those without an end, a script or style sheet lasts up to the next
+    tag of a known element, and the others are elements like any other, so that no text after them is lost. A comment without an end stops
+    at the next ``>``. Time and memory are proportional to the page, whatever is in it.
     """
-    page, stack, block, at = Page(["#root"], [""], [-1], [0]), [0], 0, 0
+    page, stack, block = Page(["#root"], [""], [-1], [0]), [0], 0
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack, by name
+    blocks: list[int] = []
 
     def say(text: str) -> None:
         if text and not text.isspace():
-            page.pieces.append((stack[-1], block, html.unescape(text)))
+            page.pieces.append((stack[-1], block, _unescaped(text)))
         elif text and page.pieces and page.pieces[-1][1] == block:
             page.pieces.append((stack[-1], block, " "))
 
-    def shut(names: str, barriers: tuple) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = page.tag[stack[i]]
-            if tag in names.split():
-                del stack[i:]
-                return
-            if tag in barriers:
-                return
-
-    while m := _TOKEN.search(source, at):
-        say(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    def cut(place: int) -> None:
+        while len(stack) > place:
+            where[page.tag[stack.pop()]].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+
+    def last(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=0)
+
+    scanner, told = Scanner(source), 0
+    for begin, ends, tag, own in scanner:
+        say(source[told:begin])
+        told = scanner.at
         if not tag:
             continue
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and tag not in HOLDERS and page.tag[stack[i]] in BLOCK:
-                    break  # an inline end does not end the block around it
+        if ends:
+            place = last((tag,))
+            if place and (tag in BLOCK or tag in HOLDERS or not blocks or blocks[-1] < place):  # an inline end does not end the block around it
+                cut(place)
             block += tag in BLOCK
             continue
-        own = (m[3] if m[2] else m[6]) or ""
         if tag in RAW:
-            if not _CLOSED.search(own):
-                end = _END[tag].search(source, at)
-                at = end.end() if end else len(source)
-            continue
+            if _self_closed(own):
+                continue
+            if end := scanner.raw_end(tag):
+                told = scanner.at = end[1]
+                continue
+            if tag in ("script", "style"):
+                known = _KNOWN.search(source, scanner.at)
+                told = scanner.at = known.start() if known else len(source)
+                continue
         block += tag in BLOCK
-        if tag in ENDS_P:
-            shut("p", ("article", "section", "main", "div", "td", "th", "li", "table", "button", "object", "template", "body"))
-        if tag in CLOSES:
-            shut(*CLOSES[tag])
+        if tag in ENDS_P and (place := last(("p",))) > last(KEEPS_P):
+            cut(place)
+        if tag in CLOSES and (place := last(CLOSES[tag][0].split())) > last(CLOSES[tag][1]):
+            cut(place)
         if tag in VOID:
             continue
         page.tag.append(tag)
-        page.attributes.append(" ".join(x for t in _ATTRIBUTE.findall(own) for x in t if x))
+        page.attributes.append(" ".join(x for t in _ATTRIBUTE.findall(own) for x in t if x) if own else "")
         page.parent.append(stack[-1])
         page.depth.append(len(stack))
         if not own.rstrip().endswith("/") or tag in BLOCK:
+            where[tag].append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
             stack.append(len(page.tag) - 1)
-    say(source[at:])
+    say(source[told:])
     return page
 
 
@@ -119,65 +225,88 @@ _TAG = {t: i for i, ts in enumerate(_TAGS) for t in ts}
 N_FEATURES = len(_TAGS) + 2 * len(TOKENS) + 20
 
 
-@lru_cache(50_000)
-def _groups(attributes: str) -> tuple[int, ...]:
+def _words_of(attributes: str) -> int:
     words = _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", attributes).lower())
-    return tuple({_GROUP[w] for w in words if w in _GROUP})
+    return sum(1 << k for k in {_GROUP[w] for w in words if w in _GROUP})
+
+
+_remembered = lru_cache(50_000)(_words_of)
+
+
+def _groups(attributes: str) -> int:
+    """Groups of tokens as bits; only short attributes are remembered."""
+    return _remembered(attributes) if len(attributes) <= 200 else _words_of(attributes)
+
+
+#: Groups that an element names by itself.
+_SAYS = {"nav": 1 << 1, "header": 1 << 2, "footer": 1 << 3, "aside": 1 << 4, "form": 1 << 8, "article": 1, "main": 1}
+
+
+class Measures:
+    """What the features of a page's nodes are made of: a few numbers a node."""
+
+    def __init__(self, page: Page):
+        n = self.n = len(page.tag)
+        self.kind = np.array([_TAG.get(tag, -1) for tag in page.tag])
+        parent = self.parent = np.array(page.parent)
+        self.depth = np.array(page.depth, np.float32)
+        own = [0] * n
+        around, linked = [0] * n, [False] * n
+        for i, tag in enumerate(page.tag):
+            own[i] = (_groups(page.attributes[i]) if page.attributes[i] else 0) | _SAYS.get(tag, 0)
+            p = page.parent[i]
+            if p >= 0:
+                around[i], linked[i] = around[p] | own[p], linked[p] or tag == "a"
+        self.own, self.around, self.in_link = np.array(own), np.array(around), np.array(linked)
+        chars, words, stops, links, pieces = ([0.0] * n for _ in range(5))
+        for node, _, text in page.pieces:
+            size = len(text.strip())
+            chars[node] += size
+            words[node] += text.count(" ") + 1
+            stops[node] += text.count(".") + text.count(",")
+            links[node] += size * linked[node]
+            pieces[node] += 1
+        nodes, paragraphs = [1.0] * n, [float(tag == "p") for tag in page.tag]
+        for i in range(n - 1, 0, -1):
+            p = page.parent[i]
+            for a in (chars, words, stops, links, nodes, paragraphs, pieces):
+                a[p] += a[i]
+        self.chars, self.words, self.stops, self.links, self.nodes, self.paragraphs, self.pieces = map(np.array, (chars, words, stops, links, nodes, paragraphs, pieces))
+        self.children = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n)
+        self.up = np.maximum(parent, 0)
+        self.mean = np.bincount(self.up[1:], weights=self.chars[1:], minlength=n)[self.up] / np.maximum(self.children[self.up], 1) if n > 1 else self.chars
+        self.before, self.after, last = np.full(n, -1.0), np.full(n, -1.0), {}
+        for i in range(1, n):
+            j = last.get(page.parent[i])
+            if j is not None:
+                self.before[i], self.after[j] = chars[j], chars[i]
+            last[page.parent[i]] = i
+
+    def features(self, low: int, high: int) -> np.ndarray:
+        """A row for each of these nodes: tag, attribute tokens of it and of what is around it, subtree densities, depth, place, and its siblings' measures."""
+        t, g, at = len(_TAGS), len(TOKENS), slice(low, high)
+        x = np.zeros((min(high, self.n) - low, N_FEATURES), np.float32)
+        known = np.flatnonzero(self.kind[at] >= 0)
+        x[known, self.kind[at][known]] = 1
+        bits = 1 << np.arange(g)
+        x[:, t : t + g] = (self.own[at, None] & bits) > 0
+        x[:, t + g : t + 2 * g] = (self.around[at, None] & bits) > 0
+        chars, words, links, nodes, pieces, up, children = (a[at] for a in (self.chars, self.words, self.links, self.nodes, self.pieces, self.up, self.children))
+        total = max(1.0, self.chars[0])
+        x[:, t + 2 * g :] = np.stack(
+            [
+                np.log1p(chars), np.log1p(words), self.stops[at] / np.maximum(words, 1), links / np.maximum(chars, 1), chars / nodes, np.log1p(nodes), np.log1p(self.paragraphs[at]),
+                chars / np.maximum(pieces, 1), self.depth[at], np.arange(low, low + len(x)) / self.n, chars / total, chars / np.maximum(self.chars[up], 1), children, self.children[up], np.log1p(self.mean[at]),
+                np.log1p(np.maximum(self.before[at], -0.5)), np.log1p(np.maximum(self.after[at], -0.5)), self.links[up] / np.maximum(self.chars[up], 1), words / np.maximum(pieces, 1), self.in_link[at],
+            ],
+            axis=1,
+        )
+        return x
 
 
 def features(page: Page) -> np.ndarray:
-    """A row for each node: tag, attribute tokens of it and of what is around it, subtree densities, depth, place, and its siblings' measures."""
-    n = len(page.tag)
-    x = np.zeros((n, N_FEATURES), np.float32)
-    t, g = len(_TAGS), len(TOKENS)
-    parent, depth = np.array(page.parent), np.array(page.depth, np.float32)
-    chars, words, stops, links, nodes, paragraphs, pieces = (np.zeros(n) for _ in range(7))
-    in_link = np.zeros(n, bool)
-    for i, tag in enumerate(page.tag):
-        if (k := _TAG.get(tag)) is not None:
-            x[i, k] = 1
-        p = page.parent[i]
-        if p >= 0:
-            x[i, t + g : t + 2 * g] = np.maximum(x[p, t + g : t + 2 * g], x[p, t : t + g])
-            in_link[i] = in_link[p] or tag == "a"
-        if page.attributes[i]:
-            x[i, [t + k for k in _groups(page.attributes[i])]] = 1
-        if tag in ("nav", "header", "footer", "aside", "form"):  # the element says what a token would
-            x[i, t + {"nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 8}[tag]] = 1
-        if tag in ("article", "main"):
-            x[i, t] = 1
-    for node, _, text in page.pieces:
-        size = len(text.strip())
-        chars[node] += size
-        words[node] += text.count(" ") + 1
-        stops[node] += text.count(".") + text.count(",")
-        links[node] += size * in_link[node]
-        pieces[node] += 1
-    nodes += 1
-    paragraphs += [tag == "p" for tag in page.tag]
-    for i in range(n - 1, 0, -1):
-        p = page.parent[i]
-        for a in (chars, words, stops, links, nodes, paragraphs, pieces):
-            a[p] += a[i]
-    children = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n)
-    up = np.maximum(parent, 0)
-    mean = np.bincount(up[1:], weights=chars[1:], minlength=n)[up] / np.maximum(children[up], 1) if n > 1 else chars
-    before, after, last = np.full(n, -1.0), np.full(n, -1.0), {}
-    for i in range(1, n):
-        j = last.get(page.parent[i])
-        if j is not None:
-            before[i], after[j] = chars[j], chars[i]
-        last[page.parent[i]] = i
-    total = max(1.0, chars[0])
-    x[:, t + 2 * g :] = np.stack(
-        [
-            np.log1p(chars), np.log1p(words), stops / np.maximum(words, 1), links / np.maximum(chars, 1), chars / nodes, np.log1p(nodes), np.log1p(paragraphs),
-            chars / np.maximum(pieces, 1), depth, np.arange(n) / n, chars / total, chars / np.maximum(chars[up], 1), children, children[up], np.log1p(mean),
-            np.log1p(np.maximum(before, -0.5)), np.log1p(np.maximum(after, -0.5)), links[up] / np.maximum(chars[up], 1), words / np.maximum(pieces, 1), in_link,
-        ],
-        axis=1,
-    )
-    return x
+    own = Measures(page)
+    return own.features(0, own.n)
 
 
 class Boosted:
@@ -228,7 +357,7 @@ class Boosted:
         return out
 
 
-def _log_sigmoid(z: np.ndarray) -> np.ndarray:
+def _log_sigmoid(z) -> np.ndarray:
     return -np.logaddexp(0, -z)
 
 
@@ -417,12 +546,28 @@ def trained(pages: int = 700, seed: int = 11) -> tuple[Boosted, Boosted]:
 
 
 def extract(sources: list[str], models: tuple[Boosted, Boosted]) -> list[str]:
-    """The main text of each page; scores are computed for all nodes of the pages together."""
+    """The main text of each page; nodes are scored some ``SCORED`` at a time, of several pages or of a part of one."""
     pages = [parse_page(s) for s in sources]
-    if not pages:
-        return []
-    x = np.concatenate([features(p) for p in pages])
-    pure, main = models[0].raw(x), models[1].raw(x)
+    pure, main, held, size = [], [], [], 0
+
+    def score() -> None:
+        nonlocal size
+        if held:
+            x = np.concatenate(held)
+            pure.append(models[0].raw(x))
+            main.append(models[1].raw(x))
+            held.clear()
+            size = 0
+
+    for page in pages:
+        own = Measures(page)
+        for low in range(0, own.n, SCORED):
+            held.append(own.features(low, low + SCORED))
+            size += len(held[-1])
+            if size >= SCORED:
+                score()
+    score()
+    pure, main = (np.concatenate(z) if z else np.zeros(0) for z in (pure, main))
     out, at = [], 0
     for p in pages:
         end = at + len(p.tag)
@@ -431,13 +576,24 @@ def extract(sources: list[str], models: tuple[Boosted, Boosted]) -> list[str]:
     return out
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of a batch with their pages, so many that their text is bounded, one at least."""
+    start, texts, size = 0, [], 0
+    column = batch.column(batch.schema.get_field_index("html"))
+    for i in range(batch.num_rows):
+        texts.append(column[i].as_py() or "")
+        size += len(texts[-1])
+        if size >= PART_CHARS or i == batch.num_rows - 1:
+            yield batch.slice(start, i + 1 - start), texts
+            start, texts, size = i + 1, [], 0
+
+
 def _extracted(models):
     def run(batches):
         own = models.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                texts = extract(column_text(part, "html"), own)
+            for part, sources in _parts(batch):
+                texts = extract(sources, own)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in ("page_id", "url")), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
@@ -447,7 +603,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``.
 
     The trees are fitted on the driver on made-up pages, the same at every call, and broadcast. One pass without a shuffle. Null or empty
-    html has an empty text; repeated rows repeat theirs; other columns are ignored.
+    html has an empty text; repeated rows repeat theirs; other columns are ignored. Unterminated tags, comments, quotes and elements lose
+    themselves at most (``parse_page``), a page of one tag has no text, and a page of any content takes time in proportion to its length.
     """
     models = pages.sparkSession.sparkContext.broadcast(trained())
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")

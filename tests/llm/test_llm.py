@@ -5,10 +5,12 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -200,6 +202,71 @@ def test_html_reads_all_but_raw_text():
     assert [page.depth[node] for node, _, text in page.pieces if text == "g"] == [1]
 
 
+MB = 1 << 20
+
+
+@pytest.mark.parametrize("unit", ["<script", "<script>", "<a", '<a href="x>y</a>', '<a x=">" ', "<", "<script>x</script ", "<b>", "<!--", "<!-- > ", "<div>", "</", "<!", "&#", "class = ", "<style><b", "'\"", "<p><button><b><b>", "</i><h1>", "<p class="])
+def test_html_takes_time_in_proportion(unit):
+    for source in (unit * (MB // len(unit)), f"<p {unit * (MB // len(unit))}", "<p>" + "<b>" * 100_000 + unit * (MB // 2 // len(unit))):
+        began = time.process_time()
+        html_text.parse_page(source)
+        assert time.process_time() - began < 5  # a second or less on an idle machine; a square would take hours
+
+
+@pytest.mark.parametrize("source,words", [
+    ("a < b <c", "a < b <c"), ("x <1> y", "x <1> y"), ("<p title='a > b'>one", "one"), ("<a href=\"x>one</a> <a href=\"y>two</a>", "one two"), ("<p title=it's>one<p>two", "one two"),
+    ("<!-- gone -->a<!-- open >b", "ab"), ("<!doctype html><?xml?>a</>b</ p>c", "abc"), ("<script>if (a<b) x()<p>kept", "kept"), ("<title>t<p>kept", "t kept"), ("<textarea>t<p>kept", "t kept"), ("<STYLE>p{}</StYlE >kept", "kept"),
+    ("&#0000065;&#x42;&#99999999999;&amp;lt;", "AB\ufffd&lt;"), ("&#" + "1" * 5000 + ";&#" + "0" * 5000 + "65;", "\ufffdA"), ("<p", "<p"), ("<p>", ""), ("<a b='c' d=\"e\"f=g>one", "one"),
+])
+def test_html_odd_markup(source, words):
+    page = html_text.parse_page(source)
+    assert html_text.kept_text(page, [True] * len(page.tag)) == words
+
+
+def test_html_gives_the_articles_of_the_pages(spark):
+    """Against the pages of the tables, which the made-up ones that the trees learn from have nothing to do with."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in html_text.BLOCK:
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag in html_text.BLOCK:
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    rows = html_text.main_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    right = 0
+    for r in rows:
+        article = Article()
+        article.feed(pages[r.page_id] or "")
+        article.close()
+        right += r.text == " ".join(x for x in (" ".join(b.split()) for b in article.blocks) if x)
+    assert len(rows) == len(pages) and right >= 0.99 * len(rows)
+
+
+def test_html_scores_large_pages_in_parts(monkeypatch):
+    rng = np.random.default_rng(77)
+    pages = [html_text._sample_page(rng)[0] for _ in range(30)]
+    whole = html_text.extract(pages, html_text.trained())
+    monkeypatch.setattr(html_text, "SCORED", 7)
+    assert html_text.extract(pages, html_text.trained()) == whole
+    monkeypatch.setattr(html_text, "PART_CHARS", 5000)
+    batch = pa.RecordBatch.from_pydict({"html": [*pages, None]})
+    assert [t for _, texts in html_text._parts(batch) for t in texts] == [*pages, ""]
+
+
 def test_html_decoding_is_consistent():
     page = html_text.parse_page("<div><p>a</p><p>b</p></div>")
     assert html_text.decode(page, np.full(4, 5.0), np.array([3.0, 3, -2, 3])) == [True] * 4
