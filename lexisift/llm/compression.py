@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.shared import column_bytes, mapped
-from lexisift.llm.toxicity import held_out, training_rows
+from lexisift.llm.toxicity import MAX_BYTES, MAX_ROWS, held_out, training_rows
 
-#: Bytes of a dictionary (the size that separates best is kept), of a piece that is compressed by itself, level, labelled rows at most.
-DICTIONARIES, PIECE, LEVEL, MAX_ROWS = (8_000, 16_000, 32_000, 64_000, 100_000), 256, 1, 6000
-#: Pieces of a class that its dictionaries are trained on: all up to twice as many, beyond that evenly spaced ones, fewer than twice as many.
-MAX_PIECES = 12_000
+#: Bytes of a dictionary (the size that separates best is kept), of a piece that is compressed by itself, and the level.
+DICTIONARIES, PIECE, LEVEL = (8_000, 16_000, 32_000, 64_000, 100_000), 256, 1
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -50,9 +48,8 @@ def difference(text: bytes, good, bad) -> float:
     return (b - g) / (b + g) if b + g else 0.0
 
 
-def _dictionary(texts: list[bytes], size: int, max_pieces: int = MAX_PIECES) -> bytes:
+def _dictionary(texts: list[bytes], size: int) -> bytes:
     samples = [p for t in texts for p in pieces(t)]
-    samples = samples[:: max(1, len(samples) // max_pieces)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself
@@ -66,7 +63,7 @@ def _separation(x: np.ndarray, y: np.ndarray) -> float:
     return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / max(1, (y == 1).sum() * (y == 0).sum())
 
 
-def fit(texts: list[bytes], labels: np.ndarray, max_pieces: int = MAX_PIECES) -> Compressors:
+def fit(texts: list[bytes], labels: np.ndarray) -> Compressors:
     """Dictionaries of four fifths of the sample; their size and the calibration by a logistic curve from the rest."""
     labels = np.asarray(labels)
     fold = np.arange(len(texts)) % 5 == 0
@@ -74,7 +71,7 @@ def fit(texts: list[bytes], labels: np.ndarray, max_pieces: int = MAX_PIECES) ->
     prior = (labels.sum() + 0.5) / (len(labels) + 1)
     best = None
     for size in DICTIONARIES:
-        out = Compressors(*(_dictionary([t for t, y, f in zip(texts, labels, fold, strict=True) if y == k and not f], size, max_pieces) for k in (1, 0)))
+        out = Compressors(*(_dictionary([t for t, y, f in zip(texts, labels, fold, strict=True) if y == k and not f], size) for k in (1, 0)))
         if len(set(y.tolist())) < 2:
             out.slope, out.bias = 0.0, float(np.log(prior / (1 - prior)))
             return out
@@ -104,14 +101,16 @@ def _scored(model):
     return run
 
 
-def compression_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, threshold: float = 0.3, max_rows: int = MAX_ROWS, max_pieces: int = MAX_PIECES) -> DataFrame:
+def compression_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, threshold: float = 0.3, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each ``docs(doc_id, text)`` row, learnt from ``labels(doc_id, quality)``.
 
-    Dictionaries and calibration are fitted on the driver on ``max_rows`` labelled rows at most, the dictionaries on fewer than twice
-    ``max_pieces`` of their pieces of a class, evenly spaced; two dictionaries of a fixed size are broadcast. Every whole text is compressed twice, in one pass without a shuffle. Empty and null texts have no difference and get the score
-    of 0. Without labels of both classes the score is that of the prior. Repeated rows repeat their score; other columns are ignored.
+    Dictionaries and calibration are fitted on the driver on ``max_rows`` labelled rows and ``max_bytes`` of text at most (``training_rows``),
+    the dictionaries on all pieces of four fifths of them; two dictionaries of a fixed size are broadcast. Every whole text is compressed
+    twice, in one pass without a shuffle. Empty and null texts have no difference and get the score of 0. Without labels of both classes the
+    score is that of the prior. Repeated rows repeat their score, different texts under one id have their own; other columns are ignored. An
+    empty table has no rows.
     """
-    texts, ys = training_rows(docs, labels, "quality", modulus, held, max_rows)
-    model = docs.sparkSession.sparkContext.broadcast(fit([t.encode() for t in texts], ys, max_pieces))
+    texts, ys = training_rows(docs, labels, "quality", modulus, held, max_rows, max_bytes)
+    model = docs.sparkSession.sparkContext.broadcast(fit([t.encode() for t in texts], ys))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(modulus, held))
     return mapped(rows, _scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

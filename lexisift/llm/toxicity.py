@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from lexisift.llm.shared import column_text, mapped
 
-#: n-gram lengths, bits of the slot that screens n-grams, labelled rows learnt from at most, features kept at most.
-SIZES, BITS, MAX_ROWS, MAX_FEATURES = (4, 5, 6), 22, 6000, 2048
+#: n-gram lengths; bits of the slot that screens n-grams; features kept at most; standard errors that a slot and a feature need; texts that it needs.
+SIZES, BITS, MAX_FEATURES, SCREEN, LEAST, TEXTS = (4, 5, 6), 22, 2048, 3.0, 3.5, 3
+#: Labelled rows learnt from at most, and UTF-8 bytes of their texts at most.
+MAX_ROWS, MAX_BYTES = 6000, 48_000_000
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SLOT = np.uint64(64 - BITS)
@@ -59,17 +62,19 @@ class Linear:
 
 
 def _significance(a: np.ndarray, b: np.ndarray, n: list[float]) -> np.ndarray:
-    """How far the shares of clean and toxic texts with an n-gram are apart, in standard errors; 0 for n-grams of fewer than three texts."""
+    """How far the shares of clean and toxic texts with an n-gram are apart, in standard errors; 0 for n-grams of fewer than ``TEXTS`` texts."""
     pooled = np.clip((a + b + 1) / (n[0] + n[1] + 2), 0, 0.999)
     z = np.abs(b / n[1] - a / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    z[a + b < 3] = 0
+    z[a + b < TEXTS] = 0
     return z
 
 
-def fit(texts: list[str], labels: np.ndarray, ridge: float = 1e-3, rounds: int = 400) -> Linear:
+def fit(texts: list[str], labels: np.ndarray, ridge: float = 1e-3, rounds: int = 400, max_features: int = MAX_FEATURES) -> Linear:
     """Log-count ratios of present n-grams, the most significant of them as features, and a ridge logistic regression over present * ratio.
 
-    Slots of n-grams are screened first, then the n-grams of the screened slots are counted themselves: memory doesn't grow with the sample.
+    Slots of n-grams are screened first (the ``4 * max_features`` best with ``SCREEN`` standard errors or more), then the n-grams of these slots
+    are counted themselves: memory doesn't grow with the sample. Features are the ``max_features`` best n-grams of ``LEAST`` standard errors or
+    more; with more than a quarter of the ``2**BITS`` slots, every slot is counted.
     """
     labels = np.asarray(labels, float)
     n = [max(1.0, float((labels == k).sum())) for k in (0, 1)]
@@ -79,9 +84,10 @@ def fit(texts: list[str], labels: np.ndarray, ridge: float = 1e-3, rounds: int =
         if found:
             count[int(y), np.unique(np.concatenate(found))] += 1
     z = _significance(count[0], count[1], n)
-    best = np.argpartition(-z, 4 * MAX_FEATURES)[: 4 * MAX_FEATURES]
+    wide = min(4 * max_features, len(z) - 1)
+    best = np.argpartition(-z, wide)[:wide] if wide < len(z) - 1 else np.arange(len(z))
     slots = np.zeros(1 << BITS, bool)
-    slots[best[z[best] > 3]] = True
+    slots[best[z[best] > SCREEN]] = True
     del count, z
     seen = [_chosen(t, slots) for t in texts]
     known, at = np.unique(np.concatenate(seen), return_inverse=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, int))
@@ -89,8 +95,8 @@ def fit(texts: list[str], labels: np.ndarray, ridge: float = 1e-3, rounds: int =
     b = np.bincount(at, weights=toxic, minlength=len(known))
     a = np.bincount(at, minlength=len(known)) - b
     z = _significance(a, b, n)
-    keep = np.sort(np.argsort(-z, kind="stable")[:MAX_FEATURES])
-    keep = keep[z[keep] > 3.5]
+    keep = np.sort(np.argsort(-z, kind="stable")[:max_features])
+    keep = keep[z[keep] > LEAST]
     kept = known[keep]
     ratio = (np.log((b[keep] + 0.5) / (n[1] + 1)) - np.log((a[keep] + 0.5) / (n[0] + 1))).astype(np.float32)
     x = np.zeros((len(texts), len(kept) + 1), np.float32)
@@ -116,19 +122,35 @@ def fit(texts: list[str], labels: np.ndarray, ridge: float = 1e-3, rounds: int =
     return Linear(kept, (w[:-1] * ratio).astype(np.float32), float(w[-1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a bounded sample, in the order of a hash of the id: ``max_rows`` rows outside the held-out fold, equal texts once."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(f"pmod(crc32(cast(cast(doc_id as string) as binary)), {modulus}) <> {held}")
-    own = own.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", "y").orderBy("doc_id").collect()
-    texts, ys, seen = [], [], set()
-    for r in rows:
-        text = r["text"] or ""
-        if text not in seen:
-            seen.add(text)
-            texts.append(text)
-            ys.append(r["y"])
-    return texts, np.array(ys, int)
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of a bounded sample outside of the held-out fold, by a hash of the id: ``max_rows`` rows and ``max_bytes`` of text at most.
+
+    Of an id with several labels the least one counts, and of one with several texts the one with the least hash, so a labelled id is one row
+    whatever the tables repeat. Equal texts count once, with the label of the smallest id. First only ids, hashes and lengths reach the driver
+    (``max_rows`` at most), then the texts that fit; a text that doesn't fit any more is left out, and shorter ones after it are taken.
+    """
+    outside = f"pmod(crc32(cast(cast(doc_id as string) as binary)), {modulus}) <> {held}"
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(outside)
+    own = own.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size"))
+    found = rows.join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min(size).alias("t")).select("doc_id", "y", "t.h", "t.size").collect()
+    taken, seen, total = [], set(), 0
+    for r in sorted(found):
+        if (r["h"], r["size"]) not in seen:
+            seen.add((r["h"], r["size"]))
+            taken.append(r)
+    chosen = []
+    for r in sorted(taken, key=lambda r: (zlib.crc32(b"%d" % r["doc_id"]), r["doc_id"])):
+        if total + r["size"] <= max_bytes:
+            total += r["size"]
+            chosen.append((r["doc_id"], r["h"], r["size"], r["y"]))
+    if not chosen:
+        return [], np.zeros(0, int)
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, size long, y int"))
+    texts = rows.withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"]).where(F.octet_length("text") == F.col("size")).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+    texts = sorted(texts.collect(), key=lambda r: r["doc_id"])
+    return [r["text"] for r in texts], np.array([r["y"] for r in texts], int)
 
 
 def held_out(modulus: int, held: int):
@@ -147,16 +169,17 @@ def _scored(model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = 0.3, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each ``docs(doc_id, text)`` row, learnt from ``labels(doc_id, toxic)``.
 
-    The model is fitted on the driver on ``max_rows`` labelled rows at most and broadcast: ``MAX_FEATURES`` n-grams and weights. Every whole
-    text is scored in one pass without a shuffle. Only the text is an input of a score. Empty and null texts get the score of no n-grams.
-    Without labels, or with one class only, the score is that of the prior. Repeated rows repeat their score; other columns are ignored.
+    The model is fitted on the driver on ``max_rows`` labelled rows and ``max_bytes`` of text at most (``training_rows``) and broadcast:
+    ``max_features`` n-grams and weights at most. Every whole text is scored in one pass without a shuffle. Only the text is an input of a
+    score. Empty and null texts get the score of no n-grams. Without labels, or with one class only, the score is that of the prior. Repeated
+    rows repeat their score, different texts under one id have their own; other columns are ignored. An empty table has no rows.
     """
-    texts, ys = training_rows(docs, labels, "toxic", modulus, held, max_rows)
+    texts, ys = training_rows(docs, labels, "toxic", modulus, held, max_rows, max_bytes)
     if len(set(ys.tolist())) == 2:
-        linear = fit(texts, ys)
+        linear = fit(texts, ys, max_features=max_features)
     else:
         prior = (float(ys.sum()) + 0.5) / (len(ys) + 1)
         linear = Linear(np.zeros(0, np.uint64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior))))

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexisift.llm import archives, compression, decontaminate, html_text, minhash, quality, queries, sentencepieces, substrings, token_counts, toxicity
@@ -292,14 +293,43 @@ def test_classifiers_on_odd_rows(spark, operator, label):
     assert operator(docs.limit(0), labels).count() == 0
 
 
-def test_pieces_of_a_dictionary_are_a_parameter(monkeypatch):
+def test_dictionaries_see_all_of_the_sample(monkeypatch):
     seen = []
     monkeypatch.setattr(compression.zstandard, "train_dictionary", lambda size, samples: seen.append(len(samples)) or (_ for _ in ()).throw(ValueError))
-    texts = [bytes([65 + i % 20]) * 256 * 10 for i in range(100)]
-    compression.fit(texts, np.arange(100) % 2, max_pieces=50)
-    few, seen[:] = seen[:], []
-    compression.fit(texts, np.arange(100) % 2)
-    assert set(few) == {50} and set(seen) == {400}
+    texts = [bytes([65 + i % 20]) * 256 * 10 for i in range(3000)]
+    compression.fit(texts, np.arange(3000) % 2)
+    assert set(seen) == {12_000}
+
+
+def test_training_rows_are_bounded(spark):
+    """Many texts under a labelled id, repeated rows, contradicting labels of an id and of equal texts, long texts."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(2, "b")] * 50 + [(i, f"own {i}") for i in range(3, 60)] + [(60, "own 3"), (61, "x" * 5000), (62, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 70)] + [(5, 0), (5, 1), (60, 1), (None, 1)], "doc_id long, toxic int")
+
+    def rows(max_rows, max_bytes):
+        texts, ys = toxicity.training_rows(docs, labels, "toxic", 1, 2, max_rows, max_bytes)
+        return dict(zip(texts, ys.tolist(), strict=True)) if len(set(texts)) == len(texts) == len(ys) else None
+
+    full = rows(1000, 10**6)
+    assert len(full) == 61 and sum(t.startswith("text") for t in full) == 1  # 1..62 but for the text that 3 and 60 share
+    assert full["own 5"] == 0 and full["own 3"] == 1 and full["b"] == 0 and full[""] == 0 and full["x" * 5000] == 1
+    assert 1 <= len(rows(10, 10**6)) <= 10
+    short = rows(1000, 100)
+    assert 10 <= len(short) < 61 and sum(len(t) for t in short) <= 100
+    assert rows(1000, 10**6) == full
+    wide = docs.where("doc_id > 2").repartition(7)
+    assert toxicity.training_rows(wide, labels, "toxic", 1, 2, 20, 10**6)[0] == toxicity.training_rows(wide.coalesce(1), labels, "toxic", 1, 2, 20, 10**6)[0]
+
+
+def test_labels_are_no_inputs_of_a_score(spark):
+    rows = [(i, ("you awful idiot " if i % 3 == 0 else "a kind day ") + f"word{i % 7} " * 4) for i in range(400)]
+    docs = _docs(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    score = {r.doc_id: (r.held_out, r.score) for r in toxicity.toxicity(docs, labels).collect()}
+    held = [i for i, (h, _) in score.items() if h]
+    assert held and all((score[i][1] >= 0.3) == (i % 3 == 0) for i in held)
+    turned = labels.withColumn("toxic", F.when(F.col("doc_id").isin(held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {r.doc_id: (r.held_out, r.score) for r in toxicity.toxicity(docs, turned).collect()} == score
 
 
 def test_token_counts_equal_the_library(spark):
