@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +26,39 @@ def item_words(text: bytes) -> list[bytes]:
     return text.translate(_KEEP).split()
 
 
-def _windows(items: list[tuple[str | None, bytes]], width: int) -> dict[tuple[bytes, ...], set]:
-    """Each distinct window with the ids of its items; an item shorter than a window is one window."""
-    out: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item_id, text in items:
-        words = item_words(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            out[tuple(words[i : i + width])].add(item_id)
-    return out
+@dataclass
+class Index:
+    """The windows of a block of items, as numbers of words, filed under their prefix word: arrays of some 60 bytes a word of the block.
+
+    ``words`` are the block's distinct words; ``windows[k]`` holds the distinct windows of ``k`` words, a row each, ordered by prefix word;
+    ``places[k]`` where in each the prefix word stands, and ``first[k]`` where a word's windows begin. ``owners`` gives the items of a window.
+    """
+
+    words: list[bytes]
+    windows: dict[int, np.ndarray]
+    places: dict[int, np.ndarray]
+    first: dict[int, np.ndarray]
+    owners: dict[int, tuple[np.ndarray, np.ndarray]]  # begins of each window's items, item numbers
+    items: list[str | None]
+
+    def __post_init__(self):
+        self.number = None
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if self.number is None:
+            self.number = {w: i for i, w in enumerate(self.words)}
+        get = self.number.get
+        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+
+    def __getstate__(self):
+        return {**self.__dict__, "number": None}
+
+
+def _cut(items: list[tuple[str | None, bytes]]) -> tuple[list[bytes], list[tuple[str | None, np.ndarray]]]:
+    """Distinct words of the items, and each item as their numbers."""
+    number: dict[bytes, int] = {}
+    cut = [(item_id, np.array([number.setdefault(w, len(number)) for w in item_words(text)], np.int32)) for item_id, text in items]
+    return list(number), [(i, w) for i, w in cut if len(w)]
 
 
 def _rarity(vocabulary):
@@ -45,27 +73,68 @@ def _rarity(vocabulary):
     return run
 
 
-def _index(windows: dict, rarity: dict[bytes, int]) -> dict[bytes, list]:
+def _index(words: list[bytes], items: list[tuple[str | None, np.ndarray]], rarity: np.ndarray, width: int) -> Index:
     """Windows under their necessary prefix token. All of a window must occur, so of its tokens by rarity the first one is prefix enough."""
-    out: dict[bytes, list] = defaultdict(list)
-    for window, ids in windows.items():
-        at = min(range(len(window)), key=lambda i: (rarity.get(window[i], 0), window[i], i))
-        if rarity.get(window[at], 0):  # a word that no document has rules its windows out
-            out[window[at]].append((at, len(window), list(window), tuple(ids)))
-    return dict(out)
+    names = sorted({i for i, _ in items}, key=lambda i: (i is None, i))
+    place = {name: k for k, name in enumerate(names)}
+    order = np.empty(len(words), np.int64)  # rank of a word by rarity, then by its bytes
+    order[np.lexsort((np.argsort(np.argsort(np.array(words, object))), rarity))] = np.arange(len(words))
+    out = Index(words, {}, {}, {}, {}, names)
+    for k in sorted({min(width, len(w)) for _, w in items}):
+        own = [(place[i], w) for i, w in items if min(width, len(w)) == k]
+        rows = np.concatenate([sliding_window_view(w, k) for _, w in own])
+        owner = np.concatenate([np.full(len(w) - k + 1, i, np.int32) for i, w in own])
+        possible = (rarity[rows] > 0).all(axis=1)  # a word that no document has rules its windows out
+        rows, owner = rows[possible], owner[possible]
+        if not len(rows):
+            continue
+        rows, which = np.unique(rows, axis=0, return_inverse=True)
+        at = order[rows].argmin(axis=1)
+        prefix = rows[np.arange(len(rows)), at]
+        by = np.argsort(prefix, kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        pairs = np.unique(np.stack([back[which.ravel()], owner], axis=1), axis=0)
+        out.windows[k], out.places[k] = rows[by], at[by].astype(np.int32)
+        out.first[k] = np.searchsorted(prefix[by], np.arange(len(words) + 1)).astype(np.int32)
+        out.owners[k] = np.searchsorted(pairs[:, 0], np.arange(len(by) + 1)).astype(np.int32), pairs[:, 1].astype(np.int32)
+    return out
 
 
-def _found(words: list[bytes], index: dict[bytes, list]) -> tuple[list[tuple[int, int]], set]:
+def _found(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set]:
+    """Spans of a document's words that windows cover, and the items of these windows."""
     spans, ids = [], set()
-    for p in [i for i, w in enumerate(words) if w in index]:
-        for at, width, window, items in index[words[p]]:
-            start = p - at
-            if start >= 0 and start + width <= len(words) and words[start : start + width] == window:  # position and length bounds, then the words
-                spans.append((start, start + width))
-                ids.update(items)
+    own = index.numbers(words)
+    known = np.flatnonzero(own >= 0)
+    for k, windows in index.windows.items():
+        first = index.first[k]
+        low, high = first[own[known]], first[own[known] + 1]
+        at, low, n = known[high > low], low[high > low], (high - low)[high > low]
+        for begin, end in _chunks(n):
+            p = np.repeat(at[begin:end], n[begin:end])
+            w = np.repeat(low[begin:end], n[begin:end]) + np.arange(len(p)) - np.repeat(np.cumsum(n[begin:end]) - n[begin:end], n[begin:end])
+            start = p - index.places[k][w]
+            fits = (start >= 0) & (start + k <= len(own))  # position and length bounds, then the words
+            start, w = start[fits], w[fits]
+            for j in range(k):
+                same = own[start + j] == windows[w, j]
+                start, w = start[same], w[same]
+            for a in np.unique(start).tolist():
+                spans.append((a, a + k))
+            begins, owners = index.owners[k]
+            for x in np.unique(w).tolist():
+                ids.update(index.items[i] for i in owners[begins[x] : begins[x + 1]].tolist())
     return spans, ids
 
 
+def _chunks(n: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Ranges of positions with some ``most`` candidates each, one position at least."""
+    if not len(n):
+        return
+    cuts = np.flatnonzero(np.diff((np.cumsum(n) - 1) // most)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True)
+
+
 def _union(spans: list[tuple[int, int]]) -> int:
     total, end = 0, 0
     for a, b in sorted(spans):
@@ -129,10 +198,12 @@ def _indexed(docs: DataFrame, items: DataFrame, width: int, block_words: int) ->
     out = []
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        windows = _windows([(r[0], (r[1] or "").encode()) for r in own.collect()], width)  # block_words at most, in the mean
-        vocabulary = spark.sparkContext.broadcast({w for window in windows for w in window})
+        words, cut = _cut([(r[0], (r[1] or "").encode()) for r in own.collect()])  # block_words at most, in the mean
+        vocabulary = spark.sparkContext.broadcast(words)
         counts = docs.select("text").mapInArrow(_rarity(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        out.append(spark.sparkContext.broadcast(_index(windows, {bytes(r[0]): r[1] for r in counts.collect()})))  # words of the block at most
+        rarity = {bytes(r[0]): r[1] for r in counts.collect()}  # words of the block at most
+        out.append(spark.sparkContext.broadcast(_index(words, cut, np.array([rarity.get(w, 0) for w in words], np.int64), width)))
+        vocabulary.unpersist()
     return out
 
 
