@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lexisift.llm.minhash import _MIX, _mixed
-from lexisift.llm.shared import column_bytes, column_text, discard, mapped, row_key, written
+from lexisift.llm.shared import Scope, column_bytes, column_text, discard, mapped, row_key, written
 
 #: Words of the anchor inside a window; words that one automaton takes; words of one anchor beyond which no automaton is built for it (its
 #: states would take gigabytes), and beyond which its windows are no longer counted within one task (of some 100 MB) but dealt out singly.
@@ -282,55 +282,53 @@ def _digested(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_passages(docs: DataFrame, width: int = 35) -> DataFrame:
+def repeated_passages(docs: DataFrame, width: int = 35, scope: Scope | None = None) -> DataFrame:
     """``(_id, _th, spans)``: flat pairs of word positions, end excluded, that windows occurring twice or more cover; for each text that has any.
 
     1. Each text is cut into runs of windows with the same anchor; equal windows have equal anchors, so an anchor that occurs once in the
        corpus (and doesn't return within its run) has no repeated window. What is left is the repeated passages and little more.
-    2. Equal passages become one with a count. An anchor with one distinct passage is settled by it, as is any passage with a count over one.
-    3. The distinct passages of all other anchors are the reference, cut into shards by anchor; a shard's task builds its suffix automaton,
-       weighted with the counts, and streams the passages past it. Shards go to the passages that can match, not all to all: a broadcast
-       reference would grow with the corpus, and the work with its square.
+    2. Equal passages become one with a count, before the shuffle: copies are one row from here on.
+    3. The distinct passages are the reference, cut into shards by anchor; a shard's task builds its suffix automaton, weighted with the
+       counts, and streams the passages past it. Shards go to the passages that can match, not all to all: a broadcast reference would grow
+       with the corpus, and the work with its square.
     4. An anchor with more than ``HOT_WORDS`` words of distinct passages would be too large an automaton; its windows are counted by digest,
        within a task up to ``TASK_WORDS`` words, by a shuffle of single windows beyond.
     """
+    scope = scope or Scope()
     keyed = docs.select("text", *row_key())
     runs = written(mapped(keyed, _anchored(width), "v long, d long, _id long, _th long, start int, n int, again boolean"), "passages")
     often = runs.groupBy("v").agg(F.count("*").alias("c"), F.max("again").alias("a")).where("c > 1 or a").select("v")
-    near = written(runs.join(often, "v", "left_semi"), "candidates")
+    near = scope.written(runs.join(often, "v", "left_semi"), "candidates")
     discard(runs)
-    classes = near.groupBy("v", "d").agg(F.count("*").alias("times"), F.max("again").alias("again"), F.min(F.struct("_id", "_th", "start", "n")).alias("rep"))
-    anchors = classes.groupBy("v").agg(F.count("*").alias("distinct"), F.sum(F.col("rep.n") + F.lit(width - 1)).alias("words"))
-    classes = written(classes.join(anchors, "v"), "classes")
+    classes = near.groupBy("v", "d").agg(F.count("*").alias("times"), F.min(F.struct("_id", "_th", "start", "n")).alias("rep"))
+    anchors = classes.groupBy("v").agg(F.sum(F.col("rep.n") + F.lit(width - 1)).alias("words"))
+    classes = scope.written(classes.join(anchors, "v"), "classes")
 
-    open_ = "distinct > 1 or (again and times = 1)"
-    total = classes.where(open_).agg(F.sum(F.col("rep.n") + F.lit(width - 1))).first()[0] or 0
+    total = classes.agg(F.sum(F.col("rep.n") + F.lit(width - 1))).first()[0] or 0
     shards = 1 + int(total) // SHARD_WORDS
-    wanted = classes.where(open_).select("rep._id", "rep._th", F.struct(F.when(F.col("words") > TASK_WORDS, F.lit(-1)).when(F.col("words") > HOT_WORDS, F.lit(-2)).otherwise(F.pmod(F.xxhash64("v"), F.lit(shards))).cast("long").alias("shard"), "v", "d", "times", F.col("rep.start").alias("start"), F.col("rep.n").alias("n")).alias("w"))
+    shard = F.when(F.col("words") > TASK_WORDS, F.lit(-1)).when(F.col("words") > HOT_WORDS, F.lit(-2)).otherwise(F.pmod(F.xxhash64("v"), F.lit(shards))).cast("long")
+    wanted = classes.select("rep._id", "rep._th", F.struct(shard.alias("shard"), "v", "d", "times", F.col("rep.start").alias("start"), F.col("rep.n").alias("n")).alias("w"))
     wanted = wanted.groupBy("_id", "_th").agg(F.collect_list("w").alias("wanted"))
     texts = keyed.join(wanted, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "wanted")
-    cut = written(mapped(texts, _cut_passages(width), "shard long, v long, d long, times long, words binary"), "reference")
+    cut = scope.written(mapped(texts, _cut_passages(width), "shard long, v long, d long, times long, words binary"), "reference")
     found = cut.where("shard >= 0").repartition("shard").sortWithinPartitions("shard").mapInArrow(_matched(width), "v long, d long, found array<int>")
     busy = cut.where("shard = -2").repartition("v").sortWithinPartitions("v").mapInArrow(_tallied(width), "v long, d long, found array<int>")
     windows = mapped(cut.where("shard = -1"), _windowed(width), "v long, d long, times long, o int, w1 long, w2 long")
     common = windows.groupBy("w1", "w2").agg(F.sum("times").alias("c")).where("c > 1").select("w1", "w2")
     hot = windows.join(common, ["w1", "w2"], "left_semi").groupBy("v", "d").agg(F.flatten(F.collect_list(F.array("o", "o"))).alias("found"))
     marks = found.unionByName(busy).unionByName(hot)
-    marks = marks.join(classes.where(f"times = 1 and ({open_})").select("v", "d"), ["v", "d"], "left_semi")
-    whole = classes.where("times > 1").select("v", "d", F.array(F.lit(0), F.col("rep.n") - 1).alias("found"))
-    marks = marks.unionByName(whole)
     spans = F.flatten(F.expr(f"transform(sequence(0, size(found) div 2 - 1), k -> array(start + found[2 * k], start + found[2 * k + 1] + {width}))"))
     return near.join(marks, ["v", "d"]).where("size(found) > 1").select("_id", "_th", spans.alias("s")).groupBy("_id", "_th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
-def substring_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 35, scope: Scope | None = None) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` for each ``docs(doc_id, text)`` row, with every repeated window of ``width`` words removed.
 
     Windows are judged on the input. Words are runs without \\x20 and \\x09-\\x0D. Null and empty texts, and texts shorter than a window, keep
     what they have. Repeated rows repeat each other's windows and lose them, like copies under other ids. Rows of one id with different texts
     are told apart by the text. Empty tables give empty results; other columns are ignored.
     """
-    marked = repeated_passages(docs, width)
+    marked = repeated_passages(docs, width, scope)
     keyed = docs.select("doc_id", "text", *row_key()).join(marked, ["_id", "_th"], "left")
     return mapped(keyed.select("doc_id", "text", "spans"), _digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -350,9 +348,13 @@ def _trimmed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([get("_row"), pa.array(out, pa.string())], ["_row", "_cut"])
 
 
-def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
-    """``docs`` with all columns, repeated windows cut out of ``text``; rows of which nothing is left go. Null text is as empty."""
-    marked = repeated_passages(docs, width)
+def without_repeats(docs: DataFrame, width: int = 35, scope: Scope | None = None) -> DataFrame:
+    """``docs`` with all columns, repeated windows cut out of ``text``; rows of which nothing is left go.
+
+    Null text is as empty. Repeated rows lose each other's windows; null ids, texts under one id and other columns stay as they are; an empty
+    table gives an empty one.
+    """
+    marked = repeated_passages(docs, width, scope)
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "text", *row_key())
     joined = whole.select("_row", "text", F.col("_id"), F.col("_th")).join(marked, ["_id", "_th"], "left").select("_row", "text", "spans")
     cut = mapped(joined, _trimmed, StructType([joined.schema["_row"], StructField("_cut", StringType())]))
