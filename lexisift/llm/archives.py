@@ -23,8 +23,9 @@ ARC_FIELDS = {
 }
 WARC_VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Uncompressed bytes of an archive file, in the mean.
-FILE_BYTES = 24_000_000
+#: Uncompressed bytes of records that are written as one row, a record at least, and such rows of a file: a file holds the product, or twelve of
+#: the largest records if they are larger.
+PACK_BYTES, FILE_PACKS = 2_000_000, 12
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -178,13 +179,18 @@ def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
 def _recorded(version: int, date: str):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         get = lambda k: batch.column(batch.schema.get_field_index(k)).to_pylist()
-        out = []
+        out, size = [b""], 0
         for page_id, url, first, payload in zip(get("page_id"), get("url"), get("first"), column_bytes(batch, "html"), strict=True):
             arc = arc_file([ArcRecord(url or "-", "0.0.0.0", date, "text/html", http_response(payload, "text/html", page_id))], version, date)
             for record in parse_arc(arc):
-                # the writer of text files ends each record with the last of its four closing bytes
-                out.append(warc_record(record, first if first is not None and first != page_id else None)[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+                record = warc_record(record, first if first is not None and first != page_id else None)
+                if size and size + len(record) > PACK_BYTES:
+                    out.append(b"")
+                    size = 0
+                out[-1] += record
+                size += len(record)
+        # the writer of text files ends each row with the last of the closing bytes of its last record
+        yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out if x], pa.binary()).cast(pa.string())], ["value"])
 
     return run
 
@@ -193,14 +199,14 @@ def write_archives(pages: DataFrame, path: str, version: int = 1, least_bytes: i
     """Gzipped WARC files of ``pages(page_id, url, html)`` under ``path``, each page by way of an ARC record of the given version.
 
     Of pages with equal payloads of ``least_bytes`` or more the one with the smallest id is a response and the others revisit it. Equal
-    payloads are found by digest, counted before the shuffle. Files hold about ``FILE_BYTES`` each; executors write them by Spark's writer.
+    payloads are found by digest, counted before the shuffle. Files are bounded by bytes (``PACK_BYTES``, ``FILE_PACKS``); executors write them by
+    Spark's writer. Repeated rows are records of their own, null ids and urls are written as such, other columns are ignored; an empty table
+    gives a folder without records.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("d", F.sha1(F.col("html").cast("binary")))
-    size, rows = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
     firsts = pages.where(F.octet_length("html") >= least_bytes).groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "first")
     records = mapped(pages.join(firsts, "d", "left").select("page_id", "url", "html", "first"), _recorded(version, date), "value string")
-    limit = max(1, FILE_BYTES * max(1, rows) // ((size or 0) + 1000 * max(1, rows)))
-    records.write.option("maxRecordsPerFile", limit).option("compression", "gzip").text(path)
+    records.write.option("maxRecordsPerFile", FILE_PACKS).option("compression", "gzip").text(path)
 
 
 def _reread(batches):

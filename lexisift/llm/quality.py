@@ -55,11 +55,13 @@ def quality_table(docs: DataFrame, rules: tuple[Rule, ...] = RULES, window: int
     """The measures of each ``docs(doc_id, text)`` row, ``base_failed`` and ``kept``; ``keep`` names other columns to carry.
 
     Words are runs without \\x20 and \\x09-\\x0D. ``n_repeat_words`` counts words inside windows of eight words that occur twice or more in
-    the text. Windows are compared by 64-bit hashes, built by doubling: of words, of pairs, of fours, of eights; only texts with an equal
-    pair of window hashes go on to the sorted list of starts. Everything is built-in expressions over one row: no shuffle, no Python.
+    the text (``window`` words, any number from 1 on). Windows are compared by 64-bit hashes, built by doubling: of words, of pairs, of fours, of
+    eights; only texts with an equal pair of window hashes go on to the sorted list of starts. Everything is built-in expressions over one row: no shuffle, no Python.
 
     Null text is as empty: no words, base_failed, not kept. Repeated rows give repeated results. Other columns are ignored.
     """
+    if window < 1:
+        raise ValueError(f"window {window}")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", *keep, text.alias("_t"))
     rows = rows.select("doc_id", *keep, "_t", F.translate("_t", " \t\n\x0b\x0c\r", "").alias("_c"), F.when(F.col("_t").rlike(r"[^\x20\x09-\x0D]"), F.split(F.regexp_replace("_t", f"^{SPACE}", ""), SPACE)).otherwise(F.array().cast("array<string>")).alias("_raw"))
@@ -86,11 +88,21 @@ def quality_table(docs: DataFrame, rules: tuple[Rule, ...] = RULES, window: int
         rest = F.greatest(F.size(column) - by, F.lit(0))
         return F.zip_with(F.slice(column, F.lit(1), rest), F.slice(column, F.lit(by + 1), rest), lambda a, b: F.xxhash64(a, b))
 
-    step, width = "_h1", 1
-    while width < window:
-        after = f"_h{2 * width}"
-        rows = rows.withColumn(after, doubled(step, width)).drop(step)
-        step, width = after, 2 * width
+    def appended(column: str, done: int, to: str) -> Column:
+        rest = F.greatest(F.size(column) - done, F.lit(0))
+        return F.zip_with(F.slice(to, F.lit(1), rest), F.slice(column, F.lit(done + 1), rest), lambda a, b: F.xxhash64(a, b))
+
+    step, width, whole, done = "_h1", 1, None, 0
+    while width <= window:
+        if window & width:  # the powers of two that the width is a sum of, one after another
+            rows = rows.withColumn("_w", F.col(step) if whole is None else appended(step, done, "_w")) if window != width else rows
+            whole, done = "_w" if window != width else step, done + width
+        if 2 * width <= window:
+            rows = rows.withColumn(f"_h{2 * width}", doubled(step, width)).drop(step)
+            step = f"_h{2 * width}"
+        width *= 2
+    rows = rows.withColumnRenamed(whole, "_h").drop(step)
+    step = "_h"
     pairs = F.sort_array(F.transform(step, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn("_s", F.when(F.size(F.array_distinct(step)) < F.size(step), pairs)).drop(step)
     size = F.size("_s")
@@ -125,7 +137,9 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the table keeps, with all their columns.
+    """The rows of ``docs`` that the table keeps, with all their columns, whatever they are called; a row for each repeated row, null ids included.
+
+    Null and empty texts go, as does every text of fewer than 20 words; an empty table gives an empty one.
 
     The verdict is combined with an expression that isn't deterministic: otherwise the filter is pushed below the projections and each
     measure is computed again for every place that it is mentioned in.

@@ -21,8 +21,9 @@ from lexisift.llm.shared import column_text
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct runs of each of the two generations that a worker remembers; threads of a worker's library.
-REMEMBERED, THREADS = 300_000, 2
+#: Distinct runs of each of the two generations that a worker remembers, and the characters of the longest of them: some 100 MB a worker at
+#: most; threads of a worker's library.
+REMEMBERED, LONGEST, THREADS = 300_000, 64, 2
 
 
 def wire(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -87,7 +88,7 @@ def parse_model(data: bytes) -> Model:
 
 def _merges(model: Model) -> list[tuple[str, str]]:
     """Every split of a piece into two pieces, best score first: the pair whose union scores best merges first."""
-    score = {p: s for p, s, kind in model.pieces if kind in (NORMAL, USER_DEFINED, UNUSED)}
+    score = {p: s for p, s, kind in model.pieces if kind in (NORMAL, UNUSED)}  # user-defined pieces are found before, and never merge
     rank = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     found = [(-s, rank[p], i, p[:i], p[i:]) for p, s in score.items() for i in range(1, len(p)) if p[:i] in score and p[i:] in score]
     return [x[3:] for x in sorted(found)]
@@ -96,7 +97,9 @@ def _merges(model: Model) -> list[tuple[str, str]]:
 def library_tokenizer(model: Model) -> tokenizers.Tokenizer:
     """The model as a tokenizers pipeline for runs whose spaces are markers already, without a dummy prefix."""
     if model.kind == UNIGRAM:
-        own = tokenizers.Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.byte_fallback))
+        best = max(0.0, *(s for _, s, kind in model.pieces if kind == NORMAL))
+        scores = [(p, len(p.encode()) * best - 0.1 if kind == USER_DEFINED else s) for p, s, kind in model.pieces]  # ahead of any other cut of their text
+        own = tokenizers.Tokenizer(models.Unigram(scores, model.unknown, model.byte_fallback))
     elif model.kind == BPE:
         unknown = model.pieces[model.unknown][0]
         own = tokenizers.Tokenizer(models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, _merges(model), unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback))
@@ -116,6 +119,9 @@ class Codec:
         self.library = library_tokenizer(self.model)
         self.normaliser = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.whole = self.library.pre_tokenizer is None
+        # user-defined pieces aren't normalised, the longest first; merges never touch them, a unigram model gives them scores
+        self.user = {p: struct.pack("<i", i) for i, (p, _, kind) in enumerate(self.model.pieces) if kind == USER_DEFINED}
+        self.split_user = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")").split if self.user else None
         # a line break that no piece holds is a run of its own: bytes never merge
         lines = self.model.byte_fallback and not any("\n" in p for p, _, _ in self.model.pieces)
         self.run = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+").findall
@@ -126,7 +132,10 @@ class Codec:
 
     def normal(self, text: str) -> str:
         if self.normaliser is not None:
-            text = self.normaliser.normalize_str(text)
+            if self.split_user:
+                text = "".join(p if p in self.user else self.normaliser.normalize_str(p) for p in self.split_user(text))
+            else:
+                text = self.normaliser.normalize_str(text)
         if self.model.extra_spaces_removed:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
@@ -136,13 +145,23 @@ class Codec:
 
     def runs(self, text: str) -> list[str]:
         text = self.normal(text)
+        if self.split_user and self.model.kind == BPE:
+            return [r for p in self.split_user(text) if p for r in ([p] if p in self.user or self.whole else self.run(p))]
         return ([text] if text else []) if self.whole else self.run(text)
 
+    def _forget(self, split: list[list[str]]) -> None:
+        """Long runs are known for the texts at hand only."""
+        for r in {r for runs in split for r in runs if len(r) > LONGEST}:
+            self.known.pop(r, None)
+            self.unlike.pop(r, None)
+
     def _learn(self, split: list[list[str]]) -> None:
         """Encodes and decodes the runs that aren't known yet, a large batch at a time, with the library's threads."""
         if len(self.known) > REMEMBERED:
             self.known, self.earlier = {}, self.known
             self.unlike = {r: said for r, said in self.unlike.items() if r in self.earlier}
+        if self.model.kind == BPE:
+            self.known.update(self.user)
         missing = set().union(*split).difference(self.known)
         back = self.earlier.keys() & missing
         self.known.update((r, self.earlier[r]) for r in back)
@@ -160,7 +179,9 @@ class Codec:
         """Identifiers of each text, as 32-bit little-endian numbers."""
         split = [self.runs(t) for t in texts]
         self._learn(split)
-        return [b"".join(map(self.known.__getitem__, runs)) for runs in split]
+        out = [b"".join(map(self.known.__getitem__, runs)) for runs in split]
+        self._forget(split)
+        return out
 
     def _text(self, out: str) -> str:
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
@@ -178,7 +199,9 @@ class Codec:
         """Identifiers of each text and what they decode to; each distinct run's identifiers are decoded once, when they are learnt."""
         split = [self.runs(t) for t in texts]
         self._learn(split)
-        return [(b"".join(map(self.known.__getitem__, runs)), self._said(runs)) for runs in split]
+        out = [(b"".join(map(self.known.__getitem__, runs)), self._said(runs)) for runs in split]
+        self._forget(split)
+        return out
 
 
 _CODECS: dict[bytes, Codec] = {}
@@ -232,7 +255,11 @@ def model_data(spark, path: str):
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids array<int>)`` for each ``docs(doc_id, text)`` row by the model file ``path``; null and empty texts have no ids."""
+    """``(doc_id, ids array<int>)`` for each ``docs(doc_id, text)`` row by the model file ``path``.
+
+    Null and empty texts have no ids. Repeated rows repeat their result, null ids stay null, other columns are ignored, whatever they are
+    called; an empty table has no rows.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_listed(model_data(docs.sparkSession, path)), "doc_id long, ids array<int>")
 

@@ -22,14 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of sessions on this machine that name none.
+_OWN: dict[str, str] = {}
+
+
+def tokenizer_path(name: str) -> str:
+    """A file of the public tokenizers, wherever they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one on one machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="lexisift-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="lexisift-")
+        _OWN[spark.sparkContext.applicationId] = named
     return named.rstrip("/")
 
 

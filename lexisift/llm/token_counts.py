@@ -14,8 +14,9 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lexisift.llm.shared import column_text
 
-#: Distinct runs between white space, of each of two generations, whose counts a worker remembers.
-REMEMBERED = 300_000
+#: Distinct runs between white space, of each of two generations, whose counts a worker remembers, and the characters of the longest of them:
+#: some 100 MB a worker at most.
+REMEMBERED, LONGEST = 300_000, 64
 #: Characters that Python takes for white space and the Unicode property doesn't.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -61,7 +62,8 @@ class Counter(dict):
         for part in parts:
             words = self.ascii_words(part.lower()) if part.isascii() else [w for w, _ in self.split(self.normal(part))]
             total += sum(map(self.count, words))
-        self[run] = total
+        if len(run) <= LONGEST:
+            self[run] = total
         return total
 
     def count(self, word: str) -> int:
@@ -123,7 +125,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for each ``docs(doc_id, text)`` row, as the library of the file ``tokenizer`` counts.
 
     The file is read on the driver and broadcast (a vocabulary of fixed size). One pass without a shuffle; a worker remembers the counts of
-    twice ``REMEMBERED`` runs at most. Special strings count one each. Null and empty texts have no tokens. Other columns are ignored.
+    twice ``REMEMBERED`` runs of ``LONGEST`` characters at most. Special strings count one each. Null and empty texts have no tokens; repeated
+    rows repeat their count; an empty table has no rows. Other columns are ignored.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
