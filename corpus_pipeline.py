@@ -1,64 +1,5 @@
-"""Documents to token identifiers: quality rules, near-duplicate removal, substring dedup, decontamination, SentencePiece encoding."""
+"""Documents to token identifiers: the stages, and ``run`` that applies them; they are defined in the subpackage of their operators."""
 
-from __future__ import annotations
+from lexisift.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lexisift.llm import decontaminate, minhash, quality, sentencepieces, substrings
-from lexisift.llm.queries import tokenizer_path
-from lexisift.llm.shared import importable, table, written
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the threshold table keeps; null texts go."""
-    return quality.passing(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group (five-word shingles, similarity 0.8 or more) the row with the smallest id, or one without an id if no row has one.
-
-    Rows are told apart by id and text, so other texts under a kept id are judged by their own groups; repeated rows count once.
-    """
-    importable(spark)
-    rows = minhash.grouped(docs, shingle=5, num=80, den=100)
-    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("_key"))
-    return docs.withColumn("_key", minhash.text_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of 35 words that occur twice or more among them; a document of which nothing is left goes."""
-    importable(spark)
-    out = substrings.without_repeats(docs, width=35)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of a benchmark item."""
-    importable(spark)
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"), width=10)
-
-
-def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The identifiers of each document's text."""
-    importable(spark)
-    return sentencepieces.encoded(docs, tokenizer_path("piece_bpe_32k.model")).withColumn("n_tokens", F.size("ids").cast("long"))
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("decontamination", decontamination),
-    ("sentencepiece", sentencepiece),
-]
-
-#: Suffix automata, minimum hashes and merges have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
