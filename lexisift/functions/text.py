@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexisift.functions.stem import stemmed
+
 #: Word lists of the query masker; fixed values, replaced in this order.
 WH_WORDS = ("what", "where", "why", "when", "who", "which", "how", "whom")
 BINARY_VERBS = ("is", "are", "have", "do")
 COMMANDS = ("describe", "identify", "explain", "name", "report", "include", "provide", "discuss", "note", "specify", "give", "determine", "summarize", "track", "relate", "write")
 MASK, SUBQUERY = "[MASK]", "[SUBQUERY]"
+#: A word of any script: letters and numbers.
+WORD = r"[\pL\pN]+"
 
 
 def one_space(text: Column) -> Column:
@@ -22,7 +26,7 @@ def split_sentences(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
 def article_body(raw: Column) -> Column:
@@ -36,8 +40,8 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.when(F.size(tagged) > 0, tagged).otherwise(F.split(text, "\n\n")), lambda x: F.btrim(x) != "")
 
 
-def normal_sentence(sent: Column, stop_words: tuple[str, ...] = (), min_words: int = 0, drop_dialogue: bool = False, quoted_speech: bool = False) -> Column:
-    """Lower case, one space, null if empty, short or dialogue; then without stop words, duplicates and order kept."""
+def normal_sentence(sent: Column, stop_words: tuple[str, ...] = (), min_words: int = 0, drop_dialogue: bool = False, quoted_speech: bool = False, stem: bool = False) -> Column:
+    """Lower case, one space, null if empty, short or dialogue; then without stop words, duplicates and order kept; then stemmed, if asked."""
     low = F.nullif(one_space(F.lower(sent)), F.lit(""))
     if min_words:
         low = F.when(F.size(tokens(low)) >= min_words, low)
@@ -48,9 +52,17 @@ def normal_sentence(sent: Column, stop_words: tuple[str, ...] = (), min_words: i
     if stop_words:
         kept = F.filter(F.split(low, " "), lambda x: ~x.isin(*stop_words))
         low = F.nullif(F.array_join(kept, " "), F.lit(""))
+    if stem:
+        low = F.nullif(F.array_join(stemmed(F.split(low, " ")), " "), F.lit(""))
     return low
 
 
+def processed_paragraph(sentences: Column, **options) -> Column:
+    """``(sent, proc)`` of the sentences of a paragraph whose processed form isn't empty; native options only."""
+    both = F.transform(sentences, lambda s: F.struct(s.alias("sent"), normal_sentence(s, **options).alias("proc")))
+    return F.filter(both, lambda x: x["proc"].isNotNull())
+
+
 def ngrams(words: Column, n: int) -> Column:
     """The n-grams of a token array, joined by spaces; none if it is shorter than n."""
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
@@ -131,8 +143,18 @@ def without_newline_marks(text: Column) -> Column:
     return F.btrim(F.replace(text, F.lit("NEWLINE_CHAR"), F.lit("")))
 
 
-def merge_masks(words: Column) -> Column:
-    """Adjacent masks as one."""
+def raw_query(parts: Column, kind: str) -> Column:
+    """Of a query's parts the TITLE (the first, with a full stop), the NARR (the others) or the whole QUERY; another kind is an error."""
+    title = F.concat(F.btrim(parts[0]), F.lit("."))
+    narrative = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), " ")
+    return {"TITLE": title, "NARR": narrative, "QUERY": F.concat_ws(" ", title, F.nullif(narrative, F.lit("")))}[kind]
+
+
+def merge_masks(words: Column, base: str | None = None) -> Column:
+    """Adjacent masks as one. With a ``base`` token, it is dropped first, and a sentence of nothing but masks is empty."""
+    if base is not None:
+        left = F.filter(words, lambda w: w != base)
+        return F.when(F.exists(left, lambda w: w != MASK), merge_masks(left)).otherwise(F.array().cast("array<string>"))
     before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
     return F.array_compact(F.zip_with(words, before, lambda w, p: F.when((w != MASK) | (p != MASK), w)))
 
@@ -155,6 +177,20 @@ def pair_features(a: Column, b: Column, most: int) -> dict[str, Column]:
     }
 
 
+def single_features(words: Column, most: int) -> dict[str, Column]:
+    """``[CLS] words`` of a query or paragraph by itself, cut and filled up to ``most``; one segment."""
+    tokens_ = F.slice(F.concat(F.array(F.lit("[CLS]")), words), 1, most)
+    fill = most - F.size(tokens_)
+    return {"tokens": F.concat(tokens_, F.array_repeat(F.lit("[PAD]"), fill)), "segments": F.array_repeat(F.lit(0), most), "mask": filled_mask(F.size(tokens_), most)}
+
+
+def span_masks(lengths: Column, rows: int, most: int, offset: int = 1) -> Column:
+    """For each of ``rows`` sentences ones at its words in a packed paragraph that begins after ``offset`` tokens, zeros elsewhere."""
+    ends = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
+    spans = F.transform(F.slice(ends, 1, rows), lambda end, i: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: ((k >= end - lengths[i] + offset) & (k < end + offset)).cast("int")))
+    return F.concat(spans, F.array_repeat(F.array_repeat(F.lit(0), most), F.greatest(F.lit(0), rows - F.size(lengths))))
+
+
 def filled_mask(n: Column, most: int) -> Column:
     return F.concat(F.array_repeat(F.lit(1), F.least(n, F.lit(most))), F.array_repeat(F.lit(0), F.greatest(most - n, F.lit(0))))
 

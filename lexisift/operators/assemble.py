@@ -105,11 +105,13 @@ def sources(ordered: DataFrame, order: str) -> DataFrame:
     return ordered.groupBy("cid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "sent"))), lambda x: x["sent"]), " ").alias("src"))
 
 
-def generator_rows(sources_: DataFrame, targets: DataFrame, least: int = 0) -> DataFrame:
-    """``(cid, src, tgt)``: a length token of the target before each source; targets with fewer than ``least`` words are left out."""
+def generator_rows(sources_: DataFrame, targets: DataFrame, least: int = 0, queries: DataFrame | None = None, length: bool = True) -> DataFrame:
+    """``(cid, src, tgt)``: a length token of the target, then the query and ``[SEP]`` if there are ``queries(cid, query)``, before each source;
+    targets with fewer than ``least`` words are left out, and an empty query is none."""
     words = F.size(T.tokens(F.col("tgt")))
     rows = sources_.join(targets.select("cid", "tgt").withColumn("_n", words).where(F.col("_n") >= least), "cid")
-    return rows.select("cid", F.concat_ws(" ", T.length_token(F.col("_n")), "src").alias("src"), "tgt")
+    rows = rows.withColumn("_q", F.lit(None).cast("string")) if queries is None else rows.join(queries.select("cid", F.nullif("query", F.lit("")).alias("_q")), "cid", "left")
+    return rows.select("cid", F.concat_ws(" ", *([T.length_token(F.col("_n"))] if length else []), F.concat("_q", F.lit(" [SEP]")), "src").alias("src"), "tgt")
 
 
 def weighted(scores: DataFrame, weights: DataFrame, on: list[str]) -> DataFrame:
@@ -167,3 +169,83 @@ def swapped(ranks: DataFrame, probability: float, seed: int = 2020) -> DataFrame
 
     rows = ranks.select("cid", "rank", "doc_id", "sent_idx", F.col("score").cast("double").alias("score"))
     return rows.groupBy("cid").applyInPandas(one, "cid string, pos long, doc_id long, sent_idx long, score double")
+
+
+def training_rows(scored: DataFrame, masks: DataFrame) -> DataFrame:
+    """``scored(sid, sentence, ...)`` with its cluster's ``masks(cid, masked_summary)``, line-break marks gone from sentences.
+
+    The cluster is the first part of a sentence's id; one without a masked summary is an error, as a row would be lost.
+    """
+    rows = scored.withColumn("cid", F.split_part("sid", F.lit("_"), F.lit(1))).withColumn("sentence", T.without_newline_marks(F.col("sentence")))
+    joined = rows.join(masks.select(F.col("cid").cast("string").alias("cid"), "masked_summary", F.lit(True).alias("_known")), "cid", "left")
+    missing = F.raise_error(F.concat(F.lit("no masked summary of cluster "), "cid")).cast("boolean")
+    return joined.where(F.coalesce("_known", missing)).drop("_known")
+
+
+def member_sentences(members: DataFrame, sents: DataFrame) -> DataFrame:
+    """``(cluster_id, pos, doc_id, sents)`` of ``members(cluster_id, pos, doc_id)``: each member's sentences in order; a missing one has none."""
+    lists = sents.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "sent"))), lambda x: x["sent"]).alias("sents"))
+    return members.join(lists, "doc_id", "left").withColumn("sents", F.coalesce("sents", F.array().cast("array<string>"))).select("cluster_id", "pos", "doc_id", "sents")
+
+
+def member_queries(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(cluster_id, query)``: the queries ``(doc_id, query)`` of a cluster's members in their order, joined by a space; missing and empty ones are skipped."""
+    rows = members.join(queries.where("query <> ''"), "doc_id", "left")
+    own = F.sort_array(F.collect_list(F.when(F.col("query").isNotNull(), F.struct("pos", "query"))))
+    return rows.groupBy("cluster_id").agg(F.array_join(F.transform(own, lambda x: x["query"]), " ").alias("query"))
+
+
+def triggers(queries: DataFrame, headlines: DataFrame) -> DataFrame:
+    """``(cid, query, headlines)``: a query and a map of the headlines ``(did, headline)`` of the documents whose ids start with the cluster's."""
+    hits = prefix_matches(queries.select(F.col("cid").alias("prefix")).distinct(), headlines.select(F.col("did").alias("cid")).distinct())
+    own = hits.select(F.col("prefix").alias("cid"), F.col("cid").alias("did")).join(headlines, "did")
+    maps = own.groupBy("cid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("did", "headline")))).alias("headlines"))
+    return queries.join(maps, "cid", "left").withColumn("headlines", F.coalesce("headlines", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+
+
+def with_references(systems: DataFrame, files: DataFrame) -> DataFrame:
+    """``(cid, text, file, reference)``: a system's text with each reference file that is named by its id, or by it and ``_`` and a digit."""
+    named = files.select(F.regexp_replace("file", "_[0-9]$", "").alias("cid"), "file", F.col("text").alias("reference"))
+    return systems.join(named, "cid")
+
+
+def sentences_by_id(ids: DataFrame, sents: DataFrame) -> DataFrame:
+    """``ids(doc_id, sent_idx, ...)`` with their sentences; an id out of bounds is an error."""
+    joined = ids.join(sents.select("doc_id", "sent_idx", "sent", F.lit(True).alias("_known")), ["doc_id", "sent_idx"], "left")
+    missing = F.raise_error(F.concat(F.lit("no sentence "), F.concat_ws("_", F.col("doc_id").cast("string"), F.col("sent_idx").cast("string")))).cast("boolean")
+    return joined.where(F.coalesce("_known", missing)).drop("_known")
+
+
+def index_range(rows: DataFrame, column: str, start: int, end: int | None = None) -> DataFrame:
+    """Rows from ``start`` on, up to but not including ``end``."""
+    return rows.where((F.col(column) >= start) & (F.lit(True) if end is None else F.col(column) < end))
+
+
+def split(rows: DataFrame, key: str, year: str, test_year: int, dev_ids: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``split``: ``test`` in its year, ``dev`` by the list of ids, the others ``train``; blacklisted ids go. Lists are joined, not collected."""
+    if blacklist is not None:
+        rows = rows.join(blacklist.select(key).distinct(), key, "left_anti")
+    marked = rows.join(dev_ids.select(key).distinct().withColumn("_dev", F.lit(True)), key, "left")
+    return marked.withColumn("split", F.when(F.col(year) == test_year, "test").when(F.col("_dev"), "dev").otherwise("train")).drop("_dev")
+
+
+def group_numbers(rows: DataFrame, within: str, order: list[str], keys: list[str]) -> DataFrame:
+    """Adds ``group``: how often the keys have changed so far, from 0, row by row within a partition."""
+    w = W.partitionBy(within).orderBy(*order)
+    changed = F.lag(F.struct(*keys)).over(w)
+    rows = rows.withColumn("_c", (~F.struct(*keys).eqNullSafe(changed)).cast("int"))
+    return rows.withColumn("group", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_c")
+
+
+def token_ids(rows: DataFrame, vocabulary: DataFrame, key: str, unknown: int = 100) -> DataFrame:
+    """``(key, ids)`` of ``rows(key, words)`` by ``vocabulary(token, id)``, in order; words that it lacks get ``unknown``."""
+    words = rows.select(key, F.posexplode_outer("words").alias("pos", "token")).join(vocabulary.select("token", "id"), "token", "left")
+    found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))
+    return words.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(found)), lambda x: x["id"]).alias("ids"))
+
+
+def unit_order(units: DataFrame) -> DataFrame:
+    """``(unit, cid, slot, line_no)`` of generation units, named by a cluster or ``cid_slot``: by cluster, slots as numbers."""
+    parts = units.select("unit", F.regexp_extract("unit", r"^(.*?)(?:_([0-9]+))?$", 1).alias("cid"), F.regexp_extract("unit", r"_([0-9]+)$", 1).try_cast("int").alias("slot"))
+    every = F.row_number().over(W.orderBy("cid", F.asc_nulls_first("slot"))) - 1  # a row for each unit: as many as a generator decodes
+    return parts.withColumn("line_no", every)

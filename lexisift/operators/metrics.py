@@ -47,3 +47,9 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int)
     bucket = F.least(F.floor((x - low) * bins / (high - low)), F.lit(bins - 1)).cast("long")
     counts = inside.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("cnt"))
     return counts.select("bucket", "cnt", F.round(F.col("cnt").cast("double") / F.sum("cnt").over(W.partitionBy()), 6).alias("ratio"))  # a row for each bin only
+
+
+def example_based(rows: DataFrame) -> DataFrame:
+    """``(p, r, f1)``: means of per-row precision and recall ``rows(p, r)``, and the F1 of these means."""
+    means = rows.agg(F.avg("p").alias("p"), F.avg("r").alias("r"))
+    return means.select(F.round("p", 6).alias("p"), F.round("r", 6).alias("r"), F.round(F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)), 6).alias("f1"))

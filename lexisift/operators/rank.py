@@ -61,7 +61,10 @@ def min_max(scores: DataFrame, keys: str, score: str = "score") -> DataFrame:
     return out.withColumn("normed", F.coalesce(F.try_divide(F.col(score) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))).drop("_lo", "_hi")
 
 
-def l1(scores: DataFrame, keys: str, score: str = "score") -> DataFrame:
+def l1(scores: DataFrame, keys: str, score: str = "score", squash: bool = False) -> DataFrame:
+    """Shares of the sum, negative scores as 0; with ``squash`` of ``tanh(sqrt(x))``."""
+    if squash:
+        scores = scores.withColumn(score, F.tanh(F.sqrt(F.greatest(F.col(score).cast("double"), F.lit(0.0)))))
     out = _joined(scores, keys, _sum=F.sum(F.greatest(F.col(score), F.lit(0))))
     return out.withColumn("normed", F.coalesce(F.try_divide(F.greatest(F.col(score), F.lit(0)), F.col("_sum")), F.lit(0.0))).drop("_sum")
 
@@ -71,8 +74,10 @@ def softmax(scores: DataFrame, keys: str, score: str = "score") -> DataFrame:
     return _joined(out, keys, _sum=F.sum("_e")).withColumn("normed", F.col("_e") / F.col("_sum")).drop("_e", "_hi", "_sum")
 
 
-def interpolated(first: DataFrame, second: DataFrame, on: list[str], weight: float) -> DataFrame:
-    """``weight * first + (1 - weight) * second`` of two score tables on the same rows."""
+def interpolated(first: DataFrame, second: DataFrame, on: list[str], weight: float, scaled_by: str | None = None) -> DataFrame:
+    """``weight * first + (1 - weight) * second`` of two score tables on the same rows; each as shares of its sum by ``scaled_by`` first, if named."""
+    if scaled_by:
+        first, second = (l1(s, scaled_by).drop("score").withColumnRenamed("normed", "score") for s in (first, second))
     both = first.withColumnRenamed("score", "_a").join(second.withColumnRenamed("score", "_b"), on)
     return both.withColumn("score", weight * F.col("_a") + (1 - weight) * F.col("_b")).drop("_a", "_b")
 
@@ -89,6 +94,28 @@ def retrieved(scores: DataFrame, keys: str, *ties: str, filter: str = "topK", va
     raise ValueError(filter)
 
 
+def records(ranks: DataFrame, keys: str, kind: str, grid: list[float], least: int = 0) -> DataFrame:
+    """``ranks`` once for each setting of ``grid`` that keeps the row, with ``var``: the lists that ``topK``, ``comp`` or ``conf`` would keep, in one pass."""
+    w = _by(keys, "rank")
+    if kind == "topK":
+        need = F.col("rank").cast("double")
+    elif kind == "comp":
+        need = F.when(F.col("rank") <= least, 0.0).otherwise(F.col("rank") / F.count("*").over(W.partitionBy(keys)))
+    elif kind == "conf":
+        total = F.sum(F.greatest(F.col("score"), F.lit(0))).over(W.partitionBy(keys))
+        before = F.coalesce(F.sum("score").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        need = F.when((total <= 0) | (F.col("rank") <= least), -1.0).otherwise(before / total)
+    else:
+        raise ValueError(kind)
+    every = F.array(*[F.lit(float(v)) for v in grid])
+    held = F.filter(every, lambda v: (F.col("_need") < v) if kind == "conf" else (F.col("_need") <= v + 1e-12))
+    return ranks.withColumn("_need", need).withColumn("var", F.explode(held)).drop("_need")
+
+
+#: The settings that are tried: filters in steps of 0.05, lists in steps of 10, and each length of a short list.
+FILTERS, TOP, FINE = [round(0.05 * i, 2) for i in range(1, 21)], list(range(10, 151, 10)), list(range(1, 31))
+
+
 def sweep(ranks: DataFrame, ks: list[int], keys: str) -> DataFrame:
     """``(k, n_kept, total)``: what each top-k of a grid keeps, in one pass: each row says the smallest k that keeps it, then running sums."""
     grid = F.array(*[F.lit(k) for k in sorted(ks)])

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lexisift.functions import text as T
-
-
-def units(rows: DataFrame, ids: list[str], words: Column, n: int) -> DataFrame:
-    """``(ids..., gram, c)`` of the n-grams of a token array."""
-    return rows.select(*ids, F.explode(T.ngrams(words, n)).alias("gram")).groupBy(*ids, "gram").agg(F.count("*").alias("c"))
+from lexisift.functions.stem import stemmed
 
 
 def skip_units(words: Column, gap: int = 4) -> Column:
@@ -22,20 +18,68 @@ def skip_units(words: Column, gap: int = 4) -> Column:
     return F.concat(words, F.when(F.size(words) > 0, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def scores(system: DataFrame, references: DataFrame, ids: list[str], n: int, words: str = "words", limit: int | None = None) -> DataFrame:
-    """``(ids..., ref_idx, overlap, sys_n, ref_n, recall, precision, f1)`` of systems against each reference of their cluster.
+def _units(words: Column, kinds: tuple) -> Column:
+    """``(n, gram)`` of every kind: n-grams of n words, or skip-bigrams with unigrams for ``su4``; one without a gram stands for the text itself."""
+
+    def of(n) -> Column:
+        grams = skip_units(words) if n == "su4" else T.ngrams(words, n)
+        return F.transform(F.concat(F.array(F.lit(None).cast("string")), grams), lambda g: F.struct(F.lit(str(n)).alias("n"), g.alias("gram")))
+
+    return F.concat(*map(of, kinds))
 
-    ``system`` has the ids, ``cid`` among them, and a token array; ``references(cid, ref_idx, words)``. Grams meet on (cid, gram); texts
-    without a shared gram have no row.
+
+def scores(system: DataFrame, references: DataFrame, ids: list[str], kinds: int | str | tuple = 1, words: str = "words", limit: int | None = None, stem: bool = False) -> DataFrame:
+    """``(ids..., ref_idx, overlap, sys_n, ref_n, recall, precision, f1)`` of every system against every reference of its cluster.
+
+    ``system`` has the ids, ``cid`` among them, and a token array; ``references(cid, ref_idx, words)``. ``kinds`` is a number of words or
+    ``"su4"``; of several, ``n`` says which in the result. ``limit`` cuts the systems, ``stem`` compares stems. Texts that share nothing score 0, as do empty ones. Grams meet on (cid, n, gram);
+    only shared ones are shuffled, once, and a row for each pair that stands for the pair itself.
     """
+    several = isinstance(kinds, tuple)
+    all_kinds = kinds if several else (kinds,)
+    if stem:
+        system, references = system.withColumn(words, stemmed(words)), references.withColumn("words", stemmed("words"))
     own = F.slice(words, 1, limit) if limit else F.col(words)
-    s, r = units(system, ids, own, n), units(references, ["cid", "ref_idx"], F.col("words"), n).withColumnRenamed("c", "rc")
-    sn = s.groupBy(*ids).agg(F.sum("c").alias("sys_n"))
-    rn = r.groupBy("cid", "ref_idx").agg(F.sum("rc").alias("ref_n"))
-    met = s.join(r, ["cid", "gram"]).groupBy(*ids, "ref_idx").agg(F.sum(F.least("c", "rc")).alias("overlap"))
-    out = met.join(sn, ids).join(rn, ["cid", "ref_idx"])
+
+    def total(n) -> Column:
+        return F.size(F.filter("_u", lambda g: (g["n"] == str(n)) & g["gram"].isNotNull()))
+
+    def spread(rows: DataFrame, keys: list[str], column: Column, size: str) -> DataFrame:
+        rows = rows.select(*keys, _units(F.coalesce(column, F.array().cast("array<string>")), all_kinds).alias("_u"))
+        sizes = F.map_from_arrays(F.array(*[F.lit(str(n)) for n in all_kinds]), F.array(*map(total, all_kinds)))
+        return rows.withColumn("_sizes", sizes).select(*keys, "_sizes", F.explode("_u").alias("_g")).select(*keys, F.col("_sizes")[F.col("_g.n")].cast("long").alias(size), "_g.n", F.coalesce("_g.gram", F.lit("")).alias("gram"), F.col("_g.gram").isNull().alias("_text"))
+
+    refs = spread(references, ["cid", "ref_idx"], F.col("words"), "ref_n").groupBy("cid", "ref_idx", "ref_n", "n", "gram", "_text").agg(F.count("*").alias("rc"))
+    met = spread(system, ids, own, "sys_n").join(refs, ["cid", "n", "gram", "_text"]).repartition(*ids)
+    met = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n", "gram", "_text").agg(F.least(F.count("*"), F.first("rc")).alias("o"))
+    out = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n").agg(F.sum(F.when(F.col("_text"), 0).otherwise(F.col("o"))).alias("overlap"))
     o = F.col("overlap").cast("double")
-    return out.select(*ids, "ref_idx", "overlap", "sys_n", "ref_n", F.round(o / F.col("ref_n"), 6).alias("recall"), F.round(o / F.col("sys_n"), 6).alias("precision"), F.round(2 * o / (F.col("sys_n") + F.col("ref_n")), 6).alias("f1"))
+    share = lambda part, whole, name: F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 6).alias(name)
+    kind = ["n"] if several else []
+    return out.select(*ids, "ref_idx", *kind, "overlap", "sys_n", "ref_n", share(o, F.col("ref_n"), "recall"), share(o, F.col("sys_n"), "precision"), share(2 * o, F.col("sys_n") + F.col("ref_n"), "f1"))
+
+
+def system_score(texts: DataFrame, references: DataFrame, kinds: tuple = (1, 2, "su4"), limit: int | None = 250, stem: bool = False) -> DataFrame:
+    """``(n, recall, f1, n_clusters)`` of a system's ``texts(cid, words)``: the mean over a cluster's references, then over clusters.
+
+    A limit of None scores whole texts; ``l`` among the kinds is the longest common subsequence. A cluster with references but no text scores 0.
+    """
+    every = references.select("cid").distinct().join(texts.select("cid", "words"), "cid", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    grams = tuple(k for k in kinds if k != "l")
+    parts = []
+    if grams:
+        parts.append(scores(every, references, ["cid"], grams, limit=limit, stem=stem).select("cid", "n", "recall", "f1"))
+    if "l" in kinds:
+        own = F.slice("words", 1, limit) if limit else F.col("words")
+        rows = every.select("cid", own.alias("w")).join(references.select("cid", F.col("words").alias("r")), "cid")
+        if stem:
+            rows = rows.select("cid", stemmed("w").alias("w"), stemmed("r").alias("r"))
+        o = common_subsequence("w", "r").cast("double")
+        zero = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+        parts.append(rows.withColumn("o", o).select("cid", F.lit("l").alias("n"), zero(F.col("o"), F.size("r")).alias("recall"), zero(2 * F.col("o"), F.size("w") + F.size("r")).alias("f1")))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    means = both.groupBy("cid", "n").agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+    return means.groupBy("n").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"), F.count("*").alias("n_clusters"))
 
 
 @F.pandas_udf(LongType())

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexisift.functions import text as T
 
@@ -20,70 +21,93 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("cid", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("cid", "term").agg(F.count("*").alias("qtf"))
 
 
+def _words(sents: DataFrame) -> DataFrame:
+    """Each sentence with its words in order, their number, the sum of squares of their counts and that of ``tf * ln(tf)``, from its row alone."""
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("ssq"), F.lit(0.0).alias("xlogx"))
+    xlogx = lambda n: F.when(n > 1, n * F.log(n.cast("double"))).otherwise(F.lit(0.0))
+
+    def step(s, w):
+        tf = F.when(s["word"].eqNullSafe(w), s["tf"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(w.alias("word"), tf.alias("tf"), (s["ssq"] + 2 * tf - 1).alias("ssq"), (s["xlogx"] + xlogx(tf) - xlogx(tf - 1)).alias("xlogx"))
+
+    rows = sents.select(*KEYS, F.array_sort(T.tokens(F.col("sent"))).alias("words"))
+    return rows.withColumn("_s", F.aggregate("words", start, step)).select(*KEYS, "words", F.size("words").cast("long").alias("slen"), F.col("_s.ssq").alias("ssq"), F.col("_s.xlogx").alias("xlogx"))
+
+
+def _shared(sents: DataFrame, queries: DataFrame, *carried: str) -> DataFrame:
+    """``(KEYS, carried..., term, tf, qtf)`` of the terms that sentences share with their query, and a row with an empty term and zeros for each sentence.
+
+    Words meet the query before any shuffle, if Spark broadcasts the query's terms by their size; what is shuffled is shared words only.
+    """
+    mark = F.array(F.lit(""))
+    qs = query_terms(queries).unionByName(queries.select("cid", F.lit("").alias("term"), F.lit(0).cast("long").alias("qtf")))
+    words = sents.select(*KEYS, *carried, F.explode(F.concat(mark, "words")).alias("term"))
+    met = words.join(qs, ["cid", "term"]).repartition(*KEYS).groupBy(*KEYS, *carried, "term", "qtf").agg(F.count("*").alias("n"))
+    return met.withColumn("tf", F.when(F.col("term") == "", 0).otherwise(F.col("n"))).drop("n")
+
+
 def overlaps(sents: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(cid, doc_id, sent_idx, score)``: for each query word occurrence its count in the sentence; sentences without any are left out."""
-    return term_counts(sents).join(query_terms(queries), ["cid", "term"]).groupBy(*KEYS).agg(F.sum(F.col("tf") * F.col("qtf")).alias("score"))
+    """``(cid, doc_id, sent_idx, score)``: for each query word occurrence its count in the sentence, 0 without any; clusters without a query are left out."""
+    rows = sents.select(*KEYS, T.tokens(F.col("sent")).alias("words"))
+    return _shared(rows, queries).groupBy(*KEYS).agg(F.sum(F.col("tf") * F.col("qtf")).alias("score"))
 
 
 def lexical(sents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Overlap count, weighted count, Bhattacharyya coefficient and TF cosine (equal to the dot product of unit rows) in one pass."""
-    terms, qs = term_counts(sents), query_terms(queries)
+    """Overlap count, weighted count, Bhattacharyya coefficient and TF cosine (equal to the dot product of unit rows) in one pass; 0 without a shared word."""
+    qs = query_terms(queries)
     sizes = qs.groupBy("cid").agg(F.sum("qtf").alias("qlen"), F.sum(F.col("qtf") * F.col("qtf")).alias("qsq"))
-    lens = terms.groupBy(*KEYS).agg(F.sum("tf").alias("slen"), F.sum(F.col("tf") * F.col("tf")).alias("ssq"))
-    shared = terms.join(qs, ["cid", "term"]).groupBy(*KEYS).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.sum(F.sqrt((F.col("tf") * F.col("qtf")).cast("double"))).alias("root"))
-    out = shared.join(lens, KEYS).join(sizes, "cid")
+    terms = _shared(_words(sents), queries, "slen", "ssq")
+    out = terms.groupBy(*KEYS, "slen", "ssq").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.sum(F.sqrt((F.col("tf") * F.col("qtf")).cast("double"))).alias("root")).join(sizes, "cid")
     d = lambda c: F.col(c).cast("double")
+    share = lambda a, b, name: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6).alias(name)
     return out.select(
         *KEYS, F.col("dot").alias("count"),
-        F.round(d("dot") / F.col("qlen"), 6).alias("weighted_count"),
-        F.round(d("root") / F.sqrt(d("slen") * F.col("qlen")), 6).alias("bhattacharyya"),
-        F.round(d("dot") / F.sqrt(d("ssq") * F.col("qsq")), 6).alias("tf_cosine"),
+        share(d("dot"), d("qlen"), "weighted_count"),
+        share(d("root"), F.sqrt(d("slen") * F.col("qlen")), "bhattacharyya"),
+        share(d("dot"), F.sqrt(d("ssq") * F.col("qsq")), "tf_cosine"),
     )
 
 
-def _corpus(sents: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Term rows, query terms, ``(cid, n)`` and ``(cid, term, df)`` with the query as one text of the corpus."""
-    terms, qs = term_counts(sents), query_terms(queries)
-    n = sents.groupBy("cid").agg((F.count("*") + 1).alias("n"))
-    df = terms.groupBy("cid", "term").agg(F.count("*").alias("c")).unionByName(qs.select("cid", "term", F.lit(1).cast("long").alias("c"))).groupBy("cid", "term").agg(F.sum("c").alias("df"))
-    return terms, qs, n, df
+def _frequencies(sents: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(cid, term, df, n)`` with the query as one text of the corpus: a sentence gives its distinct words, counted before they are shuffled."""
+    texts = sents.select("cid", T.tokens(F.col("sent")).alias("w")).unionByName(queries.select("cid", T.tokens(F.col("query")).alias("w")))
+    n = texts.groupBy("cid").agg(F.count("*").alias("n"))
+    return texts.select("cid", F.explode(F.array_distinct("w")).alias("term")).groupBy("cid", "term").agg(F.count("*").alias("df")).join(n, "cid")
 
 
 def tfidf_cosine(sents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of TF-IDF rows, smooth idf ``ln((1 + n) / (1 + df)) + 1``."""
-    terms, qs, n, df = _corpus(sents, queries)
-    idf = df.join(n, "cid").select("cid", "term", (F.log((F.col("n") + 1).cast("double") / (F.col("df") + 1)) + 1).alias("idf"))
-    w = terms.join(idf, ["cid", "term"]).select(*KEYS, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    q = qs.join(idf, ["cid", "term"]).select("cid", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
-    norms = w.groupBy(*KEYS).agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    """Cosine of TF-IDF rows, smooth idf ``ln((1 + n) / (1 + df)) + 1``; 0 without a shared word."""
+    idf = _frequencies(sents, queries).select("cid", "term", (F.log((F.col("n") + 1).cast("double") / (F.col("df") + 1)) + 1).alias("idf"))
+    q = query_terms(queries).join(idf, ["cid", "term"]).select("cid", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
     qn = q.groupBy("cid").agg(F.sum(F.col("qw") * F.col("qw")).alias("qs"))
-    dots = w.join(q, ["cid", "term"]).groupBy(*KEYS).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norms, KEYS).join(qn, "cid").select(*KEYS, F.round(F.col("dot") / F.sqrt(F.col("s") * F.col("qs")), 6).alias("score"))
+    w = term_counts(sents).join(idf, ["cid", "term"]).join(q, ["cid", "term"], "left").select(*KEYS, (F.col("tf") * F.col("idf")).alias("w"), "qw")
+    sums = w.groupBy(*KEYS).agg(F.sum(F.col("w") * F.col("w")).alias("s"), F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"))
+    every = sents.select(*KEYS).join(qn, "cid").join(sums, KEYS, "left")
+    return every.select(*KEYS, F.round(F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("s") * F.col("qs"))), F.lit(0.0)), 6).alias("score"))
 
 
 def bm25(sents: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """Okapi BM25 with the query as a text of the corpus; a negative idf becomes ``epsilon`` times the mean idf of the cluster's terms."""
-    terms, qs, n, df = _corpus(sents, queries)
-    lens = terms.groupBy(*KEYS).agg(F.sum("tf").alias("len"))
-    total = lens.groupBy("cid").agg(F.sum("len").alias("l")).join(qs.groupBy("cid").agg(F.sum("qtf").alias("ql")), "cid").join(n, "cid")
-    stats = total.select("cid", "n", ((F.col("l") + F.col("ql")).cast("double") / F.col("n")).alias("avgdl"))
-    raw = df.join(stats, "cid").select("cid", "term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    """Okapi BM25 with the query as a text of the corpus; a negative idf becomes ``epsilon`` times the mean idf of the cluster's terms; 0 without a shared word."""
+    sizes = sents.select("cid", F.size(T.tokens(F.col("sent"))).cast("long").alias("l")).unionByName(queries.select("cid", F.size(T.tokens(F.col("query"))).cast("long").alias("l")))
+    stats = sizes.groupBy("cid").agg((F.sum("l").cast("double") / F.count("*")).alias("avgdl"))
+    raw = _frequencies(sents, queries).select("cid", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     mean = raw.groupBy("cid").agg(F.avg("idf").alias("mean"))
-    idf = qs.join(raw, ["cid", "term"]).join(mean, "cid").select("cid", "term", "qtf", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    hit = terms.join(idf, ["cid", "term"]).join(lens, KEYS)
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return hit.groupBy(*KEYS).agg(F.round(F.sum(part), 6).alias("score"))
+    idf = query_terms(queries).join(raw, ["cid", "term"]).join(mean, "cid").join(stats, "cid").select("cid", "term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    rows = sents.select(*KEYS, T.tokens(F.col("sent")).alias("words")).withColumn("slen", F.size("words"))
+    hit = _shared(rows, queries, "slen").join(idf, ["cid", "term"], "left")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("slen") / F.col("avgdl")))
+    return hit.groupBy(*KEYS).agg((F.round(F.sum(F.coalesce(part, F.lit(0.0))), 6) + F.lit(0.0)).alias("score"))
 
 
 def kl_divergence(sents: DataFrame, queries: DataFrame, epsilon: float = 1e-6) -> DataFrame:
-    """KL(sentence || query) with ``epsilon`` for words that the query lacks: an extension."""
-    terms, qs = term_counts(sents), query_terms(queries)
-    lens = terms.groupBy(*KEYS).agg(F.sum("tf").alias("len"))
-    ql = qs.groupBy("cid").agg(F.sum("qtf").alias("ql"))
-    p = F.col("tf") / F.col("len")
-    q = F.coalesce(F.col("qtf") / F.col("ql"), F.lit(0.0)) + epsilon
-    joined = terms.join(lens, KEYS).join(ql, "cid").join(qs, ["cid", "term"], "left")
-    return joined.groupBy(*KEYS).agg(F.round(F.sum(p * F.log(p / q)), 6).alias("score"))
+    """KL(sentence || query) with ``epsilon`` for words that the query lacks: an extension; 0 of a sentence without words."""
+    ql = query_terms(queries).groupBy("cid").agg(F.sum("qtf").alias("ql"))
+    terms = _shared(_words(sents), queries, "slen", "xlogx").join(ql, "cid")
+    # sum of p ln(p / epsilon) over all words, from the row's own sums, and the difference that shared words make
+    shift = F.col("tf") / F.col("slen") * (F.log(F.lit(epsilon)) - F.log(F.col("qtf") / F.col("ql") + epsilon))
+    out = terms.groupBy(*KEYS, "slen", "xlogx").agg(F.sum(F.when(F.col("tf") > 0, shift).otherwise(F.lit(0.0))).alias("shift"))
+    own = F.col("xlogx") / F.col("slen") - F.log(F.col("slen").cast("double")) - F.log(F.lit(epsilon))
+    return out.select(*KEYS, F.round(F.when(F.col("slen") > 0, own + F.col("shift")).otherwise(F.lit(0.0)), 6).alias("score"))
 
 
 def similarity_pairs(nodes: DataFrame, cross_document: bool = False, idf: bool = False) -> DataFrame:
@@ -152,3 +176,47 @@ def vector_similarity(a, b, kind: str = "cosine"):
     if kind == "sigmoid":
         return 1 / (1 + F.exp(-dot))
     raise ValueError(kind)
+
+
+def terminated(scores: Column, *index: Column) -> Column:
+    """``(sid, score)`` of an array of scores up to the first -inf; ids are the given numbers and the position, joined by ``_``."""
+    end = F.array_position(scores, F.lit(float("-inf"))).cast("int")
+    kept = F.when(end > 0, F.slice(scores, F.lit(1), end - 1)).otherwise(scores)
+    return F.transform(kept, lambda x, i: F.struct(F.concat_ws("_", *[k.cast("string") for k in index], i.cast("string")).alias("sid"), x.alias("score")))
+
+
+def identified(scores: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(cid, sid, score)``: a vector of scores ``scores(cid, vector)`` by the map ``ids(cid, abs, sid)`` of its positions; -inf ends a vector."""
+    flat = scores.select("cid", F.explode(terminated(F.col("vector"))).alias("s")).select("cid", F.col("s.sid").cast("long").alias("abs"), "s.score")
+    return flat.join(ids, ["cid", "abs"]).select("cid", "sid", "score")
+
+
+def passage_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(cid, pid, score)``: TF cosine of ``passages(cid, pid, text)`` with their cluster's query."""
+    rows = passages.select("cid", F.col("pid").alias("doc_id"), F.lit(0).alias("sent_idx"), F.col("text").alias("sent"))
+    return lexical(rows, queries).select("cid", F.col("doc_id").alias("pid"), F.col("tf_cosine").alias("score"))
+
+
+def components(nodes: DataFrame, queries: DataFrame, kind: str = "tfidf", cross_document: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Similarities and relevance of bounded nodes ``(cid, i, doc_id, sent_idx, sent)`` by the name of their weights: ``tfidf``, ``bm25``, or
+    ``partial`` (TF-IDF similarity, BM25 relevance)."""
+    if kind not in ("tfidf", "bm25", "partial"):
+        raise ValueError(kind)
+    similarity = bm25_pairs(nodes) if kind == "bm25" else similarity_pairs(nodes, cross_document, idf=True)
+    return similarity, (tfidf_cosine if kind == "tfidf" else bm25)(nodes.select(*KEYS, "sent"), queries)
+
+
+def massed(pairs: DataFrame, share: float) -> DataFrame:
+    """Of each node's similarities ``(cid, i, j, sim)`` the largest until they reach a share of their sum, the one that reaches it included."""
+    w = W.partitionBy("cid", "i")
+    before = F.coalesce(F.sum("sim").over(w.orderBy(F.desc("sim"), "j").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return pairs.withColumn("_b", before).withColumn("_t", F.sum("sim").over(w)).where(F.col("_b") < F.col("_t") * F.lit(share)).drop("_b", "_t")
+
+
+def pooled(vectors: DataFrame, queries: DataFrame, kind: str = "cosine", pool: str = "avg") -> DataFrame:
+    """``(cid, sid, score)``: similarity of ``vectors(cid, sid, embedding)`` to the sentences ``queries(cid, embedding)`` of their query, averaged or
+    the largest; rows without a vector are padding and left out."""
+    if pool not in ("avg", "max"):
+        raise ValueError(pool)
+    both = vectors.where("embedding is not null").join(queries.where("embedding is not null").select("cid", F.col("embedding").alias("_q")), "cid")
+    return both.groupBy("cid", "sid").agg(getattr(F, pool)(vector_similarity(F.col("embedding"), F.col("_q"), kind)).alias("score"))

@@ -55,14 +55,15 @@ def greedy_rows(rows: list[dict], budget: int, unit: str, threshold: float, bloc
     return taken
 
 
-def greedy(ranks: DataFrame, budget: int, unit: str = "words", threshold: float = 0.6, block: int | None = None, skips: int | str | None = None) -> DataFrame:
-    """``(cid, pos, doc_id, sent_idx)`` chosen from ``ranks(cid, rank, doc_id, sent_idx, words)``."""
+def greedy(ranks: DataFrame, budget: int, unit: str = "words", threshold: float = 0.6, block: int | None = None, skips: int | str | None = None, texts: bool = False) -> DataFrame:
+    """``(cid, pos, doc_id, sent_idx)``, with ``words`` if ``texts``, chosen from ``ranks(cid, rank, doc_id, sent_idx, words)``."""
+    names = ["cid", "pos", "doc_id", "sent_idx"] + ["words"] * texts
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = greedy_rows(pdf.sort_values("rank").to_dict("records"), budget, unit, threshold, block, skips)
-        return pd.DataFrame([(r["cid"], i + 1, r["doc_id"], r["sent_idx"]) for i, r in enumerate(rows)], columns=["cid", "pos", "doc_id", "sent_idx"])
+        return pd.DataFrame([tuple({**r, "pos": i + 1}[k] for k in names) for i, r in enumerate(rows)], columns=names)
 
-    return ranks.select("cid", "rank", "doc_id", "sent_idx", "words").groupBy("cid").applyInPandas(one, SELECTED)
+    return ranks.select("cid", "rank", "doc_id", "sent_idx", "words").groupBy("cid").applyInPandas(one, SELECTED + ", words array<string>" * texts)
 
 
 def _similarity(bags: list[Counter]) -> np.ndarray:
@@ -76,16 +77,14 @@ def _similarity(bags: list[Counter]) -> np.ndarray:
     return m @ m.T
 
 
-def lexrank_scores(sim: np.ndarray, restart: np.ndarray, damping: float = 0.85, rounds: int = 50) -> np.ndarray:
-    """Power iteration ``p <- d M' p + (1 - d) r`` on the row-stochastic similarity without its diagonal; rows of zeros restart."""
+def lexrank_scores(sim: np.ndarray, restart: np.ndarray, damping: float = 0.85) -> np.ndarray:
+    """The fixed point of ``p <- d M' p + (1 - d) r`` on the row-stochastic similarity without its diagonal; rows of zeros restart."""
+    n = len(restart)
     m = sim - np.diag(np.diag(sim))
     total = m.sum(axis=1, keepdims=True)
-    r = restart / restart.sum() if restart.sum() > 0 else np.full(len(restart), 1 / max(1, len(restart)))
-    m = np.divide(m, total, out=np.tile(r, (len(r), 1)), where=total > 0)
-    p = r
-    for _ in range(rounds):
-        p = damping * (m.T @ p) + (1 - damping) * r
-    return p
+    r = restart / restart.sum() if restart.sum() > 0 else np.full(n, 1 / max(1, n))
+    m = np.divide(m, total, out=np.tile(r, (n, 1)), where=total > 0)
+    return np.linalg.solve(np.eye(n) - damping * m.T, (1 - damping) * r)
 
 
 def wan_order(score: np.ndarray, sim: np.ndarray, omega: float = 10) -> list[tuple[int, float]]:

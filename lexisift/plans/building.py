@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexisift.functions import text as T
-from lexisift.operators import assemble, rank, score
-from lexisift.plans.catalogue import _HEAD, _PAIRS, _MET, _RANKED, _REFS, _REL, _SENTS, _head, _long, _query, _sents, _top, sim_pairs_cosine
+from lexisift.operators import assemble, mask, rank, rouge, score
+from lexisift.plans import drivers
+from lexisift.plans.catalogue import _HEAD, _PAIRS, _MET, _QS, _RANKED, _REFS, _REL, _SENTS, _head, _long, _query, _sents, _top, sim_pairs_cosine
 from lexisift.sources.tables import documents, references, table
 from lexisift.sources.tables import queries as cluster_queries
 
 _BEST = _RANKED + ", best as (select cid, doc_id, sent_idx, sent, score, rank from ranks join sents using (cid, doc_id, sent_idx) where rank <= 30)"
 _LOCAL = _BEST + """, m as (select cid, doc_id, avg(score) as mean, min(rank) as head from best group by all),
 placed as (select b.*, row_number() over (partition by b.cid order by mean desc, head, sent_idx) as pos from best b join m using (cid, doc_id))"""
-_TARGET = f"{_REFS}, tgts as (select cid, text as tgt, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as n from refs where ref_idx = 0)"
+_TARGET = f"{_REFS}, tgts as (select cid, text as tgt, len(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as n from refs where ref_idx = 0)"
 _TOKEN = "'[unused' || case when n < 100 then 85 when n >= 400 then 400 else 100 + ((n - 100) // 15) * 15 end || '] '"
 
 
@@ -58,7 +60,7 @@ def yearly_cluster_sample(spark, d):
     return assemble.sampled_clusters(rows, 5).select(*_long("year"), "cid")
 
 
-@_query(_BEST + """, w as (select cid, rank as pos, doc_id, sent_idx, len(regexp_extract_all(lower(sent), '[a-z0-9]+')) as n from best), c as (select *, sum(n) over (partition by cid order by pos) as cum, sum(n) over (partition by cid) as total from w)
+@_query(_BEST + """, w as (select cid, rank as pos, doc_id, sent_idx, len(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) as n from best), c as (select *, sum(n) over (partition by cid order by pos) as cum, sum(n) over (partition by cid) as total from w)
 select cid, pos, doc_id, sent_idx from c where total >= 100 and cum - n < 100""")
 def lead_words(spark, d):
     rows = _best(spark, d).select("cid", F.col("rank").alias("pos"), "doc_id", "sent_idx", F.size("words").cast("long").alias("n_words"))
@@ -82,7 +84,7 @@ def generator_rows_by_position(spark, d):
     return assemble.generator_rows(assemble.sources(assemble.local_order(_best(spark, d)), "pos"), _targets(spark, d))
 
 
-@_query(_REL + """, s as (select cid, doc_id, sent_idx, round(dot::double / sqrt((ssq::double) * qsq), 6) as estimated from rel), r as (select *, row_number() over (partition by cid order by estimated desc, doc_id, sent_idx) as rank from s)
+@_query(_REL + """, s as (select cid, doc_id, sent_idx, round(coalesce(dot::double / nullif(sqrt((ssq::double) * qsq), 0), 0), 6) as estimated from rel), r as (select *, row_number() over (partition by cid order by estimated desc, doc_id, sent_idx) as rank from s)
 select doc_id || '_' || sent_idx as sid, cid, rank, estimated from r where rank <= 30""")
 def estimated_label_rows(spark, d):
     """A scorer's predictions as rows of estimated labels, best first."""
@@ -102,7 +104,7 @@ def query_expansion(spark, d):
 @_query("select distinct item_id, source as cid from benchmark join documents on starts_with(source, 'src' || (item_id % 20))")
 def prefix_reference_match(spark, d):
     names = references(spark, d).select(F.col("cid").alias("prefix"), "item_id")
-    return assemble.prefix_matches(names, documents(spark, d, None).select("cid").distinct()).select("item_id", "cid")
+    return assemble.prefix_matches(names, documents(spark, d).select("cid").distinct()).select("item_id", "cid")
 
 
 @_query(f"with {_SENTS} select doc_id, sent_idx, quality from sents join labels using (doc_id)")
@@ -115,14 +117,14 @@ def sim_conditioned(spark, d):
     return assemble.conditioned(sim_pairs_cosine(spark, d)).select("cid", "i", "j", F.round("sim", 6).alias("sim"))
 
 
-@_query(f"with {_HEAD}" + """, dt as (select distinct cid, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from docs), n as (select cid, count(distinct doc_id) as n from docs group by cid), df as (select cid, term, count(*) as df from dt group by all),
-tf as (select cid, i, term, count(*) as tf from (select cid, i, unnest(regexp_extract_all(lower(sent), '[a-z0-9]+')) as term from head) group by all), w as (select cid, i, term, tf * ln(n::double / df) as w from tf join df using (cid, term) join n using (cid) where term not in ('the', 'of', 'and', 'a', 'to', 'in') and n > df),
+@_query(f"with {_HEAD}" + """, dt as (select distinct cid, doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as term from docs), n as (select cid, count(distinct doc_id) as n from docs group by cid), df as (select cid, term, count(*) as df from dt group by all),
+tf as (select cid, i, term, count(*) as tf from (select cid, i, unnest(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) as term from head) group by all), w as (select cid, i, term, tf * ln(n::double / df) as w from tf join df using (cid, term) join n using (cid) where term not in ('the', 'of', 'and', 'a', 'to', 'in') and n > df),
 s as (select cid, i, sum(w * w) as s from w group by all), p as (select a.cid, a.i, b.i as j, sum(a.w * b.w) as dot from w a join w b on a.cid = b.cid and a.term = b.term and a.i < b.i group by all) select p.cid, p.i, p.j, round(dot / sqrt(x.s * y.s), 6) as sim from p join s x on x.cid = p.cid and x.i = p.i join s y on y.cid = p.cid and y.i = p.j""")
 def sim_pairs_document_idf(spark, d):
     return score.similarity_pairs_by_documents(_head(spark, d), documents(spark, d), ("the", "of", "and", "a", "to", "in"))
 
 
-_BM25_PAIRS = f"with {_HEAD}" + """, t as (select cid, i, term, count(*) as tf from (select cid, i, unnest(regexp_extract_all(lower(sent), '[a-z0-9]+')) as term from head) group by all), lens as (select cid, i, sum(tf) as len from t group by all),
+_BM25_PAIRS = f"with {_HEAD}" + """, t as (select cid, i, term, count(*) as tf from (select cid, i, unnest(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) as term from head) group by all), lens as (select cid, i, sum(tf) as len from t group by all),
 stats as (select cid, count(*) as n, avg(len) as avgdl from lens group by cid), raw as (select cid, term, any_value(avgdl) as avgdl, ln((any_value(n) - count(*) + 0.5::double) / (count(*) + 0.5::double)) as idf from t join stats using (cid) group by all),
 mean as (select cid, avg(idf) as m from raw group by cid), idf as (select cid, term, avgdl, case when idf < 0 then 0.25::double * m else idf end as idf from raw join mean using (cid)),
 w as (select cid, i as j, term, idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avgdl)) as w from t join lens using (cid, i) join idf using (cid, term)),
@@ -153,3 +155,134 @@ def weighted_scores(spark, d):
 @_query()
 def swapped_ranks(spark, d):
     return assemble.swapped(_best(spark, d), 0.3)
+
+
+_WORDS = "regexp_extract_all(lower({}), '[\\pL\\pN]+')"
+
+
+@_query(f"""with {_SENTS}, m as (select item_id::varchar as cid, [case when length(x) > 4 then '[MASK]' else x end for x in {_WORDS.format("text")}] as w from benchmark),
+k as (select cid, array_to_string([w[i] for i in range(1, len(w) + 1) if i = 1 or w[i] <> '[MASK]' or w[i - 1] <> '[MASK]'], ' ') as masked_summary from m)
+select doc_id || '_' || sent_idx as sid, trim(replace(sent, 'NEWLINE_CHAR', '')) as sentence, masked_summary from sents join k on k.cid = doc_id::varchar""")
+def masked_training_rows(spark, d):
+    """Sentences joined with the masked summary of the cluster that their id begins with."""
+    words = F.transform(T.tokens(F.col("text")), lambda x: F.when(F.length(x) > 4, T.MASK).otherwise(x))
+    masks = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("cid"), F.array_join(T.merge_masks(words), " ").alias("masked_summary"))
+    scored = _sents(spark, d).join(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select(T.sid(F.col("doc_id"), F.col("sent_idx")).alias("sid"), F.col("sent").alias("sentence"))
+    return assemble.training_rows(scored, masks).select("sid", "sentence", "masked_summary")
+
+
+@_query("""with t as (select conv_id, list(text order by turn) as l from conversations where role = 'user' group by conv_id), m as (select item_id as cluster_id, unnest([0, 1, 2]) as pos, item_id + unnest([0, 7, 1000000]) as conv_id from benchmark)
+select cluster_id, coalesce(string_agg(case when l[1] <> '' then l[1] end, ' ' order by pos), '') as query from m left join t using (conv_id) group by cluster_id""")
+def member_query_join(spark, d):
+    """The first questions of a sample's conversations; missing ones are skipped."""
+    first = table(spark, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("query"))
+    members = table(spark, d, "benchmark").select(F.col("item_id").alias("cluster_id"), F.posexplode(F.array(F.col("item_id"), F.col("item_id") + 7, F.col("item_id") + 1000000)).alias("pos", "doc_id"))
+    return assemble.member_queries(members, first)
+
+
+@_query(f"with {_QS.replace(', qt as', ', unused as')}, h as (select source || '_' || doc_id as did, source, text[1:20] as headline from documents) select cid, min(query) as query, count(did) as n, coalesce(string_agg(headline, '|' order by did), '') as headlines from qs left join h on starts_with(did, cid || '_') group by cid")
+def trigger_assembly(spark, d):
+    """A query with the headlines of all documents whose ids begin with its cluster's."""
+    heads = table(spark, d, "documents").select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("did"), F.substring("text", 1, 20).alias("headline"))
+    rows = assemble.triggers(cluster_queries(spark, d).withColumn("cid", F.concat("cid", F.lit("_"))), heads)
+    return rows.select(F.rtrim(F.col("cid"), F.lit("_")).alias("cid"), "query", F.size("headlines").cast("long").alias("n"), F.array_join(F.map_values("headlines"), "|").alias("headlines"))
+
+
+@_query("""with r as (select c_custkey, o_orderkey, o_orderdate, o_orderpriority as p from orders join customer on o_custkey = c_custkey), g as (select *, lag(p) over (partition by c_custkey order by o_orderdate, o_orderkey) as q from r)
+select c_custkey, o_orderkey, (sum(case when q is null or q <> p then 1 else 0 end) over (partition by c_custkey order by o_orderdate, o_orderkey) - 1)::bigint as "group" from g""")
+def group_boundaries(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_orderpriority")
+    return assemble.group_numbers(rows, "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderpriority"]).select("c_custkey", "o_orderkey", "group")
+
+
+@_query(f"""with v as (select unnest({_WORDS.format("text")}) as token from benchmark), k as (select token, row_number() over (order by token)::int as id from (select distinct token from v)),
+q as (select conv_id, turn, unnest(w) as token, unnest(range(1, len(w) + 1)) as pos from (select conv_id, turn, {_WORDS.format("text")} as w from conversations where role = 'user'))
+select c.conv_id || '_' || c.turn as uid, coalesce(string_agg(case when q.token is not null then coalesce(id, 100000)::varchar end, ' ' order by pos), '') as ids from (select conv_id, turn from conversations where role = 'user') c left join q using (conv_id, turn) left join k using (token) group by all""")
+def words_to_ids(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
+    vocabulary = words.withColumn("id", F.row_number().over(W.orderBy("token")))  # a vocabulary: bounded
+    rows = table(spark, d, "conversations").where("role = 'user'").select(T.sid(F.col("conv_id"), F.col("turn")).alias("uid"), T.tokens(F.col("text")).alias("words"))
+    return assemble.token_ids(rows, vocabulary, "uid", 100000).select("uid", F.array_join("ids", " ").alias("ids"))
+
+
+@_query("select vec_id || '_' || (i - 1) as sid, embedding[i]::double as score from embeddings, unnest(range(1, label % 16 + 1)) as u(i)")
+def score_termination(spark, d):
+    """Scores up to the first -inf, which stands for padding from the place that the label says."""
+    inf = F.lit(float("-inf"))
+    padded = F.transform("embedding", lambda x, i: F.when(i < F.col("label") % 16, x.cast("double")).otherwise(inf))
+    return table(spark, d, "embeddings").select(F.explode(score.terminated(padded, F.col("vec_id"))).alias("s")).select("s.sid", "s.score")
+
+
+@_query("with e as (select user_id, event_id, tanh(sqrt(greatest(value, 0))) as v from events where value is not null), t as (select user_id, sum(v) as t from e group by user_id) select user_id, event_id, round(coalesce(v / nullif(t, 0), 0), 6) as score from e join t using (user_id)")
+def l1_squashed(spark, d):
+    return rank.l1(table(spark, d, "events").where("value is not null"), "user_id", "value", squash=True).select("user_id", "event_id", F.round("normed", 6).alias("score"))
+
+
+@_query("""with e as (select user_id, event_id, (round(value * 100))::bigint as a, event_id % 17 as b from events where value is not null), t as (select user_id, sum(greatest(a, 0)) as ta, sum(b) as tb from e group by user_id)
+select event_id, round(0.8::double * coalesce(greatest(a, 0)::double / nullif(ta, 0), 0) + (1 - 0.8::double) * coalesce(b::double / nullif(tb, 0), 0), 6) as score from e join t using (user_id)""")
+def interpolate_scaled(spark, d):
+    rows = table(spark, d, "events").where("value is not null").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("a"), (F.col("event_id") % 17).alias("b"))
+    first, second = (rows.select("user_id", "event_id", F.col(c).alias("score")) for c in "ab")
+    return rank.interpolated(first, second, ["user_id", "event_id"], 0.8, scaled_by="user_id").select("event_id", F.round("score", 6).alias("score"))
+
+
+@_query(_BEST + f", tgts as {_TARGET.split('tgts as ')[1]}, src as (select cid, string_agg(sent, ' ' order by rank) as src from best group by cid) select cid, {_TOKEN} || query || ' [SEP] ' || src as src, tgt from src join tgts using (cid) join qs using (cid)")
+def generator_rows_with_query(spark, d):
+    return assemble.generator_rows(assemble.sources(_best(spark, d), "rank"), _targets(spark, d), queries=cluster_queries(spark, d))
+
+
+@_query("select conv_id, trim(l[1]) || '.' as title, array_to_string(l[2:], ' ') as narr, trim(l[1]) || '.' || case when len(l) > 1 and array_to_string(l[2:], ' ') <> '' then ' ' || array_to_string(l[2:], ' ') else '' end as query from (select conv_id, list(text order by turn) as l from conversations where role = 'user' group by conv_id)")
+def raw_query_text(spark, d):
+    turns = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("l"))
+    return turns.select("conv_id", *[T.raw_query(F.col("l"), k).alias(n) for k, n in (("TITLE", "title"), ("NARR", "narr"), ("QUERY", "query"))])
+
+
+@_query(f"with p as (select source as cid, doc_id as pid, {_WORDS.format('text')} as w from documents), {_QS}, t as (select cid, pid, term, count(*) as tf from (select cid, pid, unnest(w) as term from p) group by all), n as (select cid, pid, sum(tf * tf) as s from t group by all), z as (select cid, sum(qtf * qtf) as z from qt group by cid), k as (select cid, pid, sum(tf * qtf) as dot from t join qt using (cid, term) group by all)\nselect cid, pid, round(coalesce(dot::double / nullif(sqrt(s::double * z), 0), 0), 6) as score from p join z using (cid) left join n using (cid, pid) left join k using (cid, pid)")
+def passage_relevance(spark, d):
+    return score.passage_scores(documents(spark, d).select("cid", F.col("doc_id").alias("pid"), "text"), cluster_queries(spark, d))
+
+
+@_query(f"with {_SENTS}, f as (select * from sents where not contains(sent, '``') and len({_WORDS.format('sent')}) >= 3) select doc_id, count(*) as n_sents, string_agg(trim(lower(sent)), '|' order by sent_idx) as proc from f group by doc_id")
+def processed_paragraphs(spark, d):
+    """Documents as paragraphs of their sentences, those kept whose processed form isn't empty."""
+    pairs = T.processed_paragraph(T.split_sentences(F.col("text")), min_words=3, drop_dialogue=True)
+    rows = documents(spark, d).select("doc_id", pairs.alias("p")).where(F.size("p") > 0)
+    return rows.select("doc_id", F.size("p").cast("long").alias("n_sents"), F.array_join(F.transform("p", lambda x: x["proc"]), "|").alias("proc"))
+
+
+@_query(_PAIRS + _MET.format(extra="") + ", b as (select cid, i, j, sim from sims union all select cid, j, i, sim from sims), r as (select *, coalesce(sum(sim) over (partition by cid, i order by sim desc, j rows between unbounded preceding and 1 preceding), 0) as before, sum(sim) over (partition by cid, i) as t from b) select cid, i, j from r where before < t * 0.4::double")
+def sim_massed(spark, d):
+    s = sim_pairs_cosine(spark, d)
+    both = s.unionByName(s.select("cid", F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
+    return score.massed(both, 0.4).select("cid", "i", "j")
+
+
+@_query()
+def stemmed_rouge(spark, d):
+    """Sentence ROUGE on stems."""
+    sents = _sents(spark, d).select("cid", "doc_id", *_long("sent_idx"), T.tokens(F.col("sent")).alias("words"))
+    refs = references(spark, d).where("ref_idx = 0").select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
+    return rouge.scores(sents, refs, ["cid", "doc_id", "sent_idx"], 1, stem=True).select("cid", "doc_id", "sent_idx", "overlap", "f1")
+
+
+@_query()
+def tune_topk(spark, d):
+    """A tuning curve: ROUGE-2 of the sentences that each length of the list keeps."""
+    refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
+    return drivers.tuned(_top(spark, d, 30), refs, "topK", rank.FINE)
+
+
+@_query()
+def system_scores(spark, d):
+    """The first 250 words of each cluster's best sentences against all references: ROUGE-1, -2, -SU4 and -L."""
+    own = F.sort_array(F.collect_list(F.struct("rank", "words")))
+    texts = _top(spark, d, 30).groupBy("cid").agg(F.flatten(F.transform(own, lambda x: x["words"])).alias("words"))
+    refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
+    return rouge.system_score(texts, refs, (1, 2, "su4", "l"))
+
+
+@_query()
+def random_mask_ablation(spark, d):
+    """As many words of each summary as a share of 0.3 of it, drawn by a hash."""
+    words = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("cid"), F.size(T.tokens(F.col("text"))).alias("n"), F.posexplode(T.tokens(F.col("text"))).alias("i", "word"))
+    return mask.random_mask(words, F.floor(F.col("n") * 0.3)).select("cid", *_long("i"), "word")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexisift.functions import text as T
-from lexisift.operators import mask, metrics, rank, rouge, score, select
+from lexisift.operators import assemble, mask, metrics, rank, rouge, score, select
 from lexisift.session import importable
 from lexisift.sources import tables
 from lexisift.sources.tables import documents, references, sentences, table
@@ -42,14 +42,14 @@ def oracle_sql() -> dict[str, str]:
 
 
 # Relations in SQL that several queries share.
-_DOCS = "docs as (select source as cid, doc_id, text from documents where lang = 'en')"
+_DOCS = "docs as (select source as cid, doc_id, text from documents)"
 _SENTS = _DOCS + r""", lists as (select cid, doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) +', '\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') as l from docs),
 sents as (select cid, doc_id, i - 1 as sent_idx, l[i] as sent from lists, unnest(range(1, len(l) + 1)) as u(i))"""
-_TERMS = _SENTS + ", terms as (select cid, doc_id, sent_idx, term, count(*) as tf from (select cid, doc_id, sent_idx, unnest(regexp_extract_all(lower(sent), '[a-z0-9]+')) as term from sents) group by all)"
+_TERMS = _SENTS + ", terms as (select cid, doc_id, sent_idx, term, count(*) as tf from (select cid, doc_id, sent_idx, unnest(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) as term from sents) group by all)"
 _REFS = "refs as (select 'src' || (item_id % 20) as cid, item_id, item_id // 20 as ref_idx, text from benchmark)"
-_QS = _REFS + ", qs as (select cid, min_by(text, item_id) as query from refs group by cid), qt as (select cid, term, count(*) as qtf from (select cid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) as term from qs) group by all)"
-_REL = f"with {_TERMS}, {_QS}, sizes as (select cid, sum(qtf) as qlen, sum(qtf * qtf) as qsq from qt group by cid), lens as (select cid, doc_id, sent_idx, sum(tf) as slen, sum(tf * tf) as ssq from terms group by all), shared as (select cid, doc_id, sent_idx, sum(tf * qtf) as dot, sum(sqrt((tf * qtf)::double)) as root from terms join qt using (cid, term) group by all), rel as (select * from shared join lens using (cid, doc_id, sent_idx) join sizes using (cid))"
-_COUNT = f"with {_TERMS}, {_QS}, scores as (select cid, doc_id, sent_idx, sum(tf * qtf)::bigint as score from terms join qt using (cid, term) group by all)"
+_QS = _REFS + ", qs as (select cid, min_by(text, item_id) as query from refs group by cid), qt as (select cid, term, count(*) as qtf from (select cid, unnest(regexp_extract_all(lower(query), '[\\pL\\pN]+')) as term from qs) group by all)"
+_REL = f"with {_TERMS}, {_QS}, sizes as (select cid, sum(qtf) as qlen, sum(qtf * qtf) as qsq from qt group by cid), lens as (select cid, doc_id, sent_idx, sum(tf) as slen, sum(tf * tf) as ssq from terms group by all), shared as (select cid, doc_id, sent_idx, sum(tf * qtf) as dot, sum(sqrt((tf * qtf)::double)) as root from terms join qt using (cid, term) group by all), rel as (select cid, doc_id, sent_idx, qlen, qsq, coalesce(dot, 0) as dot, coalesce(root, 0) as root, coalesce(slen, 0) as slen, coalesce(ssq, 0) as ssq from sents join sizes using (cid) left join lens using (cid, doc_id, sent_idx) left join shared using (cid, doc_id, sent_idx))"
+_COUNT = f"with {_TERMS}, {_QS}, every as (select cid, doc_id, sent_idx, coalesce(sum(tf * qtf), 0)::bigint as score from sents join qs using (cid) left join terms using (cid, doc_id, sent_idx) left join qt using (cid, term) group by all), scores as (select * from every where score > 0)"
 _RANKED = _COUNT + ", ranks as (select *, row_number() over (partition by cid order by score desc, doc_id, sent_idx) as rank from scores)"
 _HEAD = _RANKED.removeprefix("with ") + ", head as (select cid, doc_id, sent, rank - 1 as i from ranks join sents using (cid, doc_id, sent_idx) where rank <= 90)"
 _EVENTS = "ranks as (select user_id, event_id, value, (round(value * 100))::bigint as cents, row_number() over (partition by user_id order by value desc, event_id) as rank from events where value is not null)"
@@ -65,13 +65,16 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return score.overlaps(_sents(spark, d), cluster_queries(spark, d))
+    """Overlap counts as retrieval takes them: sentences that share nothing with their query are pruned."""
+    return rank.pruned(score.overlaps(_sents(spark, d), cluster_queries(spark, d)))
 
 
 def _top(spark: SparkSession, d: str, k: int = 90) -> DataFrame:
     """Retrieved sentences of each cluster with their words: the bounded input of extraction."""
     best = rank.top_k(_counts(spark, d), k, "cid", "doc_id", "sent_idx")
-    return best.join(_sents(spark, d), ["cid", "doc_id", "sent_idx"]).withColumn("words", T.tokens(F.col("sent")))
+    # only documents that a retrieved sentence comes from are split again
+    docs = documents(spark, d).join(best.select("cid", "doc_id").distinct(), ["cid", "doc_id"], "left_semi")
+    return best.join(sentences(docs), ["cid", "doc_id", "sent_idx"]).withColumn("words", T.tokens(F.col("sent")))
 
 
 def _head(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +100,7 @@ def sentence_counts_by_cluster(spark, d):
     return per_doc.groupBy("cid").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_sents"))
 
 
-@_query(f"with {_SENTS} select doc_id, sent_idx, len(regexp_extract_all(lower(sent), '[a-z0-9]+'))::bigint as n_words from sents where len(regexp_extract_all(lower(sent), '[a-z0-9]+')) >= 3")
+@_query(f"with {_SENTS} select doc_id, sent_idx, len(regexp_extract_all(lower(sent), '[\\pL\\pN]+'))::bigint as n_words from sents where len(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) >= 3")
 def short_sentence_filter(spark, d):
     return _sents(spark, d).select("doc_id", *_long("sent_idx"), F.size(T.tokens(F.col("sent"))).cast("long").alias("n_words")).where("n_words >= 3")
 
@@ -148,7 +151,7 @@ def sid_compose_parse(spark, d):
     return rows.select("sid", "cid", T.sid_part(F.col("sid"), 1).alias("doc_id"), T.sid_part(F.col("sid"), 2).alias("sent_idx"))
 
 
-@_query("""with t as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark), g as (select item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) as g from t, (values (1), (2), (3)) v(n))
+@_query("""with t as (select item_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') as w from benchmark), g as (select item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) as g from t, (values (1), (2), (3)) v(n))
 select item_id, n::bigint as n, count(distinct g) as n_distinct from g group by all""")
 def ngrams_distinct(spark, d):
     words = T.tokens(F.col("text"))
@@ -175,9 +178,9 @@ def term_df(spark, d):
 # Relevance
 
 
-@_query(_COUNT + " select * from scores")
+@_query(_COUNT + " select * from every")
 def rel_count(spark, d):
-    return _counts(spark, d).select("cid", "doc_id", *_long("sent_idx"), "score")
+    return score.overlaps(_sents(spark, d), cluster_queries(spark, d)).select("cid", "doc_id", *_long("sent_idx"), "score")
 
 
 def _lexical(spark, d, column):
@@ -189,17 +192,17 @@ def rel_weighted_count(spark, d):
     return _lexical(spark, d, "weighted_count")
 
 
-@_query(_REL + " select cid, doc_id, sent_idx, round(root / sqrt((slen::double) * qlen), 6) as score from rel")
+@_query(_REL + " select cid, doc_id, sent_idx, round(coalesce(root / nullif(sqrt((slen::double) * qlen), 0), 0), 6) as score from rel")
 def rel_bhattacharyya(spark, d):
     return _lexical(spark, d, "bhattacharyya")
 
 
-@_query(_REL + " select cid, doc_id, sent_idx, round(dot::double / sqrt((ssq::double) * qsq), 6) as score from rel")
+@_query(_REL + " select cid, doc_id, sent_idx, round(coalesce(dot::double / nullif(sqrt((ssq::double) * qsq), 0), 0), 6) as score from rel")
 def rel_tf_cosine(spark, d):
     return _lexical(spark, d, "tf_cosine")
 
 
-@_query(_REL + " select cid, doc_id, sent_idx, round(dot::double / sqrt((ssq::double) * qsq), 6) as score from rel")
+@_query(_REL + " select cid, doc_id, sent_idx, round(coalesce(dot::double / nullif(sqrt((ssq::double) * qsq), 0), 0), 6) as score from rel")
 def rel_tf_dot(spark, d):
     return _lexical(spark, d, "tf_cosine")
 
@@ -209,19 +212,20 @@ _CORPUS = f"with {_TERMS}, {_QS}, n as (select cid, count(*) + 1 as n from sents
 
 @_query(_CORPUS + """, idf as (select cid, term, ln((1 + n)::double / (1 + df)) + 1 as idf from df join n using (cid)), w as (select cid, doc_id, sent_idx, term, tf * idf as w from terms join idf using (cid, term)), q as (select cid, term, qtf * idf as qw from qt join idf using (cid, term)),
 norms as (select cid, doc_id, sent_idx, sum(w * w) as s from w group by all), qn as (select cid, sum(qw * qw) as qs from q group by cid), dots as (select cid, doc_id, sent_idx, sum(w * qw) as dot from w join q using (cid, term) group by all)
-select cid, doc_id, sent_idx, round(dot / sqrt(s * qs), 6) as score from dots join norms using (cid, doc_id, sent_idx) join qn using (cid)""")
+select cid, doc_id, sent_idx, round(coalesce(dot / nullif(sqrt(s * qs), 0), 0), 6) as score from sents join qn using (cid) left join norms using (cid, doc_id, sent_idx) left join dots using (cid, doc_id, sent_idx)""")
 def rel_tfidf_cosine(spark, d):
     return score.tfidf_cosine(_sents(spark, d), cluster_queries(spark, d)).select("cid", "doc_id", *_long("sent_idx"), "score")
 
 
 @_query(_CORPUS + """, lens as (select cid, doc_id, sent_idx, sum(tf) as len from terms group by all), stats as (select cid, any_value(n) as n, (sum(len) + any_value(ql))::double / any_value(n) as avgdl from lens join n using (cid) join (select cid, sum(qtf) as ql from qt group by cid) using (cid) group by cid),
-raw as (select cid, term, avgdl, ln((n - df + 0.5::double) / (df + 0.5::double)) as idf from df join stats using (cid)), mean as (select cid, avg(idf) as m from raw group by cid), idf as (select cid, term, qtf, avgdl, case when idf < 0 then 0.25::double * m else idf end as idf from qt join raw using (cid, term) join mean using (cid))
-select cid, doc_id, sent_idx, round(sum(qtf * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avgdl))), 6) as score from terms join idf using (cid, term) join lens using (cid, doc_id, sent_idx) group by all""")
+raw as (select cid, term, avgdl, ln((n - df + 0.5::double) / (df + 0.5::double)) as idf from df join stats using (cid)), mean as (select cid, avg(idf) as m from raw group by cid), idf as (select cid, term, qtf, avgdl, case when idf < 0 then 0.25::double * m else idf end as idf from qt join raw using (cid, term) join mean using (cid)),
+part as (select cid, doc_id, sent_idx, sum(qtf * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avgdl))) as x from terms join idf using (cid, term) join lens using (cid, doc_id, sent_idx) group by all)
+select cid, doc_id, sent_idx, round(coalesce(x, 0), 6) + 0.0 as score from sents join qs using (cid) left join part using (cid, doc_id, sent_idx)""")
 def rel_bm25(spark, d):
     return score.bm25(_sents(spark, d), cluster_queries(spark, d)).select("cid", "doc_id", *_long("sent_idx"), "score")
 
 
-@_query(f"with {_TERMS}, {_QS}, lens as (select cid, doc_id, sent_idx, sum(tf) as len from terms group by all), ql as (select cid, sum(qtf) as ql from qt group by cid) select cid, doc_id, sent_idx, round(sum((tf / len) * ln((tf / len) / (coalesce(qtf / ql, 0) + 1e-6))), 6) as score from terms join lens using (cid, doc_id, sent_idx) join ql using (cid) left join qt using (cid, term) group by all")
+@_query(f"with {_TERMS}, {_QS}, lens as (select cid, doc_id, sent_idx, sum(tf) as len from terms group by all), ql as (select cid, sum(qtf) as ql from qt group by cid), part as (select cid, doc_id, sent_idx, sum((tf / len) * ln((tf / len) / (coalesce(qtf / ql, 0) + 1e-6))) as x from terms join lens using (cid, doc_id, sent_idx) join ql using (cid) left join qt using (cid, term) group by all) select cid, doc_id, sent_idx, round(coalesce(x, 0), 6) as score from sents join qs using (cid) left join part using (cid, doc_id, sent_idx)")
 def rel_kl(spark, d):
     return score.kl_divergence(_sents(spark, d), cluster_queries(spark, d)).select("cid", "doc_id", *_long("sent_idx"), "score")
 
@@ -270,7 +274,7 @@ def softmax_norm(spark, d):
     return rank.softmax(_events(spark, d).withColumn("v", F.col("value") / 100), "user_id", "v").select("user_id", "event_id", F.round("normed", 6).alias("score"))
 
 
-@_query(_REL + ", s as (select cid, doc_id, sent_idx, round(0.7::double * round(dot::double / sqrt((ssq::double) * qsq), 6) + 0.3::double * round(dot::double / qlen, 6), 7) as score from rel) select cid, doc_id, sent_idx, score, row_number() over (partition by cid order by score desc, doc_id, sent_idx) as rank from s")
+@_query(_REL + ", s as (select cid, doc_id, sent_idx, round(0.7::double * round(coalesce(dot::double / nullif(sqrt((ssq::double) * qsq), 0), 0), 6) + 0.3::double * round(dot::double / qlen, 6), 7) as score from rel) select cid, doc_id, sent_idx, score, row_number() over (partition by cid order by score desc, doc_id, sent_idx) as rank from s")
 def interpolate_rerank(spark, d):
     both = score.lexical(_sents(spark, d), cluster_queries(spark, d))
     keys = ["cid", "doc_id", "sent_idx"]
@@ -278,7 +282,7 @@ def interpolate_rerank(spark, d):
     return rank.ranked(mixed, "cid", "doc_id", "sent_idx").select("cid", "doc_id", *_long("sent_idx"), "score", *_long("rank"))
 
 
-@_query(_RANKED + ", w as (select cid, doc_id, sent_idx, rank, len(regexp_extract_all(lower(sent), '[a-z0-9]+')) as n from ranks join sents using (cid, doc_id, sent_idx)), c as (select *, sum(n) over (partition by cid order by rank) as cum_words from w) select cid, doc_id, sent_idx, cum_words::bigint as cum_words from c where cum_words - n < 250")
+@_query(_RANKED + ", w as (select cid, doc_id, sent_idx, rank, len(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) as n from ranks join sents using (cid, doc_id, sent_idx)), c as (select *, sum(n) over (partition by cid order by rank) as cum_words from w) select cid, doc_id, sent_idx, cum_words::bigint as cum_words from c where cum_words - n < 250")
 def word_budget_prefix(spark, d):
     rows = _top(spark, d, 250).withColumn("n_words", F.size("words").cast("long"))  # each row has a word of the query, so 250 rows reach the budget
     return rank.budgeted(rows, 250, "cid").select("cid", "doc_id", *_long("sent_idx"), "cum_words")
@@ -289,15 +293,27 @@ def sweep_topk(spark, d):
     return rank.sweep(_events(spark, d).withColumn("score", F.col("cents")), [10, 20, 30, 50], "user_id")
 
 
-@_query(f"with {_EVENTS}, g(p) as (select unnest(range(1, 11))), t as (select *, coalesce(sum(cents) over (partition by user_id order by rank rows between unbounded preceding and 1 preceding), 0) as before, sum(greatest(cents, 0)) over (partition by user_id) as total from ranks) select p as tenths, count(*) as n_kept from t, g where total <= 0 or 10 * before < p * total group by p")
+@_query(f"with {_EVENTS}, g(p) as (select unnest(range(1, 21))), t as (select *, coalesce(sum(cents) over (partition by user_id order by rank rows between unbounded preceding and 1 preceding), 0) as before, sum(greatest(cents, 0)) over (partition by user_id) as total from ranks) select p as twentieths, count(*) as n_kept from t, g where total <= 0 or 20 * before < p * total group by p")
 def sweep_conf(spark, d):
     rows = _events(spark, d)
     before = F.coalesce(F.sum("cents").over(W.partitionBy("user_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     totals = rows.groupBy("user_id").agg(F.sum(F.greatest("cents", F.lit(0))).alias("total"))
-    first = F.when(F.col("total") <= 0, 1).otherwise(F.greatest(F.lit(1), F.floor(10 * F.col("before") / F.col("total")) + 1))
-    kept = rows.withColumn("before", before).join(totals, "user_id").groupBy(first.cast("long").alias("tenths")).agg(F.count("*").alias("n"))
-    every = spark.range(1, 11).withColumnRenamed("id", "tenths").join(kept, "tenths", "left").na.fill(0)
-    return every.select("tenths", F.sum("n").over(W.orderBy("tenths")).alias("n_kept"))
+    first = F.when(F.col("total") <= 0, 1).otherwise(F.greatest(F.lit(1), F.floor(20 * F.col("before") / F.col("total")) + 1))
+    kept = rows.withColumn("before", before).join(totals, "user_id").groupBy(first.cast("long").alias("twentieths")).agg(F.count("*").alias("n"))
+    every = spark.range(1, 21).withColumnRenamed("id", "twentieths").join(kept, "twentieths", "left").na.fill(0)
+    return every.select("twentieths", F.sum("n").over(W.orderBy("twentieths")).alias("n_kept"))
+
+
+@_query(f"with {_EVENTS}, g(k) as (select unnest(range(1, 31))) select user_id, k::double as var, count(*) as n_kept, sum(cents)::bigint as total from g join ranks on rank <= k group by all")
+def records_topk(spark, d):
+    """Run records: the list that each setting keeps, for every length up to 30."""
+    rows = rank.records(_events(spark, d).withColumn("score", F.col("cents")), "user_id", "topK", rank.FINE)
+    return rows.groupBy("user_id", "var").agg(F.count("*").alias("n_kept"), F.sum("cents").alias("total"))
+
+
+@_query(f"with {_EVENTS}, n as (select user_id, count(*) as n from ranks group by user_id), g(v) as (select unnest([0.1::double, 0.25, 0.5, 1.0])) select user_id, v as var, count(*) as n_kept from ranks join n using (user_id), g where rank <= v * n + 1e-12 group by all")
+def records_comp(spark, d):
+    return rank.records(_events(spark, d).withColumn("score", F.col("cents")), "user_id", "comp", [0.1, 0.25, 0.5, 1.0]).groupBy("user_id", "var").agg(F.count("*").alias("n_kept"))
 
 
 @_query("select event_id, value as metric from events where value is not null order by value desc, event_id limit 3")
@@ -308,7 +324,7 @@ def best3_checkpoints(spark, d):
 # Graphs
 
 
-_PAIRS = f"with {_HEAD}, t as (select cid, i, doc_id, term, count(*)::double as w from (select cid, i, doc_id, unnest(regexp_extract_all(lower(sent), '[a-z0-9]+')) as term from head) group by all), n as (select cid, i, sum(w * w) as s from t group by all)"
+_PAIRS = f"with {_HEAD}, t as (select cid, i, doc_id, term, count(*)::double as w from (select cid, i, doc_id, unnest(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) as term from head) group by all), n as (select cid, i, sum(w * w) as s from t group by all)"
 _MET = ", p as (select a.cid, a.i, b.i as j, sum(a.w * b.w) as dot from t a join t b on a.cid = b.cid and a.term = b.term and a.i < b.i {extra} group by all), sims as (select p.cid, p.i, p.j, round(dot / sqrt(x.s * y.s), 6) as sim from p join n x on x.cid = p.cid and x.i = p.i join n y on y.cid = p.cid and y.i = p.j)"
 
 
@@ -363,80 +379,91 @@ def pool_max(spark, d):
 # ROUGE
 
 
-def _rouge_sql(n: int) -> str:
-    return f"""with {_SENTS}, {_REFS}, sw as (select cid, doc_id, sent_idx, regexp_extract_all(lower(sent), '[a-z0-9]+') as w from sents), rw as (select cid, ref_idx, regexp_extract_all(lower(text), '[a-z0-9]+') as w from refs where ref_idx = 0),
-sg as (select cid, doc_id, sent_idx, g, count(*) as c from (select cid, doc_id, sent_idx, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i+{n}-1], ' '))) as g from sw) group by all),
-rg as (select cid, g, count(*) as rc from (select cid, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i+{n}-1], ' '))) as g from rw) group by all),
-sn as (select cid, doc_id, sent_idx, sum(c) as sys_n from sg group by all), rn as (select cid, sum(rc) as ref_n from rg group by cid), m as (select cid, doc_id, sent_idx, sum(least(c, rc)) as o from sg join rg using (cid, g) group by all),
-rouge as (select cid, doc_id, sent_idx, o::bigint as overlap, round(o::double / ref_n, 6) as recall, round(2 * o::double / (sys_n + ref_n), 6) as f1 from m join sn using (cid, doc_id, sent_idx) join rn using (cid))"""
+def _grams_sql(name: str, rows: str, keys: str, n: int) -> str:
+    """Counts of the n-grams of the relation ``rows(keys, w)``: words by position, n of them in a row."""
+    joined = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"{name} as (select {keys}, {joined} as g, count(*) as c from (select {keys}, w, unnest(range(1, len(w) - {n - 2})) as i from {rows}) group by all)"
+
+
+def _rouge_sql(n: int, name: str = "rouge", texts: str = "texts", refs: str = "ref_idx = 0") -> str:
+    """``name(cid, doc_id, sent_idx, ref_idx, overlap, recall, f1)``: all pairs first, then what they share; nothing shared is 0."""
+    s, r, m = f"s_{name}", f"r_{name}", f"m_{name}"
+    return f"""{_grams_sql(s, texts, "cid, doc_id, sent_idx", n)}, {_grams_sql(r, "summaries", "cid, ref_idx", n)},
+{m} as (select {s}.cid, doc_id, sent_idx, ref_idx, sum(least({s}.c, {r}.c)) as o from {s} join {r} on {s}.cid = {r}.cid and {s}.g = {r}.g group by all),
+{name} as (select cid, doc_id, sent_idx, ref_idx, o, round(coalesce(o / nullif(rn, 0), 0), 6) as recall, round(coalesce(2 * o / nullif(sn + rn, 0), 0), 6) as f1
+  from (select t.cid, t.doc_id, t.sent_idx, u.ref_idx, greatest(len(t.w) - {n - 1}, 0)::double as sn, greatest(len(u.w) - {n - 1}, 0)::double as rn, coalesce({m}.o, 0)::bigint as o
+    from {texts} t join summaries u on t.cid = u.cid and u.{refs} left join {m} on {m}.cid = t.cid and {m}.doc_id = t.doc_id and {m}.sent_idx = t.sent_idx and {m}.ref_idx = u.ref_idx))"""
 
 
-def _rouge(spark, d, n):
-    refs = references(spark, d).where("ref_idx = 0").select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
-    sents = _sents(spark, d).select("cid", "doc_id", "sent_idx", T.tokens(F.col("sent")).alias("words"))
-    return rouge.scores(sents, refs, ["cid", "doc_id", "sent_idx"], n).select("cid", "doc_id", *_long("sent_idx"), "overlap", "recall", "f1")
+_SUMMARIES = f"{_REFS}, summaries as (select cid, ref_idx, regexp_extract_all(lower(text), '[\\pL\\pN]+') as w from refs)"
+_TEXTS = f"with {_SENTS}, {_SUMMARIES}, texts as (select cid, doc_id, sent_idx, regexp_extract_all(lower(sent), '[\\pL\\pN]+') as w from sents)"
+_KEYS = ["cid", "doc_id", "sent_idx"]
 
 
-@_query(_rouge_sql(1) + " select * from rouge")
+def _references(spark, d, one: bool = False):
+    rows = references(spark, d)
+    return (rows.where("ref_idx = 0") if one else rows).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
+
+
+def _rouge(spark, d, kinds, one: bool = True):
+    """Every sentence against its cluster's summary (the reference 0), or against all references."""
+    sents = _sents(spark, d).select("cid", "doc_id", *_long("sent_idx"), T.tokens(F.col("sent")).alias("words"))
+    return rouge.scores(sents, _references(spark, d, one), _KEYS, kinds)
+
+
+@_query(f"{_TEXTS}, {_rouge_sql(1)} select cid, doc_id, sent_idx, o as overlap, recall, f1 from rouge")
 def rouge1(spark, d):
-    return _rouge(spark, d, 1)
+    return _rouge(spark, d, 1).select(*_KEYS, "overlap", "recall", "f1")
 
 
-@_query(_rouge_sql(2) + " select * from rouge")
+@_query(f"{_TEXTS}, {_rouge_sql(2)} select cid, doc_id, sent_idx, o as overlap, recall, f1 from rouge")
 def rouge2(spark, d):
-    return _rouge(spark, d, 2)
+    return _rouge(spark, d, 2).select(*_KEYS, "overlap", "recall", "f1")
 
 
-@_query(f"""with {_DOCS}, {_REFS}, lead as (select cid, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:250] as w from docs), sg as (select cid, doc_id, g, count(*) as c from (select cid, doc_id, unnest(w) as g from lead) group by all),
-rg as (select cid, ref_idx, g, count(*) as rc from (select cid, ref_idx, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as g from refs) group by all), sn as (select cid, doc_id, sum(c) as s from sg group by all), rn as (select cid, ref_idx, sum(rc) as r from rg group by all),
-m as (select cid, doc_id, ref_idx, sum(least(c, rc)) as o from sg join rg using (cid, g) group by all) select cid, doc_id, count(*) as n_refs, round(avg(round(o::double / r, 6)), 7) as recall, round(avg(round(2 * o::double / (s + r), 6)), 7) as f1 from m join sn using (cid, doc_id) join rn using (cid, ref_idx) group by cid, doc_id""")
+@_query(f"""with {_DOCS}, {_SUMMARIES}, texts as (select cid, doc_id, 0 as sent_idx, regexp_extract_all(lower(text), '[\\pL\\pN]+')[1:250] as w from docs), {_rouge_sql(1, refs="ref_idx >= 0")}
+select cid, doc_id, count(*) as n_refs, round(avg(recall), 7) as recall, round(avg(f1), 7) as f1 from rouge group by cid, doc_id""")
 def rouge_multi_ref(spark, d):
     docs = documents(spark, d).select("cid", "doc_id", T.tokens(F.col("text")).alias("words"))
-    refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
-    each = rouge.scores(docs, refs, ["cid", "doc_id"], 1, limit=250)
+    each = rouge.scores(docs, _references(spark, d), ["cid", "doc_id"], 1, limit=250)
     return each.groupBy("cid", "doc_id").agg(F.count("*").alias("n_refs"), F.round(F.avg("recall"), 7).alias("recall"), F.round(F.avg("f1"), 7).alias("f1"))
 
 
-@_query(_rouge_sql(1) + ", r1 as (select cid, doc_id, sent_idx, f1 as f1_1 from rouge) select cid, doc_id, sent_idx, f1_1 from r1 where f1_1 > 0.05")
+@_query(f"{_TEXTS}, {_rouge_sql(1)} select cid, doc_id, sent_idx, f1 as f1_1 from rouge where f1 > 0.05")
 def rouge_threshold(spark, d):
-    return _rouge(spark, d, 1).where("f1 > 0.05").select("cid", "doc_id", "sent_idx", F.col("f1").alias("f1_1"))
+    return _rouge(spark, d, 1).where("f1 > 0.05").select(*_KEYS, F.col("f1").alias("f1_1"))
 
 
-@_query(_rouge_sql(1).replace("rouge as", "rouge1 as") + ", " + _rouge_sql(2).split("rg as", 1)[0].split("sg as", 1)[1].join(["sg2 as", ""]).rstrip(" ,\n") + """,
-rg2 as (select cid, g, count(*) as rc from (select cid, unnest(list_transform(range(1, len(w) - 2 + 2), lambda i: array_to_string(w[i:i+1], ' '))) as g from rw) group by all),
-sn2 as (select cid, doc_id, sent_idx, sum(c) as sys_n from sg2 group by all), rn2 as (select cid, sum(rc) as ref_n from rg2 group by cid), m2 as (select cid, doc_id, sent_idx, sum(least(c, rc)) as o from sg2 join rg2 using (cid, g) group by all),
-rouge2 as (select cid, doc_id, sent_idx, round(2 * o::double / (sys_n + ref_n), 6) as f2 from m2 join sn2 using (cid, doc_id, sent_idx) join rn2 using (cid))
-select cid, doc_id, sent_idx, round(0.85::double * coalesce(f2, 0) + 0.15::double * f1, 5) as label from rouge1 left join rouge2 using (cid, doc_id, sent_idx)""")
+@_query(f"""{_TEXTS}, {_rouge_sql(1, "one")}, {_rouge_sql(2, "two")}
+select cid, doc_id, sent_idx, round(0.85::double * two.f1 + 0.15::double * one.f1, 5) as label from one join two using (cid, doc_id, sent_idx)""")
 def smoothed_label(spark, d):
-    keys = ["cid", "doc_id", "sent_idx"]
-    one, two = _rouge(spark, d, 1).select(*keys, F.col("f1").alias("r1")), _rouge(spark, d, 2).select(*keys, F.col("f1").alias("r2"))
-    return one.join(two, keys, "left").select(*keys, F.round(T.smoothed_label(F.col("r1"), F.coalesce("r2", F.lit(0.0))), 5).alias("label"))
+    both = _rouge(spark, d, (1, 2)).groupBy(*_KEYS).agg(F.max(F.when(F.col("n") == "1", F.col("f1"))).alias("r1"), F.max(F.when(F.col("n") == "2", F.col("f1"))).alias("r2"))
+    return both.select(*_KEYS, F.round(T.smoothed_label(F.col("r1"), F.col("r2")), 5).alias("label"))
 
 
-@_query(_rouge_sql(2) + ", a as (select coalesce(r.f1, 0) as f from sents left join rouge r using (cid, doc_id, sent_idx)) select count(*) filter (where f = 0) as n_zero, count(*) filter (where f < 0.05) as n_tiny, count(*) as n_all from a")
+@_query(f"{_TEXTS}, {_rouge_sql(2)} select count(*) filter (where f1 = 0) as n_zero, count(*) filter (where f1 < 0.05) as n_tiny, count(*) as n_all from rouge")
 def zero_nonzero_counts(spark, d):
-    keys = ["cid", "doc_id", "sent_idx"]
-    f = F.coalesce("f1", F.lit(0.0))
-    rows = _sents(spark, d).select("cid", "doc_id", *_long("sent_idx")).join(_rouge(spark, d, 2).select(*keys, "f1"), keys, "left").select(f.alias("f"))
-    return rows.agg(F.count_if(F.col("f") == 0).alias("n_zero"), F.count_if(F.col("f") < 0.05).alias("n_tiny"), F.count("*").alias("n_all"))
-
-
-@_query()
+    return _rouge(spark, d, 2).agg(F.count_if(F.col("f1") == 0).alias("n_zero"), F.count_if(F.col("f1") < 0.05).alias("n_tiny"), F.count("*").alias("n_all"))
+
+
+@_query(f"""{_TEXTS}, tails as (select cid, doc_id, sent_idx, w, -1 as ref_idx from texts union all select cid, null, null, w, ref_idx from summaries),
+marked as (select cid, doc_id, sent_idx, ref_idx, len(w) as n, list_prepend('@start-token', w) as w from tails),
+firsts as (select *, unnest(range(1, n + 2)) as i from marked), pairs as (select cid, doc_id, sent_idx, ref_idx, w[i] || ' ' || w[j] as g from firsts, unnest(range(i + 1, least(i + 5, n + 1) + 1)) as u(j)),
+units as (select *, count(*) as c from (select * from pairs union all select cid, doc_id, sent_idx, ref_idx, w[i] as g from firsts where i > 1) group by all),
+own as (select cid, doc_id, sent_idx, g, c from units where ref_idx < 0), theirs as (select cid, ref_idx, g, c as rc from units where ref_idx >= 0),
+met as (select cid, doc_id, sent_idx, ref_idx, sum(least(c, rc)) as o from own join theirs using (cid, g) group by all), sn as (select cid, doc_id, sent_idx, sum(c) as s from own group by all), rn as (select cid, ref_idx, sum(rc) as r from theirs group by all)
+select t.cid, t.doc_id, t.sent_idx, u.ref_idx, coalesce(o, 0)::bigint as overlap, round(coalesce(2 * coalesce(o, 0)::double / nullif(coalesce(s, 0) + coalesce(r, 0), 0), 0), 6) as f1
+from texts t join summaries u on t.cid = u.cid left join met m on m.cid = t.cid and m.doc_id = t.doc_id and m.sent_idx = t.sent_idx and m.ref_idx = u.ref_idx
+left join sn on sn.cid = t.cid and sn.doc_id = t.doc_id and sn.sent_idx = t.sent_idx left join rn on rn.cid = u.cid and rn.ref_idx = u.ref_idx""")
 def rouge_su4(spark, d):
-    refs = references(spark, d).select("cid", "ref_idx", F.explode(rouge.skip_units(T.tokens(F.col("text")))).alias("g")).groupBy("cid", "ref_idx", "g").agg(F.count("*").alias("rc"))
-    keys = ["cid", "doc_id", "sent_idx"]
-    own = _sents(spark, d).select(*keys, F.explode(rouge.skip_units(T.tokens(F.col("sent")))).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("c"))
-    met = own.join(refs, ["cid", "g"]).groupBy(*keys, "ref_idx").agg(F.sum(F.least("c", "rc")).alias("overlap"))
-    met = met.join(own.groupBy(*keys).agg(F.sum("c").alias("n")), keys).join(refs.groupBy("cid", "ref_idx").agg(F.sum("rc").alias("r")), ["cid", "ref_idx"])
-    return met.select("cid", "doc_id", *_long("sent_idx"), "ref_idx", "overlap", F.round(2 * F.col("overlap") / (F.col("n") + F.col("r")), 6).alias("f1"))
+    return _rouge(spark, d, "su4", one=False).select(*_KEYS, "ref_idx", "overlap", "f1")
 
 
 @_query()
 def rouge_l(spark, d):
-    refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("r"))
-    rows = _sents(spark, d).join(refs, "cid").select("cid", "doc_id", *_long("sent_idx"), "ref_idx", T.tokens(F.col("sent")).alias("w"), "r")
-    rows = rows.withColumn("lcs", rouge.common_subsequence("w", "r"))
-    return rows.select("cid", "doc_id", "sent_idx", "ref_idx", "lcs", F.round(F.coalesce(F.try_divide(2 * F.col("lcs").cast("double"), F.size("w") + F.size("r")), F.lit(0.0)), 6).alias("f1"))
+    rows = _sents(spark, d).join(references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("r")), "cid")
+    rows = rows.select("cid", "doc_id", *_long("sent_idx"), "ref_idx", T.tokens(F.col("sent")).alias("w"), "r").withColumn("lcs", rouge.common_subsequence("w", "r"))
+    return rows.select(*_KEYS, "ref_idx", "lcs", F.round(F.coalesce(F.try_divide(2 * F.col("lcs").cast("double"), F.size("w") + F.size("r")), F.lit(0.0)), 6).alias("f1"))
 
 
 # Extraction
@@ -480,26 +507,24 @@ def mmr_rank(spark, d):
 @_query()
 def extract_evaluate(spark, d):
     """The whole way: rank, extract under a word budget, ROUGE-2 against the cluster's references."""
-    chosen = select.greedy(_top(spark, d), 250, "words", 0.6).join(_top(spark, d).select("cid", "doc_id", "sent_idx", "words"), ["cid", "doc_id", "sent_idx"])
+    chosen = select.greedy(_top(spark, d), 250, "words", 0.6, texts=True)
     texts = chosen.groupBy("cid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("words"))
-    refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
-    return rouge.scores(texts, refs, ["cid"], 2, limit=250).groupBy("cid").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"))
+    return rouge.scores(texts, _references(spark, d), ["cid"], 2, limit=250).groupBy("cid").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"))
 
 
 @_query()
 def sample_cluster_build(spark, d):
-    """A cluster of samples for each document; its rank list is the ten documents after it in its source, as a retrieval would give it."""
-    docs = documents(spark, d).select("cid", "doc_id", T.tokens(F.col("text")).alias("words"))
-    placed = rank.ranked(docs.select("cid", "doc_id", (-F.col("doc_id")).alias("score")), "cid").select("cid", "doc_id", F.col("rank").alias("n"))
-    lists = placed.select("cid", F.col("doc_id").alias("cluster_id"), F.posexplode(F.expr("sequence(n, n + 10)")).alias("rank", "n"))
-    members = lists.join(placed.withColumnRenamed("doc_id", "sample_id"), ["cid", "n"]).join(docs.select(F.col("doc_id").alias("sample_id"), "words"), "sample_id")
-    return select.sample_clusters(members.select("cluster_id", "rank", "sample_id", "words"))
+    """A cluster of samples for each source; its rank list is the retrieval's: the ten documents with the best sentences for its query."""
+    best = _counts(spark, d).groupBy("cid", "doc_id").agg(F.max("score").alias("score"))
+    lists = rank.top_k(best, 11, "cid", "doc_id").join(documents(spark, d), ["cid", "doc_id"])
+    lists = lists.select(F.regexp_extract("cid", "[0-9]+$", 0).cast("long").alias("cluster_id"), (F.col("rank") - 1).alias("rank"), F.col("doc_id").alias("sample_id"), T.tokens(F.col("text")).alias("words"))
+    return select.sample_clusters(lists)
 
 
 # Rows for training and generation
 
 
-@_query("select doc_id, '[unused' || case when n < 100 then 85 when n >= 400 then 400 else 100 + ((n - 100) // 15) * 15 end || ']' as token from (select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as n from documents)")
+@_query("select doc_id, '[unused' || case when n < 100 then 85 when n >= 400 then 400 else 100 + ((n - 100) // 15) * 15 end || ']' as token from (select doc_id, len(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as n from documents)")
 def len_token_bucket(spark, d):
     return table(spark, d, "documents").select("doc_id", T.length_token(F.size(T.tokens(F.col("text")))).alias("token"))
 
@@ -540,7 +565,7 @@ def title_narr_text(spark, d):
     return turns.select("conv_id", T.title_text(F.col("l")[0], F.array_join(F.slice("l", 2, 1000000), " ")).alias("text"))
 
 
-@_query("with w as (select doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: case when length(x) > 4 then '[MASK]' else x end) as w from documents), m as (select doc_id, w, [w[i] for i in range(1, len(w) + 1) if i = 1 or w[i] <> '[MASK]' or w[i-1] <> '[MASK]'] as m from w) select doc_id, len(list_filter(w, lambda x: x = '[MASK]'))::bigint as n_mask, array_to_string(m, ' ') as merged from m")
+@_query("with w as (select doc_id, list_transform(regexp_extract_all(lower(text), '[\\pL\\pN]+'), lambda x: case when length(x) > 4 then '[MASK]' else x end) as w from documents), m as (select doc_id, w, [w[i] for i in range(1, len(w) + 1) if i = 1 or w[i] <> '[MASK]' or w[i-1] <> '[MASK]'] as m from w) select doc_id, len(list_filter(w, lambda x: x = '[MASK]'))::bigint as n_mask, array_to_string(m, ' ') as merged from m")
 def mask_merge(spark, d):
     words = F.transform(T.tokens(F.col("text")), lambda x: F.when(F.length(x) > 4, T.MASK).otherwise(x))
     rows = table(spark, d, "documents").select("doc_id", words.alias("w"))
@@ -557,14 +582,14 @@ def _turns(spark, d):
     return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("src")).join(answers, ["conv_id", "turn"])
 
 
-@_query(f"with {_PAIR}, n as (select conv_id, turn, len(regexp_extract_all(lower(src), '[a-z0-9]+')) as a, len(regexp_extract_all(lower(tgt), '[a-z0-9]+')) as b from p), k as (select *, case when a + b <= 61 then a else least(a, greatest(61 - b, 31)) end as keep_a from n) select conv_id, turn, keep_a::bigint as keep_a, least(b, 61 - keep_a)::bigint as keep_b from k")
+@_query(f"with {_PAIR}, n as (select conv_id, turn, len(regexp_extract_all(lower(src), '[\\pL\\pN]+')) as a, len(regexp_extract_all(lower(tgt), '[\\pL\\pN]+')) as b from p), k as (select *, case when a + b <= 61 then a else least(a, greatest(61 - b, 31)) end as keep_a from n) select conv_id, turn, keep_a::bigint as keep_a, least(b, 61 - keep_a)::bigint as keep_b from k")
 def pair_truncate(spark, d):
     rows = _turns(spark, d).select("conv_id", "turn", F.size(T.tokens(F.col("src"))).alias("a"), F.size(T.tokens(F.col("tgt"))).alias("b"))
     a, b = T.pair_lengths(F.col("a"), F.col("b"), 61)
     return rows.select("conv_id", "turn", a.cast("long").alias("keep_a"), b.cast("long").alias("keep_b"))
 
 
-@_query(f"with {_SENTS}, w as (select doc_id, sent_idx, len(regexp_extract_all(lower(sent), '[a-z0-9]+')) as n from sents where sent_idx < 10), c as (select doc_id, sent_idx, n, coalesce(sum(n) over (partition by doc_id order by sent_idx rows between unbounded preceding and 1 preceding), 0) as before from w) select doc_id, sent_idx, least(n, greatest(100 - before, 0))::bigint as kept_words from c where before < 100")
+@_query(f"with {_SENTS}, w as (select doc_id, sent_idx, len(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) as n from sents where sent_idx < 10), c as (select doc_id, sent_idx, n, coalesce(sum(n) over (partition by doc_id order by sent_idx rows between unbounded preceding and 1 preceding), 0) as before from w) select doc_id, sent_idx, least(n, greatest(100 - before, 0))::bigint as kept_words from c where before < 100")
 def clip_nested(spark, d):
     rows = _sents(spark, d).where("sent_idx < 10").select("doc_id", *_long("sent_idx"), F.size(T.tokens(F.col("sent"))).cast("long").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -582,7 +607,7 @@ def src_tgt_rows(spark, d):
     return _turns(spark, d).select(T.sid(F.col("conv_id"), F.col("turn")).alias("uid"), "src", "tgt")
 
 
-@_query(f"with {_PAIR} select conv_id, turn from p where len(regexp_extract_all(lower(tgt), '[a-z0-9]+')) >= 50")
+@_query(f"with {_PAIR} select conv_id, turn from p where len(regexp_extract_all(lower(tgt), '[\\pL\\pN]+')) >= 50")
 def min_target_words(spark, d):
     return _turns(spark, d).where(F.size(T.tokens(F.col("tgt"))) >= 50).select("conv_id", "turn")
 
@@ -607,22 +632,28 @@ def masked_summaries(spark, d):
     tags = F.transform("w", lambda x, i: F.when(i % 5 == 2, "B-V").when(i % 5 == 1, "B-ARG0").when(i % 5 == 3, "B-ARG1").otherwise("O"))
     rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("cid"), words.alias("w")).withColumn("t", tags)
     parse = F.array(F.struct(F.col("w").alias("words"), F.array(F.struct(F.col("t").alias("tags"))).alias("verbs"), F.array_join("w", " ").alias("raw_sentence")))
-    out = mask.masked_summaries(rows.select("cid", parse.alias("open_ie")), 0.3)
+    out = mask.masked_summaries(rows.select("cid", parse.alias("open_ie")), mask.Masking(ratio=0.3, verb_as_slot=True))
     return out.select("cid", F.array_join("masked_seq", " ").alias("masked"), "n_revealed")
 
 
 # Joins, sets, statistics
 
 
-@_query("select source as cid, count(l.doc_id) as n from documents d left join labels l using (doc_id) group by source")
+@_query(f"""with {_SENTS}, members as (select item_id as cluster_id, unnest([0, 1, 2]) as pos, item_id * 2 + unnest([0, 1, 2]) * 149 as doc_id from benchmark),
+own as (select doc_id, list(sent order by sent_idx) as sents from sents group by doc_id) select cluster_id, pos::bigint as pos, doc_id, coalesce(len(sents), 0)::bigint as n_sents, coalesce(array_to_string(sents[1:2], ' '), '') as head from members left join own using (doc_id)""")
 def left_default_join(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("one")), "doc_id", "left").groupBy(F.col("source").alias("cid")).agg(F.count("one").alias("n"))
+    """Samples of three documents, of which some are missing: a missing one has an empty list."""
+    members = table(spark, d, "benchmark").select(F.col("item_id").alias("cluster_id"), F.posexplode(F.transform(F.array(*map(F.lit, (0, 1, 2))), lambda k: F.col("item_id") * 2 + k * 149)).alias("pos", "doc_id"))
+    return assemble.member_sentences(members, _sents(spark, d)).select("cluster_id", *_long("pos"), "doc_id", F.size("sents").cast("long").alias("n_sents"), F.array_join(F.slice("sents", 1, 2), " ").alias("head"))
 
 
-@_query("select p_partkey as left_id, n_nationkey as right_id from part, nation where starts_with(lower(p_name), lower(n_name[1:1]))")
+@_query("select p_partkey as left_id, n_nationkey as right_id from part, nation where starts_with(lower(p_name), lower(n_name[1:1 + n_nationkey % 2]))")
 def theta_prefix_join(spark, d):
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("left_id"), F.lower(F.substring("p_name", 1, 1)).alias("k"))
-    return parts.join(table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("right_id"), F.lower(F.substring("n_name", 1, 1)).alias("k")), "k").select("left_id", "right_id")
+    """Names that begin with a prefix of one or two letters: an equi-join on every prefix of a name."""
+    names = table(spark, d, "nation").select(F.expr("substring(n_name, 1, int(1 + n_nationkey % 2))").alias("prefix"), F.col("n_nationkey").alias("right_id"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("left_id"), F.col("p_name").alias("cid"))
+    hits = assemble.prefix_matches(names, parts.select("cid").distinct(), fold=True)
+    return hits.join(parts, "cid").select("left_id", "right_id")
 
 
 @_query("with u as (select doc_id as key, 'label' || quality as value, 0 as p from labels union all select doc_id, 'lang_' || lang, 1 from documents) select key, value from (select *, row_number() over (partition by key order by p) as r from u) where r = 1")
@@ -632,10 +663,11 @@ def dict_merge_precedence(spark, d):
     return rank.deduplicated(first.unionByName(second), ["key"], "p").select("key", "value")
 
 
-@_query("select case when doc_id % 10 = 0 then 'dev' when doc_id % 10 = 1 then 'test' else 'train' end as split, doc_id from documents where doc_id not in (select doc_id from labels where quality = 0)")
+@_query("with o as (select o_orderkey as cid, year(o_orderdate) as year, o_custkey from orders) select cid, case when year = 1997 then 'test' when o_custkey in (select c_custkey from customer where c_nationkey = 3) then 'dev' else 'train' end as split from o where cid % 7 <> 3")
 def year_split(spark, d):
-    bad = table(spark, d, "labels").where("quality = 0").select("doc_id")
-    return table(spark, d, "documents").join(bad, "doc_id", "left_anti").select(F.when(F.col("doc_id") % 10 == 0, "dev").when(F.col("doc_id") % 10 == 1, "test").otherwise("train").alias("split"), "doc_id")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("cid"), F.year("o_orderdate").alias("year"), "o_custkey")
+    dev = rows.join(table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    return assemble.split(rows, "cid", "year", 1997, dev, rows.where("cid % 7 = 3")).select("cid", "split")
 
 
 @_query("with j as (select quality, n_chars from labels join documents using (doc_id)), r as (select quality, n_chars, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2.0::double as a, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0::double as b from j), c as (select corr(quality::double, n_chars::double) as p, corr(a, b) as s from r) select round(p, 6) as pearson, round(s, 6) as spearman, round((p + s) / 2, 6) as corr from c")
@@ -650,29 +682,36 @@ def binary_metrics(spark, d):
     return metrics.binary(rows, "y", "s", 0.5)
 
 
-@_query("with v as (select vec_id, embedding[1:8] as e, label from embeddings), p as (select vec_id, list_transform(e, lambda x: case when x >= 0.15 then 1 else 0 end) as pred, list_transform(range(0, 8), lambda i: case when i = label % 8 or i = (label + 1) % 8 then 1 else 0 end) as truth from v), c as (select vec_id, list_sum(list_transform(range(1, 9), lambda i: pred[i] * truth[i]))::double as tp, list_sum(pred) as pp, list_sum(truth) as t from p) select vec_id, round(coalesce(tp / nullif(pp, 0), 0), 6) as p, round(tp / t, 6) as r from c")
+_MULTILABEL = "with v as (select vec_id, embedding as e, label from embeddings), p as (select vec_id, list_transform(e, lambda x: case when x >= 0.15 then 1 else 0 end) as pred, list_transform(range(0, len(e)), lambda i: case when i % 8 = label % 8 or i % 8 = (label + 1) % 8 then 1 else 0 end) as truth from v), c as (select vec_id, list_sum(list_transform(range(1, len(pred) + 1), lambda i: pred[i] * truth[i]))::double as tp, list_sum(pred) as pp, list_sum(truth) as t from p), rows as (select vec_id, round(coalesce(tp / nullif(pp, 0), 0), 6) as p, round(tp / t, 6) as r from c)"
+
+
+@_query(_MULTILABEL + " select * from rows")
 def multilabel_pr(spark, d):
-    e = F.slice("embedding", 1, 8)
-    pred = F.transform(e, lambda x: (x.cast("double") >= 0.15).cast("int"))
-    truth = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((i == F.col("label") % 8) | (i == (F.col("label") + 1) % 8)).cast("int"))
+    pred = F.transform("embedding", lambda x: (x.cast("double") >= 0.15).cast("int"))
+    truth = F.transform("embedding", lambda x, i: ((i % 8 == F.col("label") % 8) | (i % 8 == (F.col("label") + 1) % 8)).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     rows = table(spark, d, "embeddings").select("vec_id", pred.alias("a"), truth.alias("b"))
     tp = total(F.zip_with("a", "b", lambda x, y: x * y)).cast("double")
     return rows.select("vec_id", F.round(F.coalesce(F.try_divide(tp, total("a")), F.lit(0.0)), 6).alias("p"), F.round(tp / total("b"), 6).alias("r"))
 
 
-@_query("with v as (select vec_id, embedding[1:8] as e from embeddings) select vec_id, list_transform(range(1, 9), lambda i: case when list_max(e) >= 0.25 then (e[i] >= 0.25)::int else (i = list_position(e, list_max(e)))::int end) as pred from v")
+@_query("with v as (select vec_id, embedding as e from embeddings) select vec_id, list_transform(range(1, len(e) + 1), lambda i: case when list_max(e) >= 0.25 then (e[i] >= 0.25)::int else (i = list_position(e, list_max(e)))::int end) as pred from v")
 def max_alternative(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("e")).withColumn("m", F.array_max("e")).withColumn("at", F.array_position("e", F.col("m")) - 1)
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e")).withColumn("m", F.array_max("e")).withColumn("at", F.array_position("e", F.col("m")) - 1)
     return rows.select("vec_id", F.transform("e", lambda x, i: F.when(F.col("m") >= 0.25, x >= 0.25).otherwise(i == F.col("at")).cast("int")).alias("pred"))
 
 
+@_query(f"{_MULTILABEL}, m as (select avg(p) as p, avg(r) as r from rows) select round(p, 6) as p, round(r, 6) as r, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1 from m")
+def example_based_f1(spark, d):
+    return metrics.example_based(multilabel_pr(spark, d))
+
+
 @_query("with h as (select least(floor((n_chars - 0.0::double) * 20 / 10000), 19)::bigint as bucket from documents where n_chars between 0 and 10000), c as (select bucket, count(*) as cnt from h group by bucket) select bucket, cnt, round(cnt::double / sum(cnt) over (), 6) as ratio from c")
 def histogram_fixed(spark, d):
     return metrics.histogram(table(spark, d, "documents"), "n_chars", 0, 10000, 20)
 
 
-@_query("with w as (select source as cid, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as n from documents), c as (select cid, count(*) as docs, sum(n) as words from w group by cid) select round(avg(docs), 4) as avg_docs, round(avg(words), 4) as avg_words, count(*) as n_clusters from c")
+@_query("with w as (select source as cid, len(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as n from documents), c as (select cid, count(*) as docs, sum(n) as words from w group by cid) select round(avg(docs), 4) as avg_docs, round(avg(words), 4) as avg_words, count(*) as n_clusters from c")
 def cluster_stats(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("cid"), F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
     per = rows.groupBy("cid").agg(F.count("*").alias("docs"), F.sum("n").alias("words"))

@@ -1,9 +1,17 @@
-"""Readers of the file formats of the data model: tagged articles, topics, rank lists, parallel lines, stories, JSON lines."""
+"""Readers of the file formats of the data model: tagged articles, topics, rank lists, parallel lines, stories, JSON lines, matrices."""
 
 from __future__ import annotations
 
+import io
+import json
+import struct
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexisift.functions import text as T
 
@@ -11,6 +19,10 @@ SCORED_SENTENCE = "sid string, sentence string, rouge_1_recall double, rouge_2_r
 MASKED_QUERY = "cid string, raw_query array<string>, masked_query array<string>, masked_query_with_sub string"
 OPEN_IE = "cid string, raw_summary string, open_ie array<struct<words: array<string>, verbs: array<struct<tags: array<string>>>, raw_sentence: string>>"
 RETRIEVAL_RANK = "doc_id string, rank_ids array<string>"
+CLUSTER_SENTENCES = "sid string, sentence string, masked_summary array<string>, masked_summary_with_sub string"
+RANKED_SENTENCES = "doc_id string, sentences array<struct<sid: string, sentence: string, score: double>>"
+TRAINING = SCORED_SENTENCE + ", masked_summary array<string>"
+PASSAGE = "cid string, pid string, text string"
 SAMPLE_CLUSTER = "cluster_id string, cluster_docs array<array<string>>, cluster_summaries array<string>, cluster_sample_ids array<string>"
 
 
@@ -25,8 +37,16 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, line)``: lines of whole files with their number, blank lines included."""
-    return spark.read.text(path, wholetext=True).select(_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """``(file, line_no, line)``: lines of files with their number, blank lines included.
+
+    Files are read in splits, so a large one is many tasks. A line's number is its place among the lines of its split and the number of lines
+    of the splits before it; only a count for each split is sorted within a file.
+    """
+    lines = spark.read.text(path).select(_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
+    firsts = lines.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = firsts.select("file", "_split", "_first", before.alias("_before"))
+    return lines.join(firsts, ["file", "_split"]).select("file", (F.col("_at") - F.col("_first") + F.col("_before")).cast("long").alias("line_no"), "line")
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
@@ -104,3 +124,91 @@ def label_lines(spark: SparkSession, path: str, n_labels: int) -> DataFrame:
 def decoded(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """``(cid, text)``: line i of a decoder's output belongs to cluster i of ``ids(line_no, cid)``."""
     return numbered_lines(spark, path).select("line_no", F.col("line").alias("text")).join(ids, "line_no").select("cid", "text")
+
+
+def masked_summaries(spark: SparkSession, path: str, key: str = "masked_seq") -> DataFrame:
+    """``(cid, masked_summary)`` of JSON lines that are known by their number only: line i is cluster i."""
+    lines = numbered_lines(spark, path).where("line <> ''")
+    return lines.select(F.col("line_no").cast("string").alias("cid"), F.from_json("line", f"struct<{key}: array<string>>")[key].alias("masked_summary"))
+
+
+def cluster_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(cid, masked_summary, sents)`` of a file of scored sentences a cluster: the mask of its first row, and its sentences in their order."""
+    rows = numbered_lines(spark, path).where("line <> ''").select(F.regexp_replace("file", r"\.[^.]*$", "").alias("cid"), "line_no", F.from_json("line", f"struct<{CLUSTER_SENTENCES.replace(' ', ': ').replace(',: ', ', ')}>").alias("r"))
+    own = F.sort_array(F.collect_list(F.struct("line_no", "r.sid", "r.sentence")))
+    return rows.groupBy("cid").agg(F.min_by("r.masked_summary", "line_no").alias("masked_summary"), F.transform(own, lambda x: F.struct(x["sid"].alias("sid"), x["sentence"].alias("sentence"))).alias("sents"))
+
+
+def examples(spark: SparkSession, path: str, c: float = 0.15) -> DataFrame:
+    """``(guid, text_a, text_b, label)`` of training lines: the masked summary, the sentence, and its smoothed label."""
+    rows = json_lines(spark, path, TRAINING)
+    return rows.select(F.col("sid").alias("guid"), F.array_join("masked_summary", " ").alias("text_a"), F.col("sentence").alias("text_b"), T.smoothed_label(F.col("rouge_1_f1"), F.col("rouge_2_f1"), c).alias("label"))
+
+
+def passages(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
+    """``(cid, pid, text)`` of JSON lines of passages: all, or those of ``ids(cid, pid)``."""
+    rows = json_lines(spark, path, PASSAGE)
+    return rows if ids is None else rows.join(ids.select("cid", "pid").distinct(), ["cid", "pid"], "left_semi")
+
+
+def oracle_queries(references: DataFrame, ref_idx: int = 1) -> DataFrame:
+    """``(cid, query)``: one reference of each cluster, its lines put together, in the place of a query."""
+    return references.where(F.col("ref_idx") == ref_idx).select("cid", F.regexp_replace("text", "\n", "").alias("query"))
+
+
+def separated(spark: SparkSession, path: str, schema: str, quote: str = '"') -> DataFrame:
+    """Fields between tabs, quoted or not, under a schema; a byte order mark at the start of a file isn't part of its first field."""
+    rows = spark.read.csv(path, sep="\t", schema=schema, quote=quote)
+    return rows.withColumn(rows.columns[0], F.regexp_replace(rows.columns[0], "^\ufeff", "").cast(rows.schema[0].dataType))
+
+
+def matrices(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, i, row)`` of ``.npy`` files of one or two dimensions, a row each; a vector is one row a number. A file is read whole by one task."""
+
+    def read(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                m = np.load(io.BytesIO(content.as_buffer().to_pybytes()), allow_pickle=False)
+                m = m.astype(float).reshape(len(m), -1)
+                for at in range(0, len(m), 1000):
+                    part = m[at : at + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part.tolist(), pa.list_(pa.float64()))], ["file", "i", "row"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return files.mapInArrow(read, "file string, i long, row array<double>")
+
+
+def length_prefixed(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, i, record)`` of binary files of records with their length in eight bytes, little-endian, in front; a cut record is an error."""
+
+    def read(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, at, out = memoryview(content.as_buffer()), 0, []
+                while at < len(data):
+                    size = struct.unpack_from("<q", data, at)[0]
+                    if size < 0 or at + 8 + size > len(data):
+                        raise ValueError(f"record at byte {at} of {name} is cut")
+                    out.append(bytes(data[at + 8 : at + 8 + size]))
+                    at += 8 + size
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array(range(len(out)), pa.int64()), pa.array(out, pa.binary())], ["file", "i", "record"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return files.mapInArrow(read, "file string, i long, record binary")
+
+
+def result_table(spark: SparkSession, path: str) -> DataFrame:
+    """``(system, n, kind, value)`` of a scorer's printed averages, lines such as ``1 ROUGE-2 Average_R: 0.08123 (95%-conf.int. ...)``."""
+    pattern = r"^(\S+) ROUGE-(\S+) Average_([RPF]): ([0-9.]+)"
+    part = lambda k: F.regexp_extract("value", pattern, k)
+    kinds = F.create_map(*[F.lit(x) for pair in (("R", "recall"), ("P", "precision"), ("F", "f1")) for x in pair])
+    return spark.read.text(path).where(F.col("value").rlike(pattern)).select(part(1).alias("system"), part(2).alias("n"), kinds[part(3)].alias("kind"), part(4).cast("double").alias("value"))
+
+
+def settings(path: str) -> dict[str, dict]:
+    """Sections of a settings file in JSON, read on the driver; a value that isn't a section is an error."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if not isinstance(found, dict) or not all(isinstance(v, dict) for v in found.values()):
+        raise ValueError("settings are sections of names and values")
+    return found

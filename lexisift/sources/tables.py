@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
-    """``(cid, doc_id, text)``; the language filter reaches the scan."""
+def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """``(cid, doc_id, text)``, of one language if it is named; that filter reaches the scan."""
     docs = table(spark, sf_dir, "documents")
     docs = docs.where(F.col("lang") == lang) if lang else docs
     return docs.select(F.col("source").alias("cid"), "doc_id", "text")

@@ -11,7 +11,7 @@ from lexisift.sources.tables import sentences
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def sentence_stream(spark: SparkSession, folder: str, lang: str | None = "en") -> DataFrame:
+def sentence_stream(spark: SparkSession, folder: str, lang: str | None = None) -> DataFrame:
     """``(cid, doc_id, sent_idx, sent)`` of Parquet files as they arrive in ``folder``; no state."""
     docs = spark.readStream.schema(DOCUMENTS).parquet(folder)
     docs = docs.where(F.col("lang") == lang) if lang else docs

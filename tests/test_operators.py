@@ -96,16 +96,53 @@ def test_orders():
             f(score, sim, -1)
 
 
+FOUR = ("the dog ate food quickly".split(), [["B-ARG0", "I-ARG0", "B-V", "B-ARG1", "O"]])
+
+
 def test_reveal():
-    words = "the dog ate food quickly".split()
-    tags = ["B-ARG0", "I-ARG0", "B-V", "B-ARG1", "O"]
-    assert mask.merged(mask.reveal([(words, [])], 0.0, "s")[0]) == words
-    full = mask.reveal([(words, [tags])], 1.0, "s")[0]
-    assert full == ["the", "dog", "[MASK]", "food", "quickly"]
-    one = mask.reveal([(words, [tags])], 0.0, "s")[0]
-    assert one.count("[MASK]") in (3, 4) and one[4] == "quickly"
-    with pytest.raises(ValueError):
-        mask.reveal([], 1.5, "s")
+    words, facts = FOUR
+    how = lambda **o: mask.Masking(**o)
+    assert mask.reveal([(words, [])], how())[0] == [words]
+    # without the verb as a slot it is no part of its fact, and shows from the start
+    assert mask.reveal([FOUR], how(ratio=1.0))[0] == [words]
+    (one,), n = mask.reveal([FOUR], how(ratio=0.0))  # one slot even so
+    assert one in (["the", "dog", "ate", "[MASK]", "quickly"], ["[MASK]", "ate", "food", "quickly"]) and n in (3, 4)
+    (verb,), n = mask.reveal([FOUR], how(ratio=0.0, verb_as_slot=True))
+    assert verb[-1] == "quickly" and n in (2, 3) and "[MASK]" in verb
+    # words outside of facts count, but are left out; a sentence of masks only is empty
+    assert mask.reveal([FOUR], how(ratio=1.0, remove_base=True))[0] == [["the", "dog", "food"]]
+    assert mask.reveal([(words, [["B-V"] * 5])], how(remove_base=True, ratio=0.0))[0] == [[]]
+    inside = (["a", "b"], [["B-ARG0", "B-ARG1"]])
+    assert sorted(mask.reveal([inside], how(rand_expose=True, ratio=0.0))[0][0]) == ["a", "b"]  # one from the start, one more at least
+    assert mask.reveal([([], [])], how())[0] == [[]] and mask.reveal([], how())[0] == []
+    for wrong in (how, lambda **o: mask.Masking(func_ratio=1.5)):
+        with pytest.raises(ValueError):
+            wrong(ratio=1.5)
+    assert how(ratio=0.3).name() == "reveal_0.3" and how(remove_base=True, max_words=9).name() == "reveal_0.0-remove_base-max_words-9"
+
+
+def test_reveal_reaches_its_goal():
+    rng = np.random.default_rng(4)
+    for k in range(200):
+        summary = []
+        for _ in range(rng.integers(1, 5)):
+            n = int(rng.integers(1, 15))
+            facts = [[str(rng.choice(["O", "B-V", "B-ARG0", "B-ARG1", "B-ARG2"])) for _ in range(n)] for _ in range(rng.integers(0, 4))]
+            summary.append(([f"w{i}" for i in range(n)], facts))
+        for verb in (False, True):
+            for func in (1.0, 0.5):
+                how = mask.Masking(ratio=float(rng.random()), verb_as_slot=verb, func_ratio=func)
+                roles = ("V", "ARG0", "ARG1", "ARG2") if verb else ("ARG0", "ARG1", "ARG2")
+                base = [[all(not t[i].endswith(roles) for t in facts) for i in range(len(words))] for words, facts in summary]
+                parts, shown = mask.reveal(summary, how, str(k))
+                assert (parts, shown) == mask.reveal(summary, how, str(k))
+                outside = sum(map(sum, base))
+                start = sum(sum(b) if func == 1 or sum(b) < 2 else int(sum(b) * func) for b in base)
+                goal = int(start + (sum(map(len, base)) - outside) * how.ratio)
+                assert goal <= shown <= sum(map(len, base)) - outside + start
+                if func == 1.0:
+                    for (words, _), b, part in zip(summary, base, parts, strict=True):
+                        assert [w for w, x in zip(words, b, strict=True) if x] == [w for w in part if w in {words[i] for i in range(len(words)) if b[i]}]
 
 
 def test_rouge(spark):
@@ -138,8 +175,9 @@ def test_sentences_meet_every_reference(spark):
     for (doc, i), (c, w) in sents.items():
         own = pairs(w)
         for (x, j), u in units.items():
-            if x == c and (n := (own & u).total()):
-                want[doc, i, j] = (n, 2 * n / (own.total() + u.total()))
+            if x == c:
+                n = (own & u).total()
+                want[doc, i, j] = (n, 2 * n / max(1, own.total() + u.total()))
     rows = catalogue.queries()["rouge_su4"](spark, folder).collect()
     got = {(r.doc_id, r.sent_idx, r.ref_idx): (r.overlap, r.f1) for r in rows}
     assert len(got) == len(rows) and got.keys() == want.keys()
