@@ -64,8 +64,11 @@ def processed_paragraph(sentences: Column, **options) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """The n-grams of a token array, joined by spaces; none if it is shorter than n."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """The n-grams of a token array, joined by spaces; none if it is shorter than n. ``words`` should be a column: it is read for each of them."""
+    if n == 1:
+        return words
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
 
 
 def mask_question(text: Column) -> Column:

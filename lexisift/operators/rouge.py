@@ -13,46 +13,58 @@ from lexisift.functions.stem import stemmed
 
 def skip_units(words: Column, gap: int = 4) -> Column:
     """Unigrams and pairs of words at most ``gap`` words apart, with a start marker."""
-    w = F.concat(F.array(F.lit("@start-token")), words)
-    pairs = F.flatten(F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, F.least(F.lit(gap + 1), F.size(w) - i - 1)), lambda y: F.concat_ws(" ", x, y))))
-    return F.concat(words, F.when(F.size(words) > 0, pairs).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    pairs = [_apart(words, k) for k in range(1, gap + 2)]
+    marked = F.transform(F.slice(words, 1, gap + 1), lambda w: F.concat(F.lit("@start-token "), w))
+    return F.concat(words, F.when(F.size(words) > 0, F.concat(marked, *pairs)).otherwise(none))
 
 
-def _units(words: Column, kinds: tuple) -> Column:
-    """``(n, gram)`` of every kind: n-grams of n words, or skip-bigrams with unigrams for ``su4``; one without a gram stands for the text itself."""
+def _apart(words: Column, k: int) -> Column:
+    """Pairs of words that are k places apart."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - k, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + k)))
 
-    def of(n) -> Column:
-        grams = skip_units(words) if n == "su4" else T.ngrams(words, n)
-        return F.transform(F.concat(F.array(F.lit(None).cast("string")), grams), lambda g: F.struct(F.lit(str(n)).alias("n"), g.alias("gram")))
 
-    return F.concat(*map(of, kinds))
+def n_units(words: Column, kind: int | str, gap: int = 4) -> Column:
+    """How many n-grams, or skip units with the start marker, a token array has."""
+    n = F.size(words).cast("long")
+    if kind != "su4":
+        return F.greatest(n - (kind - 1), F.lit(0).cast("long"))
+    short = n * (n + 1) / 2
+    return (n + F.when(n <= gap + 1, short).otherwise((gap + 1) * n - gap * (gap + 1) / 2)).cast("long")
+
+
+#: Stands among a text's grams for the text itself; no gram has a line break.
+_TEXT = "\n"
 
 
 def scores(system: DataFrame, references: DataFrame, ids: list[str], kinds: int | str | tuple = 1, words: str = "words", limit: int | None = None, stem: bool = False) -> DataFrame:
     """``(ids..., ref_idx, overlap, sys_n, ref_n, recall, precision, f1)`` of every system against every reference of its cluster.
 
     ``system`` has the ids, ``cid`` among them, and a token array; ``references(cid, ref_idx, words)``. ``kinds`` is a number of words or
-    ``"su4"``; of several, ``n`` says which in the result. ``limit`` cuts the systems, ``stem`` compares stems. Texts that share nothing score 0, as do empty ones. Grams meet on (cid, n, gram);
-    only shared ones are shuffled, once, and a row for each pair that stands for the pair itself.
+    ``"su4"``; of several, ``n`` says which in the result. ``limit`` cuts the systems, ``stem`` compares stems. Texts that share nothing score
+    0, as do empty ones. Grams meet on (cid, gram), before a shuffle if Spark broadcasts the references by their size; only shared ones are
+    shuffled, once, and a row for each pair that stands for the pair itself.
     """
     several = isinstance(kinds, tuple)
     all_kinds = kinds if several else (kinds,)
-    if stem:
-        system, references = system.withColumn(words, stemmed(words)), references.withColumn("words", stemmed("words"))
-    own = F.slice(words, 1, limit) if limit else F.col(words)
-
-    def total(n) -> Column:
-        return F.size(F.filter("_u", lambda g: (g["n"] == str(n)) & g["gram"].isNotNull()))
-
-    def spread(rows: DataFrame, keys: list[str], column: Column, size: str) -> DataFrame:
-        rows = rows.select(*keys, _units(F.coalesce(column, F.array().cast("array<string>")), all_kinds).alias("_u"))
-        sizes = F.map_from_arrays(F.array(*[F.lit(str(n)) for n in all_kinds]), F.array(*map(total, all_kinds)))
-        return rows.withColumn("_sizes", sizes).select(*keys, "_sizes", F.explode("_u").alias("_g")).select(*keys, F.col("_sizes")[F.col("_g.n")].cast("long").alias(size), "_g.n", F.coalesce("_g.gram", F.lit("")).alias("gram"), F.col("_g.gram").isNull().alias("_text"))
-
-    refs = spread(references, ["cid", "ref_idx"], F.col("words"), "ref_n").groupBy("cid", "ref_idx", "ref_n", "n", "gram", "_text").agg(F.count("*").alias("rc"))
-    met = spread(system, ids, own, "sys_n").join(refs, ["cid", "n", "gram", "_text"]).repartition(*ids)
-    met = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n", "gram", "_text").agg(F.least(F.count("*"), F.first("rc")).alias("o"))
-    out = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n").agg(F.sum(F.when(F.col("_text"), 0).otherwise(F.col("o"))).alias("overlap"))
+
+    def spread(rows: DataFrame, keys: list[str], column: str, most: int | None, size: str) -> DataFrame:
+        own = stemmed(column) if stem else F.col(column)
+        own = F.coalesce(own, F.array().cast("array<string>"))
+        rows = rows.select(*keys, (F.slice(own, 1, most) if most else own).alias("_w"))
+        w = F.col("_w")
+        grams = [F.concat(F.array(F.lit(_TEXT)), skip_units(w) if k == "su4" else T.ngrams(w, k)) for k in all_kinds]
+        if several:
+            each = [F.struct(F.lit(str(k)).alias("n"), n_units(w, k).alias(size), g.alias("g")) for k, g in zip(all_kinds, grams, strict=True)]
+            rows = rows.select(*keys, F.explode(F.array(*each)).alias("_k")).select(*keys, "_k.n", F.col(f"_k.{size}").alias(size), F.explode("_k.g").alias("gram"))
+        else:
+            rows = rows.select(*keys, F.lit(str(kinds)).alias("n"), n_units(w, kinds).alias(size), F.explode(grams[0]).alias("gram"))
+        return rows
+
+    refs = spread(references, ["cid", "ref_idx"], "words", None, "ref_n").groupBy("cid", "ref_idx", "n", "ref_n", "gram").agg(F.count("*").alias("rc"))
+    met = spread(system, ids, words, limit, "sys_n").join(refs, ["cid", "n", "gram"]).repartition(*ids)
+    met = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n", "gram").agg(F.least(F.count("*"), F.first("rc")).alias("o"))
+    out = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n").agg(F.sum(F.when(F.col("gram") == _TEXT, 0).otherwise(F.col("o"))).alias("overlap"))
     o = F.col("overlap").cast("double")
     share = lambda part, whole, name: F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 6).alias(name)
     kind = ["n"] if several else []
