@@ -249,3 +249,25 @@ def unit_order(units: DataFrame) -> DataFrame:
     parts = units.select("unit", F.regexp_extract("unit", r"^(.*?)(?:_([0-9]+))?$", 1).alias("cid"), F.regexp_extract("unit", r"_([0-9]+)$", 1).try_cast("int").alias("slot"))
     every = F.row_number().over(W.orderBy("cid", F.asc_nulls_first("slot"))) - 1  # a row for each unit: as many as a generator decodes
     return parts.withColumn("line_no", every)
+
+
+def batched(rows: DataFrame, keys: str | list[str], order: list[str], size: int, whole: bool = False, seed: int | None = None) -> DataFrame:
+    """Adds ``batch``: rows of a key, in their order or, with a seed, in that of a hash, so many at a time; ``whole`` drops a last batch that isn't full."""
+    keys = [keys] if isinstance(keys, str) else keys
+    by = [_seeded(seed, *keys, *order), *order] if seed is not None else order
+    rows = rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(*by)) - 1) / size))
+    if not whole:
+        return rows
+    full = rows.groupBy(*keys, "batch").agg(F.count("*").alias("_n")).where(F.col("_n") == size).drop("_n")
+    return rows.join(full, [*keys, "batch"], "left_semi")
+
+
+def paired_inputs(queries: DataFrame, sents: DataFrame, most: int, query_words: int = 32) -> DataFrame:
+    """``(cid, doc_id, sent_idx, tokens, segments, mask)``: each sentence packed with its cluster's query, which is cut to its words first; a cluster
+    without a query, as in a test set, gets the placeholder of one mask."""
+    q = queries.select("cid", T.clipped(T.tokens(F.col("query")), query_words).alias("_q"))
+    rows = sents.select("cid", "doc_id", "sent_idx", T.tokens(F.col("sent")).alias("_s")).join(q, "cid", "left")
+    rows = rows.withColumn("_q", F.coalesce("_q", F.array(F.lit(T.MASK), F.lit("."))))
+    a, b = T.pair_lengths(F.size("_q"), F.size("_s"), most - 3)
+    rows = rows.withColumn("_a", F.slice("_q", F.lit(1), a)).withColumn("_b", F.slice("_s", F.lit(1), b))
+    return rows.select("cid", "doc_id", "sent_idx", *[c.alias(k) for k, c in T.pair_features(F.col("_a"), F.col("_b"), most).items()])

@@ -212,3 +212,25 @@ def settings(path: str) -> dict[str, dict]:
     if not isinstance(found, dict) or not all(isinstance(v, dict) for v in found.values()):
         raise ValueError("settings are sections of names and values")
     return found
+
+
+def topics_of_years(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """``topics`` of several years, one after another, with their ``year``."""
+    parts = [topics(spark, path).withColumn("year", F.lit(year)) for year, path in sorted(paths.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def manual_references(spark: SparkSession, path: str, words: int = 250) -> DataFrame:
+    """``reference_texts`` of files that people wrote: names of a cluster, ``M``, the length and two marks of the writer."""
+    return reference_texts(spark, path).where(F.col("file").rlike(rf"^\S+\.M\.{words}\.\D\.\D$"))
+
+
+def counted(rows: DataFrame, expected: int) -> DataFrame:
+    """The rows, if there are as many as expected; an error names both numbers otherwise."""
+    found = rows.count()
+    if found != expected:
+        raise ValueError(f"{found} rows instead of {expected}")
+    return rows

@@ -192,3 +192,31 @@ def test_generation(spark, tmp_path):
     refs = spark.createDataFrame([("c", 0, ["it", "s", "red"]), ("d", 0, ["x"])], "cid string, ref_idx int, words array<string>")
     got = {(r.run, r.n): r.f1 for r in drivers.evaluated({"a": texts, "b": texts.where("cid = 'd'")}, refs, (1,)).collect()}
     assert got == {("a", "1"): 0.5, ("b", "1"): 0.0}
+
+
+def test_batches(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 0)], "cid string, i int")
+    got = {(r.cid, r.i): r.batch for r in assemble.batched(rows, "cid", ["i"], 3).collect()}
+    assert got == {("a", i): i // 3 for i in range(7)} | {("b", 0): 0}
+    assert assemble.batched(rows, "cid", ["i"], 3, whole=True).count() == 6
+    one, two = ({(r.cid, r.i): r.batch for r in assemble.batched(rows, "cid", ["i"], 3, seed=s).collect()} for s in (1, 1))
+    assert one == two != got and sorted(one.values()) == sorted(got.values())
+    sents = spark.createDataFrame([("a", 1, 0, "One two three four."), ("b", 2, 0, "five")], "cid string, doc_id long, sent_idx int, sent string")
+    packed = {r.cid: r for r in assemble.paired_inputs(spark.createDataFrame([("a", "why not")], "cid string, query string"), sents, 8).collect()}
+    assert packed["a"].tokens == ["[CLS]", "why", "not", "[SEP]", "one", "two", "three", "[SEP]"] and packed["a"].segments == [0] * 4 + [1] * 4
+    assert packed["b"].tokens == ["[CLS]", "[MASK]", ".", "[SEP]", "five", "[SEP]", "[PAD]", "[PAD]"] and packed["b"].mask == [1] * 6 + [0] * 2
+
+
+def test_years_and_references(spark, tmp_path):
+    for year in (2005, 2006):
+        (tmp_path / str(year)).write_text(f"<num> D{year} </num>\n<title> Rain </title>\n<narr>\nWhy?\n</narr>")
+    got = readers.topics_of_years(spark, {y: f"{tmp_path}/{y}" for y in (2006, 2005)}).collect()
+    assert sorted((r.year, r.num) for r in got) == [(2005, "D2005"), (2006, "D2006")]
+    (tmp_path / "r").mkdir()
+    for name in ("D1.M.250.A.B", "D1.M.100.A.B", "D1.P.250.A.B"):
+        (tmp_path / "r" / name).write_text("x")
+    assert [r.file for r in readers.manual_references(spark, f"{tmp_path}/r").collect()] == ["D1.M.250.A.B"]
+    rows = readers.manual_references(spark, f"{tmp_path}/r")
+    assert readers.counted(rows, 1) is rows
+    with pytest.raises(ValueError, match="1 rows instead of 2"):
+        readers.counted(rows, 2)
