@@ -301,13 +301,13 @@ def repeated_passages(docs: DataFrame, width: int = 35, scope: Scope | None = No
     near = scope.written(runs.join(often, "v", "left_semi"), "candidates")
     discard(runs)
     classes = near.groupBy("v", "d").agg(F.count("*").alias("times"), F.min(F.struct("_id", "_th", "start", "n")).alias("rep"))
-    anchors = classes.groupBy("v").agg(F.sum(F.col("rep.n") + F.lit(width - 1)).alias("words"))
-    classes = scope.written(classes.join(anchors, "v"), "classes")
-
+    classes = scope.written(classes, "classes")
+    words = F.sum(F.col("rep.n") + F.lit(width - 1)).alias("words")
+    busiest = classes.groupBy("v").agg(words).where(F.col("words") > HOT_WORDS)  # few: each has that many words
     total = classes.agg(F.sum(F.col("rep.n") + F.lit(width - 1))).first()[0] or 0
     shards = 1 + int(total) // SHARD_WORDS
     shard = F.when(F.col("words") > TASK_WORDS, F.lit(-1)).when(F.col("words") > HOT_WORDS, F.lit(-2)).otherwise(F.pmod(F.xxhash64("v"), F.lit(shards))).cast("long")
-    wanted = classes.select("rep._id", "rep._th", F.struct(shard.alias("shard"), "v", "d", "times", F.col("rep.start").alias("start"), F.col("rep.n").alias("n")).alias("w"))
+    wanted = classes.join(busiest, "v", "left").select("rep._id", "rep._th", F.struct(shard.alias("shard"), "v", "d", "times", F.col("rep.start").alias("start"), F.col("rep.n").alias("n")).alias("w"))
     wanted = wanted.groupBy("_id", "_th").agg(F.collect_list("w").alias("wanted"))
     texts = keyed.join(wanted, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "wanted")
     cut = scope.written(mapped(texts, _cut_passages(width), "shard long, v long, d long, times long, words binary"), "reference")
