@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds as objects at a time, and rows of an Arrow batch.
 PART, BATCH = 500, 1000
+#: Rows of a batch of the Parquet reader: a column of texts is one array in the JVM.
+READ = 512
 #: Stands for a null id where a join key must not be null.
 NO_ID = -(2**63)
 
@@ -122,8 +124,10 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> list:
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import this library wherever the driver was started; installed clusters don't need it.
 
-    Also bounds Arrow batches, which hold whole texts, unless the session has a bound of its own.
+    Also bounds Arrow batches and the batches of the Parquet reader, which hold whole texts, unless the session has bounds of its own.
     """
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
