@@ -93,6 +93,17 @@ def test_minhash_against_all_pairs(spark, monkeypatch, rows_of_a_block):
     assert got == _components(sets, 85, 100)
 
 
+def test_pairs_at_the_threshold(spark):
+    """34 of 40 shingles is 0.85 exactly, 33 of 39 is less: of 80 pairs of either kind all of the first are linked and none of the second."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(160):
+        words = [f"p{k}w{i}x{rng.randrange(9)}" for i in range(39 if k % 2 == 0 else 38)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-3], "a", "b", f"c{k}"]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(_docs(spark, rows), 3, 85, 100).collect()}
+    assert got == {i: i - i % 2 if i // 2 % 2 == 0 else i for i, _ in rows}
+
+
 @given(st.lists(st.sets(st.integers(0, 11), min_size=1), min_size=2, max_size=12), st.data())
 @settings(max_examples=150, deadline=None)
 def test_links_join_what_all_pairs_join(members, data):
