@@ -127,6 +127,7 @@ class Codec:
         self.run = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}  # the generation before: its runs come back when they are met again
+        self.long: list[str] = []
         self.unlike: dict[str, bytes] = {}  # surfaces of runs whose pieces don't decode to the run itself
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
@@ -149,11 +150,12 @@ class Codec:
             return [r for p in self.split_user(text) if p for r in ([p] if p in self.user or self.whole else self.run(p))]
         return ([text] if text else []) if self.whole else self.run(text)
 
-    def _forget(self, split: list[list[str]]) -> None:
-        """Long runs are known for the texts at hand only."""
-        for r in {r for runs in split for r in runs if len(r) > LONGEST}:
-            self.known.pop(r, None)
+    def _forget(self) -> None:
+        """Long runs are known for the texts at hand only, so they are among the new ones each time."""
+        for r in self.long:
+            del self.known[r]
             self.unlike.pop(r, None)
+        self.long = []
 
     def _learn(self, split: list[list[str]]) -> None:
         """Encodes and decodes the runs that aren't known yet, a large batch at a time, with the library's threads."""
@@ -166,6 +168,7 @@ class Codec:
         back = self.earlier.keys() & missing
         self.known.update((r, self.earlier[r]) for r in back)
         new = list(missing - back)
+        self.long = [r for r in new if len(r) > LONGEST]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for r, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -180,7 +183,7 @@ class Codec:
         split = [self.runs(t) for t in texts]
         self._learn(split)
         out = [b"".join(map(self.known.__getitem__, runs)) for runs in split]
-        self._forget(split)
+        self._forget()
         return out
 
     def _text(self, out: str) -> str:
@@ -200,7 +203,7 @@ class Codec:
         split = [self.runs(t) for t in texts]
         self._learn(split)
         out = [(b"".join(map(self.known.__getitem__, runs)), self._said(runs)) for runs in split]
-        self._forget(split)
+        self._forget()
         return out
 
 

@@ -679,9 +679,10 @@ def test_remembered_runs_change_no_result(monkeypatch):
     texts = [" ".join("".join(rng.choices("abcé▁🙂́", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 30))) for _ in range(300)]
     whole = sentencepieces.Codec(data).both(texts)
     monkeypatch.setattr(sentencepieces, "REMEMBERED", 40)
+    monkeypatch.setattr(sentencepieces, "LONGEST", 4)
     small = sentencepieces.Codec(data)
     assert [small.both([t])[0] for t in texts] == whole
-    assert len(small.known) + len(small.earlier) < 200
+    assert len(small.known) + len(small.earlier) < 200 and all(len(r) < 5 for d in (small.known, small.earlier, small.unlike) for r in d)
     assert all(small.decode(i) == back for i, back in whole)
 
 
@@ -691,5 +692,6 @@ def test_remembered_counts_change_no_result(monkeypatch):
     texts = [" ".join("".join(rng.choices("abcÉΣ1'🙂", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 30))) for _ in range(300)]
     whole = list(map(token_counts.Counter(spec).of, texts))
     monkeypatch.setattr(token_counts, "REMEMBERED", 40)
+    monkeypatch.setattr(token_counts, "LONGEST", 4)
     small = token_counts.Counter(spec)
     assert list(map(small.of, texts)) == whole and len(small) + len(small.earlier) <= 80
