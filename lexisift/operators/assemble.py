@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexisift.functions import text as T
+from lexisift.operators import rank
 
 
 def _seeded(seed: int, *columns: str) -> Column:
@@ -28,8 +29,7 @@ def local_order(ranks: DataFrame) -> DataFrame:
 
 def merged_lists(lists: DataFrame, keys: str) -> DataFrame:
     """One list of several: score descending; on ties the earlier list, then its own order. ``lists(keys, list_no, rank, score)``."""
-    order = W.partitionBy(keys).orderBy(F.desc("score"), "list_no", "rank")
-    return lists.withColumn("merged_rank", F.row_number().over(order))
+    return rank.ranked(lists.withColumnRenamed("rank", "_own"), keys, "list_no", "_own").withColumnRenamed("rank", "merged_rank").withColumnRenamed("_own", "rank")
 
 
 def positives_and_negatives(sents: DataFrame, n: int = 20, seed: int = 2020) -> DataFrame:

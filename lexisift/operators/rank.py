@@ -4,21 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window as W
 
 
-def _by(keys, *order):
-    return W.partitionBy(*([keys] if isinstance(keys, str) else keys)).orderBy(*order)
+#: Values of an integer tie, and ranks, that are counted within one task; a longer list of a key is dealt out over its blocks.
+BLOCK = 65_536
 
 
-def ranked(scores: DataFrame, keys: str, *ties: str, score: str = "score") -> DataFrame:
-    """Adds ``rank``: score descending, ties by the given columns."""
-    return scores.withColumn("rank", F.row_number().over(_by(keys, F.desc(score), *ties)))
+def _names(keys: str | list[str]) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
 
 
-def top_k(scores: DataFrame, k: int, keys: str, *ties: str, score: str = "score") -> DataFrame:
-    """The k best of each key; Spark cuts each partition to k rows of a key before the shuffle."""
-    return ranked(scores, keys, *ties, score=score).where(F.col("rank") <= k)
+def _by(keys, *order):
+    return W.partitionBy(*_names(keys)).orderBy(*order)
+
+
+def _matched(rows: DataFrame, sums: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``sums``, which has one row for each ``on``; nulls meet nulls."""
+    other = sums.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in sums.columns if c not in on])
+    same = [rows[c].eqNullSafe(other[f"_on{i}"]) for i, c in enumerate(on)]
+    return rows.join(other, same).drop(*[f"_on{i}" for i in range(len(on))])
+
+
+def ranked(scores: DataFrame, keys: str | list[str], *ties: str, score: str = "score", bounded: bool = False) -> DataFrame:
+    """Adds ``rank``: score descending, nulls last, ties by the given columns ascending.
+
+    A key may hold any share of the rows: a rank is the number of rows of better scores, plus those of equal score in earlier blocks of the
+    first tie (if it is an integer), plus the place within the block. Only a key's distinct scores, and a score's blocks, meet in a window.
+    ``bounded`` lists, of a k that the caller has set, are one window each.
+    """
+    keys = _names(keys)
+    if bounded:
+        return scores.withColumn("rank", F.row_number().over(_by(keys, F.desc(score), *ties)))
+    split = bool(ties) and isinstance(scores.schema[ties[0]].dataType, IntegralType)
+    rows = scores.withColumn("_block", F.floor(F.col(ties[0]) / BLOCK) if split else F.lit(0).cast("long"))
+    blocks = rows.groupBy(*keys, score, "_block").agg(F.count("*").alias("_n"))
+    values = blocks.groupBy(*keys, score).agg(F.sum("_n").alias("_n"))
+    better = values.select(*keys, score, (F.sum("_n").over(_by(keys, F.desc(score))) - F.col("_n")).alias("_better"))
+    earlier = F.sum("_n").over(_by([*keys, score], "_block")) - F.col("_n")
+    base = _matched(blocks.withColumn("_earlier", earlier), better, [*keys, score])
+    base = base.select(*keys, score, "_block", (F.col("_better") + F.col("_earlier")).alias("_base"))
+    on = [*keys, score, "_block"]
+    return _matched(rows, base, on).withColumn("rank", F.col("_base") + F.row_number().over(_by(on, *(ties or ["_base"])))).drop("_base", "_block")
+
+
+def top_k(scores: DataFrame, k: int, keys: str | list[str], *ties: str, score: str = "score") -> DataFrame:
+    """The k best of each key, with ``rank``; Spark cuts each partition to k rows of a key before the shuffle."""
+    return ranked(scores, keys, *ties, score=score, bounded=True).where(F.col("rank") <= k)
+
+
+def running(ranks: DataFrame, keys: str | list[str], value: str, name: str = "_before", bounded: bool = False) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of a key before this one, by ``rank``: 0 for the first, nulls as 0.
+
+    Sums of blocks of ranks are added up first, so a long list isn't one task's; ``bounded`` lists are one window each.
+    """
+    keys = _names(keys)
+    x = F.coalesce(F.col(value), F.lit(0))
+    if bounded:
+        return ranks.withColumn(name, F.coalesce(F.sum(x).over(_by(keys, "rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = ranks.withColumn("_part", F.floor((F.col("rank") - 1) / BLOCK))
+    sums = rows.groupBy(*keys, "_part").agg(F.sum(x).alias("_sum"))
+    base = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(_by(keys, "_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    on = [*keys, "_part"]
+    inner = F.coalesce(F.sum(x).over(_by(on, "rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return _matched(rows, base, on).withColumn(name, F.col("_base") + inner).drop("_base", "_part")
 
 
 def compressed(ranks: DataFrame, ratio: float, keys: str, least: int = 0) -> DataFrame:
@@ -27,19 +77,16 @@ def compressed(ranks: DataFrame, ratio: float, keys: str, least: int = 0) -> Dat
     return ranks.join(sizes, keys).where(F.col("rank") <= F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(ratio)))).drop("_n")
 
 
-def confident(ranks: DataFrame, threshold: float, keys: str, value: str = "score", least: int = 0) -> DataFrame:
+def confident(ranks: DataFrame, threshold: float, keys: str, value: str = "score", least: int = 0, bounded: bool = False) -> DataFrame:
     """Rows until the running share of the value first reaches the threshold, that row included; all of a key with no positive total."""
-    before = F.coalesce(F.sum(value).over(_by(keys, "rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     totals = ranks.groupBy(keys).agg(F.sum(F.greatest(F.col(value), F.lit(0))).alias("_total"))
     kept = (F.col("_total") <= 0) | (F.col("_before") < F.col("_total") * F.lit(threshold)) | (F.col("rank") <= least)
-    return ranks.withColumn("_before", before).join(totals, keys).where(kept).drop("_before", "_total")
+    return running(ranks, keys, value, bounded=bounded).join(totals, keys).where(kept).drop("_before", "_total")
 
 
-def budgeted(ranks: DataFrame, budget: int, keys: str, words: str = "n_words") -> DataFrame:
+def budgeted(ranks: DataFrame, budget: int, keys: str, words: str = "n_words", bounded: bool = False) -> DataFrame:
     """Rows until the running words reach the budget, that row included; adds ``cum_words``."""
-    w = _by(keys, "rank")
-    cum = F.sum(words).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return ranks.withColumn("cum_words", cum).where(F.col("cum_words") - F.col(words) < budget)
+    return running(ranks, keys, words, bounded=bounded).where(F.col("_before") < budget).withColumn("cum_words", F.col("_before") + F.col(words)).drop("_before")
 
 
 def pruned(ranks: DataFrame, least: float = 1e-10) -> DataFrame:
@@ -84,9 +131,9 @@ def interpolated(first: DataFrame, second: DataFrame, on: list[str], weight: flo
 
 def retrieved(scores: DataFrame, keys: str, *ties: str, filter: str = "topK", var: float = 150, least: int = 0) -> DataFrame:
     """Prune, rank, then one of the filters topK, comp and conf."""
-    ranks = ranked(pruned(scores), keys, *ties)
     if filter == "topK":
-        return ranks.where(F.col("rank") <= int(var))
+        return top_k(pruned(scores), int(var), keys, *ties)
+    ranks = ranked(pruned(scores), keys, *ties)
     if filter == "comp":
         return compressed(ranks, var, keys, least)
     if filter == "conf":
@@ -96,20 +143,19 @@ def retrieved(scores: DataFrame, keys: str, *ties: str, filter: str = "topK", va
 
 def records(ranks: DataFrame, keys: str, kind: str, grid: list[float], least: int = 0) -> DataFrame:
     """``ranks`` once for each setting of ``grid`` that keeps the row, with ``var``: the lists that ``topK``, ``comp`` or ``conf`` would keep, in one pass."""
-    w = _by(keys, "rank")
     if kind == "topK":
         need = F.col("rank").cast("double")
     elif kind == "comp":
-        need = F.when(F.col("rank") <= least, 0.0).otherwise(F.col("rank") / F.count("*").over(W.partitionBy(keys)))
+        ranks = _joined(ranks, keys, _all=F.count("*"))
+        need = F.when(F.col("rank") <= least, 0.0).otherwise(F.col("rank") / F.col("_all"))
     elif kind == "conf":
-        total = F.sum(F.greatest(F.col("score"), F.lit(0))).over(W.partitionBy(keys))
-        before = F.coalesce(F.sum("score").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        need = F.when((total <= 0) | (F.col("rank") <= least), -1.0).otherwise(before / total)
+        ranks = _joined(running(ranks, keys, "score"), keys, _all=F.sum(F.greatest(F.col("score"), F.lit(0))))
+        need = F.when((F.col("_all") <= 0) | (F.col("rank") <= least), -1.0).otherwise(F.col("_before") / F.col("_all"))
     else:
         raise ValueError(kind)
     every = F.array(*[F.lit(float(v)) for v in grid])
     held = F.filter(every, lambda v: (F.col("_need") < v) if kind == "conf" else (F.col("_need") <= v + 1e-12))
-    return ranks.withColumn("_need", need).withColumn("var", F.explode(held)).drop("_need")
+    return ranks.withColumn("_need", need).withColumn("var", F.explode(held)).drop("_need", "_all", "_before")
 
 
 #: The settings that are tried: filters in steps of 0.05, lists in steps of 10, and each length of a short list.

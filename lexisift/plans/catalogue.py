@@ -285,7 +285,7 @@ def interpolate_rerank(spark, d):
 @_query(_RANKED + ", w as (select cid, doc_id, sent_idx, rank, len(regexp_extract_all(lower(sent), '[\\pL\\pN]+')) as n from ranks join sents using (cid, doc_id, sent_idx)), c as (select *, sum(n) over (partition by cid order by rank) as cum_words from w) select cid, doc_id, sent_idx, cum_words::bigint as cum_words from c where cum_words - n < 250")
 def word_budget_prefix(spark, d):
     rows = _top(spark, d, 250).withColumn("n_words", F.size("words").cast("long"))  # each row has a word of the query, so 250 rows reach the budget
-    return rank.budgeted(rows, 250, "cid").select("cid", "doc_id", *_long("sent_idx"), "cum_words")
+    return rank.budgeted(rows, 250, "cid", bounded=True).select("cid", "doc_id", *_long("sent_idx"), "cum_words")
 
 
 @_query(f"with {_EVENTS}, g(k) as (values (10), (20), (30), (50)) select k::int as k, count(*) as n_kept, sum(cents)::bigint as total from g join ranks on rank <= k group by k")
@@ -295,11 +295,10 @@ def sweep_topk(spark, d):
 
 @_query(f"with {_EVENTS}, g(p) as (select unnest(range(1, 21))), t as (select *, coalesce(sum(cents) over (partition by user_id order by rank rows between unbounded preceding and 1 preceding), 0) as before, sum(greatest(cents, 0)) over (partition by user_id) as total from ranks) select p as twentieths, count(*) as n_kept from t, g where total <= 0 or 20 * before < p * total group by p")
 def sweep_conf(spark, d):
-    rows = _events(spark, d)
-    before = F.coalesce(F.sum("cents").over(W.partitionBy("user_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rank.running(_events(spark, d), "user_id", "cents", "before")
     totals = rows.groupBy("user_id").agg(F.sum(F.greatest("cents", F.lit(0))).alias("total"))
     first = F.when(F.col("total") <= 0, 1).otherwise(F.greatest(F.lit(1), F.floor(20 * F.col("before") / F.col("total")) + 1))
-    kept = rows.withColumn("before", before).join(totals, "user_id").groupBy(first.cast("long").alias("twentieths")).agg(F.count("*").alias("n"))
+    kept = rows.join(totals, "user_id").groupBy(first.cast("long").alias("twentieths")).agg(F.count("*").alias("n"))
     every = spark.range(1, 21).withColumnRenamed("id", "twentieths").join(kept, "twentieths", "left").na.fill(0)
     return every.select("twentieths", F.sum("n").over(W.orderBy("twentieths")).alias("n_kept"))
 
@@ -343,13 +342,13 @@ def sim_mass_sparsify(spark, d):
     s = score.similarity_pairs(_head(spark, d)).withColumn("u", F.round(F.col("sim") * 1000000).cast("long"))
     both = s.select("cid", "i", "j", "u").unionByName(s.select("cid", F.col("j").alias("i"), F.col("i").alias("j"), "u"))
     rows = both.withColumn("node", F.struct("cid", "i"))
-    return rank.confident(rank.ranked(rows, "node", "j", score="u"), 0.5, "node", value="u").select("cid", "i", "j")
+    return rank.confident(rank.ranked(rows, "node", "j", score="u", bounded=True), 0.5, "node", value="u", bounded=True).select("cid", "i", "j")
 
 
 def _vectors(spark, d, most):
     """Each vector with the ``most`` lowest vectors of its cluster, its query sentences: an equi-join on the cluster."""
     v = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    q = rank.ranked(v.withColumn("score", -F.col("vec_id")), "label").where(F.col("rank") <= most)
+    q = rank.top_k(v.withColumn("score", -F.col("vec_id")), most, "label")
     return v.join(q.select("label", F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), "label").where("vec_id <> q_id")
 
 

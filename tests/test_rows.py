@@ -1,6 +1,8 @@
 """Readers, writers, joins and drivers over small fixtures."""
 
 import json
+import math
+import random
 import struct
 
 import numpy as np
@@ -220,3 +222,25 @@ def test_years_and_references(spark, tmp_path):
     assert readers.counted(rows, 1) is rows
     with pytest.raises(ValueError, match="1 rows instead of 2"):
         readers.counted(rows, 2)
+
+
+def test_ranks_and_running_sums_over_blocks(spark, monkeypatch):
+    """One key holds most rows and one score most of its rows; blocks of four, so that each list is in many of them."""
+    monkeypatch.setattr(rank, "BLOCK", 4)
+    rng = random.Random(5)
+    rows = [(None if i % 50 == 7 else "hot" if i % 3 else f"k{i % 11}", i * 3 - 200, None if i % 41 == 0 else float("nan") if i % 43 == 0 else -0.0 if i % 17 == 0 else 0.0 if i % 2 else rng.choice([1.5, -2.0, rng.random()]), rng.randrange(9)) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "cid string, i long, score double, n long")
+    got = rank.ranked(df, "cid", "i")
+    assert got.columns == [*df.columns, "rank"]
+    own = {}
+    for cid in {r[0] for r in rows}:
+        better = lambda r: (r[2] is None, 0 if r[2] is None else -math.inf if math.isnan(r[2]) else -r[2], r[1])
+        own[cid] = sorted((r for r in rows if r[0] == cid), key=better)
+    assert {(r.cid, r.i): r["rank"] for r in got.collect()} == {(cid, r[1]): k for cid, best in own.items() for k, r in enumerate(best, 1)}
+    before = {(cid, r[1]): sum(x[3] for x in best[:k]) for cid, best in own.items() for k, r in enumerate(best)}
+    assert {(r.cid, r.i): r["_before"] for r in rank.running(got, "cid", "n").collect()} == before
+    assert {(r.cid, r.i): r.cum_words for r in rank.budgeted(got, 30, "cid", "n").collect()} == {(cid, r[1]): before[cid, r[1]] + r[3] for cid, best in own.items() for r in best if before[cid, r[1]] < 30}
+    named = df.withColumn("name", F.concat(F.lit("n"), F.format_string("%05d", F.col("i") + 500)))
+    assert {(r.cid, r.i): r["rank"] for r in rank.ranked(named, ["cid"], "name").collect()} == {(r.cid, r.i): r["rank"] for r in got.collect()}
+    assert rank.ranked(df.limit(0), "cid", "i").count() == 0 and rank.running(got.limit(0), "cid", "n").count() == 0
