@@ -20,6 +20,9 @@ from lexisift.llm.shared import Scope, column_bytes, column_text, discard, mappe
 #: states would take gigabytes), and beyond which its windows are no longer counted within one task (of some 100 MB) but dealt out singly.
 ANCHOR, SHARD_WORDS, HOT_WORDS, TASK_WORDS = 8, 60_000, 30_000, 1_500_000
 
+#: Tasks that the distinct passages of one anchor are dealt over where they meet its number of words.
+SALTS = 32
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = 0x2545F4914F6CDD1D
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -307,7 +310,9 @@ def repeated_passages(docs: DataFrame, width: int = 35, scope: Scope | None = No
     total = classes.agg(F.sum(F.col("rep.n") + F.lit(width - 1))).first()[0] or 0
     shards = 1 + int(total) // SHARD_WORDS
     shard = F.when(F.col("words") > TASK_WORDS, F.lit(-1)).when(F.col("words") > HOT_WORDS, F.lit(-2)).otherwise(F.pmod(F.xxhash64("v"), F.lit(shards))).cast("long")
-    wanted = classes.join(busiest, "v", "left").select("rep._id", "rep._th", F.struct(shard.alias("shard"), "v", "d", "times", F.col("rep.start").alias("start"), F.col("rep.n").alias("n")).alias("w"))
+    busiest = busiest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = classes.withColumn("_salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"))
+    wanted = salted.join(busiest, ["v", "_salt"], "left").select("rep._id", "rep._th", F.struct(shard.alias("shard"), "v", "d", "times", F.col("rep.start").alias("start"), F.col("rep.n").alias("n")).alias("w"))
     wanted = wanted.groupBy("_id", "_th").agg(F.collect_list("w").alias("wanted"))
     texts = keyed.join(wanted, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "wanted")
     cut = scope.written(mapped(texts, _cut_passages(width), "shard long, v long, d long, times long, words binary"), "reference")
