@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexisift.llm import archives, compression, decontaminate, html_text, minhash, quality, sentencepieces, substrings, token_counts, toxicity
+from lexisift.llm import archives, compression, decontaminate, html_text, minhash, mixing, periodic, quality, sentencepieces, substrings, token_counts, toxicity
 from lexisift.llm import pipeline as corpus
 from lexisift.llm.shared import importable, table, tokenizer_path
 
@@ -51,6 +51,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"), width=35)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.run_digests(periodic.periodic_runs(docs.select("doc_id", periodic.planted(docs.text, docs.doc_id).alias("text")), power=4, least=6))
+
+
+def op12_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), share=(3, 2), most=2).drop("source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
@@ -100,6 +109,37 @@ gone as (select distinct doc_id, p from repeated, unnest(range(i, i + 35)) as v(
 kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from (select doc_id, w[p] as x, p from docs, unnest(range(1, len(w) + 1)) as u(p)) anti join gone using (doc_id, p) group by doc_id)
 select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from docs left join kept using (doc_id)"""
 
+OP11_SQL = f"""
+with recursive ids as (select doc_id, coalesce(text, '') as t, list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii((doc_id::varchar)[i])::bigint) as b from documents),
+crc as (select doc_id, t, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384)))) as h from ids),
+words as (select doc_id, h % 10 = 0 as p10, h // 10 as g, list_filter(regexp_split_to_array(t, {_SPACES}), lambda x: x <> '') as w from crc),
+places as (select *, case when p10 and len(w) > 0 then g % len(w) else len(w) end as a from words),
+docs as (select doc_id, case when a < len(w) then list_concat(w[1:a], list_transform(range(a, len(w)), lambda i: w[a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) + 1])) else w end as w from places),
+grams as (select doc_id, i, w[i + 1] as g, 1::bigint as k, len(w) as n from docs, unnest(range(len(w))) as u(i) where len(w) >= 4
+  union all select * from (select doc_id, i, md5(concat(g, ' ', lead(g, k) over (partition by doc_id order by i))) as g, 2 * k as k, n from grams where 2 * k < n) where i + k <= n),
+gaps as (select doc_id, i, k, lead(i) over (partition by doc_id, k, g order by i) - i as q from grams),
+squares as (select doc_id, k, q, i, i - row_number() over (partition by doc_id, k, q order by i) as stretch from gaps where q <= k and 2 * q > k),
+runs as (select doc_id, min(i) as s, max(i) - min(i) + k + q as n, q from squares group by doc_id, k, q, stretch having n >= greatest(6, 4 * q)),
+best as (select doc_id, count(*) as n_runs, max((n, -s, -q)) as m, string_agg(concat(s, ',', n, ',', q, chr(10)), '' order by s, q) as lines from runs group by doc_id),
+gone as (select distinct doc_id, p from runs, unnest(range(s + q, s + n)) as u(p)),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t from (select doc_id, w[p + 1] as x, p from docs, unnest(range(len(w))) as u(p)) anti join gone using (doc_id, p) group by doc_id)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, -m[2]::bigint as start, m[1]::bigint as length, -m[3]::bigint as period, 1000 * m[1]::bigint // -m[3]::bigint as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from docs left join best using (doc_id) left join kept using (doc_id)"""
+
+OP12_SQL = f"""
+with sized as (select doc_id, source as s, len(list_filter(regexp_split_to_array(coalesce(text, ''), {_SPACES}), lambda x: x <> ''))::bigint as z,
+  ('0x' || md5(coalesce(doc_id::varchar, ''))[1:15])::bigint as k from documents),
+sources as (select s, sum(z)::bigint as size, [5, 2, 1][((row_number() over (order by s nulls last) - 1) % 3)::int + 1] as w from sized group by s),
+ordered as (select *, 3 * sum(size) over () - 4 * coalesce(sum(size) over earlier, 0) as l, sum(w) over () - coalesce(sum(w) over earlier, 0) as r
+  from sources window earlier as (order by size::hugeint * 10 / w, s nulls last rows between unbounded preceding and 1 preceding)),
+stopped as (select *, l::hugeint * w > r::hugeint * 4 * size as stops from ordered),
+freed as (select max((r, l)) as f from stopped where not stops),
+known as (select s, size, case when stops then 2 * size::double else (f[2]::hugeint * w)::double / (2 * f[1])::double end as target, (case when stops then 2 * size else f[2]::hugeint * w // (2 * f[1]) end)::bigint as quota from stopped, freed),
+placed as (select *, coalesce(sum(z) over (partition by s order by k, doc_id, z rows between unbounded preceding and 1 preceding), 0)::bigint as c from sized)
+select doc_id, z as size, size as source_size, target, (greatest(0, least(c + z, quota) - c) + greatest(0, least(size + c + z, quota) - size - c))::bigint as taken
+from placed join known on placed.s is not distinct from known.s"""
+
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +151,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash_near_dedup, op2_warc, op3_html_extraction, op4_toxicity, op5_quality_classifier, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_benchmark_decontamination, op10_substring_dedup, pipeline)
+    own = (op1_minhash_near_dedup, op2_warc, op3_html_extraction, op4_toxicity, op5_quality_classifier, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_benchmark_decontamination, op10_substring_dedup, op11_periodic_runs, op12_source_mixture, pipeline)
     return {q.__name__: _ready(q) for q in own}
 
 
@@ -122,4 +162,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": quality.quality_sql(),
         "op9_benchmark_decontamination": OP9_SQL,
         "op10_substring_dedup": OP10_SQL,
+        "op11_periodic_runs": OP11_SQL,
+        "op12_source_mixture": OP12_SQL,
     }
