@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexisift.llm import archives, compression, decontaminate, html_text, minhash, mixing, periodic, quality, sentencepieces, substrings, token_counts, toxicity
+from lexisift.llm import archives, collocations, compression, decontaminate, html_text, minhash, mixing, periodic, quality, sentencepieces, substrings, token_counts, toxicity
 from lexisift.llm import pipeline as corpus
 from lexisift.llm.shared import importable, table, tokenizer_path
 
@@ -60,6 +60,10 @@ def op12_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), share=(3, 2), most=2).drop("source")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
@@ -140,6 +144,20 @@ placed as (select *, coalesce(sum(z) over (partition by s order by k, doc_id, z
 select doc_id, z as size, size as source_size, target, (greatest(0, least(c + z, quota) - c) + greatest(0, least(size + c + z, quota) - size - c))::bigint as taken
 from placed join known on placed.s is not distinct from known.s"""
 
+OP13_SQL = f"""
+with pieces as (select lang, row_number() over () as id, w from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+  lateral (select list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w) where len(w) > 0),
+counts as (select lang, m, array_to_string(w[i:i+m-1], ' ') as phrase, count(*)::hugeint as c from pieces, (values (1), (2), (3)) as v(m), unnest(range(1, len(w) - m + 2)) as u(i) group by all),
+totals as (select lang, sum(c)::bigint as n from counts where m = 1 group by lang),
+candidates as (select lang, m, phrase, c as a, string_split(phrase, ' ') as w from counts where m > 1 and c >= 10),
+cuts as (select d.lang, d.phrase, d.a, k, x.c as l, y.c as r, (1000000 * d.a * d.a) // (x.c * y.c) as score
+  from (select *, unnest(range(1, m)) as k from candidates) d join counts x on x.lang = d.lang and x.phrase = array_to_string(d.w[1:k], ' ') join counts y on y.lang = d.lang and y.phrase = array_to_string(d.w[k+1:], ' ')),
+worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+covered as (select lang, phrase, max(a) as around from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from candidates where m = 3) group by all),
+left_over as (select worst.* from worst left join covered using (lang, phrase) where around is null or 100 * around < 50 * worst.a)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over) join totals using (lang) where rank <= 2000"""
+
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +169,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash_near_dedup, op2_warc, op3_html_extraction, op4_toxicity, op5_quality_classifier, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_benchmark_decontamination, op10_substring_dedup, op11_periodic_runs, op12_source_mixture, pipeline)
+    own = (op1_minhash_near_dedup, op2_warc, op3_html_extraction, op4_toxicity, op5_quality_classifier, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_benchmark_decontamination, op10_substring_dedup, op11_periodic_runs, op12_source_mixture, op13_phrase_collocations, pipeline)
     return {q.__name__: _ready(q) for q in own}
 
 
@@ -164,4 +182,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_substring_dedup": OP10_SQL,
         "op11_periodic_runs": OP11_SQL,
         "op12_source_mixture": OP12_SQL,
+        "op13_phrase_collocations": OP13_SQL,
     }
