@@ -145,7 +145,7 @@ def _routed(most, least: int, longest: int):
                     rows = list(fragments(words, low, high, lang, table, least, longest))
                     key = [(h + (xxhash.xxh3_64_intdigest(x) % parts) * 0x9E3779B97F4A7C15) % 2**64 for _, h, parts, x in rows]
                     text = lambda i: pa.array([r[i] for r in rows], pa.binary()).cast(pa.string())
-                    columns = [pa.array(_signed(np.array(key, np.uint64))), pa.array([lang] * len(rows), pa.binary()).cast(pa.string()), text(0), pa.array([r[2] > 1 for r in rows]), text(3)]
+                    columns = [pa.array(_signed(np.array(key, np.uint64))), pa.array([lang] * len(rows), pa.binary()).cast(pa.string()), text(0), pa.array([r[2] > 1 for r in rows], pa.bool_()), text(3)]
                     return pa.RecordBatch.from_arrays(columns, ["key", "lang", "pivot", "shared", "fragments"])
 
                 size = 0
