@@ -102,7 +102,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     slots = points.select(*_KEY, bits_reversed(F.col("x"), F.col("bits")).alias("slot"), "bits")
     slots = slots.select(*_KEY, "slot", F.floor(F.col("slot") * PARTS / F.pow(F.lit(2.0), F.col("bits"))).cast("int").alias("part"))
     rank = F.row_number().over(Window.partitionBy(*_KEY, "part").orderBy("slot")) - 1
-    return slots.withColumn("rank", rank).join(_before(slots, F.lit(1)), [*_KEY, "part"]).select(*_KEY, "slot", (F.col("rank") + F.col("begin")).alias("block"))
+    # Spark takes exploded rows for as few as those before: both sides grow with the input and are never broadcast
+    return slots.withColumn("rank", rank).join(_before(slots, F.lit(1)).hint("merge"), [*_KEY, "part"]).select(*_KEY, "slot", (F.col("rank") + F.col("begin")).alias("block"))
 
 
 def mixture(stream: DataFrame, most: int = 2) -> DataFrame:
@@ -118,7 +119,7 @@ def mixture(stream: DataFrame, most: int = 2) -> DataFrame:
     first = F.greatest("from", F.col("block") * BLOCK_WORDS)
     words = F.least("to", (F.col("block") + 1) * BLOCK_WORDS) - first
     pieces = cut.select(*_KEY, "block", "doc_id", "at", "size", (first - F.col("from")).alias("first"), words.alias("words"))
-    return pieces.join(schedule(sources), [*_KEY, "block"]).select("slot", *_KEY, "doc_id", "at", "size", "first", "words")
+    return pieces.join(schedule(sources).hint("merge"), [*_KEY, "block"]).select("slot", *_KEY, "doc_id", "at", "size", "first", "words")
 
 
 def mixed(docs: DataFrame, share: tuple[int, int] = (3, 2), most: int = 2, weights: tuple[int, ...] = WEIGHTS, scope: Scope | None = None) -> DataFrame:
@@ -137,5 +138,5 @@ def mixed(docs: DataFrame, share: tuple[int, int] = (3, 2), most: int = 2, weigh
     stream = scope.written(streams(docs, share, most, weights, scope), "stream")
     row = [*_KEY, "at", "size"]
     taken = mixture(stream, most).groupBy(*row).agg(F.sum("words").alias("taken"))
-    whole = stream.join(taken, row, "left")
+    whole = stream.join(taken.hint("merge"), row, "left")
     return whole.select("doc_id", F.when(~F.col("unnamed"), F.col("s")).alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
