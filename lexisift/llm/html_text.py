@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Nodes that are scored together; characters of the pages that a worker holds parsed at a time (one page at least).
 SCORED, PART_CHARS = 20_000, 1_000_000
+#: Characters from which a piece of text outside of links counts as prose.
+PROSE = 60
 #: Element names of HTML by behaviour (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe".split())
@@ -222,7 +224,7 @@ TOKENS = {
 _GROUP = {w: i for i, words in enumerate(TOKENS.values()) for w in words.split()}
 _TAGS = [("article", "main"), ("section",), ("div", "body", "html", "#root"), ("p", "blockquote", "pre"), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dd", "dt"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "label"), ("table", "tbody", "tr", "td", "th"), ("a",), ("b", "i", "em", "strong", "span", "u", "code"), ("figure", "figcaption")]
 _TAG = {t: i for i, ts in enumerate(_TAGS) for t in ts}
-N_FEATURES = len(_TAGS) + 2 * len(TOKENS) + 20
+N_FEATURES = len(_TAGS) + 2 * len(TOKENS) + 27
 
 
 def _words_of(attributes: str) -> int:
@@ -258,7 +260,8 @@ class Measures:
             if p >= 0:
                 around[i], linked[i] = around[p] | own[p], linked[p] or tag == "a"
         self.own, self.around, self.in_link = np.array(own), np.array(around), np.array(linked)
-        chars, words, stops, links, pieces = ([0.0] * n for _ in range(5))
+        chars, words, stops, links, pieces, prose = ([0.0] * n for _ in range(6))
+        heads = [float(tag == "h1") for tag in page.tag]
         for node, _, text in page.pieces:
             size = len(text.strip())
             chars[node] += size
@@ -266,12 +269,15 @@ class Measures:
             stops[node] += text.count(".") + text.count(",")
             links[node] += size * linked[node]
             pieces[node] += 1
+            prose[node] += size * (size >= PROSE and not linked[node])
         nodes, paragraphs = [1.0] * n, [float(tag == "p") for tag in page.tag]
         for i in range(n - 1, 0, -1):
             p = page.parent[i]
-            for a in (chars, words, stops, links, nodes, paragraphs, pieces):
+            for a in (chars, words, stops, links, nodes, paragraphs, pieces, prose, heads):
                 a[p] += a[i]
         self.chars, self.words, self.stops, self.links, self.nodes, self.paragraphs, self.pieces = map(np.array, (chars, words, stops, links, nodes, paragraphs, pieces))
+        self.prose, self.heads = np.array(prose), np.array(heads)
+        self.first_head = next((i for i, tag in enumerate(page.tag) if tag == "h1"), -1)
         self.children = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n)
         self.up = np.maximum(parent, 0)
         self.mean = np.bincount(self.up[1:], weights=self.chars[1:], minlength=n)[self.up] / np.maximum(self.children[self.up], 1) if n > 1 else self.chars
@@ -298,6 +304,8 @@ class Measures:
                 np.log1p(chars), np.log1p(words), self.stops[at] / np.maximum(words, 1), links / np.maximum(chars, 1), chars / nodes, np.log1p(nodes), np.log1p(self.paragraphs[at]),
                 chars / np.maximum(pieces, 1), self.depth[at], np.arange(low, low + len(x)) / self.n, chars / total, chars / np.maximum(self.chars[up], 1), children, self.children[up], np.log1p(self.mean[at]),
                 np.log1p(np.maximum(self.before[at], -0.5)), np.log1p(np.maximum(self.after[at], -0.5)), self.links[up] / np.maximum(self.chars[up], 1), words / np.maximum(pieces, 1), self.in_link[at],
+                np.log1p(self.prose[at]), self.prose[at] / max(1.0, self.prose[0]), self.prose[at] / np.maximum(chars, 1), self.prose[up] / max(1.0, self.prose[0]),
+                self.heads[at] > 0, self.heads[up] > 0, np.zeros(len(x)) if self.first_head < 0 else (np.arange(low, low + len(x)) - self.first_head) / self.n,
             ],
             axis=1,
         )
@@ -398,6 +406,31 @@ def decode(page: Page, pure: np.ndarray, main: np.ndarray) -> list[bool]:
     return out
 
 
+def likeliest(page: Page, main: np.ndarray) -> list[bool]:
+    """Of a page of which nothing was kept: the element with the likeliest prose of its own kind below it, if there is prose; else nothing.
+
+    An element's prose counts by the chance that it is main text; the smallest element with nine tenths of the page's best is taken.
+    """
+    n, chance = len(page.tag), 1 / (1 + np.exp(-np.asarray(main, float)))
+    linked = [False] * n
+    for i in range(1, n):
+        linked[i] = linked[page.parent[i]] or page.tag[i] == "a"
+    worth = np.zeros(n)
+    for node, _, text in page.pieces:
+        size = len(text.strip())
+        if size >= PROSE and not linked[node]:
+            worth[node] += size * chance[node]
+    for i in range(n - 1, 0, -1):
+        worth[page.parent[i]] += worth[i]
+    if not n or worth[0] <= 0:
+        return [False] * n
+    top = max(np.flatnonzero(worth >= 0.9 * worth[0]).tolist(), key=lambda i: (page.depth[i], -i))
+    kept = [False] * n
+    for i in range(top, n):
+        kept[i] = (i == top or kept[page.parent[i]]) and (i == top or worth[i] > 0 or page.tag[i] in ("h1", "h2", "h3", "b", "i", "em", "strong", "span"))
+    return kept
+
+
 def kept_text(page: Page, kept: list[bool]) -> str:
     """Kept pieces, block by block: white space within a block as one space, blocks joined by one space."""
     blocks: dict[int, list[str]] = {}
@@ -411,6 +444,8 @@ def _sample_page(rng: np.random.Generator) -> tuple[str, set[str]]:
     """A made-up page, and the markers of its main text; each text piece begins with a marker of its own."""
     marked: set[str] = set()
     number = [0]
+    style = ("named", "named", "hashed", "bare", "table")[int(rng.integers(5))]
+    lean = 0.25 if rng.random() < (0.15 if style == "named" else 0.4) else 1.0  # some pages have little around their article
     letters = "abcdefghijklmnoprstuvwz"
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
     some = lambda p: rng.random() < p
@@ -493,37 +528,63 @@ def _sample_page(rng: np.random.Generator) -> tuple[str, set[str]]:
         inner = "".join(pick(menu(int(rng.integers(2, 8))), prose(False, 3, 40), advert(), form(), f"<h3>{words(1, 4, False)}</h3>" + menu(4)) for _ in range(int(rng.integers(1, 4))))
         return pick(f"<aside>{inner}</aside>", named("div", "sidebar side-bar aside widget-area right-rail related", inner, 0.97))
 
-    article = pick(
+    article = body() if style != "named" and some(0.4) else pick(
         lambda: f"<article>{body()}</article>", lambda: f"<article>{body()}</article>", lambda: f"<main>{body()}</main>", lambda: named("article", "post entry hentry", body()),
         lambda: f"<main><article>{body()}</article></main>", lambda: named("div", "content main-content post-content entry-content article-body story page-content", body(), 0.97),
         lambda: named("section", "content article post main", body(), 0.97), lambda: f'<div id="main">{named("div", "post entry text", body())}</div>', lambda: f"<div>{body()}</div>" if some(0.3) else f"<article>{body()}</article>",
     )()
     parts = []
-    if some(0.5):
+    if some(0.5 * lean):
         inner = pick(f"<a href='/'>{words(1, 4, False)}</a>", f"<div class='logo'>{words(1, 4, False)}</div><p>{words(2, 10, False)}</p>", f"<h1>{words(1, 3, False)}</h1>") + (form() if some(0.3) else "") + (menu(5) if some(0.4) else "")
         parts.append(pick(f"<header>{inner}</header>", named("div", "header masthead site-header top-bar", inner, 0.97)))
-    if some(0.75):
+    if some(0.75 * lean):
         inner = menu(int(rng.integers(2, 10)))
         parts.append(pick(f"<nav>{inner}</nav>", f"<nav>{inner}</nav>", named("div", "nav menu main-menu navbar breadcrumb navigation", inner, 0.97)))
-    parts += [f() for f, p in ((advert, 0.4), (notice, 0.3), (form, 0.1)) if some(p)]
+    parts += [f() for f, p in ((advert, 0.4), (notice, 0.3), (form, 0.1)) if some(p * lean)]
     if some(0.3):
         rng.shuffle(parts)
     before, after = [], []
     for f, p in ((side, 0.35), (advert, 0.25), (comments, 0.35), (notice, 0.2)):
-        if some(p):
+        if some(p * lean):
             (before if f is side and some(0.3) else after).append(f())
     inside = "".join([*before, article, *after])
     if some(0.3):
         inside = named("div", "container wrapper page layout row site", inside)
     foot = ""
-    if some(0.8):
+    if some(0.8 * lean):
         inner = pick(f"&copy; {words(1, 15, False)}", f"<p>{words(3, 30, False)}</p>", menu(5), f"{menu(3)}<p>{words(2, 20, False)}</p>")
         foot = pick(f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", named("div", "footer site-footer bottom copyright", inner, 0.97))
-    return f"<html><head><title>x</title></head><body>{''.join(parts)}{inside}{foot}</body></html>", marked
+    if style == "table":
+        cells = [f"<td>{c}</td>" for c in (menu(int(rng.integers(3, 10))), *before, article, *after)]
+        row = "".join(cells[:1] * some(0.8) + cells[1:])
+        inside = f"<table><tr>{row}</tr></table>" if some(0.5) else f"<table><tr><td>{''.join(parts)}</td></tr><tr>{row}</tr><tr><td>{foot}</td></tr></table>"
+        parts, foot = ([], "") if inside.count("<tr>") > 2 and some(0.5) else (parts, foot)
+    page = "".join([*parts, inside, foot])
+    return f"<html><head><title>x</title></head><body>{page if style == 'named' else _unnamed(page, style, rng)}</body></html>", marked
+
+
+def _unnamed(page: str, style: str, rng: np.random.Generator) -> str:
+    """A page whose elements say nothing by their names: attributes dropped or hashed, semantic tags as plain ones, lines instead of paragraphs."""
+    some = lambda p: rng.random() < p
+    plain = some(0.75)
+
+    def tag(m: re.Match) -> str:
+        name = ("div" if plain else m[2]) if m[2] in ("article", "main", "nav", "header", "footer", "aside", "section") else m[2]
+        if m[1] or style != "hashed" or name not in ("div", "p", "ul", "section", "article", "nav"):
+            own = m[3] if m[2] in ("a", "img", "input", "form") else ""
+            return f"<{m[1]}{name}{own}>"
+        return f'<{name} class="{"".join(rng.choice(list("bcdfgxz0123456789"), 6))}">'
+
+    page = re.sub(r"<(/?)(\w+)([^>]*)>", tag, page)
+    if style == "table" and some(0.5):
+        page = re.sub(r"<p>", lambda m: '<font size="2">' if some(0.5) else "", page).replace("</p>", "<br><br>")
+    elif some(0.15):
+        page = page.replace("<p>", "").replace("</p>", "<br><br>")
+    return page
 
 
 @lru_cache(1)
-def trained(pages: int = 700, seed: int = 11) -> tuple[Boosted, Boosted]:
+def trained(pages: int = 900, seed: int = 11) -> tuple[Boosted, Boosted]:
     """Two models fitted on made-up pages: whether a node's text is all of one kind, and of which kind."""
     rng = np.random.default_rng(seed)
     xs, kinds = [], []
@@ -571,7 +632,7 @@ def extract(sources: list[str], models: tuple[Boosted, Boosted]) -> list[str]:
     out, at = [], 0
     for p in pages:
         end = at + len(p.tag)
-        out.append(kept_text(p, decode(p, pure[at:end], main[at:end])))
+        out.append(kept_text(p, decode(p, pure[at:end], main[at:end])) or kept_text(p, likeliest(p, main[at:end])))
         at = end
     return out
 
