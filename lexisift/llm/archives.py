@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisift.llm.shared import column_bytes, mapped, new_path
+from lexisift.llm.shared import Scope, column_bytes, mapped, new_path
 
 #: Header lines of the two ARC versions (fixed values of the format).
 ARC_FIELDS = {
@@ -139,58 +139,77 @@ def warc_record(arc: ArcRecord, refers_to: int | None = None) -> bytes:
     return WARC_VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The content of gzip members one after another, or the data itself, in steps."""
+def unzipped(data: bytes, step: int = 1 << 16, most: int = 1 << 20) -> Iterator[bytes]:
+    """The content of gzip members one after another, or the data itself, in pieces of ``most`` bytes at most.
+
+    A member without its end raises ValueError, wherever it is cut.
+    """
     if data[:2] != b"\x1f\x8b":
-        yield data
+        for at in range(0, len(data), most):
+            yield data[at : at + most]
         return
-    view = memoryview(data)
-    while len(view):
-        z, at = zlib.decompressobj(31), 0
-        while not z.eof and at < len(view):
-            yield z.decompress(view[at : at + step])
-            at += step
-        view = view[min(at, len(view)) - len(z.unused_data) :] if z.eof else view[len(view) :]
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, held = zlib.decompressobj(31), b""
+        while not z.eof:
+            if not held and at >= len(view):
+                raise ValueError("a gzip member is cut")
+            if not held:
+                held = view[at : at + step]
+                at += len(held)
+            out = z.decompress(held, most)
+            held = z.unconsumed_tail
+            if out:
+                yield out
+        at -= len(z.unused_data)
 
 
 def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record, by declared lengths, with no more than a record and a chunk in memory."""
-    held = b""
+    """Headers (names in lower case) and block of each record, by declared lengths, with no more than a record and a chunk in memory.
+
+    Time is proportional to the bytes: what was read is passed by an offset and dropped once a chunk.
+    """
+    held, at, looked = bytearray(), 0, 0
     for chunk in chunks:
+        del held[:at]
+        looked, at = max(0, looked - at), 0
         held += chunk
         while True:
-            held = held.lstrip(b"\r\n")
-            end = held.find(b"\r\n\r\n")
+            while at < len(held) and held[at] in b"\r\n":
+                at += 1
+            end = held.find(b"\r\n\r\n", max(at, looked))
             if end < 0:
+                looked = max(at, len(held) - 3)
                 break
-            if not held.startswith(b"WARC/"):
+            if not held.startswith(b"WARC/", at):
                 raise ValueError("no WARC record where one should begin")
-            pairs = (line.split(b":", 1) for line in held[:end].split(b"\r\n")[1:])
+            pairs = (line.split(b":", 1) for line in held[at:end].split(b"\r\n")[1:])
             head = {k.strip().lower().decode(): v.strip().decode() for k, v in pairs}
             size = int(head["content-length"])
+            looked = end
             if len(held) < end + 4 + size:
                 break
-            yield head, held[end + 4 : end + 4 + size]
-            held = held[end + 4 + size :]
-    if held.strip(b"\r\n"):
+            yield head, bytes(held[end + 4 : end + 4 + size])
+            at = looked = end + 4 + size
+    if held[at:].strip(b"\r\n"):
         raise ValueError("the last record is cut")
 
 
 def _recorded(version: int, date: str):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         get = lambda k: batch.column(batch.schema.get_field_index(k)).to_pylist()
-        out, size = [b""], 0
+        out, size = [[]], 0
         for page_id, url, first, payload in zip(get("page_id"), get("url"), get("first"), column_bytes(batch, "html"), strict=True):
             arc = arc_file([ArcRecord(url or "-", "0.0.0.0", date, "text/html", http_response(payload, "text/html", page_id))], version, date)
             for record in parse_arc(arc):
                 record = warc_record(record, first if first is not None and first != page_id else None)
                 if size and size + len(record) > PACK_BYTES:
-                    out.append(b"")
+                    out.append([])
                     size = 0
-                out[-1] += record
+                out[-1].append(record)
                 size += len(record)
         # the writer of text files ends each row with the last of the closing bytes of its last record
-        yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out if x], pa.binary()).cast(pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(x)[:-1] for x in out if x], pa.binary()).cast(pa.string())], ["value"])
 
     return run
 
@@ -238,12 +257,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_reread, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
 
 
-def archived(pages: DataFrame, version: int = 1, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back.
+def archived(pages: DataFrame, version: int = 1, least_bytes: int = 0, scope: Scope | None = None) -> DataFrame:
+    """Write ``pages`` to archives in the shared folder, which ``scope`` deletes, and read them back.
 
     Null html is an empty payload; a null url is written as ``-``; a page without an id keeps none, and revisits the smallest id of an equal
     payload if there is one. Repeated rows with the smallest id are responses all. An empty table gives no rows. Other columns are ignored.
     """
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path, version, least_bytes)
-    return read_archives(pages.sparkSession, path)
+    out = read_archives(pages.sparkSession, path)
+    if scope is not None:
+        scope.adopt(out, path)
+    return out

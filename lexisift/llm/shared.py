@@ -83,6 +83,11 @@ class Scope:
         self.tables.append(written(df, name, *by))
         return self.tables[-1]
 
+    def adopt(self, df: DataFrame, path: str) -> None:
+        """Delete ``path``, which ``df`` reads, together with the tables."""
+        df._lexisift_path = path
+        self.tables.append(df)
+
     def close(self) -> None:
         discard(*self.tables)
         self.tables.clear()

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -22,6 +22,8 @@ ANCHOR, SHARD_WORDS, HOT_WORDS, TASK_WORDS = 8, 60_000, 30_000, 1_500_000
 
 #: Tasks that the distinct passages of one anchor are dealt over where they meet its number of words.
 SALTS = 32
+#: Windows under a hot anchor that a worker holds at a time.
+WINDOWS = 50_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = 0x2545F4914F6CDD1D
@@ -247,21 +249,30 @@ def _cut_passages(width: int):
 
 
 def _windowed(width: int):
-    """The windows of passages under a hot anchor, one row each, by a digest of 128 bits."""
+    """The windows of passages under a hot anchor, one row each, by a digest of 128 bits; so many at a time as ``WINDOWS``."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        v, d, times = (batch.column(i).to_pylist() for i in (1, 2, 3))
-        out = []
-        for i, raw in enumerate(batch.column(4).to_pylist()):
-            for o in range(len(raw) // 8 - width + 1):
-                a, b = np.frombuffer(xxhash.xxh3_128_digest(raw[8 * o : 8 * (o + width)]), np.int64).tolist()
-                out.append((v[i], d[i], times[i], o, a, b))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["v", "d", "times", "o", "w1", "w2"])
+        v, d, times = (batch.column(i) for i in (1, 2, 3))
+        for i in range(batch.num_rows):
+            raw = batch.column(4)[i].as_buffer()
+            n = raw.size // 8 - width + 1
+            for low in range(0, n, WINDOWS):
+                high = min(n, low + WINDOWS)
+                digests = b"".join(xxhash.xxh3_128_digest(raw[8 * o : 8 * (o + width)]) for o in range(low, high))
+                w = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                one = lambda x: pa.array(np.full(high - low, x[i].as_py(), np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([one(v), one(d), one(times), pa.array(np.arange(low, high, dtype=np.int32)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], ["v", "d", "times", "o", "w1", "w2"])
 
     return run
 
 
+def _stretches(rows: DataFrame) -> DataFrame:
+    """``(v, d, found)`` of ``rows(v, d, o)``: numbers that follow one another as flat pairs of first and last, so that no list has every window."""
+    order = Window.partitionBy("v", "d").orderBy("o")
+    runs = rows.withColumn("_r", F.col("o") - F.row_number().over(order)).groupBy("v", "d", "_r").agg(F.min("o").alias("a"), F.max("o").alias("b"))
+    return runs.groupBy("v", "d").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("found"))
+
+
 def _spans(flat: list[int] | None) -> list[tuple[int, int]]:
     """Flat word spans, end excluded, as a sorted union."""
     flat, out = flat or [], []
@@ -294,6 +305,7 @@ def repeated_passages(docs: DataFrame, width: int = 35, scope: Scope | None = No
     3. The distinct passages are the reference, cut into shards by anchor; a shard's task builds its suffix automaton, weighted with the
        counts, and streams the passages past it. Shards go to the passages that can match, not all to all: a broadcast reference would grow
        with the corpus, and the work with its square.
+    Equal rows have equal spans, which are one before they meet: a group of copies of a row costs as much as it has rows.
     4. An anchor with more than ``HOT_WORDS`` words of distinct passages would be too large an automaton; its windows are counted by digest,
        within a task up to ``TASK_WORDS`` words, by a shuffle of single windows beyond.
     """
@@ -320,10 +332,10 @@ def repeated_passages(docs: DataFrame, width: int = 35, scope: Scope | None = No
     busy = cut.where("shard = -2").repartition("v").sortWithinPartitions("v").mapInArrow(_tallied(width), "v long, d long, found array<int>")
     windows = mapped(cut.where("shard = -1"), _windowed(width), "v long, d long, times long, o int, w1 long, w2 long")
     common = windows.groupBy("w1", "w2").agg(F.sum("times").alias("c")).where("c > 1").select("w1", "w2")
-    hot = windows.join(common, ["w1", "w2"], "left_semi").groupBy("v", "d").agg(F.flatten(F.collect_list(F.array("o", "o"))).alias("found"))
+    hot = _stretches(windows.join(common, ["w1", "w2"], "left_semi").select("v", "d", "o"))
     marks = found.unionByName(busy).unionByName(hot)
     spans = F.flatten(F.expr(f"transform(sequence(0, size(found) div 2 - 1), k -> array(start + found[2 * k], start + found[2 * k + 1] + {width}))"))
-    return near.join(marks, ["v", "d"]).where("size(found) > 1").select("_id", "_th", spans.alias("s")).groupBy("_id", "_th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return near.join(marks, ["v", "d"]).where("size(found) > 1").select("_id", "_th", spans.alias("s")).groupBy("_id", "_th").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, width: int = 35, scope: Scope | None = None) -> DataFrame:
@@ -331,7 +343,8 @@ def substring_dedup(docs: DataFrame, width: int = 35, scope: Scope | None = None
 
     Windows are judged on the input. Words are runs without \\x20 and \\x09-\\x0D. Null and empty texts, and texts shorter than a window, keep
     what they have. Repeated rows repeat each other's windows and lose them, like copies under other ids. Rows of one id with different texts
-    are told apart by the text. Empty tables give empty results; other columns are ignored.
+    are told apart by the text. Empty tables give empty results; other columns are ignored. A task holds some 150 bytes a word of the longest
+    text; windows of a text that repeats itself are dealt out and leave as stretches.
     """
     marked = repeated_passages(docs, width, scope)
     keyed = docs.select("doc_id", "text", *row_key()).join(marked, ["_id", "_th"], "left")
