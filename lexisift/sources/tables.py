@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
+from lexisift.functions.punkt import Punkt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,13 @@ def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> Data
     return docs.select(F.col("source").alias("cid"), "doc_id", "text")
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """``(cid, doc_id, sent_idx, sent)`` of ``docs(cid, doc_id, text)``: one row a sentence, blanks dropped before they are numbered."""
-    return docs.select("cid", "doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sent_idx", "sent"))
+def sentences(docs: DataFrame, model: Punkt | None = None) -> DataFrame:
+    """``(cid, doc_id, sent_idx, sent)`` of ``docs(cid, doc_id, text)``: one row a sentence, blanks dropped before they are numbered.
+
+    Sentences end at every closing mark before a blank, or where a model of sentence boundaries says so (``punkt.train``).
+    """
+    split = model.sentences("text") if model else T.split_sentences(F.col("text"))
+    return docs.select("cid", "doc_id", F.posexplode(split).alias("sent_idx", "sent"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
