@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +73,8 @@ def scores(system: DataFrame, references: DataFrame, ids: list[str], kinds: int
     return out.select(*ids, "ref_idx", *kind, "overlap", "sys_n", "ref_n", share(o, F.col("ref_n"), "recall"), share(o, F.col("sys_n"), "precision"), share(2 * o, F.col("sys_n") + F.col("ref_n"), "f1"))
 
 
-def system_score(texts: DataFrame, references: DataFrame, kinds: tuple = (1, 2, "su4"), limit: int | None = 250, stem: bool = False) -> DataFrame:
-    """``(n, recall, f1, n_clusters)`` of a system's ``texts(cid, words)``: the mean over a cluster's references, then over clusters.
+def cluster_scores(texts: DataFrame, references: DataFrame, kinds: tuple = (1, 2, "su4"), limit: int | None = 250, stem: bool = False) -> DataFrame:
+    """``(cid, n, recall, f1)`` of a system's ``texts(cid, words)``: the mean over a cluster's references.
 
     A limit of None scores whole texts; ``l`` among the kinds is the longest common subsequence. A cluster with references but no text scores 0.
     """
@@ -90,10 +92,46 @@ def system_score(texts: DataFrame, references: DataFrame, kinds: tuple = (1, 2,
         zero = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
         parts.append(rows.withColumn("o", o).select("cid", F.lit("l").alias("n"), zero(F.col("o"), F.size("r")).alias("recall"), zero(2 * F.col("o"), F.size("w") + F.size("r")).alias("f1")))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    means = both.groupBy("cid", "n").agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+    return both.groupBy("cid", "n").agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+
+
+def system_score(texts: DataFrame, references: DataFrame, kinds: tuple = (1, 2, "su4"), limit: int | None = 250, stem: bool = False) -> DataFrame:
+    """``(n, recall, f1, n_clusters)``: ``cluster_scores`` averaged over clusters."""
+    means = cluster_scores(texts, references, kinds, limit, stem)
     return means.groupBy("n").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"), F.count("*").alias("n_clusters"))
 
 
+#: Hashes of 32 bits below which a unit is drawn not at all, once at most, twice at most, and so on: Poisson's distribution with mean 1.
+POISSON = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12))
+
+
+def times_drawn(unit: Column, replicate: Column) -> Column:
+    """How often a replicate draws a unit: independent of partitions, of order and of the other units."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", unit, replicate).cast("binary")), 1, 8), 16, 10).cast("long")
+    return sum(((h >= t).cast("int") for t in POISSON), F.lit(0))
+
+
+def bootstrap(rows: DataFrame, unit: Column, keys: list[str], measures: list[str], replicates: int = 1000, confidence: int = 95) -> DataFrame:
+    """``(keys..., n_units, m, m_low, m_high for each measure m)``: means of ``rows`` and the bounds that ``confidence`` percent of resampled means lie in.
+
+    Each replicate weighs each unit by a Poisson count of its own instead of drawing units with replacement, so all replicates are one
+    aggregation that is combined before its shuffle: a row for each key and replicate is all that moves. Measures are summed as whole
+    numbers of 1e-7, so that the order of rows changes nothing. Bounds are interpolated quantiles; replicates that draw nothing are left out.
+    """
+    tail = (100 - confidence) / 200
+    whole = [F.round(F.col(m) * 10**7).cast("long").alias(m) for m in measures]
+    drawn = rows.select(*keys, unit.cast("string").alias("_unit"), *whole).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    # replicate 0 is the sample itself
+    drawn = drawn.withColumn("_w", F.when(F.col("_r") == 0, 1).otherwise(times_drawn(F.col("_unit"), F.col("_r").cast("string"))))
+    sums = drawn.groupBy(*keys, "_r").agg(F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(m)).alias(m) for m in measures])
+    means = sums.select(*keys, "_r", "_n", *[F.try_divide(F.col(m).cast("double"), F.col("_n") * F.lit(1e7)).alias(m) for m in measures])
+    out = [F.max(F.when(F.col("_r") == 0, F.col("_n"))).cast("long").alias("n_units")]
+    for m in measures:
+        out.append(F.round(F.max(F.when(F.col("_r") == 0, F.col(m))), 5).alias(m))
+        out += [F.round(F.percentile(F.when(F.col("_r") > 0, F.col(m)), F.lit(q)), 5).alias(f"{m}_{name}") for q, name in ((tail, "low"), (1 - tail, "high"))]
+    return means.groupBy(*keys).agg(*out)
+
+
 @F.pandas_udf(LongType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token arrays, by bit-parallel rows."""

@@ -272,13 +272,25 @@ def tune_topk(spark, d):
     return drivers.tuned(_top(spark, d, 30), refs, "topK", rank.FINE)
 
 
-@_query()
-def system_scores(spark, d):
-    """The first 250 words of each cluster's best sentences against all references: ROUGE-1, -2, -SU4 and -L."""
+def _system(spark, d):
+    """Each cluster's best sentences, and all references."""
     own = F.sort_array(F.collect_list(F.struct("rank", "words")))
     texts = _top(spark, d, 30).groupBy("cid").agg(F.flatten(F.transform(own, lambda x: x["words"])).alias("words"))
     refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))
-    return rouge.system_score(texts, refs, (1, 2, "su4", "l"))
+    return texts, refs
+
+
+@_query()
+def system_scores(spark, d):
+    """The first 250 words of each cluster's best sentences against all references, by stems: ROUGE-1, -2, -SU4 and -L."""
+    return rouge.system_score(*_system(spark, d), (1, 2, "su4", "l"), stem=True)
+
+
+@_query()
+def system_intervals(spark, d):
+    """The same scores with the bounds that 95 percent of 1,000 resamples of the clusters lie in."""
+    scores = rouge.cluster_scores(*_system(spark, d), (1, 2, "su4", "l"), stem=True)
+    return rouge.bootstrap(scores, F.col("cid"), ["n"], ["recall", "f1"])
 
 
 @_query()

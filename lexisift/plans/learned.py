@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexisift.functions import punkt, wordpiece
+from lexisift.operators import rouge
+from lexisift.plans import catalogue
 from lexisift.plans.catalogue import _query
 from lexisift.sources.tables import table
 
@@ -89,3 +91,19 @@ def wordpiece_ids(spark, d):
     """The word pieces of every document: how many, how many unknown words, and the digest of their numbers."""
     rows = wordpiece.word_pieces(table(spark, d, "documents"), pieces(), "doc_id")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_unknown", wordpiece.digest(F.col("ids")).alias("ids_md5"))
+
+
+_DRAWS = " + ".join(f"(h >= {t})::int" for t in rouge.POISSON)
+_MULTI = catalogue.oracle_sql()["rouge_multi_ref"]
+
+
+@_query(f"""with scored as ({_MULTI}), units as (select cid, cid || '_' || doc_id as unit, round(recall * 10000000)::bigint as recall, round(f1 * 10000000)::bigint as f1 from scored),
+draws as (select *, ('0x' || md5(unit || ':' || r)[1:8])::bigint as h from units, unnest(range(0, 201)) as u(r)),
+sums as (select cid, r, sum(w) as k, sum(w * recall) as recall, sum(w * f1) as f1 from (select *, case when r = 0 then 1 else {_DRAWS} end as w from draws) group by cid, r),
+means as (select cid, r, k, recall::double / nullif(k * 1e7, 0) as recall, f1::double / nullif(k * 1e7, 0) as f1 from sums)
+select cid, (max(k) filter (where r = 0))::bigint as n_units, round(max(recall) filter (where r = 0), 5) as recall, round(quantile_cont(recall, 0.025) filter (where r > 0), 5) as recall_low, round(quantile_cont(recall, 0.975) filter (where r > 0), 5) as recall_high,
+  round(max(f1) filter (where r = 0), 5) as f1, round(quantile_cont(f1, 0.025) filter (where r > 0), 5) as f1_low, round(quantile_cont(f1, 0.975) filter (where r > 0), 5) as f1_high from means group by cid""")
+def rouge_intervals(spark, d):
+    """Per cluster the mean ROUGE-1 of its documents, with the bounds that 95 percent of 200 resamples of the documents lie in."""
+    rows = catalogue.rouge_multi_ref(spark, d)
+    return rouge.bootstrap(rows, F.concat_ws("_", "cid", "doc_id"), ["cid"], ["recall", "f1"], replicates=200)

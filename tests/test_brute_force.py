@@ -1,15 +1,17 @@
 """The queries that have no SQL, held against plain Python over the same tables."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
 from lexisift.functions.stem import stem
-from lexisift.operators import mask
+from lexisift.operators import mask, rouge
 from lexisift.plans import catalogue, drivers
 from lexisift.sources import tables
 
@@ -165,7 +167,8 @@ def test_system_scores(spark, world):
     got = {r.n: (r.recall, r.f1, r.n_clusters) for r in rows(spark, "system_scores")}
     means = defaultdict(list)
     for c, refs in world["refs"].items():
-        text = [w for r in world["ranks"].get(c, [])[:30] for w in r[3]][:250]
+        text = [stem(w) for r in world["ranks"].get(c, [])[:30] for w in r[3]][:250]
+        refs = {k: [stem(w) for w in ws] for k, ws in refs.items()}
         for n in ("1", "2", "su4", "l"):
             each = []
             for ref in refs.values():
@@ -182,6 +185,34 @@ def test_system_scores(spark, world):
         assert got[n] == (pytest.approx(recall, abs=2e-6), pytest.approx(f1, abs=2e-6), 20)
 
 
+def test_intervals_equal_a_plain_bootstrap(spark):
+    rng = random.Random(2)
+    data = [(f"u{i}", "ab"[i % 2], round(rng.random(), 7), round(rng.random(), 7)) for i in range(60)]
+    df = spark.createDataFrame(data, "unit string, n string, recall double, f1 double").repartition(5)
+    got = {r.n: r for r in rouge.bootstrap(df, F.col("unit"), ["n"], ["recall", "f1"], replicates=300, confidence=90).collect()}
+    drawn = []
+    for n in "ab":
+        own, means = [r for r in data if r[1] == n], {2: [], 3: []}
+        for k in range(1, 301):
+            h = [int(hashlib.md5(f"{r[0]}:{k}".encode()).hexdigest()[:8], 16) for r in own]
+            w = [sum(x >= t for t in rouge.POISSON) for x in h]
+            drawn += w
+            for m in means:
+                means[m].append(sum(a * r[m] for a, r in zip(w, own, strict=True)) / sum(w))
+        for m, name in ((2, "recall"), (3, "f1")):
+            low, high = np.quantile(means[m], [0.05, 0.95])
+            assert (got[n][name], got[n][name + "_low"], got[n][name + "_high"]) == (pytest.approx(sum(r[m] for r in own) / 30, abs=6e-6), pytest.approx(low, abs=6e-6), pytest.approx(high, abs=6e-6))
+            assert got[n][name + "_low"] < got[n][name] < got[n][name + "_high"]
+    counts = Counter(drawn)  # a Poisson distribution with mean 1
+    assert all(abs(counts[k] / len(drawn) - 0.36788 / (1, 1, 2, 6)[k]) < 0.01 for k in range(4))
+
+
+def test_system_intervals_lie_around_the_scores(spark):
+    scores = {r.n: r for r in rows(spark, "system_scores")}
+    for r in rows(spark, "system_intervals"):
+        assert r.n_units == scores[r.n].n_clusters and r.recall == pytest.approx(scores[r.n].recall, abs=1e-5) and r.f1_low <= r.f1 <= r.f1_high
+
+
 def test_tune_topk(spark, world):
     got = {r["var"]: (r.recall, r.f1) for r in rows(spark, "tune_topk")}
     assert sorted(got) == list(range(1, 31))
@@ -273,7 +304,7 @@ def test_random_mask(spark, world):
 
 def test_every_query_without_sql_is_here():
     here = {"greedy_word_budget", "greedy_sentence_budget", "ngram_block_greedy", "skip_allowance_greedy", "extract_evaluate", "lexrank_rank", "wan_rank", "mmr_rank", "rouge_l", "stemmed_rouge", "system_scores", "tune_topk", "sample_cluster_build", "subsummary_integration", "swapped_ranks", "masked_summaries", "random_mask_ablation"}
-    here |= {"wordpiece_ids"}  # tests/test_wordpiece.py
+    here |= {"wordpiece_ids", "system_intervals"}  # tests/test_wordpiece.py, and here
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == here
 
 
