@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexisift.functions import punkt, wordpiece
-from lexisift.operators import rouge
+from lexisift.functions import text as T
+from lexisift.operators import infer, learn, rank, rouge, score
 from lexisift.plans import catalogue
-from lexisift.plans.catalogue import _query
+from lexisift.plans.catalogue import _KEYS, _QS, _REL, _SENTS, _long, _query, _sents
+from lexisift.session import new_path
+from lexisift.sources.tables import queries as cluster_queries
 from lexisift.sources.tables import table
 
 # The algorithm of sentence boundaries in SQL: the same types and aggregates, decided by joins instead of one expression.
@@ -107,3 +110,79 @@ def rouge_intervals(spark, d):
     """Per cluster the mean ROUGE-1 of its documents, with the bounds that 95 percent of 200 resamples of the documents lie in."""
     rows = catalogue.rouge_multi_ref(spark, d)
     return rouge.bootstrap(rows, F.concat_ws("_", "cid", "doc_id"), ["cid"], ["recall", "f1"], replicates=200)
+
+
+# A regression of sentence labels on lexical scores: documents whose number is divisible by 5 are held out.
+_FEATURES = ["tf_cosine", "bhattacharyya", "log_count"]
+_XY = f"""with feats as ({_REL} select cid, doc_id, sent_idx, round(coalesce(dot::double / nullif(sqrt((ssq::double) * qsq), 0), 0), 6) as x1, round(coalesce(root / nullif(sqrt((slen::double) * qlen), 0), 0), 6) as x2, round(ln(1 + dot::double), 6) as x3 from rel),
+labels_ as ({catalogue.oracle_sql()["smoothed_label"]}), xy as (select *, doc_id % 5 = 0 as held from feats join labels_ using (cid, doc_id, sent_idx)),
+m as (select count(*)::double as n, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(label) as my, stddev_pop(x1) as s1, stddev_pop(x2) as s2, stddev_pop(x3) as s3,
+  corr(x1, x2) as c12, corr(x1, x3) as c13, corr(x2, x3) as c23, covar_pop(x1, label) as y1, covar_pop(x2, label) as y2, covar_pop(x3, label) as y3 from xy where not held),
+e as (select *, n + 1 as a, n * c12 as b, n * c13 as c, n * c23 as f, n * y1 / s1 as d1, n * y2 / s2 as d2, n * y3 / s3 as d3 from m),
+det as (select *, a * (a * a - f * f) - b * (b * a - f * c) + c * (b * f - a * c) as q from e),
+w as (select *, (d1 * (a * a - f * f) - b * (d2 * a - f * d3) + c * (d2 * f - a * d3)) / q / s1 as w1, (a * (d2 * a - f * d3) - d1 * (b * a - f * c) + c * (b * d3 - d2 * c)) / q / s2 as w2,
+  (a * (a * d3 - d2 * f) - b * (b * d3 - d2 * c) + d1 * (b * f - a * c)) / q / s3 as w3 from det),
+est as (select xy.*, w1 * x1 + w2 * x2 + w3 * x3 + my - w1 * m1 - w2 * m2 - w3 * m3 as p from xy, w)"""
+
+
+def _labelled(spark, d):
+    feats = score.lexical(_sents(spark, d), cluster_queries(spark, d)).withColumn("log_count", F.round(F.log1p(F.col("count").cast("double")), 6)).select(*_KEYS, *_FEATURES)
+    return feats.join(catalogue.smoothed_label(spark, d), _KEYS)
+
+
+def _fitted(rows) -> learn.Ridge:
+    return learn.fit_ridge(rows.where("doc_id % 5 <> 0"), _FEATURES, "label")
+
+
+@_query(_XY + " select 'tf_cosine' as feature, round(w1, 5) as weight from w union all select 'bhattacharyya', round(w2, 5) from w union all select 'log_count', round(w3, 5) from w union all select 'intercept', round(my - w1 * m1 - w2 * m2 - w3 * m3, 5) from w")
+def ridge_weights(spark, d):
+    model = _fitted(_labelled(spark, d))
+    return spark.createDataFrame([(k, round(v, 5)) for k, v in (model.weights | {"intercept": model.intercept}).items()], "feature string, weight double")
+
+
+@_query(_XY + " select count(*) as n, round(sqrt(avg((label - p) * (label - p))), 6) as rmse, round(stddev_pop(label), 6) as rmse_of_mean, round(corr(label, p), 6) as pearson from est where held")
+def ridge_held_out(spark, d):
+    """How well labels of documents that the regression hasn't seen are estimated."""
+    rows = _labelled(spark, d)
+    return learn.held_out(rows.where("doc_id % 5 = 0"), "label", _fitted(rows).column())
+
+
+@_query(_XY + """, r as (select cid, doc_id, sent_idx, round(p, 5) as estimated, row_number() over (partition by cid order by round(p, 5) desc, doc_id, sent_idx) as rank from est) select doc_id || '_' || sent_idx as sid, cid, rank, estimated from r where rank <= 30""")
+def ridge_label_rows(spark, d):
+    """Estimated labels of every sentence, the 30 best of each cluster."""
+    rows = _labelled(spark, d)
+    best = rank.top_k(rows.select(*_KEYS, F.round(_fitted(rows).column(), 5).alias("score")), 30, "cid", "doc_id", "sent_idx")
+    return best.select(T.sid(F.col("doc_id"), F.col("sent_idx")).alias("sid"), "cid", *_long("rank"), F.col("score").alias("estimated"))
+
+
+def linear_ranker(shared: float = 1.0, length: float = -0.01):
+    """A model for ``infer.scored``: words of a sentence that its query has, and a little against its length."""
+
+    def load():
+        def model(columns):
+            out = []
+            for sent, query in zip(*columns, strict=True):
+                q, s = set((query or "").split(" ")), (sent or "").split(" ")
+                out.append(shared * sum(w in q for w in s if w) + length * len(s))
+            return out
+
+        return model
+
+    return load
+
+
+@_query(f"with {_SENTS}, {_QS}, words as (select cid, doc_id, sent_idx, string_split(lower(sent), ' ') as s, string_split(lower(query), ' ') as q from sents join qs using (cid)) select cid, doc_id, sent_idx, round(len(list_filter(s, lambda w: list_contains(q, w))) - 0.01::double * len(s), 6) as score from words")
+def batch_inference(spark, d):
+    """Every sentence with its query through a model that each worker loads once."""
+    rows = _sents(spark, d).join(cluster_queries(spark, d), "cid").select(*_KEYS, F.lower("sent").alias("sent"), F.lower("query").alias("query"))
+    return infer.scored(rows, ["sent", "query"], linear_ranker()).select("cid", "doc_id", *_long("sent_idx"), F.round("score", 6).alias("score"))
+
+
+@_query("with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]+') as w from documents) select doc_id, len(w)::bigint as n_words, len(list_distinct(w))::bigint as n_distinct from w")
+def remembered_features(spark, d):
+    """Features of texts from a table that has those of the first half already: only the others are computed."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), new_path(spark, "features")
+    words = T.tokens(F.coalesce("text", F.lit("")))
+    compute = lambda rows: rows.withColumn("n_words", F.size(words).cast("long")).withColumn("n_distinct", F.size(F.array_distinct(words)).cast("long"))
+    infer.remembered(docs.where("doc_id % 2 = 0"), ["text"], "words 1", path, compute)
+    return infer.remembered(docs, ["text"], "words 1", path, compute, steps=2).select("doc_id", "n_words", "n_distinct")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> None:
@@ -22,3 +24,45 @@ def local(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> S
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one on one machine, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        key = spark.sparkContext.applicationId
+        named = _OWN[key] = _OWN.get(key) or tempfile.mkdtemp(prefix="lexisift-")
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, system = _folder(spark, path)
+    return system.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target, system = _folder(spark, path)
+    system.delete(target, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: lineage ends here. ``delete(spark, df.written_to)`` removes it."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
