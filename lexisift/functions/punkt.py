@@ -156,10 +156,14 @@ class Punkt:
 
     def sentences(self, text: str = "text") -> Column:
         """The sentences of a column of texts, white space as one blank; null and empty texts have none."""
+        return F.expr(self.sentences_sql(text))
+
+    def sentences_sql(self, text: str) -> str:
+        """The same as SQL."""
         words = f"split(btrim(regexp_replace(coalesce({text}, ''), {_text(chr(92) + 's+')}, ' ')), ' ')"
         # a function of the words, so that they are made once
         joined = f"transform(array({words}), w -> array_join(transform(w, (x, i) -> concat(x, if(i + 1 < size(w) and x rlike {_text(MARKED)}, if({self.boundary('x', 'w[i + 1]')}, '\\n', ' '), ' '))), ''))[0]"
-        return F.expr(f"filter(transform(split({joined}, '\\n'), s -> btrim(s)), s -> s <> '')")
+        return f"filter(transform(split({joined}, '\\n'), s -> btrim(s)), s -> s <> '')"
 
 
 def train(docs: DataFrame, most: int = MOST) -> Punkt:
