@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +26,34 @@ def lexrank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance
     ``nodes(cid, i, restart)`` and ``edges(cid, i, j, sim)``, one direction of each pair. ``r`` is ``restart`` as shares of its cluster, or even
     where that sums to 0. What sits on nodes without an edge goes back to ``r``: that only scales a cluster's scores, so it is left out of the
     iteration, and scores are made to sum to 1 at the end. No cluster meets in one task: a node's links are join keys, and what a node gets is
-    combined before the shuffle. ``ROUND`` iterations are one job, its result a table in the shared folder, where the lineage ends and the next
+    combined before the shuffle. Similarities are symmetric, so the matrix has real eigenvalues and Chebyshev's weights of the last two iterates
+    make some 48 steps do for what takes 170 plain ones at ``d = 0.85``. ``ROUND`` iterations are one job, its result a table in the shared folder, where the lineage ends and the next
     round starts after a loss; of a round the driver sees the largest change only.
     """
     spark = nodes.sparkSession
     sums = nodes.groupBy("cid").agg(F.sum("restart").alias("t"), F.count("*").alias("n"))
     r = F.when(F.col("t") > 0, F.col("restart") / F.col("t")).otherwise(1 / F.col("n"))
-    links = written(_links(edges), "links")
-    base = written(nodes.join(sums, "cid").select("cid", "i", ((1 - damping) * r).alias("p")), "base")
-    now, done = base, 0
+    # a node's link to itself weighs nothing and carries on what a step needs of the node
+    own = nodes.select("cid", "i", F.col("i").alias("j"), F.lit(None).cast("double").alias("w"))
+    links = written(_links(edges).unionByName(own), "links")
+    now = base = written(nodes.join(sums, "cid").select("cid", "i", ((1 - damping) * r).alias("b")).withColumn("p", F.col("b")).withColumn("q", F.lit(0.0)), "base")
+    shrink = (damping / (1 + math.sqrt(1 - damping * damping))) ** ROUND
+    done, omega = 0, 1.0
     while done < most:
         after = now
-        for _ in range(ROUND):
-            sent = after.join(links, ["cid", "i"]).select("cid", F.col("j").alias("i"), (damping * F.col("p") * F.col("w")).alias("p"))
-            after = sent.unionByName(base).groupBy("cid", "i").agg(F.sum("p").alias("p"))
+        for k in range(ROUND):
+            omega = 1.0 if done + k == 0 else 1 / (1 - damping * damping / 2) if done + k == 1 else 1 / (1 - damping * damping * omega / 4)
+            met, self_ = after.join(links, ["cid", "i"]), F.col("w").isNull()
+            gets = F.when(self_, omega * F.col("b") + (1 - omega) * F.col("q")).otherwise(omega * damping * F.col("p") * F.col("w"))
+            met = met.select("cid", F.col("j").alias("i"), F.when(self_, F.col("b")).alias("b"), gets.alias("p"), F.when(self_, F.col("p")).alias("q"))
+            after = met.groupBy("cid", "i").agg(F.max("b").alias("b"), F.sum("p").alias("p"), F.max("q").alias("q"))
         after = written(after, "round")
-        change = after.join(now.select("cid", "i", F.col("p").alias("q")), ["cid", "i"]).agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] or 0.0
+        change = after.join(now.select("cid", "i", F.col("p").alias("was")), ["cid", "i"]).agg(F.max(F.abs(F.col("p") - F.col("was")))).first()[0] or 0.0
         if now is not base:
             delete(spark, now.written_to)
         now, done = after, done + ROUND
-        # what is left to change is a geometric sum of changes that shrink by the damping
-        if change * damping**ROUND / (1 - damping**ROUND) <= tolerance:
+        # what is left to change is a geometric sum of changes
+        if change * shrink / (1 - shrink) <= tolerance:
             break
     else:
         raise RuntimeError("scores did not settle")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lexisift.functions import punkt, wordpiece
 from lexisift.functions import text as T
-from lexisift.operators import infer, learn, rank, rouge, score
+from lexisift.operators import graph, infer, learn, rank, rouge, score
 from lexisift.plans import catalogue
-from lexisift.plans.catalogue import _KEYS, _QS, _REL, _SENTS, _long, _query, _sents
+from lexisift.plans.catalogue import _KEYS, _MET, _PAIRS, _QS, _REL, _SENTS, _head, _long, _query, _sents
 from lexisift.session import new_path
 from lexisift.sources.tables import queries as cluster_queries
 from lexisift.sources.tables import table
@@ -186,3 +186,17 @@ def remembered_features(spark, d):
     compute = lambda rows: rows.withColumn("n_words", F.size(words).cast("long")).withColumn("n_distinct", F.size(F.array_distinct(words)).cast("long"))
     infer.remembered(docs.where("doc_id % 2 = 0"), ["text"], "words 1", path, compute)
     return infer.remembered(docs, ["text"], "words 1", path, compute, steps=2).select("doc_id", "n_words", "n_distinct")
+
+
+_WALK = (_PAIRS + _MET.format(extra="")).replace("with ", "with recursive ", 1) + """, both_ as (select cid, i, j, sim from sims where sim > 0 union all select cid, j, i, sim from sims where sim > 0),
+links as (select cid, i, j, sim / sum(sim) over (partition by cid, i) as w from both_), ns as (select head.cid, i, score / sum(score) over (partition by head.cid) as r from head join ranks on head.cid = ranks.cid and i = rank - 1),
+steps as (select cid, i, j, w from links union all select cid, i, i, 0 from ns),
+walk as (select 0 as it, cid, i, 0.15::double * r as p from ns union all select it + 1, s.cid, s.j, 0.85::double * sum(p * w) + 0.15::double * max(n.r) from walk join steps s on walk.cid = s.cid and walk.i = s.i join ns n on n.cid = s.cid and n.i = s.j where it < 180 group by it, s.cid, s.j)"""
+
+
+@_query(_WALK + " select cid, i, round(p / sum(p) over (partition by cid), 6) as score from walk where it = 180")
+def lexrank_walk(spark, d):
+    """Centrality of each cluster's best sentences by power iteration over the table of their similarities."""
+    nodes = _head(spark, d)
+    found = graph.lexrank(nodes.select("cid", "i", F.col("score").cast("double").alias("restart")), score.similarity_pairs(nodes), tolerance=1e-11)
+    return found.select("cid", "i", F.round("score", 6).alias("score"))
