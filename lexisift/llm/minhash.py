@@ -112,8 +112,8 @@ def _signed(size: int, rows: int):
             else:
                 bands.append([])
         d = np.array(d)
-        ids = (batch.column(batch.schema.get_field_index(k)).cast(pa.int64()) for k in ("doc_id", "key"))
-        yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n", "d1", "d2", "bands"])
+        get = lambda k: batch.column(batch.schema.get_field_index(k))
+        yield pa.RecordBatch.from_arrays([get("doc_id").cast(pa.int64()), get("key"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n", "d1", "d2", "bands"])
 
     return run
 
@@ -131,16 +131,18 @@ def _setted(size: int):
 def _unit_links(num: int, den: int):
     """Links of each unit; the rows of a unit follow one another, and a unit has two blocks at most."""
 
-    def flush(rows: list[tuple[int, bytes, bytes, int, bool]], out: list[tuple[int, int]]) -> None:
+    def flush(rows: list[tuple[bytes, bytes, bytes, bytes, bool]], out: list[tuple[bytes, bytes]]) -> None:
         if len(rows) > 1:
             reps, members, minima, joined, heads = zip(*rows, strict=True)
+            number: dict[bytes, int] = {}
+            joined = [number.setdefault(x, len(number)) for x in joined]
             found = links([np.frombuffer(x, np.uint64) for x in members], np.array([np.frombuffer(x, np.uint8) for x in minima]), num, den, np.array(joined), np.array(heads))
             out += [(reps[i], reps[j]) for i, j in found]
 
     def run(batches):
         held, rows = None, []
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple[bytes, bytes]] = []
             columns = [c.to_pylist() for c in batch.columns]
             for unit, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
                 if unit != held:
@@ -155,14 +157,14 @@ def _unit_links(num: int, den: int):
     return run
 
 
-def _edge_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+def _edge_batch(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
 
 def _compared(units: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``(a, b)``: links found in the units ``(key, i, j, rep, d1, d2, joined, head)``."""
     loaded = units.join(sets, ["rep", "d1", "d2"]).select("key", "i", "j", "rep", "members", "minima", "joined", "head")
-    return loaded.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_unit_links(num, den), "a long, b long")
+    return loaded.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_unit_links(num, den), "a binary, b binary")
 
 
 def _every(low, high) -> Column:
@@ -203,8 +205,8 @@ def _bucket_groups(members: DataFrame, sets: DataFrame, num: int, den: int, scop
 
 
 def text_key() -> Column:
-    """A key of 64 bits of a document row: equal for repeated rows, different for different texts under one id."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    """A key of 128 bits of a document row: equal for repeated rows, different for different texts under one id."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
 def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, scope: Scope | None = None) -> DataFrame:
@@ -216,7 +218,7 @@ def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, sc
     scope = scope or Scope()
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("key"))
     rows = band_rows(num, den)
-    signed = scope.written(mapped(docs, _signed(shingle, rows), "doc_id long, key long, n long, d1 long, d2 long, bands array<long>"), "signed")
+    signed = scope.written(mapped(docs, _signed(shingle, rows), "doc_id long, key binary, n long, d1 long, d2 long, bands array<long>"), "signed")
     classes = signed.groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"))
     with Scope() as own:
         bearers = signed.where("n > 0").join(classes.select("d1", "d2", F.col("rep").alias("key")), ["d1", "d2", "key"], "left_semi").dropDuplicates(["key", "d1", "d2"])
@@ -229,7 +231,7 @@ def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, sc
         # the candidates grow with the corpus: never broadcast
         wanted = members.groupBy(F.col("rep").alias("key")).agg(F.max(F.col("blocks") > 1).alias("large"))
         involved = docs.join(wanted.hint("merge"), "key").dropDuplicates(["key", "text"])
-        sets = own.written(mapped(involved, _setted(shingle), "rep long, d1 long, d2 long, members binary, minima binary, large boolean"), "sets", "large")
+        sets = own.written(mapped(involved, _setted(shingle), "rep binary, d1 long, d2 long, members binary, minima binary, large boolean"), "sets", "large")
         groups = scope.written(_bucket_groups(members, sets, num, den, own), "groups")
 
     found = groups.withColumnRenamed("node", "rep").join(classes.where("n > 0").select("rep", F.col("least").alias("own")), "rep")
