@@ -203,6 +203,25 @@ def triggers(queries: DataFrame, headlines: DataFrame) -> DataFrame:
     return queries.join(maps, "cid", "left").withColumn("headlines", F.coalesce("headlines", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
 
 
+def trigger_rows(queries: DataFrame, headlines: DataFrame) -> DataFrame:
+    """``(cid, query, did, headline)``: a query with each headline of its cluster's documents, a row each; without one the last two are null.
+
+    The same relation as ``triggers`` for clusters of any size: a cluster's headlines never meet in one row.
+    """
+    hits = prefix_matches(queries.select(F.col("cid").alias("prefix")).distinct(), headlines.select(F.col("did").alias("cid")).distinct())
+    own = hits.select(F.col("prefix").alias("cid"), F.col("cid").alias("did")).join(headlines, "did")
+    return queries.join(own, "cid", "left").select("cid", "query", "did", "headline")
+
+
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """``(token, id)``: the distinct tokens numbered from 1 in their order, by blocks of their first two letters: no task has all of them."""
+    words = tokens.select("token").distinct().withColumn("_b", F.substring("token", 1, 2))
+    sizes = words.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each pair of letters
+    inner = F.row_number().over(W.partitionBy("_b").orderBy("token"))
+    return words.withColumn("_i", inner).join(sizes.select("_b", before.alias("_before")), "_b").select("token", (F.col("_before") + F.col("_i")).cast("int").alias("id"))
+
+
 def with_references(systems: DataFrame, files: DataFrame) -> DataFrame:
     """``(cid, text, file, reference)``: a system's text with each reference file that is named by its id, or by it and ``_`` and a digit."""
     named = files.select(F.regexp_replace("file", "_[0-9]$", "").alias("cid"), "file", F.col("text").alias("reference"))

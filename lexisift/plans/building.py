@@ -9,6 +9,7 @@ from lexisift.functions import text as T
 from lexisift.operators import assemble, mask, rank, rouge, score
 from lexisift.plans import drivers
 from lexisift.plans.catalogue import _HEAD, _PAIRS, _MET, _QS, _RANKED, _REFS, _REL, _SENTS, _head, _long, _query, _sents, _top, sim_pairs_cosine
+from lexisift.sources import tables
 from lexisift.sources.tables import documents, references, table
 from lexisift.sources.tables import queries as cluster_queries
 
@@ -188,6 +189,14 @@ def trigger_assembly(spark, d):
     return rows.select(F.rtrim(F.col("cid"), F.lit("_")).alias("cid"), "query", F.size("headlines").cast("long").alias("n"), F.array_join(F.map_values("headlines"), "|").alias("headlines"))
 
 
+@_query(f"with {_QS.replace(', qt as', ', unused as')}, h as (select source || '_' || doc_id as did, text[1:20] as headline from documents) select cid, query, did, headline from qs left join h on starts_with(did, cid || '_')")
+def trigger_rows(spark, d):
+    """The same a row for each headline."""
+    heads = table(spark, d, "documents").select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("did"), F.substring("text", 1, 20).alias("headline"))
+    rows = assemble.trigger_rows(cluster_queries(spark, d).withColumn("cid", F.concat("cid", F.lit("_"))), heads)
+    return rows.select(F.rtrim(F.col("cid"), F.lit("_")).alias("cid"), "query", "did", "headline")
+
+
 @_query("""with r as (select c_custkey, o_orderkey, o_orderdate, o_orderpriority as p from orders join customer on o_custkey = c_custkey), g as (select *, lag(p) over (partition by c_custkey order by o_orderdate, o_orderkey) as q from r)
 select c_custkey, o_orderkey, (sum(case when q is null or q <> p then 1 else 0 end) over (partition by c_custkey order by o_orderdate, o_orderkey) - 1)::bigint as "group" from g""")
 def group_boundaries(spark, d):
@@ -199,8 +208,7 @@ def group_boundaries(spark, d):
 q as (select conv_id, turn, unnest(w) as token, unnest(range(1, len(w) + 1)) as pos from (select conv_id, turn, {_WORDS.format("text")} as w from conversations where role = 'user'))
 select c.conv_id || '_' || c.turn as uid, coalesce(string_agg(case when q.token is not null then coalesce(id, 100000)::varchar end, ' ' order by pos), '') as ids from (select conv_id, turn from conversations where role = 'user') c left join q using (conv_id, turn) left join k using (token) group by all""")
 def words_to_ids(spark, d):
-    words = table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
-    vocabulary = words.withColumn("id", F.row_number().over(W.orderBy("token")))  # a vocabulary: bounded
+    vocabulary = assemble.vocabulary(table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")))
     rows = table(spark, d, "conversations").where("role = 'user'").select(T.sid(F.col("conv_id"), F.col("turn")).alias("uid"), T.tokens(F.col("text")).alias("words"))
     return assemble.token_ids(rows, vocabulary, "uid", 100000).select("uid", F.array_join("ids", " ").alias("ids"))
 
@@ -257,6 +265,19 @@ def sim_massed(spark, d):
     return score.massed(both, 0.4).select("cid", "i", "j")
 
 
+@_query(_BM25_PAIRS + ", r as (select cid, i, j, sim, (round(greatest(sim, 0) * 1000000))::bigint as u from sims), s as (select cid, i, j, coalesce(sum(u) over (partition by cid, i order by sim desc, j rows between unbounded preceding and 1 preceding), 0) as before, sum(u) over (partition by cid, i) as t from r) select cid, i, j from s where t <= 0 or 2 * before < t")
+def sim_massed_bm25(spark, d):
+    """Of the BM25 scores of a sentence for all others of its cluster the best that hold half of their sum."""
+    rows = score.bm25_pairs(_head(spark, d)).withColumn("u", F.round(F.greatest("sim", F.lit(0.0)) * 1000000).cast("long")).withColumn("node", F.struct("cid", "i"))
+    return rank.confident(rank.ranked(rows, "node", "j", score="sim", bounded=True), 0.5, "node", value="u", bounded=True).select("cid", "i", "j")
+
+
+@_query("with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:2] as p from documents) select doc_id, i - 1 as para_idx, p[i] as para from l, unnest(range(1, len(p) + 1)) as u(i)")
+def paragraph_head_limit(spark, d):
+    """The first two paragraphs of every document."""
+    return tables.paragraphs(documents(spark, d), "\n", 2).select("doc_id", *_long("para_idx"), "para")
+
+
 @_query()
 def stemmed_rouge(spark, d):
     """Sentence ROUGE on stems."""

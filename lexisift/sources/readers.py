@@ -40,13 +40,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, line)``: lines of files with their number, blank lines included.
 
     Files are read in splits, so a large one is many tasks. A line's number is its place among the lines of its split and the number of lines
-    of the splits before it; only a count for each split is sorted within a file.
+    of the splits before it; only a count for each split is sorted within a file. Files of one name in several folders are numbered apart.
     """
-    lines = spark.read.text(path).select(_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
-    firsts = lines.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    firsts = firsts.select("file", "_split", "_first", before.alias("_before"))
-    return lines.join(firsts, ["file", "_split"]).select("file", (F.col("_at") - F.col("_first") + F.col("_before")).cast("long").alias("line_no"), "line")
+    lines = spark.read.text(path).select(_file_name().alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
+    firsts = lines.groupBy("_path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_path").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = firsts.select("_path", "_split", "_first", before.alias("_before"))
+    return lines.join(firsts, ["_path", "_split"]).select("file", (F.col("_at") - F.col("_first") + F.col("_before")).cast("long").alias("line_no"), "line")
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:

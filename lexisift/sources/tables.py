@@ -33,6 +33,13 @@ def sentences(docs: DataFrame, model: Punkt | None = None) -> DataFrame:
     return docs.select("cid", "doc_id", F.posexplode(split).alias("sent_idx", "sent"))
 
 
+def paragraphs(docs: DataFrame, between: str = "\n\n", per_document: int | None = None) -> DataFrame:
+    """``(cid, doc_id, para_idx, para)`` of ``docs(cid, doc_id, text)``: blocks that aren't blank, the first ``per_document`` of each document."""
+    blocks = F.filter(F.split("text", between), lambda x: F.trim(x) != "")
+    blocks = F.slice(blocks, 1, per_document) if per_document else blocks
+    return docs.select("cid", "doc_id", F.posexplode(blocks).alias("para_idx", "para"))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(cid, query)``: the benchmark item with the lowest number of each cluster."""
     items = references(spark, sf_dir)
