@@ -468,22 +468,43 @@ def rouge_l(spark, d):
 # Extraction
 
 
-@_query()
+def _greedy_sql(budget: int, unit: str, threshold: float, block: int = 0, spare: bool = False) -> str:
+    """``walk(cid, i, taken, used, passed, took)``: a step for each rank; a candidate knows which earlier ones it would repeat."""
+    words = "regexp_extract_all(lower(sent), '[\\pL\\pN]+')"
+    shared = ""
+    if block:
+        joined = " || ' ' || ".join(f"w[k + {x}]" for x in range(block))
+        shared = f", grams as (select distinct cid, i, {joined} as g from (select cid, i, w, unnest(range(1, len(w) - {block - 2})) as k from cand0))"
+    again = f"select cid, j, i from raw where sim >= {threshold}::double" + (" union select a.cid, b.i, a.i from grams a join grams b on a.cid = b.cid and a.g = b.g and a.i < b.i" if block else "")
+    free = f"passed >= greatest(0, n_cand - {budget})" if spare else "false"
+    return _PAIRS.replace("with ", "with recursive ", 1) + _MET.format(extra="") + f""", raw as (select p.cid, p.i, p.j, p.dot / sqrt(x.s * y.s) as sim from p join n x on x.cid = p.cid and x.i = p.i join n y on y.cid = p.cid and y.i = p.j),
+cand0 as (select cid, i, {words} as w, count(*) over (partition by cid) as n_cand from head){shared}, bad as (select cid, j, list(i) as l from ({again}) group by cid, j),
+cand as (select c.cid, c.i, w, n_cand, coalesce(l, []) as l from cand0 c left join bad on bad.cid = c.cid and bad.j = c.i),
+walk as (select cid, -1::bigint as i, []::bigint[] as taken, 0::bigint as used, 0::bigint as passed, false as took from (select distinct cid from head)
+  union all select cid, i, case when ok then list_append(taken, i) else taken end, used + case when ok then {"len(w)" if unit == "words" else "1"} else 0 end, passed + (not ok)::int, ok
+  from (select walk.cid, cand.i, w, taken, used, passed, len(taken) = 0 or {free} or not list_has_any(taken, l) as ok from walk join cand on cand.cid = walk.cid and cand.i = walk.i + 1 where used < {budget})),
+chosen as (select walk.cid, len(taken)::bigint as pos, walk.i, doc_id, sent_idx from walk join ranks on ranks.cid = walk.cid and ranks.rank = walk.i + 1 where took)"""
+
+
+_CHOSEN = " select cid, pos, doc_id, sent_idx from chosen"
+
+
+@_query(_greedy_sql(250, "words", 0.6) + _CHOSEN)
 def greedy_word_budget(spark, d):
     return select.greedy(_top(spark, d), 250, "words", 0.6)
 
 
-@_query()
+@_query(_greedy_sql(10, "sentences", 0.6) + _CHOSEN)
 def greedy_sentence_budget(spark, d):
     return select.greedy(_top(spark, d), 10, "sentences", 0.6)
 
 
-@_query()
+@_query(_greedy_sql(10, "sentences", 0.6, block=3) + _CHOSEN)
 def ngram_block_greedy(spark, d):
     return select.greedy(_top(spark, d), 10, "sentences", 0.6, block=3)
 
 
-@_query()
+@_query(_greedy_sql(10, "sentences", 0.4, spare=True) + _CHOSEN)
 def skip_allowance_greedy(spark, d):
     return select.greedy(_top(spark, d), 10, "sentences", 0.4, skips="spare")
 
@@ -503,7 +524,8 @@ def mmr_rank(spark, d):
     return select.reranked(_top(spark, d), "mmr", weight=0.7)
 
 
-@_query()
+@_query(_greedy_sql(250, "words", 0.6) + f""", {_SUMMARIES.replace(_REFS + ", ", "")}, texts as (select cid, 0 as doc_id, 0 as sent_idx, flatten(list(w order by pos))[1:250] as w from chosen join cand using (cid, i) group by cid), {_rouge_sql(2, refs="ref_idx >= 0")}
+select cid, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1 from rouge group by cid""")
 def extract_evaluate(spark, d):
     """The whole way: rank, extract under a word budget, ROUGE-2 against the cluster's references."""
     chosen = select.greedy(_top(spark, d), 250, "words", 0.6, texts=True)
