@@ -35,8 +35,8 @@ def n_units(words: Column, kind: int | str, gap: int = 4) -> Column:
     return (n + F.when(n <= gap + 1, short).otherwise((gap + 1) * n - gap * (gap + 1) / 2)).cast("long")
 
 
-#: Stands among a text's grams for the text itself; no gram has a line break.
-_TEXT = "\n"
+#: Begins what stands among a text's grams for the text itself; no gram has a line break. A cluster's texts are dealt over so many join keys.
+_TEXT, SALTS = "\n", 32
 
 
 def scores(system: DataFrame, references: DataFrame, ids: list[str], kinds: int | str | tuple = 1, words: str = "words", limit: int | None = None, stem: bool = False) -> DataFrame:
@@ -50,12 +50,12 @@ def scores(system: DataFrame, references: DataFrame, ids: list[str], kinds: int
     several = isinstance(kinds, tuple)
     all_kinds = kinds if several else (kinds,)
 
-    def spread(rows: DataFrame, keys: list[str], column: str, most: int | None, size: str) -> DataFrame:
+    def spread(rows: DataFrame, keys: list[str], column: str, most: int | None, size: str, marks: Column) -> DataFrame:
         own = stemmed(column) if stem else F.col(column)
         own = F.coalesce(own, F.array().cast("array<string>"))
         rows = rows.select(*keys, (F.slice(own, 1, most) if most else own).alias("_w"))
         w = F.col("_w")
-        grams = [F.concat(F.array(F.lit(_TEXT)), skip_units(w) if k == "su4" else T.ngrams(w, k)) for k in all_kinds]
+        grams = [F.concat(marks, skip_units(w) if k == "su4" else T.ngrams(w, k)) for k in all_kinds]
         if several:
             each = [F.struct(F.lit(str(k)).alias("n"), n_units(w, k).alias(size), g.alias("g")) for k, g in zip(all_kinds, grams, strict=True)]
             rows = rows.select(*keys, F.explode(F.array(*each)).alias("_k")).select(*keys, "_k.n", F.col(f"_k.{size}").alias(size), F.explode("_k.g").alias("gram"))
@@ -63,10 +63,12 @@ def scores(system: DataFrame, references: DataFrame, ids: list[str], kinds: int
             rows = rows.select(*keys, F.lit(str(kinds)).alias("n"), n_units(w, kinds).alias(size), F.explode(grams[0]).alias("gram"))
         return rows
 
-    refs = spread(references, ["cid", "ref_idx"], "words", None, "ref_n").groupBy("cid", "ref_idx", "n", "ref_n", "gram").agg(F.count("*").alias("rc"))
-    met = spread(system, ids, words, limit, "sys_n").join(refs, ["cid", "n", "gram"]).repartition(*ids)
+    own = F.array(F.concat(F.lit(_TEXT), F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("string")))
+    every = F.array(*[F.lit(f"{_TEXT}{k}") for k in range(SALTS)])
+    refs = spread(references, ["cid", "ref_idx"], "words", None, "ref_n", every).groupBy("cid", "ref_idx", "n", "ref_n", "gram").agg(F.count("*").alias("rc"))
+    met = spread(system, ids, words, limit, "sys_n", own).join(refs, ["cid", "n", "gram"]).repartition(*ids)
     met = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n", "gram").agg(F.least(F.count("*"), F.first("rc")).alias("o"))
-    out = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n").agg(F.sum(F.when(F.col("gram") == _TEXT, 0).otherwise(F.col("o"))).alias("overlap"))
+    out = met.groupBy(*ids, "ref_idx", "n", "sys_n", "ref_n").agg(F.sum(F.when(F.col("gram").startswith(_TEXT), 0).otherwise(F.col("o"))).alias("overlap"))
     o = F.col("overlap").cast("double")
     share = lambda part, whole, name: F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 6).alias(name)
     kind = ["n"] if several else []
