@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from lexisift.functions import text as T
 from lexisift.operators import assemble, mask, rank, rouge, score
 from lexisift.plans import drivers
-from lexisift.plans.catalogue import _HEAD, _PAIRS, _MET, _QS, _RANKED, _REFS, _REL, _SENTS, _head, _long, _query, _sents, _top, sim_pairs_cosine
+from lexisift.plans.catalogue import _HEAD, _PAIRS, _MET, _QS, _RANKED, _REFS, _REL, _SENTS, _SUMMARIES, _head, _long, _query, _rouge_sql, _sents, _top, sim_pairs_cosine
 from lexisift.sources import tables
 from lexisift.sources.tables import documents, references, table
 from lexisift.sources.tables import queries as cluster_queries
@@ -286,7 +286,10 @@ def stemmed_rouge(spark, d):
     return rouge.scores(sents, refs, ["cid", "doc_id", "sent_idx"], 1, stem=True).select("cid", "doc_id", "sent_idx", "overlap", "f1")
 
 
-@_query()
+@_query(f"""with {_HEAD}, {_SUMMARIES.replace(_REFS + ", ", "")}, words as (select cid, i, regexp_extract_all(lower(sent), '[\\pL\\pN]+') as w from head where i < 30),
+kept as (select cid, k, flatten(list(w order by i)) as w from words, range(1, 31) as u(k) where i < k group by cid, k),
+texts as (select c.cid, u.k as doc_id, 0 as sent_idx, coalesce(w, []) as w from (select distinct cid from summaries) c, range(1, 31) as u(k) left join kept on kept.cid = c.cid and kept.k = u.k), {_rouge_sql(2, refs="ref_idx >= 0")},
+each_ as (select doc_id as var, cid, avg(recall) as recall, avg(f1) as f1 from rouge group by all) select var::double as var, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1 from each_ group by var""")
 def tune_topk(spark, d):
     """A tuning curve: ROUGE-2 of the sentences that each length of the list keeps."""
     refs = references(spark, d).select("cid", "ref_idx", T.tokens(F.col("text")).alias("words"))

@@ -533,7 +533,19 @@ def extract_evaluate(spark, d):
     return rouge.scores(texts, _references(spark, d), ["cid"], 2, limit=250).groupBy("cid").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"))
 
 
-@_query()
+_SAMPLES = _COUNT.replace("with ", "with recursive ", 1) + """, best as (select cid, doc_id, max(score) as score from scores group by all), listed as (select *, row_number() over (partition by cid order by score desc, doc_id) - 1 as i from best),
+cand as (select l.cid, l.i, l.doc_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') as w from listed l join docs on docs.cid = l.cid and docs.doc_id = l.doc_id where i < 11),
+t as (select cid, i, term, count(*)::double as c from (select cid, i, unnest(w) as term from cand) group by all), n as (select cid, i, sum(c * c) as s from t group by all),
+pairs as (select a.cid, a.i, b.i as j, sum(a.c * b.c) as dot from t a join t b on a.cid = b.cid and a.term = b.term and a.i < b.i group by all),
+bad as (select p.cid, p.j, list(p.i) as l from pairs p join n x on x.cid = p.cid and x.i = p.i join n y on y.cid = p.cid and y.i = p.j where dot / sqrt(x.s * y.s) >= 0.6::double group by p.cid, p.j),
+walk as (select cid, 0::bigint as i, [0]::bigint[] as taken, len(w)::bigint as size, 0::bigint as missed, true as took from cand where i = 0
+  union all select cid, i, case when fits then list_append(taken, i) else taken end, size + case when fits then len(w) else 0 end, missed + (not same and not fits)::int, fits
+  from (select walk.cid, c.i, w, taken, size, missed, list_has_any(taken, coalesce(l, [])) as same, not list_has_any(taken, coalesce(l, [])) and abs(size + len(w) - 250) <= abs(size - 250) as fits
+    from walk join cand c on c.cid = walk.cid and c.i = walk.i + 1 left join bad on bad.cid = c.cid and bad.j = c.i where missed < 5))
+select regexp_extract(walk.cid, '[0-9]+$')::bigint as cluster_id, (len(taken) - 1)::bigint as pos, doc_id as sample_id from walk join cand using (cid, i) where took"""
+
+
+@_query(_SAMPLES)
 def sample_cluster_build(spark, d):
     """A cluster of samples for each source; its rank list is the retrieval's: the ten documents with the best sentences for its query."""
     best = _counts(spark, d).groupBy("cid", "doc_id").agg(F.max("score").alias("score"))

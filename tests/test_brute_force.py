@@ -303,7 +303,7 @@ def test_random_mask(spark, world):
 
 
 def test_every_query_without_sql_is_here():
-    here = {"lexrank_rank", "wan_rank", "mmr_rank", "rouge_l", "stemmed_rouge", "system_scores", "tune_topk", "sample_cluster_build", "subsummary_integration", "swapped_ranks", "masked_summaries", "random_mask_ablation"}
+    here = {"lexrank_rank", "wan_rank", "mmr_rank", "rouge_l", "stemmed_rouge", "system_scores", "subsummary_integration", "swapped_ranks", "masked_summaries", "random_mask_ablation"}
     here |= {"wordpiece_ids", "system_intervals"}  # tests/test_wordpiece.py, and here
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == here
 
