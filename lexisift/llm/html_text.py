@@ -440,11 +440,11 @@ def kept_text(page: Page, kept: list[bool]) -> str:
     return " ".join(s for s in (" ".join("".join(b).split()) for b in blocks.values()) if s)
 
 
-def _sample_page(rng: np.random.Generator) -> tuple[str, set[str]]:
-    """A made-up page, and the markers of its main text; each text piece begins with a marker of its own."""
+def _sample_page(rng: np.random.Generator, style: str | None = None) -> tuple[str, set[str]]:
+    """A made-up page, and the markers of its main text; each text piece begins with a marker of its own. A style is drawn if none is given."""
     marked: set[str] = set()
     number = [0]
-    style = ("named", "named", "hashed", "bare", "table")[int(rng.integers(5))]
+    style = style or ("named", "named", "hashed", "bare", "table")[int(rng.integers(5))]
     lean = 0.25 if rng.random() < (0.15 if style == "named" else 0.4) else 1.0  # some pages have little around their article
     letters = "abcdefghijklmnoprstuvwz"
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]

@@ -203,14 +203,16 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
-def test_html_on_made_up_pages():
+@pytest.mark.parametrize("style, most", [("named", 0.03), ("hashed", 0.1), ("bare", 0.1), ("table", 0.1)])
+def test_html_on_made_up_pages(style, most):
+    """Pages with telling names, as before; on pages without them some comments and notices can't be told from paragraphs."""
     rng = np.random.default_rng(1234)
     hit = miss = extra = 0
     for _ in range(150):
-        source, marked = html_text._sample_page(rng)
+        source, marked = html_text._sample_page(rng, style)
         found = set(re.findall(r"q\d+q", html_text.extract([source], html_text.trained())[0]))
         hit, miss, extra = hit + len(found & marked), miss + len(marked - found), extra + len(found - marked)
-    assert miss + extra < 0.03 * hit
+    assert miss + extra < most * hit
 
 
 @pytest.mark.parametrize("before", ['<svg viewBox="0 0 1 1"/>', "<math />", "<canvas/>", "<script src='a.js' />", "<svg><title/><path d='M0'/></svg>", "<button>", "<object data=x>", "<video><p>", "<select><option>", "<script src=a/>drop()</script x>", "<style>drop{}</style\n>", "<template><div></template>"])
