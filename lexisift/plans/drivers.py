@@ -59,7 +59,7 @@ def tuned(ranks: DataFrame, references: DataFrame, kind: str, grid: list[float],
     every = references.select("cid").distinct().withColumn("var", F.explode(F.array(*[F.lit(float(v)) for v in grid])))
     texts = every.join(texts, ["cid", "var"], "left")
     each = rouge.scores(texts, references, ["var", "cid"], 2).groupBy("var", "cid").agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
-    return each.groupBy("var").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"))
+    return each.groupBy("var").agg(rouge.mean("recall").alias("recall"), rouge.mean("f1").alias("f1"))
 
 
 def generator_input(ranks: DataFrame, targets: DataFrame, mode: str = "none", queries: DataFrame | None = None, masked: DataFrame | None = None, order: str = "rank") -> DataFrame:
