@@ -81,3 +81,17 @@ def test_tables_are_bounded_and_sentences_take_a_model(spark):
     got = tables.sentences(docs, Punkt(abbreviation=frozenset({"dr"}))).orderBy("sent_idx").collect()
     assert [(r.cid, r.doc_id, r.sent_idx, r.sent) for r in got] == [("c", 1, 0, "Dr. Who came."), ("c", 1, 1, "He left.")]
     assert punkt.train(docs.limit(0).select(F.col("text"))) == Punkt()
+
+
+def test_words_are_read_and_described_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("Dr. Ada\tmet  him. He left!  So",), (None,), ("",), (" \n",)], "text string")
+    found = {(r.before, r.word): r.c for r in punkt.word_pairs(docs).collect()}
+    assert found == {(None, "Dr."): 1, ("Dr.", "Ada"): 1, ("", "met"): 1, ("", "him."): 1, ("him.", "He"): 1, ("", "left! "): 1, ("left! ", "So"): 1}
+    calls = []
+    monkeypatch.setattr(punkt, "word_pairs", lambda rows, f=punkt.word_pairs: calls.append(1) or f(rows))
+    tables = []
+    model = punkt.model_tables(docs, tables=tables)
+    plan = model._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and len(tables) == 3
+    assert "MapInArrow" not in plan and "core" not in plan  # neither the texts nor what is made of single words comes back
+    assert Punkt().boundary("x", "y").count("regexp_replace") <= 6  # 20 when each use of a word's type made it anew
