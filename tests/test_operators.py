@@ -220,3 +220,12 @@ def test_spare_skips():
     assert taken(6) == taken(9) == [0, 1, 2, 3, 4, 5]
     with pytest.raises(ValueError):
         select.greedy_rows(rows, 3, "words", 0.5, skips="spare")
+
+
+def test_what_a_normal_sentence_needs_is_made_once(spark):
+    options = dict(min_words=2, drop_dialogue=True, quoted_speech=True, stop_words=("the",))
+    made = T.normal_sentence(F.col("s"), **options)
+    assert str(made._jc).count("lower(s)") <= 1
+    sents = ["The  Cat Sat", "the the", "one", "''a b", "'he said so", " \n", None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sents)], "i int, s string").select("i", made.alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == ["cat sat", None, None, None, None, None, None]
